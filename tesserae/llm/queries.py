@@ -4,15 +4,24 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tesserae.llm import tagsets
+from tesserae.llm import clusters, tagsets
 from tesserae.sources.tables import table
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    membership, _ = clusters.clusters(table(spark, d, "memories"))
+    return clusters.found(membership)
+
+
+def p4_summary(spark: SparkSession, d: str) -> DataFrame:
+    return clusters.summary(table(spark, d, "memories"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return tagsets.similar_pairs(table(spark, d, "memories"))
 
 
-QUERIES = {"p5_found": p5_found}
+QUERIES = {"p4_found": p4_found, "p4_summary": p4_summary, "p5_found": p5_found}
 
 _TAGS = r"""
 with t as (select distinct id, lower(trim(x, ' ' || chr(9))) tag from (select id, unnest(tags) x from memories) where x is not null and trim(x, ' ' || chr(9)) <> ''),
