@@ -328,9 +328,10 @@ def summary(memories: DataFrame, threshold: float = THRESHOLD, dim: int = DIM, c
     membership = cut(membership)
     sizes = membership.groupBy("cid").agg(F.count(F.lit(1)).alias("size"))
     vectors = usable(memories, dim, column).select(F.xxhash64("e").alias("h"), "id", "e").mapInArrow(_vectoriser(dim), _NODE)
-    placed = vectors.select(F.col("first_id").alias("id"), F.col("cid").alias("child"), "v").join(membership.select("id", "child", "cid"), ["id", "child"])
+    bearers = membership.groupBy("child", "cid").agg(F.min("id").alias("id"))  # one record for each distinct vector
+    placed = vectors.select(F.col("first_id").alias("id"), F.col("cid").alias("child"), "v").join(bearers, ["id", "child"]).dropDuplicates(["id", "child"])
     salt = F.pmod(F.xxhash64("id"), F.lit(SALTS))
-    centres = nodes.select("cid", "first_id", F.col("v").alias("c"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("bigint").alias("salt"))
+    centres = nodes.select("cid", "first_id", F.col("v").alias("c"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))).alias("salt"))
 
     def nearness(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tesserae.llm import clusters, tagsets
+from tesserae.llm import clusters, encoding, tagsets
 from tesserae.sources.tables import table
 
 
@@ -21,7 +21,19 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return tagsets.similar_pairs(table(spark, d, "memories"))
 
 
-QUERIES = {"p4_found": p4_found, "p4_summary": p4_summary, "p5_found": p5_found}
+def p6_ids(spark: SparkSession, d: str) -> DataFrame:
+    return encoding.encode(table(spark, d, "documents"))
+
+
+def p6_offsets(spark: SparkSession, d: str) -> DataFrame:
+    return encoding.encode(table(spark, d, "documents"), offsets=True)
+
+
+def p6_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    return encoding.decode(encoding.encode(table(spark, d, "documents")))
+
+
+QUERIES = {"p4_found": p4_found, "p4_summary": p4_summary, "p5_found": p5_found, "p6_ids": p6_ids, "p6_offsets": p6_offsets, "p6_round_trip": p6_round_trip}
 
 _TAGS = r"""
 with t as (select distinct id, lower(trim(x, ' ' || chr(9))) tag from (select id, unnest(tags) x from memories) where x is not null and trim(x, ' ' || chr(9)) <> ''),
@@ -29,6 +41,7 @@ n as (select id, count(*) n from t group by id having count(*) >= 3)
 """
 
 SQL = {
+    "p6_round_trip": "select doc_id, coalesce(text, '') as text from documents",
     "p5_found": _TAGS
     + """, c as (select a.id id_a, b.id id_b, count(*) k from t a join t b on a.tag = b.tag and a.id < b.id
   where a.id in (select id from n) and b.id in (select id from n) group by all)
