@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tesserae.llm import clusters, encoding, leaks, tagsets
+from tesserae.llm import clusters, encoding, garbled, leaks, tagsets
 from tesserae.sources.tables import table
 
 
@@ -45,7 +45,15 @@ def p7_near(spark: SparkSession, d: str) -> DataFrame:
     return leaks.near_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
-QUERIES = {"p4_found": p4_found, "p4_summary": p4_summary, "p5_found": p5_found, "p6_ids": p6_ids, "p6_offsets": p6_offsets, "p6_round_trip": p6_round_trip, "p7_found": p7_found, "p7_report": p7_report, "p7_near": p7_near}
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return garbled.scan(table(spark, d, "documents")).select("doc_id")
+
+
+def p8_restored(spark: SparkSession, d: str) -> DataFrame:
+    return garbled.scan(table(spark, d, "documents"))
+
+
+QUERIES = {"p4_found": p4_found, "p4_summary": p4_summary, "p5_found": p5_found, "p6_ids": p6_ids, "p6_offsets": p6_offsets, "p6_round_trip": p6_round_trip, "p7_found": p7_found, "p7_report": p7_report, "p7_near": p7_near, "p8_found": p8_found, "p8_restored": p8_restored}
 
 _TAGS = r"""
 with t as (select distinct id, lower(trim(x, ' ' || chr(9))) tag from (select id, unnest(tags) x from memories) where x is not null and trim(x, ' ' || chr(9)) <> ''),
