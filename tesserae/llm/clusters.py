@@ -250,23 +250,31 @@ def _add(dim: int):
     return run
 
 
-def _graph_rounds(nodes: DataFrame, pairs: DataFrame, dim: int, threshold: float) -> tuple[DataFrame, list[DataFrame]]:
-    """Merges mutual best pairs of the sparse graph until none is left; (nodes after, labels of each round)."""
-    labels = []
+def _graph_rounds(nodes: DataFrame, pairs: DataFrame, dim: int, threshold: float) -> tuple[DataFrame, DataFrame | None]:
+    """Merges mutual best pairs of the sparse graph until none is left; (nodes after, label (child, cid) of all that moved).
+
+    Only clusters that still have a pair are carried from round to round.
+    """
+    label = None
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
+    rest = nodes.join(ends, "cid", "left_anti")
+    active = cut(nodes.join(ends, "cid", "left_semi"))
     while True:  # each round merges at least one pair
         joined = cut(_mutual(pairs))
         if joined.isEmpty():
             break
-        labels.append(joined)
-        touched = joined.select("child", "cid").unionByName(joined.select(F.col("cid").alias("child"), "cid"))
-        moved = nodes.join(touched.withColumnRenamed("cid", "to").withColumnRenamed("child", "cid"), "cid").select(F.col("to").alias("cid"), "n", "first_id", "v")
-        nodes = cut(moved.groupBy("cid").applyInArrow(_add(dim), _NODE).unionByName(nodes.join(touched.select(F.col("child").alias("cid")), "cid", "left_anti")))
-        to_a = joined.select(F.col("child").alias("a"), F.col("cid").alias("na"))
-        to_b = joined.select(F.col("child").alias("b"), F.col("cid").alias("nb"))
-        moved_pairs = pairs.join(to_a, "a", "left").join(to_b, "b", "left").select(F.coalesce("na", "a").alias("a"), F.coalesce("nb", "b").alias("b")).where("a <> b")
-        ends = moved_pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        pairs = cut(_average(ends, nodes, dim).where(F.col("s") >= threshold))
-    return nodes, labels
+        to = joined.select(F.col("child").alias("x"), F.col("cid").alias("y"))
+        label = joined if label is None else label.join(to, F.col("cid") == F.col("x"), "left").select("child", F.coalesce("y", "cid").alias("cid")).unionByName(joined)
+        label = cut(label)
+        touched = joined.select(F.col("child").alias("x"), F.col("cid").alias("y")).unionByName(joined.select(F.col("cid").alias("x"), F.col("cid").alias("y")))
+        placed = active.join(touched, F.col("cid") == F.col("x"), "left")
+        merged = placed.where("y is not null").select(F.col("y").alias("cid"), "n", "first_id", "v").groupBy("cid").applyInArrow(_add(dim), _NODE)
+        active = cut(merged.unionByName(placed.where("y is null").select("cid", "n", "first_id", "v")))
+        a, b = to.select(F.col("x").alias("a"), F.col("y").alias("na")), to.select(F.col("x").alias("b"), F.col("y").alias("nb"))
+        moved = pairs.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("na", "a").alias("a"), F.coalesce("nb", "b").alias("b")).where("a <> b")
+        now = moved.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        pairs = cut(_average(now, active, dim).where(F.col("s") >= threshold))
+    return active.unionByName(rest), label
 
 
 def _average(ends: DataFrame, nodes: DataFrame, dim: int) -> DataFrame:
@@ -302,18 +310,18 @@ def clusters(memories: DataFrame, threshold: float = THRESHOLD, dim: int = DIM,
             break
         nodes, label = _local_round(nodes, count, seed, dim, threshold)
         labels.append(label)
-    if nodes.count() > 1:
-        pairs = cut(sparse_graph(nodes, nodes.count(), LOCAL_ROUNDS, dim, threshold))
-        nodes, more = _graph_rounds(nodes, pairs, dim, threshold)
-        labels += more
+    count = nodes.count()
+    moved = None
+    if count > 1:
+        pairs = cut(sparse_graph(nodes, count, LOCAL_ROUNDS, dim, threshold))
+        nodes, moved = _graph_rounds(nodes, pairs, dim, threshold)
+        nodes = cut(nodes)
     resolved = nodes.select(F.col("cid").alias("child"), "cid", "first_id")
+    if moved is not None:
+        resolved = resolved.unionByName(moved.join(nodes.select("cid", "first_id"), "cid").select("child", "cid", "first_id"))
     for label in reversed(labels):
         up = resolved.withColumnRenamed("child", "parent")
-        here = label.select("child", F.col("cid").alias("parent"))
-        # a round that lists only what moved leaves the rest as it was
-        resolved = here.join(up, "parent").select("child", "cid", "first_id").unionByName(
-            resolved.join(here.select("child"), "child", "left_anti")
-        ).dropDuplicates(["child"])
+        resolved = label.select("child", F.col("cid").alias("parent")).join(up, "parent").select("child", "cid", "first_id").dropDuplicates(["child"])
     ids = hashed.select("id", F.col("h").alias("child")).distinct()
     membership = ids.join(resolved, "child").select("id", "child", "cid", "first_id")
     return membership, nodes
