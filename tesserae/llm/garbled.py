@@ -32,8 +32,9 @@ from pyspark.sql import functions as F
 
 #: Least share of documents in which a character or chunk is frequent, and the least number.
 SHARE, LEAST = 2e-4, 3
-#: A garbled form in more than this part of its original's documents is taken for correct text.
-AMBIGUOUS = 0.03
+#: A garbled form in more than this part of its original's documents is taken for correct text: of
+#: sequences made of UTF-8 or Japanese bytes, which correct text hardly has, and of all others.
+AMBIGUOUS_BYTES, AMBIGUOUS = 0.3, 0.03
 ROUNDS = 3
 
 # The encodings considered, by what they are good for.
@@ -100,16 +101,22 @@ def frequencies(documents: DataFrame) -> tuple[DataFrame, int]:
 
 def patterns(frequent: dict[str, int]) -> dict[str, tuple[str, bool]]:
     """Garbled sequence -> (original, whether it must stand between word edges)."""
+    frequent = dict(frequent)
     out: dict[str, tuple[str, bool]] = {}
     weight: dict[str, int] = {}
 
-    def put(garbled: str | None, original: str, edges: bool) -> None:
-        if not garbled or garbled == original or garbled.isascii() or len(garbled) < 2 or "�" in garbled:
+    def put(garbled: str | None, original: str, edges: bool, ambiguous: float = AMBIGUOUS_BYTES) -> None:
+        if not garbled or garbled == original or original.isascii() or garbled.isascii() or len(garbled) < 2 or "�" in garbled:
             return
         n = frequent[original]
-        if frequent.get(garbled, 0) <= AMBIGUOUS * n and n > weight.get(garbled, 0):
+        if frequent.get(garbled, 0) <= ambiguous * n and n > weight.get(garbled, -1):
             out[garbled], weight[garbled] = (original, edges), n
 
+    signs = [x for x in frequent if len(x) == 1]
+    # what a first round makes of them, and the control characters, may have been misread once more
+    between = {c for x in signs for wrong in ("latin-1", "cp1252", "cp1250") for c in misread(x, "utf-8", wrong) or ""} | {chr(c) for c in range(0x80, 0x100)}
+    for x in between - frequent.keys():
+        frequent[x] = 0
     for x in frequent:
         if len(x) == 1:
             for wrong in (*WRONG, "cp932"):
@@ -122,8 +129,8 @@ def patterns(frequent: dict[str, int]) -> dict[str, tuple[str, bool]]:
         for true in ("utf-8", *WESTERN, *CENTRAL, *CYRILLIC):
             for wrong in (*WRONG, "latin-1"):
                 if true != wrong and (g := misread(x, true, wrong)):
-                    put(g, x, True)
-                    put(_C1.sub("", g), x, True)
+                    put(g, x, True, AMBIGUOUS_BYTES if true == "utf-8" else AMBIGUOUS)
+                    put(_C1.sub("", g), x, True, AMBIGUOUS)
     return out
 
 

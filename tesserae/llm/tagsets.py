@@ -4,7 +4,7 @@ Multi-index binary sketches. Every distinct set gets ``tables * width`` one-bit
 lowest bit of the smallest hash of the set's members under hash function j, so two sets of Jaccard
 similarity J agree in a bit with probability (1 + J) / 2. The bits are cut into ``tables`` segments;
 sets that agree in a whole segment meet in an equi-join on (segment, value) and stay if a separate
-64-bit code lies within the Hamming radius. Both numbers are calibrated for the threshold itself:
+128-bit code lies within the Hamming radius. Both numbers are calibrated for the threshold itself:
 
 * ``width`` grows with log2 of the number of distinct sets, so that unrelated sets meet in a bounded
   number per set at any size;
@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from tesserae.sources.tables import cut, trimmed
 
 THRESHOLD = 0.6
-RECALL = 0.997
-CODE_BITS = 64
+RECALL = 0.999
+CODE_BITS = 128
 MIN_TAGS = 3
 
 
@@ -85,10 +85,10 @@ def _sketcher(width: int, tables: int):
                 bits = sketch_bits(values, (offsets[:-1] - offsets[0]).astype(np.int64), tables * width + CODE_BITS)
                 keys = (bits[:, : tables * width].reshape(-1, tables, width) * weights).sum(axis=2)
                 keys += np.arange(tables, dtype=np.int64)[None, :] << width
-                code = np.packbits(bits[:, tables * width :], axis=1).view(np.int64).ravel()
+                code = np.packbits(bits[:, tables * width :], axis=1).view(np.int64)
                 n = part.num_rows
                 key_list = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * tables), pa.array(keys.astype(np.int32).ravel()))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(offsets).astype(np.int32)), pa.array(code), key_list], names=["sid", "n", "code", "keys"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(offsets).astype(np.int32)), *(pa.array(np.ascontiguousarray(c)) for c in code.T), key_list], names=["sid", "n", "c1", "c2", "keys"])
 
     return run
 
@@ -100,10 +100,11 @@ def candidate_pairs(sets: DataFrame, n_sets: int, threshold: float = THRESHOLD,
     pairs beyond the radius or the size bound are dropped inside the join.
     """
     width, tables, radius = calibrate(n_sets, threshold, recall)
-    sketched = sets.select("sid", F.transform("tags", lambda t: F.xxhash64(t)).alias("h")).mapInArrow(_sketcher(width, tables), "sid bigint, n int, code bigint, keys array<int>")
-    rows = sketched.select("sid", "n", "code", F.explode("keys").alias("key")).repartition("key")
+    sketched = sets.select("sid", F.transform("tags", lambda t: F.xxhash64(t)).alias("h")).mapInArrow(_sketcher(width, tables), "sid bigint, n int, c1 bigint, c2 bigint, keys array<int>")
+    rows = sketched.select("sid", "n", "c1", "c2", F.explode("keys").alias("key")).repartition("key")
     a, b = rows.alias("a"), rows.alias("b")
-    near = F.bit_count(F.col("a.code").bitwiseXOR(F.col("b.code"))) <= radius
+    apart = [F.bit_count(F.col(f"a.{c}").bitwiseXOR(F.col(f"b.{c}"))) for c in ("c1", "c2")]
+    near = apart[0] + apart[1] <= radius
     sized = (F.least("a.n", "b.n") >= threshold * F.greatest("a.n", "b.n")) & (F.col("a.sid") < F.col("b.sid"))
     return a.join(b, (F.col("a.key") == F.col("b.key")) & sized & near).select(F.col("a.sid").alias("sid_a"), F.col("b.sid").alias("sid_b")).distinct()
 
