@@ -126,6 +126,8 @@ def patterns(frequent: dict[str, int]) -> dict[str, tuple[str, bool]]:
                     for wrong in ("latin-1", "cp1252"):
                         put(misread(x, true, wrong), x, False)
             continue
+        if _C1.search(x):
+            continue
         for true in ("utf-8", *WESTERN, *CENTRAL, *CYRILLIC):
             for wrong in (*WRONG, "latin-1"):
                 if true != wrong and (g := misread(x, true, wrong)):
