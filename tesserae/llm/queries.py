@@ -4,10 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tesserae.llm import clusters, encoding, garbled, leaks, tagsets
+from tesserae.llm import clusters, encoding, garbled, leaks, names, tagsets
 from tesserae.sources.tables import table
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return names.pairs(names.variants(table(spark, d, "entities")))
+
+
+def p2_variants(spark: SparkSession, d: str) -> DataFrame:
+    return names.variants(table(spark, d, "entities"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     membership, _ = clusters.clusters(table(spark, d, "memories"))
     return clusters.found(membership)
@@ -53,7 +61,7 @@ def p8_restored(spark: SparkSession, d: str) -> DataFrame:
     return garbled.scan(table(spark, d, "documents"))
 
 
-QUERIES = {"p4_found": p4_found, "p4_summary": p4_summary, "p5_found": p5_found, "p6_ids": p6_ids, "p6_offsets": p6_offsets, "p6_round_trip": p6_round_trip, "p7_found": p7_found, "p7_report": p7_report, "p7_near": p7_near, "p8_found": p8_found, "p8_restored": p8_restored}
+QUERIES = {"p2_found": p2_found, "p2_variants": p2_variants, "p4_found": p4_found, "p4_summary": p4_summary, "p5_found": p5_found, "p6_ids": p6_ids, "p6_offsets": p6_offsets, "p6_round_trip": p6_round_trip, "p7_found": p7_found, "p7_report": p7_report, "p7_near": p7_near, "p8_found": p8_found, "p8_restored": p8_restored}
 
 _TAGS = r"""
 with t as (select distinct id, lower(trim(x, ' ' || chr(9))) tag from (select id, unnest(tags) x from memories) where x is not null and trim(x, ' ' || chr(9)) <> ''),
