@@ -199,6 +199,12 @@ def unigrams_of(prompt: str) -> list[str]:
     return list(dict.fromkeys(t for t in parts if len(t) > 1 and t not in C.STOP_WORDS))
 
 
+def tag_only(words: list[str]) -> Column:
+    """Whether none of the words stands anywhere in content or summary; no words: false."""
+    text = F.lower(F.concat_ws(" ", "content", "summary"))
+    return ~reduce(lambda x, y: x | y, [F.contains(text, F.lit(w)) for w in words]) if words else F.lit(False)
+
+
 def prompt_recall(memories: DataFrame, prompt: str, surface: str | None = None, limit: int = C.PROMPT_LIMIT) -> DataFrame:
     """(place, id, memory_type, summary): memories for a prompt; all words in the project, then globally, then any word or neighbouring pair.
 
@@ -221,9 +227,7 @@ def prompt_recall(memories: DataFrame, prompt: str, surface: str | None = None,
             tiers.append(best.withColumn("_p", F.lit(1000 * (2 * t + s)) + F.row_number().over(w)).select(*fields, "_p"))
     merged = reduce(lambda x, y: x.unionByName(y), tiers)
     first = merged.withColumn("_r", F.row_number().over(Window.partitionBy("id").orderBy("_p"))).where("_r = 1")
-    haystack = F.lower(F.concat_ws(" ", "content", "summary"))
-    shown = reduce(lambda x, y: x | y, [F.contains(haystack, F.lit(w)) for w in words]) if words else F.lit(True)
-    kept = first.where(shown & (~F.contains(F.lit(surface), F.col("summary")) if surface else F.lit(True)))
+    kept = first.where(~tag_only(words) & (~F.contains(F.lit(surface), F.col("summary")) if surface else F.lit(True)))
     return kept.orderBy("_p").limit(limit).select(F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("_p")).alias("place"), "id", "memory_type", "summary")
 
 
