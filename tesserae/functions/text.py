@@ -45,10 +45,20 @@ def _accents() -> tuple[str, str]:
 _FROM, _TO = _accents()
 
 
+def _bare(text: Column) -> Column:
+    """Lower case, Latin accents and combining marks stripped."""
+    return F.regexp_replace(F.translate(F.lower(text), _FROM, _TO), r"[\x{300}-\x{36f}]", "")
+
+
 def search_tokens(text: Column) -> Column:
     """Full-text tokens: lower-case runs of letters and digits of any script, Latin accents stripped."""
-    bare = F.regexp_replace(F.translate(F.lower(text), _FROM, _TO), r"[̀-ͯ]", "")
-    return F.regexp_extract_all(bare, F.lit(r"[\p{L}\p{N}]+"), 0)
+    return F.regexp_extract_all(_bare(text), F.lit(r"[\p{L}\p{N}]+"), 0)
+
+
+def padded_tokens(text: Column) -> Column:
+    """The full-text tokens as one text in which each has a blank of its own on either side; empty without tokens."""
+    inner = F.trim(F.regexp_replace(_bare(text), r"[^\p{L}\p{N}]+", "  "))
+    return F.coalesce(F.when(inner != "", F.concat(F.lit(" "), inner, F.lit(" "))).otherwise(F.lit("")), F.lit(""))
 
 
 def strip_blocks(text: Column, start: str, end: str) -> Column:

@@ -18,26 +18,38 @@ from pyspark.sql import functions as F
 from tesserae import constants as C
 from tesserae.functions import similarity as S
 from tesserae.functions.decay import branch_of
-from tesserae.functions.text import search_tokens, token_set
+from tesserae.functions.text import padded_tokens, search_tokens, token_set
 from tesserae.operators.graph import related
 from tesserae.operators.store import live_edges
 
 SEARCHED = ("content", "summary", "tags")
 
 
-def _columns(df: DataFrame) -> dict[str, Column]:
+def _tokens(df: DataFrame) -> dict[str, Column]:
     """The token lists of the searched columns; tags are read as one text, so a phrase may span two of them."""
-    as_text = {c: F.array_join(c, " ") if dict(df.dtypes)[c].startswith("array") else F.col(c) for c in SEARCHED if c in df.columns}
-    return {c: F.coalesce(search_tokens(t), F.array().cast("array<string>")) for c, t in as_text.items()}
+    return {c: F.coalesce(search_tokens(t), F.array().cast("array<string>")) for c, t in _texts(df).items()}
 
 
-def _phrase(tokens: Column, phrase: list[str]) -> Column:
-    """How often a phrase stands in a token list."""
-    if len(phrase) == 1:
-        return F.size(F.filter(tokens, lambda t: t == phrase[0]))
-    starts = F.size(tokens) - len(phrase)
-    at = F.when(starts >= 0, F.sequence(F.lit(0), starts)).otherwise(F.array().cast("array<int>"))
-    return F.size(F.filter(at, lambda i: reduce(lambda x, y: x & y, [F.get(tokens, i + k) == w for k, w in enumerate(phrase)])))
+def _texts(df: DataFrame) -> dict[str, Column]:
+    return {c: F.array_join(c, " ") if dict(df.dtypes)[c].startswith("array") else F.col(c) for c in SEARCHED if c in df.columns}
+
+
+def _length(padded: Column) -> Column:
+    """The number of tokens of a padded text."""
+    return F.when(padded == "", 0).otherwise(F.try_divide(F.length(padded) - F.length(F.replace(padded, F.lit("  "), F.lit(""))), F.lit(2)) + 1)
+
+
+def _phrase(padded: Column, phrase: list[str]) -> Column:
+    """How often a phrase stands in a padded text, where every token has blanks of its own.
+
+    Repeats that overlap themselves ("a b a" in "a b a b a") are counted one by one at each start.
+    """
+    pattern = " " + "  ".join(phrase) + " "
+    if any(phrase[:k] == phrase[-k:] for k in range(1, len(phrase))):
+        tokens = F.split(F.trim(F.replace(padded, F.lit("\n"), F.lit(" \n "))), " +")
+        at = F.sequence(F.lit(0), F.greatest(F.size(tokens) - len(phrase), F.lit(0)))
+        return F.size(F.filter(at, lambda i: reduce(lambda x, y: x & y, [F.coalesce(F.get(tokens, i + k) == w, F.lit(False)) for k, w in enumerate(phrase)])))
+    return ((F.length(padded) - F.length(F.replace(padded, F.lit(pattern), F.lit("")))) / len(pattern)).cast("int")
 
 
 def phrases_of(query: str) -> list[list[str]]:
@@ -60,11 +72,12 @@ def bm25(docs: DataFrame, phrases: list[list[str]], every: bool, keep: Column |
     """
     if not phrases:
         return docs.where(F.lit(False)).withColumn("score", F.lit(0.0))
-    texts = _columns(docs)
-    counted = docs.withColumns({f"_t_{c}": t for c, t in texts.items()})
-    toks = [F.col(f"_t_{c}") for c in texts]
-    counted = counted.withColumns({f"_f{i}": reduce(lambda x, y: x + y, [_phrase(t, p) for t in toks]) for i, p in enumerate(phrases)} | {"_len": reduce(lambda x, y: x + y, [F.size(t) for t in toks])})
-    counted = counted.drop(*(f"_t_{c}" for c in texts))
+    # one text a row, its columns apart, so that no phrase spans two; exploding the single element keeps
+    # the optimizer from repeating the normalisation for every phrase
+    one = F.concat_ws("\n", *(padded_tokens(t) for t in _texts(docs).values()))
+    counted = docs.withColumn("_d", F.explode(F.array(one)))
+    lengths = F.aggregate(F.split("_d", "\n"), F.lit(0.0), lambda n, t: n + _length(t))
+    counted = counted.withColumns({f"_f{i}": _phrase(F.col("_d"), p) for i, p in enumerate(phrases)} | {"_len": lengths}).drop("_d")
     stats = counted.agg(F.count(F.lit(1)).cast("double").alias("rows"), F.avg("_len").alias("mean"), *(F.count_if(F.col(f"_f{i}") > 0).cast("double").alias(f"n{i}") for i in range(len(phrases))))
     hits = [F.col(f"_f{i}") > 0 for i in range(len(phrases))]
     match = reduce((lambda x, y: x & y) if every else (lambda x, y: x | y), hits)
@@ -86,7 +99,7 @@ def keyword_search(memories: DataFrame, query: str, limit: int, every: bool = Tr
 
 def search_entities(entities: DataFrame, query: str, limit: int = 10) -> DataFrame:
     """Entities whose name or aliases hold any phrase of the query, by id."""
-    texts = [F.coalesce(search_tokens(t), F.array().cast("array<string>")) for t in (F.col("name"), F.array_join("aliases", " "))]
+    texts = [padded_tokens(t) for t in (F.col("name"), F.array_join("aliases", " "))]
     phrases = phrases_of(query)
     if not phrases:
         return entities.where(F.lit(False))
@@ -95,7 +108,7 @@ def search_entities(entities: DataFrame, query: str, limit: int = 10) -> DataFra
 
 def postings(docs: DataFrame, id_col: str = "id") -> DataFrame:
     """(term, id, column, positions): the inverted index of the searched columns, one row per term, record and column."""
-    each = F.array(*(F.struct(F.lit(c).alias("column"), t.alias("tokens")) for c, t in _columns(docs).items()))
+    each = F.array(*(F.struct(F.lit(c).alias("column"), t.alias("tokens")) for c, t in _tokens(docs).items()))
     cells = docs.select(id_col, F.explode(each).alias("x")).select(id_col, "x.column", F.posexplode("x.tokens").alias("pos", "term"))
     return cells.groupBy("term", id_col, "column").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
 

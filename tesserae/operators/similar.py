@@ -3,7 +3,9 @@
 The set join is exact and avoids comparing everything: tokens are ordered by how rare they are, and two
 sets of Jaccard similarity t or more must share a token among the rarest ``n - ceil(t n) + 1`` of either
 (prefix filtering). Equal sets are collapsed before and count as one; common words are hardly ever in a
-prefix, so no token's list becomes a hot key.
+prefix. Pairs that meet are tested before they leave the join: each set carries a bitmap of its tokens, and
+the bits in which two bitmaps differ bound their symmetric difference from below, hence their overlap from
+above, exactly. Only pairs that pass are verified on the sets.
 """
 
 from __future__ import annotations
@@ -38,12 +40,21 @@ def rarity(classes: DataFrame) -> DataFrame:
     return classes.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
 
 
+WORDS = 4
+
+
+def _bitmap() -> list[Column]:
+    """Tokens hashed to single bits, in ``WORDS`` columns of 64."""
+    return [F.expr(f"aggregate(filter(transform(tokens, t -> pmod(xxhash64(t), {64 * WORDS})), h -> h div 64 = {w}), 0L, (a, h) -> a | shiftleft(1L, cast(h % 64 as int)))").alias(f"b{w}") for w in range(WORDS)]
+
+
 def prefixes(classes: DataFrame, df: DataFrame, threshold: float) -> DataFrame:
-    """(sid, n, token): the rarest tokens of each class that a similar one must share. Ties in rarity go by token."""
+    """(sid, n, b0..., token): the rarest tokens of each class that a similar one must share, with its size and bitmap. Ties in rarity go by token."""
     each = classes.select("sid", F.size("tokens").alias("n"), F.explode("tokens").alias("token")).join(df, "token")
     r = F.row_number().over(Window.partitionBy("sid").orderBy("df", "token"))
     length = F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1
-    return each.withColumn("_r", r).where(F.col("_r") <= length).select("sid", "n", "token")
+    rare = each.withColumn("_r", r).where(F.col("_r") <= length).select("sid", "n", "token")
+    return rare.join(classes.select("sid", *_bitmap()), "sid")
 
 
 def set_join(a: DataFrame, b: DataFrame, threshold: float, itself: bool = False) -> DataFrame:
@@ -53,14 +64,17 @@ def set_join(a: DataFrame, b: DataFrame, threshold: float, itself: bool = False)
     """
     both = a if itself else a.unionByName(b).dropDuplicates(["sid"])
     df = cut(rarity(both))
-    x = prefixes(a, df, threshold).alias("x")
-    y = (prefixes(b, df, threshold) if not itself else prefixes(a, df, threshold)).alias("y")
+    left = prefixes(a, df, threshold).repartition("token")
+    x, y = left.alias("x"), (left if itself else prefixes(b, df, threshold)).alias("y")
+    total = F.col("x.n") + F.col("y.n")
+    apart = sum((F.bit_count(F.col(f"x.b{w}").bitwiseXOR(F.col(f"y.b{w}"))) for w in range(1, WORDS)), F.bit_count(F.col("x.b0").bitwiseXOR(F.col("y.b0"))))
+    enough = total - apart >= F.lit(2 * threshold / (1 + threshold)) * total - 1e-9
     sized = F.least("x.n", "y.n") >= F.lit(threshold) * F.greatest("x.n", "y.n")
     once = F.col("x.sid") < F.col("y.sid") if itself else F.lit(True)
-    near = x.join(y, (F.col("x.token") == F.col("y.token")) & sized & once).select(F.col("x.sid").alias("sid_a"), F.col("y.sid").alias("sid_b")).distinct()
-    left = a.select(F.col("sid").alias("sid_a"), F.col("tokens").alias("_a"))
-    right = b.select(F.col("sid").alias("sid_b"), F.col("tokens").alias("_b"))
-    return near.join(left, "sid_a").join(right, "sid_b").withColumn("jaccard", S.jaccard(F.col("_a"), F.col("_b"))).where(F.col("jaccard") >= threshold).select("sid_a", "sid_b", "jaccard")
+    near = x.join(y, (F.col("x.token") == F.col("y.token")) & sized & once & enough).select(F.col("x.sid").alias("sid_a"), F.col("y.sid").alias("sid_b")).distinct()
+    first = a.select(F.col("sid").alias("sid_a"), F.col("tokens").alias("_a"))
+    second = b.select(F.col("sid").alias("sid_b"), F.col("tokens").alias("_b"))
+    return near.join(first, "sid_a").join(second, "sid_b").withColumn("jaccard", S.jaccard(F.col("_a"), F.col("_b"))).where(F.col("jaccard") >= threshold).select("sid_a", "sid_b", "jaccard")
 
 
 def similar_texts(memories: DataFrame, threshold: float = C.CONSOLIDATION) -> DataFrame:

@@ -294,7 +294,7 @@ def classified_edges(spark, d):
 _PAIR_SQL = f"""with m as (select distinct id, {Q.tokens('summary || chr(32) || content')} t, local_embedding::double[] v from memories),
 e as (select distinct id, source_id, target_id from edges)
 select e.id, round({Q.jaccard('a.t', 'b.t')}, 6) jaccard,
-  round(case when a.v is not null and b.v is not null and len(a.v) = len(b.v) then list_cosine_similarity(a.v, b.v) when {Q.jaccard('a.t', 'b.t')} < 0.1 then 0 else {Q.jaccard('a.t', 'b.t')} end, 6) hybrid
+  round(case when a.v is not null and b.v is not null and len(a.v) = len(b.v) then list_cosine_similarity(a.v, b.v) when {Q.jaccard('a.t', 'b.t')} < 0.1 then 0 else {Q.jaccard('a.t', 'b.t')} end, 6) + 0.0 hybrid
 from e join m a on a.id = e.source_id join m b on b.id = e.target_id"""
 
 
@@ -608,10 +608,10 @@ def _life(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return t.memories("id", "status", "memory_type", "confidence", "access_count", "pinned", "last_accessed_at"), t.edges(*EDGE_COLUMNS)
 
 
-@query(f"with {_LIFE} select id, round(hl, 6) half_life, round(eff, 6) effective, round(idle, 6) idle_days, act as action from o")
+@query(f"with {_LIFE} select id, round(hl, 6) half_life, round(eff, 6) effective, floor(idle)::bigint idle_days, act as action from o")
 def decay(spark, d):
     a = lifecycle.assessed(*_life(spark, d), NOW)
-    return a.select("id", *(F.round(c, 6).alias(c) for c in ("half_life", "effective", "idle_days")), "action")
+    return a.select("id", F.round("half_life", 6).alias("half_life"), F.round("effective", 6).alias("effective"), F.floor("idle_days").alias("idle_days"), "action")
 
 
 @query(f"with {_LIFE} select id, status as before, fin as after, (status = 'active' and abs(eff - confidence) > 0.001) decayed from o")
