@@ -126,13 +126,17 @@ def fact_history(facts: DataFrame, period: str = PERIOD) -> DataFrame:
 def state_at(p: DataFrame, c: DataFrame, at: str, period: str = PERIOD) -> DataFrame:
     """(entity_id, predicate, object) as of ``at``: nearest checkpoint, then the patches up to ``at``."""
     moment = F.lit(at).cast("timestamp_ntz")
-    last = (
-        p.where(F.col("valid_from") <= moment)
+    near = (
+        c.where(F.col("period") <= F.date_trunc(period, moment).cast("timestamp_ntz"))
         .groupBy(*ATTRIBUTE)
-        .agg(F.max(F.struct("valid_from", "object", "until")).alias("m"))
-        .where(F.col("m.until").isNull() | (F.col("m.until") > moment))
+        .agg(F.max(F.struct("period", "carried", "carried_end")).alias("c"))
+        .select(*ATTRIBUTE, F.col("c.period").alias("period"), F.col("c.carried").alias("carried"), F.col("c.carried_end").alias("carried_end"))
     )
-    return last.select(*ATTRIBUTE, F.col("m.object").alias("object"))
+    last = p.where(F.col("valid_from") <= moment).groupBy(*ATTRIBUTE, "period").agg(F.max(F.struct("valid_from", "object", "until")).alias("m"))
+    state = near.join(last, [*ATTRIBUTE, "period"], "left")
+    end = F.when(F.col("m").isNotNull(), F.col("m.until")).otherwise(F.col("carried_end"))
+    held = F.coalesce("m.object", "carried")
+    return state.where(held.isNotNull() & (end.isNull() | (end > moment))).select(*ATTRIBUTE, held.alias("object"))
 
 
 def found(history: DataFrame) -> DataFrame:
