@@ -43,7 +43,8 @@ MAX_PIVOTS = 16384
 LOCAL_ROUNDS = 3
 PROBES = 6
 TYPICAL = 3
-SALTS = 16
+#: Members of a cluster met with its mean in one part.
+PART = 20_000
 
 _NODE = "cid bigint, n bigint, first_id string, v binary"
 
@@ -336,10 +337,12 @@ def summary(memories: DataFrame, threshold: float = THRESHOLD, dim: int = DIM, c
     membership = cut(membership)
     sizes = membership.groupBy("cid").agg(F.count(F.lit(1)).alias("size"))
     vectors = usable(memories, dim, column).select(F.xxhash64("e").alias("h"), "id", "e").mapInArrow(_vectoriser(dim), _NODE)
-    bearers = membership.groupBy("child", "cid").agg(F.min("id").alias("id"))  # one record for each distinct vector
+    # large clusters are met in parts, each with a copy of the mean
+    parts = nodes.select("cid", "first_id", F.ceil(F.col("n") / PART).cast("int").alias("parts"), F.col("v").alias("c"))
+    bearers = membership.groupBy("child", "cid").agg(F.min("id").alias("id")).join(parts.select("cid", "parts"), "cid")  # one record for each distinct vector
     placed = vectors.select(F.col("first_id").alias("id"), F.col("cid").alias("child"), "v").join(bearers, ["id", "child"]).dropDuplicates(["id", "child"])
-    salt = F.pmod(F.xxhash64("id"), F.lit(SALTS))
-    centres = nodes.select("cid", "first_id", F.col("v").alias("c"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))).alias("salt"))
+    salted = placed.withColumn("salt", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    centres = parts.select("cid", "first_id", "c", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"))
 
     def nearness(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -347,7 +350,7 @@ def summary(memories: DataFrame, threshold: float = THRESHOLD, dim: int = DIM, c
                 s = np.einsum("ij,ij->i", _matrix(b.column("v"), dim), _unit(_matrix(b.column("c"), dim)))
                 yield pa.RecordBatch.from_arrays([b.column("cid"), b.column("salt"), b.column("first_id"), b.column("id"), pa.array(np.round(s.astype(np.float64), 6))], names=["cid", "salt", "first_id", "id", "s"])
 
-    near = placed.withColumn("salt", salt).join(centres, ["cid", "salt"]).mapInArrow(nearness, "cid bigint, salt bigint, first_id string, id string, s double")
+    near = salted.join(centres, ["cid", "salt"]).mapInArrow(nearness, "cid bigint, salt int, first_id string, id string, s double")
     order = [F.desc("s"), "id"]
     for by in (["cid", "salt"], ["cid"]):
         near = near.withColumn("r", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("r") <= typical)
