@@ -21,6 +21,7 @@ from tesserae.functions.decay import branch_of
 from tesserae.functions.text import padded_tokens, search_tokens, token_set
 from tesserae.operators.graph import related
 from tesserae.operators.store import live_edges
+from tesserae.sources.tables import cut
 
 SEARCHED = ("content", "summary", "tags")
 
@@ -64,11 +65,12 @@ def phrases_of(query: str) -> list[list[str]]:
     return [t for part in query.split() if (t := tokens(part))]
 
 
-def bm25(docs: DataFrame, phrases: list[list[str]], every: bool, keep: Column | None = None) -> DataFrame:
+def bm25(docs: DataFrame, phrases: list[list[str]], every: bool, keep: Column | None = None, store: str | None = None) -> DataFrame:
     """``docs`` that match, with ``score`` (higher is better): all phrases, or any of them.
 
-    Statistics (number of rows, mean length, rows with a phrase) are over all of ``docs``; ``keep`` then
-    restricts the answer. No phrases match nothing.
+    Statistics (number of rows, mean length, rows with a phrase) are over all of ``docs``, or with
+    ``store`` over each value of that column (of a few) by itself; ``keep`` then restricts the answer. No
+    phrases match nothing.
     """
     if not phrases:
         return docs.where(F.lit(False)).withColumn("score", F.lit(0.0))
@@ -78,10 +80,15 @@ def bm25(docs: DataFrame, phrases: list[list[str]], every: bool, keep: Column |
     counted = docs.withColumn("_d", F.explode(F.array(one)))
     lengths = F.aggregate(F.split("_d", "\n"), F.lit(0.0), lambda n, t: n + _length(t))
     counted = counted.withColumns({f"_f{i}": _phrase(F.col("_d"), p) for i, p in enumerate(phrases)} | {"_len": lengths}).drop("_d")
-    stats = counted.agg(F.count(F.lit(1)).cast("double").alias("rows"), F.avg("_len").alias("mean"), *(F.count_if(F.col(f"_f{i}") > 0).cast("double").alias(f"n{i}") for i in range(len(phrases))))
+    measures = [F.count(F.lit(1)).cast("double").alias("rows"), F.avg("_len").alias("mean"), *(F.count_if(F.col(f"_f{i}") > 0).cast("double").alias(f"n{i}") for i in range(len(phrases)))]
     hits = [F.col(f"_f{i}") > 0 for i in range(len(phrases))]
     match = reduce((lambda x, y: x & y) if every else (lambda x, y: x | y), hits)
-    s = counted.where(match & (keep if keep is not None else F.lit(True))).withColumn("_s", stats.select(F.struct("*")).scalar())
+    if store is None:
+        mine = counted.agg(*measures).select(F.struct("*")).scalar()
+    else:
+        each = counted.where(F.col(store).isNotNull()).groupBy(F.col(store).alias("_store")).agg(*measures)
+        mine = F.try_element_at(each.agg(F.map_from_entries(F.collect_list(F.struct("_store", F.struct(*[c for c in each.columns if c != "_store"]))))).scalar(), F.col(store))
+    s = counted.where(match & (keep if keep is not None else F.lit(True))).withColumn("_s", mine)
 
     def part(i: int) -> Column:
         idf = F.ln((F.col("_s.rows") - F.col(f"_s.n{i}") + 0.5) / (F.col(f"_s.n{i}") + 0.5))
@@ -97,6 +104,12 @@ def keyword_search(memories: DataFrame, query: str, limit: int, every: bool = Tr
     return bm25(memories, phrases_of(query), every, F.col("status") == "active").orderBy(F.desc("score"), "id").limit(limit)
 
 
+def store_search(memories: DataFrame, phrases: list[list[str]], every: bool, limit: int) -> DataFrame:
+    """The ``limit`` best active memories of each scope, with ``score`` and ``place`` (from 1; ties by id), in one scan for all scopes."""
+    best = bm25(memories, phrases, every, F.col("status") == "active", "scope")
+    return best.withColumn("place", F.row_number().over(Window.partitionBy("scope").orderBy(F.desc("score"), "id"))).where(F.col("place") <= limit)
+
+
 def search_entities(entities: DataFrame, query: str, limit: int = 10) -> DataFrame:
     """Entities whose name or aliases hold any phrase of the query, by id."""
     texts = [padded_tokens(t) for t in (F.col("name"), F.array_join("aliases", " "))]
@@ -142,10 +155,15 @@ def vector_search(memories: DataFrame, column: str, query: list[float], limit: i
 
 def fused_search(memories: DataFrame, column: str, query: list[float], text: str, limit: int, least: float = C.MIN_COSINE) -> DataFrame:
     """As ``vector_search``, the cosine raised by words shared with summary and tags."""
+    return fused_scores(memories, column, query, text, least).orderBy(F.desc("score"), "id").limit(limit)
+
+
+def fused_scores(memories: DataFrame, column: str, query: list[float], text: str, least: float = C.MIN_COSINE) -> DataFrame:
+    """Rows of a cosine of at least ``least`` with their fused ``score``."""
     q = F.array(*(F.lit(float(x)) for x in query))
     words = token_set(F.concat_ws(" ", "summary", F.array_join(F.coalesce("tags", F.array().cast("array<string>")), " ")))
     cos = memories.where(F.size(column) == len(query)).withColumn("cosine", S.cosine(F.col(column), q)).where(F.col("cosine") >= least)
-    return cos.withColumn("score", S.fused(F.col("cosine"), token_set(F.lit(text)), words)).orderBy(F.desc("score"), "id").limit(limit)
+    return cos.withColumn("score", S.fused(F.col("cosine"), token_set(F.lit(text)), words))
 
 
 #: Query vectors held by a task at once.
@@ -233,11 +251,8 @@ def prompt_recall(memories: DataFrame, prompt: str, surface: str | None = None,
         if every and not C.AND_MIN <= len(words) <= C.AND_MAX:
             continue
         phrases = [[x for w in p.split() for ph in phrases_of(w) for x in ph] for p in parts]
-        for s, scope in enumerate(C.SCOPES):
-            own = memories.where(F.col("scope") == scope)
-            best = bm25(own, [p for p in phrases if p], every, F.col("status") == "active").orderBy(F.desc("score"), "id").limit(limit)
-            w = Window.partitionBy(F.lit(0)).orderBy(F.desc("score"), "id")  # at most ``limit`` rows
-            tiers.append(best.withColumn("_p", F.lit(1000 * (2 * t + s)) + F.row_number().over(w)).select(*fields, "_p"))
+        scope = F.when(F.col("scope") == C.SCOPES[0], 0).otherwise(1)
+        tiers.append(store_search(memories, [p for p in phrases if p], every, limit).where(F.col("scope").isin(C.SCOPES)).select(*fields, (1000 * (2 * t + scope) + F.col("place")).alias("_p")))
     merged = reduce(lambda x, y: x.unionByName(y), tiers)
     first = merged.withColumn("_r", F.row_number().over(Window.partitionBy("id").orderBy("_p"))).where("_r = 1")
     kept = first.where(~tag_only(words) & (~F.contains(F.lit(surface), F.col("summary")) if surface else F.lit(True)))
@@ -260,17 +275,17 @@ def recall(memories: DataFrame, edges: DataFrame, query: str, vector: list[float
     With a query vector: the best ``PREFILTER_LIMIT`` lexical hits per store (or all rows, if none) ranked
     by fused cosine; else keyword hits with position scores. The branch filter applies after the limit.
     """
-    stores = []
-    for scope in C.SCOPES:
-        own = memories.where(F.col("scope") == scope)
-        if vector is not None:
-            pre = keyword_search(own, query, C.PREFILTER_LIMIT, every=False)
-            pool = own if pre.isEmpty() else own.join(pre.select("id"), "id", "left_semi")
-            best = fused_search(pool, column, vector, query, limit)
-        else:
-            best = position_scores(keyword_search(own, query, limit), [F.desc("score"), F.asc("id")])
-        stores.append(best.select("id", "score", F.lit(scope).alias("source"), "source_context"))
-    merged = merge_results(stores[0].unionByName(stores[1]), limit)
+    w = Window.partitionBy("scope")
+    if vector is not None:
+        pre = cut(store_search(memories, phrases_of(query), False, C.PREFILTER_LIMIT).select("id", "scope"))
+        with_hits = [r.scope for r in pre.select("scope").distinct().collect()]
+        pool = memories.join(pre.select("id"), "id", "left_semi").unionByName(memories.where(~F.col("scope").isin(with_hits)))
+        near = fused_scores(pool, column, vector, query)
+        best = near.withColumn("_n", F.row_number().over(w.orderBy(F.desc("score"), "id"))).where(F.col("_n") <= limit)
+    else:
+        best = position_scores(store_search(memories, phrases_of(query), True, limit), [F.asc("place")], ["scope"])
+    stores = best.where(F.col("scope").isin(C.SCOPES)).select("id", "score", F.col("scope").alias("source"), "source_context")
+    merged = cut(merge_results(stores, limit))
     if branch:
         merged = merged.where(branch_of(F.col("source_context")) == branch)
     linked = related(live_edges(edges), merged.select("id"), memories.select("id"))
