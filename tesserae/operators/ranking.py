@@ -26,8 +26,8 @@ def select_for_surface(rows: DataFrame, target: int = C.SURFACE_TARGET, most: in
     """The rows (id, memory_type, summary, rank) picked within the budgets, with ``pass`` 1 or 2, best first.
 
     Every stop of the greedy selection is a bound on a running total, so both passes are windows. Lines
-    per category bound pass 1 and tokens bound pass 2, so each category first keeps its best
-    ``sum(budgets)`` rows and the whole its best ``most`` rows; only those meet in one partition.
+    per category bound pass 1 and tokens bound pass 2, so each category first keeps about as many rows as
+    its line budget and the whole its best ``most`` rows; only those meet in one partition.
     """
     w = Window.partitionBy("memory_type").orderBy(F.desc("rank"), "id")
     sized = rows.select("id", "memory_type", "summary", "rank", estimate_lines(F.col("summary")).alias("lines"), F.greatest(estimate_tokens(F.col("summary")), F.lit(0)).alias("tokens"))
@@ -41,14 +41,14 @@ def select_for_surface(rows: DataFrame, target: int = C.SURFACE_TARGET, most: in
     total = F.sum("tokens").over(order.rowsBetween(Window.unboundedPreceding, 0))
     first = eligible.withColumn("_t", total).where((F.col("_t") - F.col("tokens") < target) & (F.col("_t") <= most)).select("id", "memory_type", "summary", "rank", "lines", "tokens")
     used = F.coalesce(first.agg(F.sum("tokens")).scalar(), F.lit(0))
-    # empty summaries cost nothing and never stop the pass; they come on top of the bounded rest
     rest = sized.join(first.select("id"), "id", "left_anti")
-    pool = rest.where("tokens > 0").orderBy(F.desc("rank"), "id").limit(most + 1).unionByName(rest.where("tokens = 0"))
-    second = (
-        pool.withColumn("_t", F.sum("tokens").over(order.rowsBetween(Window.unboundedPreceding, 0)) + used)
-        .where((F.col("_t") - F.col("tokens") < target) & (F.col("_t") <= most))
-        .select("id", "memory_type", "summary", "rank", "lines", "tokens")
-    )
+    running = rest.where("tokens > 0").orderBy(F.desc("rank"), "id").limit(most + 1).withColumn("_t", F.sum("tokens").over(order.rowsBetween(Window.unboundedPreceding, 0)) + used)
+    fields = ["id", "memory_type", "summary", "rank", "lines", "tokens"]
+    second = running.where((F.col("_t") - F.col("tokens") < target) & (F.col("_t") <= most)).select(*fields)
+    # empty summaries cost nothing: all that stand before the row at which the pass ends
+    last = running.where((F.col("_t") >= target) | (F.col("_t") > most)).agg(F.min(F.struct((-F.col("rank")).alias("r"), "id"))).scalar()
+    free = rest.where("tokens = 0").withColumn("_last", last).where(F.col("_last").isNull() | (F.struct((-F.col("rank")).alias("r"), "id") < F.col("_last")))
+    second = second.unionByName(free.where(used < target).select(*fields))
     return first.withColumn("pass", F.lit(1)).unionByName(second.withColumn("pass", F.lit(2))).orderBy(F.desc("rank"), "id")
 
 
