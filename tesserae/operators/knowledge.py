@@ -8,15 +8,38 @@ from pyspark.sql import functions as F
 from tesserae import constants as C
 
 
-def supersede(stream: DataFrame, order: list[str], key: list[str]) -> DataFrame:
-    """Facts as they come in (key columns, object, at, ...), with validity and conflicts.
+def neighbours(df: DataFrame, key: list[str], order: list[str], segment: Column, before: dict[str, str], after: dict[str, str]) -> DataFrame:
+    """``df`` with columns of the row before and after in its key's order, null at the ends: {new name: column}.
+
+    As ``lag`` and ``lead`` over the key, but a key's rows are ordered within segments only (``segment`` must
+    rise with ``order``); the segments' first and last rows, one each, are ordered across. So a key with a
+    third of all rows is spread over its segments.
+    """
+    cut = df.withColumn("_seg", segment)
+    w = Window.partitionBy(*key, "_seg").orderBy(*order)
+    row = F.struct(*order, F.struct(*(F.col(c).alias(f"b{i}") for i, c in enumerate(before.values())), *(F.col(c).alias(f"a{i}") for i, c in enumerate(after.values()))).alias("_v"))
+    ends = cut.groupBy(*key, "_seg").agg(F.min(row).alias("_first"), F.max(row).alias("_last"))
+    across = Window.partitionBy(*key).orderBy("_seg")
+    ends = ends.select(*key, "_seg", F.lag("_last._v").over(across).alias("_prev"), F.lead("_first._v").over(across).alias("_next"))
+    inner = {f"_in_{n}": F.lag(c).over(w) for n, c in before.items()} | {f"_in_{n}": F.lead(c).over(w) for n, c in after.items()}
+    inside = cut.withColumns(inner | {"_at_start": F.row_number().over(w) == 1, "_at_end": F.lead(F.lit(1)).over(w).isNull()}).join(ends, [*key, "_seg"])
+    out = {n: F.when(F.col("_at_start"), F.col(f"_prev.b{i}")).otherwise(F.col(f"_in_{n}")) for i, n in enumerate(before)}
+    out |= {n: F.when(F.col("_at_end"), F.col(f"_next.a{i}")).otherwise(F.col(f"_in_{n}")) for i, n in enumerate(after)}
+    return inside.withColumns(out).select(*df.columns, *out)
+
+
+def supersede(stream: DataFrame, order: list[str], key: list[str], period: str = "month") -> DataFrame:
+    """Facts as they come in (key columns, object, at, ...), with validity and conflicts; ``order`` begins with ``at``.
 
     A fact equal to the one before it (letter case aside) is dropped; another one ends it. Adds
-    ``valid_to`` (null while current) and ``superseded`` (the object it replaced, or null).
+    ``valid_to`` (null while current) and ``superseded`` (the object it replaced, or null). Rows with a null
+    key or time take no part.
     """
-    w = Window.partitionBy(*key).orderBy(*order)
-    kept = stream.withColumn("_prev", F.lag(F.lower("object")).over(w)).where(F.col("_prev").isNull() | (F.col("_prev") != F.lower("object"))).drop("_prev")
-    return kept.withColumns({"valid_to": F.lead("at").over(w), "superseded": F.lag("object").over(w)})
+    segment = F.date_trunc(period, F.col("at")).cast("timestamp_ntz")
+    known = stream.where(" and ".join(f"`{c}` is not null" for c in [*key, "at"]))
+    seen = neighbours(known, key, order, segment, {"_prev": "object"}, {})
+    kept = seen.where(F.col("_prev").isNull() | (F.lower("_prev") != F.lower("object"))).drop("_prev")
+    return neighbours(kept, key, order, segment, {"superseded": "object"}, {"valid_to": "at"})
 
 
 def conflicts(history: DataFrame) -> DataFrame:

@@ -88,6 +88,6 @@ def allocate_budget(rows: DataFrame, budgets: dict[str, int] | None = None, over
                 return
 
     # within one line count only the best rows can be taken: at most the total budget of each
-    short = others.withColumn("_n", F.row_number().over(Window.partitionBy("lines").orderBy(F.desc("rank"), "id"))).where((F.col("_n") <= F.col("_left")) & (F.col("lines") <= F.col("_left")))
+    short = others.withColumn("_n", F.row_number().over(Window.partitionBy("lines").orderBy(F.desc("rank"), "id"))).where((F.col("_n") <= sum(budgets.values())) & (F.col("lines") <= F.col("_left")))
     second = short.repartition(1).sortWithinPartitions(F.desc("rank"), "id").select("id", "memory_type", "rank", "lines", "_left").mapInPandas(fill, "id string, memory_type string, rank double, pass int")
     return picked.unionByName(second)

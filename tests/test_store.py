@@ -131,3 +131,22 @@ def test_render():
     text = surface.render([Row(memory_type="gotcha", summary="mind"), Row(memory_type="pattern", summary="do"), Row(memory_type="gotcha", summary="that")], "main", [Row(name="A", entity_type="person", facts=["p: o"])])
     assert text.index("## Entities") < text.index("## Gotcha") < text.index("- mind") < text.index("- that") < text.index("## Pattern")
     assert surface.cut_to("a\n" * 100, 5).startswith("a\n" * 9) and surface.wrap("  ") == ""
+
+
+def test_supersede_across_segments(spark):
+    import random
+
+    rnd = random.Random(3)
+    rows = [(f"{k:03d}", rnd.choice("ef"), "p", rnd.choice(["x", "X", "y"]), T + dt.timedelta(days=rnd.randrange(200))) for k in range(120)]
+    want, last = {}, {}
+    for i, e, _, o, at in sorted(rows, key=lambda r: (r[4], r[0])):
+        prev = last.get(e)
+        if prev is None or prev[1].lower() != o.lower():
+            want[i] = [None, prev[1] if prev else None]
+            if prev:
+                want[prev[0]][0] = at
+            last[e] = (i, o)
+    df = spark.createDataFrame([*rows, ("n", None, "p", "x", T), ("m", "e", "p", "x", None)], "id string, entity_id string, predicate string, object string, at timestamp_ntz")
+    for period in ("week", "year"):
+        got = {r.id: [r.valid_to, r.superseded] for r in knowledge.supersede(df, ["at", "id"], ["entity_id", "predicate"], period).collect()}
+        assert got == want
