@@ -44,7 +44,7 @@ CYRILLIC = ("cp1251", "koi8-r", "cp866", "iso8859-5", "mac-cyrillic")
 JAPANESE = ("cp932", "euc-jp")
 WRONG = ("cp1252", "latin-1", "cp1254", "cp1257", *WESTERN[1:], *CENTRAL, *CYRILLIC)
 
-_CHUNK = re.compile(r"[^\s\x00-\x1f!-/:-@\[-`{-~]+(?: [a-z]{2,})?")
+_CHUNK = re.compile(r"([^\s\x00-\x1f!-/:-@\[-`{-~]+)(?=( [a-z]{2,}\b)?)")
 _C1 = re.compile(r"[\x80-\x84\x86-\x9f]")
 _MENTION = (("`", "`"), ("'", "'"), ('"', '"'), ("‘", "’"), ("“", "”"), ("«", "»"), ("„", "“"))
 
@@ -70,17 +70,13 @@ def _char(b: int, wrong: str) -> str:
 def chunks(text: str) -> set[str]:
     """Words beyond ASCII, and single signs with the lower-case word after them."""
     found = set()
-    for m in _CHUNK.finditer(text):
-        x = m.group()
-        if x.isascii():
-            continue
-        word, _, after = x.partition(" ")
+    for word, after in _CHUNK.findall(text):
         if word.isascii() or any("0" <= c <= "9" for c in word) or any("぀" <= c <= "鿿" for c in word):
             continue
         if len(word) > 1:
             found.add(word)
         elif after:
-            found.add(x)
+            found.add(word + after)
     return found
 
 
