@@ -38,3 +38,8 @@ def test_long_text(spark):
     long = "später " * 20000 + G.misread("Änderung", "utf-8", "cp1252")
     got = scan(spark, corpus() + [(999, long)])
     assert got[999].spans >= 1 and got[999].restored.endswith("Änderung")
+
+
+def test_chunks_are_whole_words():
+    got = G.chunks("A função de tun e a repetição mudou; até já. „Prüfung“ isn’t 5 °C — see 4° é que")
+    assert got == {"função", "repetição", "até", "já", "„Prüfung“", "isn’t", "°C", "— see", "é que"}
