@@ -10,7 +10,9 @@ is garbled comes from the corpus itself, counted over all documents:
   single-byte encodings, where a garbled character looks like any other, and for texts that lost the
   control characters among their garbled ones.
 
-A sequence that the corpus itself uses about as often as its original is no evidence and is dropped.
+A sequence that the corpus itself uses about as often as its original is evidence if correct text of no
+language can have it (letters of no one alphabet, signs or capitals within a word); else it counts in
+documents where another sequence is garbled under the same pair of encodings.
 Replacement characters and C1 control characters are evidence by themselves. A match counts as a
 mention, not as garbling, if it stands alone between quotes or backticks, inside an identifier, or
 before its code point in parentheses.
@@ -22,7 +24,7 @@ the tasks hold. Texts of several rounds of garbling are restored round by round.
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import ahocorasick
@@ -30,9 +32,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tesserae.sources.tables import cut
+
 #: Least share of documents in which a character or chunk is frequent, and the least number.
 SHARE, LEAST = 2e-4, 3
-#: A garbled form in more than this part of its original's documents is taken for correct text: of
+#: A garbled form in more than this part of its original's documents is not certain by its rarity: of
 #: sequences made of UTF-8 or Japanese bytes, which correct text hardly has, and of all others.
 AMBIGUOUS_BYTES, AMBIGUOUS = 0.3, 0.03
 ROUNDS = 3
@@ -46,6 +50,19 @@ WRONG = ("cp1252", "latin-1", "cp1254", "cp1257", *WESTERN[1:], *CENTRAL, *CYRIL
 
 _CHUNK = re.compile(r"([^\s\x00-\x1f!-/:-@\[-`{-~]+)(?=( [a-z]{2,}\b)?)")
 _C1 = re.compile(r"[\x80-\x84\x86-\x9f]")
+_TYPOGRAPHIC, _SIGNS = "“”„‚‘’«»–—…", "°€£§µ²³½±×≈→•–—…©®™"
+_OTHER_SCRIPTS = frozenset("абвгдежзийклмнопрстуфхцчшщъыьэюяёєіїґўђјљњћџѓќѕαβγδεζηθικλμνξοπρσςτυφχψωάέήίόύώϊϋΐΰ")
+#: Letters beyond ASCII of one language each.
+_ALPHABETS = tuple(
+    frozenset(a)
+    for a in (
+        "äöüßé", "àâæçèéêëîïôœùûüÿ", "áéíñóúü", "áâãàçéêíóôõúü", "ąćęłńóśźż", "áčďéěíňóřšťúůýž", "áäčďéíĺľňóôŕšťúýž", "áéíóöőúüű", "ăâîșțşţ", "çğıöşüâîû", "åäöé", "æøåéô", "áðéíóúýþæö",
+        "àèéìíîòóùú", "áéèêëïóöü", "čćđšž", "çë", "ąčęėįšųūž", "āčēģīķļņšūž", "äõöüšž", "àçèéíïòóúü",
+        "абвгдежзийклмнопрстуфхцчшщъыьэюяё", "абвгдежзийклмнопрстуфхцчшщьюяєіїґ", "абвгдежзійклмнопрстуфхцчшыьэюяёў", "абвгдежзијклмнопрстуфхцчшђљњћџѓќѕ", "αβγδεζηθικλμνξοπρσςτυφχψωάέήίόύώϊϋΐΰ",
+    )
+)
+#: Original or None, whether it must stand between word edges, whether certain by itself, encoding pairs.
+Pattern = tuple[str | None, bool, bool, frozenset[tuple[str, str]]]
 _MENTION = (("`", "`"), ("'", "'"), ('"', '"'), ("‘", "’"), ("“", "”"), ("«", "»"), ("„", "“"))
 
 
@@ -95,50 +112,93 @@ def frequencies(documents: DataFrame) -> tuple[DataFrame, int]:
     return counted, documents.count()
 
 
-def patterns(frequent: dict[str, int]) -> dict[str, tuple[str, bool]]:
-    """Garbled sequence -> (original, whether it must stand between word edges)."""
-    frequent = dict(frequent)
-    out: dict[str, tuple[str, bool]] = {}
-    weight: dict[str, int] = {}
-
-    def put(garbled: str | None, original: str, edges: bool, ambiguous: float = AMBIGUOUS_BYTES) -> None:
-        if not garbled or garbled == original or original.isascii() or garbled.isascii() or len(garbled) < 2 or "�" in garbled:
-            return
-        n = frequent[original]
-        if frequent.get(garbled, 0) <= ambiguous * n and n > weight.get(garbled, -1):
-            out[garbled], weight[garbled] = (original, edges), n
-
-    signs = [x for x in frequent if len(x) == 1]
-    # what a first round makes of them, and the control characters, may have been misread once more
-    between = {c for x in signs for wrong in ("latin-1", "cp1252", "cp1250") for c in misread(x, "utf-8", wrong) or ""} | {chr(c) for c in range(0x80, 0x100)}
-    for x in between - frequent.keys():
-        frequent[x] = 0
+def natural(seq: str) -> int:
+    """Whether correct text of some language may be written so: 2 yes, 1 only in capitals, 0 no. By letters and case alone, not by any count."""
+    ranks = [2]
+    for piece in re.split("[ ’'‑-]", seq.strip(_TYPOGRAPHIC)):
+        letters = [c for c in piece if c.isalpha()]
+        if len(letters) < len(piece) and (letters or any(c not in _SIGNS for c in piece)) and not re.fullmatch(f"[{_SIGNS}][A-Za-z]+", piece):
+            return 0
+        beyond = {c for c in piece.lower() if c > "\x7f" and c.isalpha()}
+        if beyond and not any(beyond <= a for a in _ALPHABETS):
+            return 0
+        word = "".join(letters)
+        if beyond & _OTHER_SCRIPTS and any(c.isascii() for c in word):
+            return 0
+        if len(word) > 1 and word.isupper():
+            ranks.append(1)
+        elif word[1:] != word[1:].lower():
+            return 0
+    return min(ranks)
+
+
+def _forms(frequent: dict[str, int]) -> Iterator[tuple[str, str, bool, float, tuple[str, str]]]:
+    """(garbled, original, whether it must stand between word edges, ambiguous part, encoding pair) of every frequent sequence."""
     for x in frequent:
         if len(x) == 1:
             for wrong in (*WRONG, "cp932"):
-                put(misread(x, "utf-8", wrong), x, False)
+                yield misread(x, "utf-8", wrong), x, False, AMBIGUOUS_BYTES, ("utf-8", wrong)
             if "　" <= x <= "鿿":
                 for true in JAPANESE:
                     for wrong in ("latin-1", "cp1252"):
-                        put(misread(x, true, wrong), x, False)
+                        yield misread(x, true, wrong), x, False, AMBIGUOUS_BYTES, (true, wrong)
             continue
         if _C1.search(x):
             continue
         for true in ("utf-8", *WESTERN, *CENTRAL, *CYRILLIC):
             for wrong in (*WRONG, "latin-1"):
                 if true != wrong and (g := misread(x, true, wrong)):
-                    put(g, x, True, AMBIGUOUS_BYTES if true == "utf-8" else AMBIGUOUS)
-                    put(_C1.sub("", g), x, True, AMBIGUOUS)
+                    yield g, x, True, AMBIGUOUS_BYTES if true == "utf-8" else AMBIGUOUS, (true, wrong)
+                    yield _C1.sub("", g), x, True, AMBIGUOUS, (true, wrong)
+
+
+def forms(frequent: dict[str, int]) -> list[tuple[str, str, bool, float, tuple[str, str]]]:
+    frequent = dict(frequent)
+    signs = [x for x in frequent if len(x) == 1]
+    # what a first round makes of them, and the control characters, may have been misread once more
+    between = {c for x in signs for wrong in ("latin-1", "cp1252", "cp1250") for c in misread(x, "utf-8", wrong) or ""} | {chr(c) for c in range(0x80, 0x100)}
+    for x in between - frequent.keys():
+        frequent[x] = 0
+    return [f for f in _forms(frequent) if f[0] and f[0] != f[1] and not f[1].isascii() and not f[0].isascii() and len(f[0]) > 1 and "�" not in f[0]]
+
+
+def certain(garbled: str, original: str, n_garbled: int, n_original: int, ambiguous: float) -> bool | None:
+    """Whether the form alone shows garbling; False if its document must bear it out; None if it never does.
+
+    A form that correct text can't have, while it can have the original, shows it however often it occurs. A
+    form in fewer than ``LEAST`` documents, and fewer than its original, is no usage of its own.
+    """
+    if n_garbled <= ambiguous * n_original or n_garbled < min(LEAST, n_original):
+        return True
+    a, b = natural(garbled), natural(original)
+    if a < b:
+        return True
+    return False if a == b and n_garbled < n_original else None
+
+
+def patterns(found: list[tuple[str, str, bool, float, tuple[str, str]]], counts: dict[str, int]) -> dict[str, Pattern]:
+    """Garbled sequence -> its most certain, then most frequent original. ``counts``: documents of all that occurs."""
+    out: dict[str, Pattern] = {}
+    weight: dict[str, tuple[bool, int]] = {}
+    for garbled, original, edges, ambiguous, pair in found:
+        n = counts.get(original, 0)
+        sure = certain(garbled, original, counts.get(garbled, 0), n, ambiguous)
+        if sure is None:
+            continue
+        if garbled not in out or (sure, n) > weight[garbled]:
+            out[garbled], weight[garbled] = (original, edges, sure, frozenset([pair])), (sure, n)
+        elif out[garbled][0] == original:
+            out[garbled] = (*out[garbled][:3], out[garbled][3] | {pair})
     return out
 
 
-def automaton(found: dict[str, tuple[str, bool]]) -> ahocorasick.Automaton:
+def automaton(found: dict[str, Pattern]) -> ahocorasick.Automaton:
     a = ahocorasick.Automaton()
-    for garbled, (original, edges) in found.items():
-        a.add_word(garbled, (len(garbled), original, edges))
+    for garbled, pattern in found.items():
+        a.add_word(garbled, (len(garbled), *pattern))
     for c in [*range(0x80, 0x85), *range(0x86, 0xA0), 0xFFFD]:  # evidence without a known original
         if not a.exists(chr(c)):
-            a.add_word(chr(c), (1, None, False))
+            a.add_word(chr(c), (1, None, False, True, frozenset()))
     a.make_automaton()
     return a
 
@@ -155,12 +215,19 @@ def _mentioned(text: str, lo: int, hi: int) -> bool:
 
 def spans(text: str, a: ahocorasick.Automaton) -> list[tuple[int, int, str | None]]:
     """Non-overlapping garbled spans (start, end, original or None), longest first among those that start together."""
-    hits = []
-    for end, (size, original, edges) in a.iter(text):
+    met = []
+    for end, (size, original, edges, sure, pairs) in a.iter(text):
         lo, hi = end + 1 - size, end + 1
         if edges and (text[lo - 1 : lo].isalnum() or text[hi : hi + 1].isalnum()):
             continue
-        hits.append((lo, -hi, original))
+        met.append((lo, -hi, original, sure, pairs))
+    # an uncertain form counts if another sequence of the document is garbled under the same encoding pair
+    under: defaultdict[tuple[str, str], set[str]] = defaultdict(set)
+    if not all(m[3] for m in met):
+        for _, _, original, _, pairs in met:
+            for p in pairs:
+                under[p].add(original.casefold())
+    hits = [m[:3] for m in met if m[3] or any(len(under[p]) > 1 for p in m[4])]
     hits.sort(key=lambda h: h[:2])
     out, through = [], 0
     for lo, hi, original in hits:
@@ -203,9 +270,19 @@ def scan(documents: DataFrame) -> DataFrame:
     empty and pure ASCII texts are never affected; copies are each reported.
     """
     counted, total = frequencies(documents)
+    counted = cut(counted)
     least = max(LEAST, SHARE * total)
     frequent = {r.seq: r.n for r in counted.where(F.col("n") >= least).collect()}  # bounded: only what is in SHARE of all documents
-    shipped = documents.sparkSession.sparkContext.broadcast(patterns(frequent))
+    found = forms(frequent)
+    sc = documents.sparkSession.sparkContext
+    wanted = sc.broadcast(frozenset(f[0] for f in found))
+
+    def occurring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array([x in wanted.value for x in b.column(0).to_pylist()], pa.bool_()))
+
+    counts = frequent | {r.seq: r.n for r in counted.mapInArrow(occurring, "seq string, n bigint").collect()}  # bounded as the forms are
+    shipped = sc.broadcast(patterns(found, counts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a = automaton(shipped.value)

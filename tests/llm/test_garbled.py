@@ -43,3 +43,19 @@ def test_long_text(spark):
 def test_chunks_are_whole_words():
     got = G.chunks("A função de tun e a repetição mudou; até já. „Prüfung“ isn’t 5 °C — see 4° é que")
     assert got == {"função", "repetição", "até", "já", "„Prüfung“", "isn’t", "°C", "— see", "é que"}
+
+
+def test_garbling_of_many_documents(spark):
+    many = [(2000 + k, G.misread(GOOD[3], "cp1251", "cp1252")) for k in range(8)] + [(2100 + k, G.misread(GOOD[1], "cp1252", "mac-roman")) for k in range(8)]
+    got = scan(spark, corpus() + many)
+    assert set(got) == {d for d, _ in many}
+    assert got[2000].restored == GOOD[3] and got[2100].restored == GOOD[1]
+
+
+def test_evidence_of_a_form():
+    assert G.certain("çàïèñü", "запись", 50, 60, G.AMBIGUOUS) and G.certain("gPRS÷e", "größe", 90, 60, G.AMBIGUOUS)
+    assert G.certain("запись", "çàïèñü", 60, 50, G.AMBIGUOUS) is None  # never the correct one by the garbled one
+    assert G.certain("nćo", "não", 10, 60, G.AMBIGUOUS) is False and G.certain("nćo", "não", 1, 60, G.AMBIGUOUS)
+    found = G.patterns([("nćo", "não", True, G.AMBIGUOUS, ("cp1252", "cp1257")), ("mćo", "mão", True, G.AMBIGUOUS, ("cp1252", "cp1257"))], {"não": 60, "nćo": 10, "mão": 60, "mćo": 10})
+    a = G.automaton(found)
+    assert G.spans("nćo", a) == [] and len(G.spans("nćo e mćo", a)) == 2
