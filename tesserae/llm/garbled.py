@@ -18,12 +18,14 @@ mention, not as garbling, if it stands alone between quotes or backticks, inside
 before its code point in parentheses.
 
 Frequent means in at least ``SHARE`` of all documents, at any size: that bounds what the driver and
-the tasks hold. Texts of several rounds of garbling are restored round by round.
+the tasks hold. Chunks below that are decoded back under all pairs and joined with all chunks, without
+a floor; a document meets only those rare patterns that it holds. Texts of several rounds of garbling are restored round by round.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -49,8 +51,9 @@ JAPANESE = ("cp932", "euc-jp")
 WRONG = ("cp1252", "latin-1", "cp1254", "cp1257", *WESTERN[1:], *CENTRAL, *CYRILLIC)
 
 _CHUNK = re.compile(r"([^\s\x00-\x1f!-/:-@\[-`{-~]+)(?=( [a-z]{2,}\b)?)")
+_UNBROKEN = re.compile(r"[^\x00-/:-@\[-`{-~]+")
 _C1 = re.compile(r"[\x80-\x84\x86-\x9f]")
-_TYPOGRAPHIC, _SIGNS = "“”„‚‘’«»–—…", "°€£§µ²³½±×≈→•–—…©®™"
+_SIGNS = "°€£§µ²³½±×≈→•–—…©®™"
 _OTHER_SCRIPTS = frozenset("абвгдежзийклмнопрстуфхцчшщъыьэюяёєіїґўђјљњћџѓќѕαβγδεζηθικλμνξοπρσςτυφχψωάέήίόύώϊϋΐΰ")
 #: Letters beyond ASCII of one language each.
 _ALPHABETS = tuple(
@@ -97,6 +100,11 @@ def chunks(text: str) -> set[str]:
     return found
 
 
+def unbroken(text: str) -> set[str]:
+    """Words that hold a blank beyond ASCII, as a garbled letter may be."""
+    return {w for w in _UNBROKEN.findall(text) if ("\xa0" in w or "\x85" in w) and len(w) > 1} if "\xa0" in text or "\x85" in text else set()
+
+
 def frequencies(documents: DataFrame) -> tuple[DataFrame, int]:
     """((seq, n), number of documents): document counts of characters beyond ASCII and of chunks, over the whole corpus."""
 
@@ -105,7 +113,7 @@ def frequencies(documents: DataFrame) -> tuple[DataFrame, int]:
             total: Counter = Counter()
             for t in b.column(0).to_pylist():
                 if t and not t.isascii():
-                    total.update({c for c in t if c > "\x9f"} | chunks(t))
+                    total.update({c for c in t if c > "\x9f"} | chunks(t) | unbroken(t))
             yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], names=["seq", "n"])
 
     counted = documents.select("text").mapInArrow(run, "seq string, n bigint").groupBy("seq").agg(F.sum("n").alias("n"))
@@ -115,9 +123,10 @@ def frequencies(documents: DataFrame) -> tuple[DataFrame, int]:
 def natural(seq: str) -> int:
     """Whether correct text of some language may be written so: 2 yes, 1 only in capitals, 0 no. By letters and case alone, not by any count."""
     ranks = [2]
-    for piece in re.split("[ ’'‑-]", seq.strip(_TYPOGRAPHIC)):
+    marks = "".join(c for c in set(seq) if unicodedata.category(c)[0] == "P")
+    for piece in re.split("[ ’'‑-]", seq.strip(marks)):
         letters = [c for c in piece if c.isalpha()]
-        if len(letters) < len(piece) and (letters or any(c not in _SIGNS for c in piece)) and not re.fullmatch(f"[{_SIGNS}][A-Za-z]+", piece):
+        if len(letters) < len(piece) and (letters or any(c not in _SIGNS for c in piece)) and not re.fullmatch(f"[{_SIGNS}][A-Za-z]{{1,2}}", piece):
             return 0
         beyond = {c for c in piece.lower() if c > "\x7f" and c.isalpha()}
         if beyond and not any(beyond <= a for a in _ALPHABETS):
@@ -166,9 +175,9 @@ def certain(garbled: str, original: str, n_garbled: int, n_original: int, ambigu
     """Whether the form alone shows garbling; False if its document must bear it out; None if it never does.
 
     A form that correct text can't have, while it can have the original, shows it however often it occurs. A
-    form in fewer than ``LEAST`` documents, and fewer than its original, is no usage of its own.
+    form in fewer than ``LEAST`` documents, whose original is in more, is no usage of its own.
     """
-    if n_garbled <= ambiguous * n_original or n_garbled < min(LEAST, n_original):
+    if n_garbled <= ambiguous * n_original or n_garbled < LEAST <= n_original:
         return True
     a, b = natural(garbled), natural(original)
     if a < b:
@@ -213,10 +222,11 @@ def _mentioned(text: str, lo: int, hi: int) -> bool:
     return text[hi : hi + 4] == " (U+"
 
 
-def spans(text: str, a: ahocorasick.Automaton) -> list[tuple[int, int, str | None]]:
+def spans(text: str, a: ahocorasick.Automaton, rare: dict[str, Pattern] | None = None) -> list[tuple[int, int, str | None]]:
     """Non-overlapping garbled spans (start, end, original or None), longest first among those that start together."""
     met = []
-    for end, (size, original, edges, sure, pairs) in a.iter(text):
+    own = [(m.end() - 1, (len(g), *p)) for g, p in (rare or {}).items() for m in re.finditer(re.escape(g), text)]
+    for end, (size, original, edges, sure, pairs) in [*a.iter(text), *own]:
         lo, hi = end + 1 - size, end + 1
         if edges and (text[lo - 1 : lo].isalnum() or text[hi : hi + 1].isalnum()):
             continue
@@ -244,11 +254,11 @@ def spans(text: str, a: ahocorasick.Automaton) -> list[tuple[int, int, str | Non
     return [s for run in merged if not _mentioned(text, run[0][0], run[-1][1]) for s in run]
 
 
-def restore(text: str, a: ahocorasick.Automaton) -> tuple[str, int, bool]:
+def restore(text: str, a: ahocorasick.Automaton, rare: dict[str, Pattern] | None = None) -> tuple[str, int, bool]:
     """(text with the garbled spans replaced, number of spans in the first round, whether all could be)."""
     first, whole = 0, True
     for k in range(ROUNDS):
-        found = spans(text, a)
+        found = spans(text, a, rare)
         if k == 0:
             first = len(found)
         known = [s for s in found if s[2] is not None]
@@ -263,6 +273,105 @@ def restore(text: str, a: ahocorasick.Automaton) -> tuple[str, int, bool]:
     return text, first, whole
 
 
+def _read_back() -> tuple[dict[str, dict[str, int]], dict[str, dict[int, str]]]:
+    """Of each wrong encoding, the byte of each character, and the characters of the bytes."""
+    chars = {w: {b: _char(b, w) for b in range(256)} for w in dict.fromkeys((*WRONG, "latin-1"))}
+    return {w: {c: b for b, c in t.items()} for w, t in chars.items()}, chars
+
+
+def rare_patterns(counted: DataFrame, least: float) -> DataFrame:
+    """(garbled, original, sure, pairs) of all originals that are not frequent: every chunk decoded back under every encoding pair, and joined with the chunks there are."""
+    words = counted.where(F.length("seq") > 1)
+    kind = "garbled string, original string, true string, wrong string"
+
+    def batch(rows: list[tuple[str, str, str, str]]) -> pa.RecordBatch:
+        cols = list(zip(*rows, strict=True)) if rows else [()] * 4
+        return pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()) for c in cols], names=["garbled", "original", "true", "wrong"])
+
+    def back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        byte_of, _ = _read_back()
+        for b in batches:
+            rows: list[tuple[str, str, str, str]] = []
+            for y in b.column(0).to_pylist():
+                for wrong, table in byte_of.items():
+                    try:
+                        data = bytes([table[c] for c in y])
+                    except KeyError:
+                        continue
+                    for true in ("utf-8", *WESTERN, *CENTRAL, *CYRILLIC):
+                        if true == wrong:
+                            continue
+                        try:
+                            x = data.decode(true)
+                        except UnicodeDecodeError:
+                            continue
+                        if x != y and not x.isascii() and not _C1.search(x):
+                            rows.append((y, x, true, wrong))
+                if len(rows) > 50_000:
+                    yield batch(rows)
+                    rows = []
+            yield batch(rows)
+
+    def stripped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Forms that lost their control characters can't be decoded back, so they are made from the originals."""
+        _, chars = _read_back()
+        lost = {w: frozenset(b for b, c in t.items() if _C1.match(c)) for w, t in chars.items()}
+        for b in batches:
+            rows: list[tuple[str, str, str, str]] = []
+            for x in b.column(0).to_pylist():
+                if _C1.search(x):
+                    continue
+                for true in ("utf-8", *WESTERN, *CENTRAL, *CYRILLIC):
+                    try:
+                        data = x.encode(true)
+                    except UnicodeEncodeError:
+                        continue
+                    for wrong, table in chars.items():
+                        if true != wrong and not lost[wrong].isdisjoint(data):
+                            g = "".join(table[k] for k in data if k not in lost[wrong])
+                            if len(g) > 1 and not g.isascii() and g != x:
+                                rows.append((g, x, true, wrong))
+                if len(rows) > 50_000:
+                    yield batch(rows)
+                    rows = []
+            yield batch(rows)
+
+    rare = words.where(F.col("n") < least)
+    named = lambda c: words.select(F.col("seq").alias(c), F.col("n").alias(f"n_{c}"))
+    decoded = words.select("seq").mapInArrow(back, kind).join(rare.select(F.col("seq").alias("original"), F.col("n").alias("n_original")), "original").join(named("garbled"), "garbled")
+    without = rare.select("seq").mapInArrow(stripped, kind).join(named("garbled"), "garbled").join(named("original"), "original")
+    cols = ["garbled", "original", "true", "wrong", "n_garbled", "n_original"]
+    met = decoded.select(*cols, F.lit(False).alias("part")).unionByName(without.select(*cols, F.lit(True).alias("part")))
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = b.to_pylist()
+            sure = [certain(r["garbled"], r["original"], r["n_garbled"], r["n_original"], AMBIGUOUS_BYTES if r["true"] == "utf-8" and not r["part"] else AMBIGUOUS) for r in rows]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in cols[:4]), b.column("n_original"), pa.array(sure, pa.bool_())], names=[*cols[:4], "n_original", "sure"])
+
+    judged = met.mapInArrow(judge, kind + ", n_original bigint, sure boolean").where("sure is not null")
+    each = judged.groupBy("garbled", "original").agg(F.max("sure").alias("sure"), F.max("n_original").alias("n"), F.collect_set(F.struct("true", "wrong")).alias("pairs"))
+    best = each.groupBy("garbled").agg(F.max(F.struct("sure", "n", "original", "pairs")).alias("m"))
+    return best.select("garbled", "m.original", "m.sure", "m.pairs")
+
+
+def rare_in(documents: DataFrame, rare: DataFrame) -> DataFrame:
+    """(doc_id, rare): the rare patterns that each document holds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, found = [], []
+            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if text and not text.isascii():
+                    mine = chunks(text) | unbroken(text)
+                    ids += [doc] * len(mine)
+                    found += mine
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.string())], names=["doc_id", "garbled"])
+
+    held = documents.select("doc_id", "text").mapInArrow(run, "doc_id bigint, garbled string").join(rare, "garbled")
+    return held.groupBy("doc_id").agg(F.collect_set(F.struct("garbled", "original", "sure", "pairs")).alias("rare"))
+
+
 def scan(documents: DataFrame) -> DataFrame:
     """(doc_id, spans, restored, complete) of every affected document.
 
@@ -288,13 +397,15 @@ def scan(documents: DataFrame) -> DataFrame:
         a = automaton(shipped.value)
         for b in batches:
             rows = []
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for doc, text, rare in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
                 if text and not text.isascii():
-                    fixed, n, whole = restore(text, a)
+                    own = {r["garbled"]: (r["original"], True, r["sure"], frozenset((p["true"], p["wrong"]) for p in r["pairs"])) for r in rare or ()}
+                    fixed, n, whole = restore(text, a, own)
                     if n:
                         rows.append((doc, n, fixed, whole))
             cols = list(zip(*rows, strict=True)) if rows else [()] * 4
             kinds = (pa.int64(), pa.int32(), pa.string(), pa.bool_())
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "spans", "restored", "complete"])
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id bigint, spans int, restored string, complete boolean")
+    held = rare_in(documents, rare_patterns(counted, least))
+    return documents.select("doc_id", "text").join(held, "doc_id", "left").mapInArrow(run, "doc_id bigint, spans int, restored string, complete boolean")

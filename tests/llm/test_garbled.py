@@ -59,3 +59,13 @@ def test_evidence_of_a_form():
     found = G.patterns([("nćo", "não", True, G.AMBIGUOUS, ("cp1252", "cp1257")), ("mćo", "mão", True, G.AMBIGUOUS, ("cp1252", "cp1257"))], {"não": 60, "nćo": 10, "mão": 60, "mćo": 10})
     a = G.automaton(found)
     assert G.spans("nćo", a) == [] and len(G.spans("nćo e mćo", a)) == 2
+
+
+def test_rare_words(spark, monkeypatch):
+    monkeypatch.setattr(G, "SHARE", 0.1)  # as in a large corpus: below the floor of 12 documents
+    rows = corpus() + [(500 + k, f"Потом Żółwiński видит редкость {k}") for k in range(4)]
+    bad = [(900, "then " + G.misread("редкость", "cp866", "cp1252")), (901, "then " + G.misread("Żółwiński", "iso8859-2", "cp850")), (902, "then " + G.misread("видит", "cp1251", "latin-1"))]
+    got = scan(spark, rows + bad)
+    assert set(got) == {900, 901, 902}
+    assert [got[k].restored for k in (900, 901, 902)] == ["then редкость", "then Żółwiński", "then видит"]
+    assert G.natural("¡Faltan") == G.natural("¿función") == G.natural("°C") == 2 and G.natural("°Faltan") == 0
