@@ -95,11 +95,17 @@ def similar_classes(memories: DataFrame, threshold: float = C.CONSOLIDATION) ->
     return pairs.select(F.least("a", "b").alias("class_a"), F.greatest("a", "b").alias("class_b"), F.round("jaccard", 6).alias("jaccard"))
 
 
+def crossed(a: DataFrame, b: DataFrame, threshold: float) -> DataFrame:
+    """As ``set_join`` of two collections, each pair compared: below about a half nearly every pair shares a rare token, and prefixes save nothing."""
+    pairs = a.select(F.col("sid").alias("sid_a"), F.col("tokens").alias("_a")).crossJoin(b.select(F.col("sid").alias("sid_b"), F.col("tokens").alias("_b")))
+    return pairs.withColumn("jaccard", S.jaccard(F.col("_a"), F.col("_b"))).where(F.col("jaccard") >= threshold).select("sid_a", "sid_b", "jaccard")
+
+
 def matches(candidates: DataFrame, existing: DataFrame, threshold: float) -> DataFrame:
     """(cid, id, score): existing memories similar to a candidate by their token sets; both sides have id, summary, content."""
     cm, cc = set_classes(candidates, compared_text(candidates))
     em, ec = set_classes(existing, compared_text(existing))
-    pairs = set_join(cc, ec, threshold)
+    pairs = (set_join if threshold >= C.SUGGEST_TO else crossed)(cc, ec, threshold)
     return pairs.join(cm.select(F.col("id").alias("cid"), F.col("sid").alias("sid_a")), "sid_a").join(em.select("id", F.col("sid").alias("sid_b")), "sid_b").where("cid <> id").select("cid", "id", F.col("jaccard").alias("score"))
 
 
@@ -199,7 +205,7 @@ def deduplicate(candidates: DataFrame, existing: DataFrame, column: str = "local
     return judged.unionByName(fit.select("id", F.when(F.col("kept"), "keep").otherwise("skip").alias("decision"), none.alias("match")))
 
 
-def auto_edges(candidates: DataFrame, existing: DataFrame, edges: DataFrame, least: float = C.SUGGEST_TO) -> DataFrame:
+def auto_edges(candidates: DataFrame, existing: DataFrame, edges: DataFrame, least: float = C.IGNORE_BELOW) -> DataFrame:
     """(source_id, target_id, strength, status): ``relates_to`` edges from new to similar existing memories, where there is none yet.
 
     Scores from ``RELATE_BELOW`` to ``SUGGEST_TO`` are suggested, others active. By token sets.

@@ -383,6 +383,18 @@ def first_duplicates(spark, d):
 where score >= 0.5 and not exists (select 1 from edges e where e.relation_type = 'relates_to' and e.source_id = cid and e.target_id = p.id)"""
 )
 def auto_edges(spark, d):
+    t = Tables(spark, d)
+    m = t.memories("id", "status", "summary", "content")
+    new = fiftieth(m)
+    return similar.auto_edges(new, m.where("status = 'active'").join(new.select("id"), "id", "left_anti"), t.edges(*EDGE_COLUMNS), C.SUGGEST_TO)  # as its SQL asks; auto_edges_whole has the operator's own range
+
+
+@query(
+    _MATCH
+    + """select cid source_id, id target_id, round(score, 6) strength, case when score >= 0.4 and score <= 0.5 then 'suggested' else 'active' end status from p
+where score >= 0.1 and not exists (select 1 from edges e where e.relation_type = 'relates_to' and e.source_id = cid and e.target_id = p.id)"""
+)
+def auto_edges_whole(spark, d):
     t = Tables(spark, d)
     m = t.memories("id", "status", "summary", "content")
     new = fiftieth(m)

@@ -114,3 +114,13 @@ def test_jaccard_properties(spark, pairs):
     df = spark.createDataFrame([(list(set(a)), list(set(b))) for a, b in pairs], "a array<string>, b array<string>")
     for r in df.select(V.jaccard(F.col("a"), F.col("b")).alias("x"), V.jaccard(F.col("b"), F.col("a")).alias("y"), V.jaccard(F.col("a"), F.col("a")).alias("z")).collect():
         assert 0 <= r.x <= 1 and r.x == r.y and r.z == 1
+
+
+def test_auto_edges_of_the_whole_range(spark):
+    r = rows(5)
+    new, old = r[:20], r[20:]
+    edges = spark.createDataFrame([], "source_id string, target_id string, relation_type string")
+    got = {(x.source_id, x.target_id): (x.strength, x.status) for x in S.auto_edges(spark.createDataFrame(new, M), spark.createDataFrame(old, M), edges).collect()}
+    score = {(a[0], b[0]): jac(tok(*a[1:3]), tok(*b[1:3])) for a in new for b in old if tok(*a[1:3]) and tok(*b[1:3])}
+    assert got == {k: (round(v, 6), "suggested" if 0.4 <= v <= 0.5 else "active") for k, v in score.items() if v >= 0.1}
+    assert any(v < 0.4 for v, _ in got.values()) and "suggested" in {s for _, s in got.values()}
