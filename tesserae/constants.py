@@ -27,7 +27,7 @@ BM25_K1, BM25_B = 1.2, 0.75
 
 #: Ranking and surface.
 W_CONFIDENCE, W_PRIORITY, W_CENTRALITY, W_ACCESS, BRANCH_BOOST, RECENCY_DAYS = 0.5, 0.2, 0.15, 0.15, 0.1, 14.0
-LINE_BUDGETS = {"architecture": 25, "decision": 25, "pattern": 25, "gotcha": 20, "context": 30, "progress": 15, "code_description": 10, "code": 0}
+LINE_BUDGETS = {"architecture": 25, "decision": 25, "pattern": 25, "gotcha": 20, "progress": 30, "context": 15, "code_description": 10, "code": 0}
 SURFACE_TARGET, SURFACE_MAX, RENDER_MAX = 1300, 1800, 2000
 
 #: Decay and lifecycle, in days.

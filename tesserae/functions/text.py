@@ -100,6 +100,11 @@ def embedding_text(memory_type: Column, summary: Column, project: str) -> Column
     return F.concat(F.lit("["), memory_type, F.lit(f"] [project:{project}] "), summary)
 
 
+def query_embedding_text(query: Column, project: str | None = None) -> Column:
+    """A query as it is embedded, in the form of memories' texts."""
+    return F.concat(F.lit(f"[query] [project:{project}] " if project else "[query] "), F.trim(query))
+
+
 def cache_key(branch: Column, cwd: Column) -> Column:
     return F.substring(F.sha2(F.concat_ws(":", branch, cwd), 256), 1, 16)
 

@@ -50,6 +50,27 @@ def current(facts: DataFrame) -> DataFrame:
     return facts.where(F.col("valid_to").isNull())
 
 
+def history(facts: DataFrame, include_ended: bool = True) -> DataFrame:
+    """The facts of every entity, its latest first (ties by id); ended ones too unless told otherwise.
+
+    The order is global over (entity_id, created_at), so the facts of a hot entity are spread over ranges.
+    """
+    return (facts if include_ended else current(facts)).orderBy("entity_id", F.desc("created_at"), "id")
+
+
+def facts_by_memory(facts: DataFrame, memory_ids: DataFrame | None = None) -> DataFrame:
+    """The facts with a source memory, or with one of ``memory_ids`` (one column)."""
+    known = facts.where(F.col("source_memory_id").isNotNull())
+    return known if memory_ids is None else known.join(memory_ids.select(F.col(memory_ids.columns[0]).alias("source_memory_id")).distinct(), "source_memory_id", "left_semi").select(*facts.columns)
+
+
+def entities_sharing_names(entities: DataFrame) -> DataFrame:
+    """(id, name, same_name): each named entity with how many have its name, letter case aside, itself included."""
+    e = entities.where("name is not null")
+    n = e.groupBy(F.lower("name").alias("_k")).agg(F.count(F.lit(1)).alias("same_name"))
+    return e.join(n, F.lower("name") == F.col("_k")).select("id", "name", "same_name")
+
+
 def entity_by_name(entities: DataFrame, name: str | Column) -> DataFrame:
     return entities.where(F.lower("name") == F.lower(name if isinstance(name, Column) else F.lit(name)))
 
@@ -82,3 +103,15 @@ def entity_query(entities: DataFrame, facts: DataFrame, memories: DataFrame, fou
     s = sources(mine, memories).groupBy("entity_id").agg(F.count(F.lit(1)).alias("n_sources"))
     zero = F.lit(0).cast("bigint")
     return found.select(F.col("id").alias("entity_id"), "name").join(n, "entity_id", "left").join(s, "entity_id", "left").select(F.col("entity_id").alias("id"), "name", F.coalesce("n_facts", zero).alias("n_facts"), F.coalesce("n_sources", zero).alias("n_sources"))
+
+
+def entity_answer(facts: DataFrame, memories: DataFrame, found: DataFrame, ended: bool = False) -> DataFrame:
+    """(id, name, fact_id, predicate, object, valid_from, valid_to, source): the facts of the found entities, and the memory each comes from where that is still there.
+
+    Current facts, or with ``ended`` all; an entity without facts has one row of nulls.
+    """
+    here = memories.select(F.col("id").alias("source_memory_id"), F.col("id").alias("source")).distinct()
+    mine = (facts if ended else current(facts)).join(found.select(F.col("id").alias("entity_id")).distinct(), "entity_id", "left_semi").join(here, "source_memory_id", "left")
+    rows = mine.select("entity_id", F.col("id").alias("fact_id"), "predicate", "object", "valid_from", "valid_to", "source", "created_at")
+    both = found.select(F.col("id").alias("entity_id"), "name").distinct().join(rows, "entity_id", "left")
+    return both.orderBy("entity_id", F.desc("created_at"), "fact_id").select(F.col("entity_id").alias("id"), "name", "fact_id", "predicate", "object", "valid_from", "valid_to", "source")

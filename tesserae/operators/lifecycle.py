@@ -15,8 +15,8 @@ from tesserae.operators.store import archive_edges, delete_edges, live_edges, up
 
 
 def assessed(memories: DataFrame, edges: DataFrame, now: str) -> DataFrame:
-    """(id, status, centrality, half_life, effective, idle_days, action): every memory's decayed confidence and what a single look decides."""
-    m = memories.select("id", "status", "memory_type", "confidence", "access_count", "pinned", "last_accessed_at").join(centrality(live_edges(edges)).select("id", "centrality"), "id", "left")
+    """(id, status, ..., centrality, half_life, effective, idle_days, action): every memory's decayed confidence and what a single look decides."""
+    m = memories.select("id", "status", "memory_type", "confidence", "access_count", "pinned", "last_accessed_at").distinct().join(centrality(live_edges(edges)).select("id", "centrality"), "id", "left")
     m = m.withColumn("centrality", F.coalesce("centrality", F.lit(0.0)))
     m = m.withColumns(
         {
@@ -32,13 +32,14 @@ def run_lifecycle(memories: DataFrame, edges: DataFrame, now: str) -> DataFrame:
     """(id, before, after, decayed): the status of every memory after a run, in closed form.
 
     Active memories may be archived; those and earlier archived ones are pruned in the same run once idle
-    long enough. Stored confidence never changes; ``decayed`` tells whether it would by more than 0.001.
+    long enough. Stored confidence never changes; ``decayed`` tells whether it would by more than 0.001. A
+    memory delivered twice is assessed once.
     """
-    a = assessed(memories, edges, now).join(memories.select("id", F.col("confidence").alias("_c")), "id")
+    a = assessed(memories, edges, now)
     archived = (F.col("status") == "active") & (F.col("action") == "archive")
     pruned = ((F.col("status") == "archived") | archived) & (F.col("idle_days") >= C.PRUNE_DAYS)
     after = F.when(pruned, "pruned").when(archived, "archived").otherwise(F.col("status"))
-    return a.select("id", F.col("status").alias("before"), after.alias("after"), ((F.col("status") == "active") & (F.abs(F.col("effective") - F.col("_c")) > 0.001)).alias("decayed"))
+    return a.select("id", F.col("status").alias("before"), after.alias("after"), ((F.col("status") == "active") & (F.abs(F.col("effective") - F.col("confidence")) > 0.001)).alias("decayed"))
 
 
 def apply_lifecycle(memories: DataFrame, edges: DataFrame, outcome: DataFrame, now: str) -> tuple[DataFrame, DataFrame]:

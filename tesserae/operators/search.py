@@ -1,17 +1,15 @@
 """Lexical and vector search, fusion, and recall.
 
-A full-text query is answered in one scan: each row counts its phrases map-side, one small aggregate
-gives the corpus statistics of BM25, and the scored rows end in a bounded top-k. Nothing is shuffled but
-the aggregate and the top rows. For many queries at once ``postings`` gives the inverted index.
+A full-text query reads the texts once: each row counts its phrases, and only those numbers are shuffled and
+written (``occurrences``). From them one small aggregate gives the corpus statistics of BM25, and the
+scored rows end in a bounded top-k, whose texts alone are looked up again. For many queries at once
+``postings`` gives the inverted index.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import reduce
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,29 +63,37 @@ def phrases_of(query: str) -> list[list[str]]:
     return [t for part in query.split() if (t := tokens(part))]
 
 
-def bm25(docs: DataFrame, phrases: list[list[str]], every: bool, keep: Column | None = None, store: str | None = None) -> DataFrame:
-    """``docs`` that match, with ``score`` (higher is better): all phrases, or any of them.
+def occurrences(docs: DataFrame, phrases: list[list[str]], **also: Column) -> DataFrame:
+    """(id, status, scope, also..., _f0, ..., _len): how often each phrase stands in each record, and its number of tokens.
 
-    Statistics (number of rows, mean length, rows with a phrase) are over all of ``docs``, or with
-    ``store`` over each value of that column (of a few) by itself; ``keep`` then restricts the answer. No
-    phrases match nothing.
+    The texts are read once and left behind: only these numbers are shuffled, so that records delivered
+    again fall together, and written for the aggregates and rankings that follow.
     """
-    if not phrases:
-        return docs.where(F.lit(False)).withColumn("score", F.lit(0.0))
     # one text a row, its columns apart, so that no phrase spans two; exploding the single element keeps
     # the optimizer from repeating the normalisation for every phrase
     one = F.concat_ws("\n", *(padded_tokens(t) for t in _texts(docs).values()))
-    counted = docs.withColumn("_d", F.explode(F.array(one)))
     lengths = F.aggregate(F.split("_d", "\n"), F.lit(0.0), lambda n, t: n + _length(t))
-    counted = counted.withColumns({f"_f{i}": _phrase(F.col("_d"), p) for i, p in enumerate(phrases)} | {"_len": lengths}).drop("_d")
-    measures = [F.count(F.lit(1)).cast("double").alias("rows"), F.avg("_len").alias("mean"), *(F.count_if(F.col(f"_f{i}") > 0).cast("double").alias(f"n{i}") for i in range(len(phrases)))]
-    hits = [F.col(f"_f{i}") > 0 for i in range(len(phrases))]
-    match = reduce((lambda x, y: x & y) if every else (lambda x, y: x | y), hits)
+    keep = [c for c in ("id", "status", "scope") if c in docs.columns]
+    counted = docs.withColumn("_d", F.explode(F.array(one))).select(*keep, *(v.alias(k) for k, v in also.items()), *(_phrase(F.col("_d"), p).alias(f"_f{i}") for i, p in enumerate(phrases)), lengths.alias("_len"))
+    return cut(counted.distinct())
+
+
+def bm25(counted: DataFrame, which: list[int], every: bool, keep: Column | None = None, store: str | None = None) -> DataFrame:
+    """The records of ``occurrences`` that match, with ``score`` (higher is better): all phrases of ``which``, or any of them.
+
+    Statistics (number of rows, mean length, rows with a phrase) are over all records, or with ``store`` over
+    each value of that column (of a few) by itself; ``keep`` then restricts the answer. No phrases match nothing.
+    """
+    others = [c for c in counted.columns if not c.startswith("_")]
+    if not which:
+        return counted.where(F.lit(False)).select(*others, F.lit(0.0).alias("score"))
+    measures = [F.count(F.lit(1)).cast("double").alias("rows"), F.avg("_len").alias("mean"), *(F.count_if(F.col(f"_f{i}") > 0).cast("double").alias(f"n{i}") for i in which)]
+    match = reduce((lambda x, y: x & y) if every else (lambda x, y: x | y), [F.col(f"_f{i}") > 0 for i in which])
     if store is None:
         mine = counted.agg(*measures).select(F.struct("*")).scalar()
     else:
         each = counted.where(F.col(store).isNotNull()).groupBy(F.col(store).alias("_store")).agg(*measures)
-        mine = F.try_element_at(each.agg(F.map_from_entries(F.collect_list(F.struct("_store", F.struct(*[c for c in each.columns if c != "_store"]))))).scalar(), F.col(store))
+        mine = F.try_element_at(each.agg(F.map_from_entries(F.collect_list(F.struct("_store", F.struct(*[c for c in each.columns if c != "_store"]))))).scalar(), F.col(store))  # one entry a scope
     s = counted.where(match & (keep if keep is not None else F.lit(True))).withColumn("_s", mine)
 
     def part(i: int) -> Column:
@@ -96,17 +102,18 @@ def bm25(docs: DataFrame, phrases: list[list[str]], every: bool, keep: Column |
         f = F.col(f"_f{i}")
         return idf * f * (C.BM25_K1 + 1) / (f + C.BM25_K1 * (1 - C.BM25_B + C.BM25_B * F.col("_len") / F.col("_s.mean")))
 
-    return s.withColumn("score", reduce(lambda x, y: x + y, [part(i) for i in range(len(phrases))])).select(*docs.columns, "score")
+    return s.withColumn("score", reduce(lambda x, y: x + y, [part(i) for i in which])).select(*others, "score")
 
 
 def keyword_search(memories: DataFrame, query: str, limit: int, every: bool = True) -> DataFrame:
-    """The ``limit`` best active memories for a query's phrases (ties by id)."""
-    return bm25(memories, phrases_of(query), every, F.col("status") == "active").orderBy(F.desc("score"), "id").limit(limit)
+    """(id, status, scope, score): the ``limit`` best active memories for a query's phrases (ties by id)."""
+    phrases = phrases_of(query)
+    return bm25(occurrences(memories, phrases), list(range(len(phrases))), every, F.col("status") == "active").orderBy(F.desc("score"), "id").limit(limit)
 
 
-def store_search(memories: DataFrame, phrases: list[list[str]], every: bool, limit: int) -> DataFrame:
-    """The ``limit`` best active memories of each scope, with ``score`` and ``place`` (from 1; ties by id), in one scan for all scopes."""
-    best = bm25(memories, phrases, every, F.col("status") == "active", "scope")
+def store_search(counted: DataFrame, which: list[int], every: bool, limit: int) -> DataFrame:
+    """The ``limit`` best active memories of each scope, with ``score`` and ``place`` (from 1; ties by id), from the ``occurrences`` of all scopes."""
+    best = bm25(counted, which, every, F.col("status") == "active", "scope")
     return best.withColumn("place", F.row_number().over(Window.partitionBy("scope").orderBy(F.desc("score"), "id"))).where(F.col("place") <= limit)
 
 
@@ -153,6 +160,13 @@ def vector_search(memories: DataFrame, column: str, query: list[float], limit: i
     return scored.where(F.col("score") >= least).orderBy(F.desc("score"), "id").limit(limit)
 
 
+def scored(memories: DataFrame, column: str, query: list[float]) -> DataFrame:
+    """(id, score, action) of every memory with a vector of the query's length: its cosine and what that calls for, best first."""
+    q = F.array(*(F.lit(float(x)) for x in query))
+    each = memories.where(F.size(column) == len(query)).select("id", S.cosine(F.col(column), q).alias("score"))
+    return each.withColumn("action", S.classify(F.col("score"))).orderBy(F.desc("score"), "id")
+
+
 def fused_search(memories: DataFrame, column: str, query: list[float], text: str, limit: int, least: float = C.MIN_COSINE) -> DataFrame:
     """As ``vector_search``, the cosine raised by words shared with summary and tags."""
     return fused_scores(memories, column, query, text, least).orderBy(F.desc("score"), "id").limit(limit)
@@ -166,62 +180,6 @@ def fused_scores(memories: DataFrame, column: str, query: list[float], text: str
     return cos.withColumn("score", S.fused(F.col("cosine"), token_set(F.lit(text)), words))
 
 
-#: Query vectors held by a task at once.
-QUERIES_AT_ONCE = 2048
-
-
-def nearest(queries: DataFrame, rows: DataFrame, dim: int, k: int, least: float = -1.0) -> DataFrame:
-    """(query_id, id, rank, score): the ``k`` nearest rows of every query, exactly; both sides are (id, v array<double>).
-
-    Queries go out in blocks of ``QUERIES_AT_ONCE`` (a bounded broadcast each); tasks keep the best
-    ``k`` of their rows for each query, and only those are shuffled. A row is not its own neighbour.
-    Vectors of another length, null or with NaN take no part; ties go to the smaller id.
-    """
-    fine = F.col("v").isNotNull() & (F.size("v") == dim) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x)) & F.exists("v", lambda x: x != 0)
-    asked, pool = queries.where(fine).select("id", "v"), rows.where(fine).select("id", "v")
-    n = max(1, -(-asked.count() // QUERIES_AT_ONCE))
-    sc = queries.sparkSession.sparkContext
-
-    def block(b: int) -> DataFrame:
-        table = asked.where(F.pmod(F.xxhash64("id"), F.lit(n)) == b).toArrow()
-        ids = table["id"].to_pylist()
-        m = np.array(table["v"].to_pylist(), np.float64).reshape(len(ids), dim)
-        shipped = sc.broadcast((ids, m / np.linalg.norm(m, axis=1, keepdims=True) if len(ids) else m))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            names, q = shipped.value
-            best: list[tuple[np.ndarray, np.ndarray]] | None = None
-            for batch in batches:
-                own = np.array(batch.column(0).to_pylist(), dtype=object)
-                if not len(own) or not len(names):
-                    continue
-                v = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
-                s = np.round((v / np.linalg.norm(v, axis=1, keepdims=True)) @ q.T, 9)
-                new = []
-                for j, name in enumerate(names):
-                    keep = np.flatnonzero((s[:, j] >= least) & (own != name))
-                    if len(keep) > 4 * k:
-                        cut = np.partition(s[keep, j], len(keep) - k)[len(keep) - k]
-                        keep = keep[s[keep, j] >= cut]
-                    i, x = own[keep], s[keep, j]
-                    if best is not None:
-                        i, x = np.concatenate([best[j][0], i]), np.concatenate([best[j][1], x])
-                    order = np.lexsort((i.astype(str), -x))[:k]
-                    new.append((i[order], x[order]))
-                best = new
-            if best:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([n for n, (i, _) in zip(names, best, strict=True) for _ in i], pa.string()), pa.array(np.concatenate([i for i, _ in best]).tolist(), pa.string()), pa.array(np.concatenate([x for _, x in best]))],
-                    names=["query_id", "id", "score"],
-                )
-
-        return pool.mapInArrow(run, "query_id string, id string, score double")
-
-    top = reduce(lambda x, y: x.unionByName(y), [block(b) for b in range(n)])
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return top.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "id", "rank", "score")
-
-
 def unigrams_of(prompt: str) -> list[str]:
     """The meaningful words of one prompt, as ``functions.text.unigrams`` gives them."""
     import re
@@ -243,19 +201,24 @@ def prompt_recall(memories: DataFrame, prompt: str, surface: str | None = None,
     """
     words = unigrams_of(prompt)
     pairs = [f"{a} {b}" for a, b in zip(words, words[1:], strict=False)][:10]
-    fields = ["id", "scope", "status", "memory_type", "content", "summary"]
     if len(words) + len(pairs) < C.PROMPT_MIN_TOKENS:
         return memories.where(F.lit(False)).select(F.lit(1).alias("place"), "id", "memory_type", "summary")
+    parts = [[x for w in p.split() for ph in phrases_of(w) for x in ph] for p in words + pairs]
+    known = [i for i, p in enumerate(parts) if p]
+    whole = [i for i in known if i < len(words)]
+    counted = occurrences(memories, [p or [" "] for p in parts], shown=~tag_only(words))
+    scope = F.when(F.col("scope") == C.SCOPES[0], 0).otherwise(1)
     tiers = []
-    for t, (parts, every) in enumerate(((words, True), (words + pairs, False))):
+    for t, (which, every) in enumerate(((whole, True), (known, False))):
         if every and not C.AND_MIN <= len(words) <= C.AND_MAX:
             continue
-        phrases = [[x for w in p.split() for ph in phrases_of(w) for x in ph] for p in parts]
-        scope = F.when(F.col("scope") == C.SCOPES[0], 0).otherwise(1)
-        tiers.append(store_search(memories, [p for p in phrases if p], every, limit).where(F.col("scope").isin(C.SCOPES)).select(*fields, (1000 * (2 * t + scope) + F.col("place")).alias("_p")))
-    merged = reduce(lambda x, y: x.unionByName(y), tiers)
-    first = merged.withColumn("_r", F.row_number().over(Window.partitionBy("id").orderBy("_p"))).where("_r = 1")
-    kept = first.where(~tag_only(words) & (~F.contains(F.lit(surface), F.col("summary")) if surface else F.lit(True)))
+        hits = store_search(counted, which, every, limit).where(F.col("scope").isin(C.SCOPES))
+        tiers.append(hits.select("id", "shown", (1000 * (2 * t + scope) + F.col("place")).alias("_p")))
+    first = reduce(lambda x, y: x.unionByName(y), tiers).where("shown").groupBy("id").agg(F.min("_p").alias("_p"))
+    # at most `limit` hits for each tier and scope
+    kept = memories.select("id", "memory_type", "summary").join(F.broadcast(first), "id").dropDuplicates(["id"])
+    if surface:
+        kept = kept.where(~F.contains(F.lit(surface), F.col("summary")))
     return kept.orderBy("_p").limit(limit).select(F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("_p")).alias("place"), "id", "memory_type", "summary")
 
 
@@ -275,16 +238,19 @@ def recall(memories: DataFrame, edges: DataFrame, query: str, vector: list[float
     With a query vector: the best ``PREFILTER_LIMIT`` lexical hits per store (or all rows, if none) ranked
     by fused cosine; else keyword hits with position scores. The branch filter applies after the limit.
     """
-    w = Window.partitionBy("scope")
+    phrases = phrases_of(query)
+    counted = occurrences(memories, phrases)
     if vector is not None:
-        pre = cut(store_search(memories, phrases_of(query), False, C.PREFILTER_LIMIT).select("id", "scope"))
-        with_hits = [r.scope for r in pre.select("scope").distinct().collect()]
-        pool = memories.join(pre.select("id"), "id", "left_semi").unionByName(memories.where(~F.col("scope").isin(with_hits)))
-        near = fused_scores(pool, column, vector, query)
-        best = near.withColumn("_n", F.row_number().over(w.orderBy(F.desc("score"), "id"))).where(F.col("_n") <= limit)
+        pre = cut(store_search(counted, list(range(len(phrases))), False, C.PREFILTER_LIMIT).select("id", "scope"))
+        with_hits = [r.scope for r in pre.select("scope").distinct().collect()]  # the scopes, of which there are two
+        rows = memories.select("id", "scope", "summary", "tags", column)
+        pool = rows.join(F.broadcast(pre.select("id").distinct()), "id", "left_semi").unionByName(rows.where(~F.col("scope").isin(with_hits)))  # PREFILTER_LIMIT a scope
+        near = fused_scores(pool, column, vector, query).select("id", "scope", "score").distinct()
+        best = near.withColumn("_n", F.row_number().over(Window.partitionBy("scope").orderBy(F.desc("score"), "id"))).where(F.col("_n") <= limit)
     else:
-        best = position_scores(store_search(memories, phrases_of(query), True, limit), [F.asc("place")], ["scope"])
-    stores = best.where(F.col("scope").isin(C.SCOPES)).select("id", "score", F.col("scope").alias("source"), "source_context")
+        best = position_scores(store_search(counted, list(range(len(phrases))), True, limit), [F.asc("place")], ["scope"])
+    few = best.where(F.col("scope").isin(C.SCOPES)).select("id", "score", F.col("scope").alias("source"))
+    stores = memories.select("id", "source_context").join(F.broadcast(few), "id").dropDuplicates(["id", "source"])  # `limit` a scope
     merged = cut(merge_results(stores, limit))
     if branch:
         merged = merged.where(branch_of(F.col("source_context")) == branch)

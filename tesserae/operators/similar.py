@@ -10,8 +10,6 @@ above, exactly. Only pairs that pass are verified on the sets.
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -20,6 +18,7 @@ from pyspark.sql import functions as F
 from tesserae import constants as C
 from tesserae.functions import similarity as S
 from tesserae.functions.text import token_set
+from tesserae.operators import blocks
 from tesserae.sources.tables import cut
 
 
@@ -31,7 +30,7 @@ def compared_text(_df: DataFrame | None = None) -> Column:
 def set_classes(df: DataFrame, tokens: Column, id_col: str = "id") -> tuple[DataFrame, DataFrame]:
     """(members, classes): (id, sid) and (sid, tokens) of the distinct non-empty token sets."""
     rows = df.select(F.col(id_col).alias("id"), F.array_sort(tokens).alias("tokens")).where(F.size("tokens") > 0).distinct()
-    hashed = cut(rows.withColumn("sid", F.xxhash64(F.concat_ws(" ", "tokens"))))
+    hashed = cut(rows.withColumn("sid", F.unhex(F.md5(F.concat_ws(" ", "tokens")))))  # 128 bits: no two sets of any collection share it
     return hashed.select("id", "sid"), hashed.select("sid", "tokens").dropDuplicates(["sid"])
 
 
@@ -61,10 +60,11 @@ def set_join(a: DataFrame, b: DataFrame, threshold: float, itself: bool = False)
     """(sid_a, sid_b, jaccard) of classes of two collections with Jaccard similarity ``threshold`` or more.
 
     ``itself``: both are the same collection, and only sid_a < sid_b is given. Equal sets of two collections match.
+    A token in very many prefixes is a skewed key; the join is left to Spark, so that AQE may split it.
     """
     both = a if itself else a.unionByName(b).dropDuplicates(["sid"])
     df = cut(rarity(both))
-    left = prefixes(a, df, threshold).repartition("token")
+    left = prefixes(a, df, threshold)
     x, y = left.alias("x"), (left if itself else prefixes(b, df, threshold)).alias("y")
     total = F.col("x.n") + F.col("y.n")
     apart = sum((F.bit_count(F.col(f"x.b{w}").bitwiseXOR(F.col(f"y.b{w}"))) for w in range(1, WORDS)), F.bit_count(F.col("x.b0").bitwiseXOR(F.col("y.b0"))))
@@ -95,37 +95,36 @@ def similar_classes(memories: DataFrame, threshold: float = C.CONSOLIDATION) ->
     return pairs.select(F.least("a", "b").alias("class_a"), F.greatest("a", "b").alias("class_b"), F.round("jaccard", 6).alias("jaccard"))
 
 
-def crossed(a: DataFrame, b: DataFrame, threshold: float) -> DataFrame:
-    """As ``set_join`` of two collections, each pair compared: below about a half nearly every pair shares a rare token, and prefixes save nothing."""
-    pairs = a.select(F.col("sid").alias("sid_a"), F.col("tokens").alias("_a")).crossJoin(b.select(F.col("sid").alias("sid_b"), F.col("tokens").alias("_b")))
-    return pairs.withColumn("jaccard", S.jaccard(F.col("_a"), F.col("_b"))).where(F.col("jaccard") >= threshold).select("sid_a", "sid_b", "jaccard")
-
+def hybrid_pairs(asked: DataFrame, memories: DataFrame, threshold: float = C.CONSOLIDATION) -> DataFrame:
+    """(id_a, id_b, score), id_a < id_b: pairs of a memory of ``asked`` and any other of hybrid similarity ``threshold`` or more, most similar first.
 
-def matches(candidates: DataFrame, existing: DataFrame, threshold: float) -> DataFrame:
-    """(cid, id, score): existing memories similar to a candidate by their token sets; both sides have id, summary, content."""
-    cm, cc = set_classes(candidates, compared_text(candidates))
-    em, ec = set_classes(existing, compared_text(existing))
-    pairs = (set_join if threshold >= C.SUGGEST_TO else crossed)(cc, ec, threshold)
-    return pairs.join(cm.select(F.col("id").alias("cid"), F.col("sid").alias("sid_a")), "sid_a").join(em.select("id", F.col("sid").alias("sid_b")), "sid_b").where("cid <> id").select("cid", "id", F.col("jaccard").alias("score"))
+    Both are memories; the vector compared is ``embedding``, or ``local_embedding`` where that is null.
+    """
+    v = F.coalesce(*(F.col(c).cast("array<double>") for c in ("embedding", "local_embedding"))).alias("v")
+    sides = (df.select("id", "summary", "content", v) for df in (asked, memories))
+    pairs = blocks.hybrid(*sides, threshold).select(F.least("cid", "id").alias("id_a"), F.greatest("cid", "id").alias("id_b"), F.round("score", 6).alias("score"))
+    return pairs.dropDuplicates(["id_a", "id_b"]).orderBy(F.desc("score"), "id_a", "id_b")
 
 
 def first_duplicates(candidates: DataFrame, existing: DataFrame, threshold: float = C.DEDUP) -> DataFrame:
-    """(cid, id): for each candidate the first existing memory, by id, of the same text; lexical only."""
-    return matches(candidates, existing, threshold).groupBy("cid").agg(F.min("id").alias("id"))
+    """(cid, id): for each candidate the first existing memory, by id, of the same text; lexical only.
 
+    A memory is no duplicate of itself. Of each class of equal texts only the two smallest ids are looked at,
+    so a text that very many memories share costs no more than another.
+    """
+    cm, cc = set_classes(candidates, compared_text(candidates))
+    em, ec = set_classes(existing, compared_text(existing))
+    two = lambda df, by: df.withColumn("_r", F.row_number().over(Window.partitionBy(by).orderBy("id"))).where("_r <= 2").select(by, "id")
+    least = two(em, "sid").withColumnRenamed("sid", "sid_b")
+    met = set_join(cc, ec, threshold).join(least, "sid_b").select("sid_a", "id").distinct()
+    best = two(met, "sid_a").groupBy("sid_a").agg(F.min("id").alias("one"), F.max("id").alias("two"))
+    hit = F.when(F.col("one") != F.col("cid"), F.col("one")).when(F.col("two") != F.col("cid"), F.col("two"))
+    return cm.select(F.col("id").alias("cid"), F.col("sid").alias("sid_a")).join(best, "sid_a").select("cid", hit.alias("id")).where("id is not null")
 
-def hybrid_matches(candidates: DataFrame, existing: DataFrame, column: str, dim: int, threshold: float) -> DataFrame:
-    """(cid, id, score): as ``matches``, but where both sides have a vector its cosine alone counts, and only the best such is given."""
-    from tesserae.operators.search import nearest
 
-    has = F.col(column).isNotNull() & (F.size(column) == dim)
-    lexical = matches(candidates, existing, threshold)
-    c_has = candidates.where(has).select(F.col("id").alias("cid"), F.lit(True).alias("_c"))
-    e_has = existing.where(has).select("id", F.lit(True).alias("_e"))
-    words = lexical.join(c_has, "cid", "left").join(e_has, "id", "left").where(F.col("_c").isNull() | F.col("_e").isNull()).select("cid", "id", "score")
-    v = F.col(column).cast("array<double>").alias("v")
-    near = nearest(candidates.select("id", v), existing.select("id", v), dim, 1, threshold)
-    return words.unionByName(near.select(F.col("query_id").alias("cid"), "id", "score"))
+def _with_vector(df: DataFrame, column: str, dim: int) -> DataFrame:
+    """(id, summary, content, v) with vectors of ``dim`` numbers only."""
+    return df.select("id", "summary", "content", F.when(F.size(column) == dim, F.col(column).cast("array<double>")).alias("v"))
 
 
 BLOCK = 512
@@ -137,36 +136,22 @@ def batch_pairs(candidates: DataFrame, column: str, dim: int, threshold: float)
     A batch is compared block against block in separate tasks, so its size is bounded by none, and only similar pairs leave.
     """
     n = candidates.groupBy("batch").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("_n"))
-    rows = candidates.select("batch", "id", "ord", compared_text(candidates).alias("tokens"), F.when(F.size(column) == dim, F.col(column).cast("array<double>")).alias("v")).join(n, "batch")
+    words = F.coalesce(compared_text(candidates), F.array().cast("array<string>")).alias("tokens")
+    rows = candidates.select("batch", "id", "ord", words, F.when(F.size(column) == dim, F.col(column).cast("array<double>")).alias("v")).join(n, "batch")
     spread = rows.withColumn("part", F.pmod(F.xxhash64("id"), F.col("_n")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
 
     def run(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
         i, j = key[1].as_py(), key[2].as_py()
-        rows = group.select(["id", "ord", "tokens", "v", "part"]).to_pylist()
-        for r in rows:
-            r["set"] = set(r["tokens"] or ())
-            r["u"] = None if r["v"] is None else np.array(r["v"], float)
-        x, y = [r for r in rows if r["part"] == i], [r for r in rows if r["part"] == j]
-        out = []
-        for p in x:
-            for q in y:
-                if p["id"] == q["id"] or (i == j and (p["ord"], p["id"]) > (q["ord"], q["id"])):
-                    continue
-                if _hybrid(p, q) >= threshold:
-                    out.append(tuple(r["id"] for r in sorted((p, q), key=lambda r: (r["ord"], r["id"]))))
-        return pa.table([pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.string())], names=["a", "b"])
+        part = group["part"].to_numpy()
+        x, y = (group.take(pa.array(np.flatnonzero(part == k))) for k in (i, j))
+        found = blocks.hybrid_scores(x, y, threshold)
+        at = {k: (o, k) for k, o in zip(group["id"].to_pylist(), group["ord"].to_pylist(), strict=True)}
+        ends = [sorted(p, key=at.__getitem__) for p in zip(found["cid"].to_pylist(), found["id"].to_pylist(), strict=True)]
+        return pa.table([pa.array([e[k] for e in ends], pa.string()) for k in (0, 1)], names=["a", "b"])
 
     return spread.groupBy("batch", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j")).applyInArrow(run, "a string, b string").distinct()
 
 
-def _hybrid(p: dict, q: dict) -> float:
-    if p["u"] is not None and q["u"] is not None:
-        n = math.sqrt(float(p["u"] @ p["u"])) * math.sqrt(float(q["u"] @ q["u"]))
-        return float(p["u"] @ q["u"]) / n if n else 0.0
-    union = len(p["set"] | q["set"])
-    return len(p["set"] & q["set"]) / union if union else 1.0
-
-
 def first_fit(items: DataFrame, pairs: DataFrame) -> DataFrame:
     """(id, kept): in order, an item is kept unless an earlier kept one is similar. ``pairs`` (a, b) has a before b.
 
@@ -196,7 +181,8 @@ def deduplicate(candidates: DataFrame, existing: DataFrame, column: str = "local
     ``skip`` if an existing memory is all but equal, ``merge`` into the best one if similar, ``skip`` if an
     earlier kept candidate of its batch is similar, else ``keep``. Ties go to the smaller id.
     """
-    best = hybrid_matches(candidates, existing, column, dim, C.DEDUP).groupBy("cid").agg(F.max(F.struct("score")).alias("m"), F.min_by("id", F.struct((-F.col("score")).alias("s"), "id")).alias("match"))
+    found = blocks.hybrid(_with_vector(candidates, column, dim), _with_vector(existing, column, dim), C.DEDUP).withColumn("score", F.round("score", 9))
+    best = found.groupBy("cid").agg(F.max(F.struct("score")).alias("m"), F.min_by("id", F.struct((-F.col("score")).alias("s"), "id")).alias("match"))
     hit = cut(best.select(F.col("cid").alias("id"), F.col("m.score").alias("score"), "match"))
     free = cut(candidates.join(hit.select("id"), "id", "left_anti"))
     fit = first_fit(free, batch_pairs(free, column, dim, C.INTRA_BATCH))
@@ -205,12 +191,14 @@ def deduplicate(candidates: DataFrame, existing: DataFrame, column: str = "local
     return judged.unionByName(fit.select("id", F.when(F.col("kept"), "keep").otherwise("skip").alias("decision"), none.alias("match")))
 
 
-def auto_edges(candidates: DataFrame, existing: DataFrame, edges: DataFrame, least: float = C.IGNORE_BELOW) -> DataFrame:
+def auto_edges(candidates: DataFrame, existing: DataFrame, edges: DataFrame, least: float = C.IGNORE_BELOW, column: str = "local_embedding", dim: int = 32) -> DataFrame:
     """(source_id, target_id, strength, status): ``relates_to`` edges from new to similar existing memories, where there is none yet.
 
-    Scores from ``RELATE_BELOW`` to ``SUGGEST_TO`` are suggested, others active. By token sets.
+    By hybrid similarity from ``least`` up: the cosine of ``column`` where both have one of ``dim`` numbers, else
+    shared words. Scores from ``RELATE_BELOW`` to ``SUGGEST_TO`` are suggested, others active.
     """
-    found = matches(candidates, existing, least).select(F.col("cid").alias("source_id"), F.col("id").alias("target_id"), F.round("score", 6).alias("strength"))
+    found = blocks.hybrid(_with_vector(candidates, column, dim), _with_vector(existing, column, dim), least)
+    named = found.select(F.col("cid").alias("source_id"), F.col("id").alias("target_id"), F.round("score", 6).alias("strength"))
     status = F.when(S.classify(F.col("strength")) == "suggest", "suggested").otherwise("active")
     taken = edges.where("relation_type = 'relates_to'").select("source_id", "target_id").distinct()
-    return found.withColumn("status", status).join(taken, ["source_id", "target_id"], "left_anti")
+    return named.withColumn("status", status).join(taken, ["source_id", "target_id"], "left_anti")

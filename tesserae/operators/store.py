@@ -130,8 +130,10 @@ def sanitise_relation(c: Column) -> Column:
 
 
 def insert(state: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
-    """The state with those new rows whose key it lacks; of new rows with one key the first by all columns is taken."""
-    fresh = new.dropDuplicates(key).join(state.select(*key), key, "left_anti")
+    """The state with those new rows whose key it lacks; of new rows with one key the first by all orderable columns is taken."""
+    order = [c for c, kind in new.dtypes if c not in key and not kind.startswith("map")]
+    first = new.groupBy(*key).agg(F.min_by(F.struct(*new.columns), F.struct(*order) if order else F.lit(0)).alias("_m")).select("_m.*")
+    fresh = first.join(state.select(*key), key, "left_anti").select(*new.columns)
     return state.unionByName(fresh, allowMissingColumns=True)
 
 
@@ -144,13 +146,18 @@ def delete(state: DataFrame, ids: DataFrame, column: str = "id") -> DataFrame:
     return state.join(ids.select(F.col(ids.columns[0]).alias(column)).distinct(), column, "left_anti").select(*state.columns)
 
 
-def update(state: DataFrame, changes: DataFrame, now: str, key: str = "id") -> DataFrame:
-    """The given columns of ``changes`` set where not null, and ``updated_at`` moved; rows without changes stay as they are."""
+def update(state: DataFrame, changes: DataFrame, now: str, key: str = "id", clear: tuple[str, ...] = ()) -> DataFrame:
+    """The given columns of ``changes`` set where not null, and ``updated_at`` moved; rows without changes stay as they are.
+
+    In the columns named by ``clear`` null is a value too and is set. Of several changes to one key the
+    least counts, so that no row is multiplied.
+    """
     fields = [c for c in changes.columns if c != key]
-    renamed = changes.select(F.col(key), F.lit(True).alias("_hit"), *(F.col(c).alias(f"_new_{c}") for c in fields))
+    once = changes.groupBy(key).agg(F.min(F.struct(*fields)).alias("_m") if fields else F.lit(True).alias("_m"))
+    renamed = once.select(F.col(key), F.lit(True).alias("_hit"), *(F.col(f"_m.{c}").alias(f"_new_{c}") for c in fields))
     joined = state.join(renamed, key, "left")
     hit = F.coalesce("_hit", F.lit(False))
-    values = {c: F.coalesce(f"_new_{c}", c) for c in fields}
+    values = {c: F.when(hit, F.col(f"_new_{c}")).otherwise(F.col(c)) if c in clear else F.coalesce(f"_new_{c}", c) for c in fields}
     if "updated_at" in state.columns and fields:
         values["updated_at"] = F.when(hit, F.lit(now).cast("timestamp_ntz")).otherwise(F.col("updated_at"))
     return joined.withColumns(values).select(*state.columns)

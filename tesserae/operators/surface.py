@@ -29,15 +29,23 @@ def entity_section(profiles: list[Row], most: int = C.MAX_ENTITIES) -> str:
 
 
 def render(selected: list[Row], branch: str, profiles: list[Row] = (), stale_hours: float | None = None) -> str:
-    """Selected memories (memory_type, summary) by category in order of appearance, under the branch, within the render limit."""
+    """Selected memories (memory_type, summary[, tags]) by category in order of appearance, under the branch, cut to the render limit where a tenth beyond it; empty without memories."""
+    if not selected:
+        return ""
     parts = [f"# Memory: {branch}", ""]
     if stale_hours is not None:
         parts += [f"> {stale_hours:.1f} hours old", ""]
     if section := entity_section(list(profiles)):
         parts.append(section)
     for category in dict.fromkeys(r.memory_type for r in selected):
-        parts += [f"## {title(category)}", "", *(f"- {r.summary}" for r in selected if r.memory_type == category), ""]
-    return wrap(cut_to("\n".join(parts).rstrip(), C.RENDER_MAX))
+        parts += [f"## {title(category)}", ""]
+        for r in selected:
+            if r.memory_type == category:
+                tags = [t for t in ("tags" in r and r.tags or []) if t]
+                parts += [f"- {r.summary}", *([f"  *Tags: {', '.join(tags)}*"] if tags else [])]
+        parts.append("")
+    text = "\n".join(parts).rstrip()
+    return wrap(cut_to(text, C.RENDER_MAX) if len(text) > 4.4 * C.RENDER_MAX else text)
 
 
 def wrap(text: str) -> str:

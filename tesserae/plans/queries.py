@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tesserae import api
 from tesserae import constants as C
 from tesserae.functions import decay as D
 from tesserae.functions import similarity as S
 from tesserae.functions import text as X
-from tesserae.operators import graph, ingest, inspect, knowledge, lifecycle, ranking, search, similar, store
+from tesserae.operators import blocks, graph, ingest, inspect, knowledge, lifecycle, ranking, search, similar, store
 from tesserae.plans import sql_text as Q
 from tesserae.plans.sql_text import NOW
 from tesserae.sources.tables import table
@@ -108,7 +110,7 @@ def edges_for_memory(spark, d):
     return store.edges_of(t.edges(*EDGE_COLUMNS), t.memories("id", "pinned").where("pinned").select("id"))
 
 
-@query(f"select distinct id, source_id, target_id, relation_type from edges where {_LIVE} and relation_type in ({Q.quoted(C.RELATIONS)})")
+@query(f"select distinct id, source_id, target_id, relation_type from edges where {_LIVE} and relation_type in ({Q.RELATIONS})")
 def all_edges(spark, d):
     return store.live_edges(Tables(spark, d).edges("id", "source_id", "target_id", "relation_type", "status")).drop("status").distinct()
 
@@ -125,9 +127,7 @@ def latest_checkpoints(spark, d):
 
 @query("with e as (select distinct id, name from entities) select a.id, a.name, count(*) same_name from e a join e b on lower(a.name) = lower(b.name) group by all")
 def entities_by_name(spark, d):
-    e = Tables(spark, d).entities("id", "name").where("name is not null")
-    n = e.groupBy(F.lower("name").alias("_k")).agg(F.count(F.lit(1)).alias("same_name"))
-    return e.join(n, F.lower("name") == F.col("_k")).select("id", "name", "same_name")
+    return knowledge.entities_sharing_names(Tables(spark, d).entities("id", "name"))
 
 
 @query("select distinct id, name, entity_type from entities")
@@ -140,15 +140,15 @@ def current_facts(spark, d):
     return knowledge.current(Tables(spark, d).facts("id", "entity_id", "predicate", "object", "created_at", "valid_to")).drop("valid_to")
 
 
-@query("select entity_id, count(distinct id) n, count(distinct case when valid_to is null then id end) n_current, min(created_at) since from facts group by 1")
+@query("select distinct entity_id, id, predicate, object, created_at, valid_to from facts")
 def facts_by_entity(spark, d):
-    f = Tables(spark, d).facts("id", "entity_id", "valid_to", "created_at")
-    return f.groupBy("entity_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("valid_to").isNull()).alias("n_current"), F.min("created_at").alias("since"))
+    return knowledge.history(Tables(spark, d).facts("entity_id", "id", "predicate", "object", "created_at", "valid_to"))
 
 
-@query("select source_memory_id, count(distinct id) n from facts where source_memory_id is not null group by 1")
+@query("select distinct source_memory_id, id, predicate, object from facts where source_memory_id in (select id from memories where status = 'archived')")
 def facts_by_memory(spark, d):
-    return Tables(spark, d).facts("id", "source_memory_id").where("source_memory_id is not null").groupBy("source_memory_id").agg(F.count(F.lit(1)).alias("n"))
+    t = Tables(spark, d)
+    return knowledge.facts_by_memory(t.facts("source_memory_id", "id", "predicate", "object"), t.memories("id", "status").where("status = 'archived'").select("id"))
 
 
 # validation and projections
@@ -159,8 +159,8 @@ def _sql_errors(**checks: str) -> str:
 
 
 _E_MEM = _sql_errors(
-    id="trim(id) <> ''", content="trim(content) <> ''", summary="trim(summary) <> ''", source_session="trim(source_session) <> ''", memory_type=f"memory_type in ({Q.quoted(C.MEMORY_TYPES)})", scope=f"scope in ({Q.quoted(C.SCOPES)})",
-    source_type=f"source_type in ({Q.quoted(C.SOURCE_TYPES)})", status=f"status in ({Q.quoted(C.MEMORY_STATUSES)})", confidence="confidence between 0 and 1", priority="priority between 1 and 10", access_count="access_count between 0 and 2147483647",
+    id="trim(id) <> ''", content="trim(content) <> ''", summary="trim(summary) <> ''", source_session="trim(source_session) <> ''", memory_type=f"memory_type in ({Q.MEMORY_TYPES})", scope=f"scope in ({Q.SCOPES})",
+    source_type=f"source_type in ({Q.SOURCE_TYPES})", status=f"status in ({Q.MEMORY_STATUSES})", confidence="confidence between 0 and 1", priority="priority between 1 and 10", access_count="access_count between 0 and 2147483647",
 )
 
 
@@ -171,7 +171,7 @@ def validate_memories(spark, d):
 
 
 @query(
-    f"""select distinct id, {_sql_errors(source_id="trim(source_id) <> ''", target_id="trim(target_id) <> ''", self_loop="source_id <> target_id", relation_type=f"relation_type in ({Q.quoted(C.RELATIONS)})", strength="strength between 0 and 1", status=f"status in ({Q.quoted(C.EDGE_STATUSES)})")} errors from edges"""
+    f"""select distinct id, {_sql_errors(source_id="trim(source_id) <> ''", target_id="trim(target_id) <> ''", self_loop="source_id <> target_id", relation_type=f"relation_type in ({Q.RELATIONS})", strength="strength between 0 and 1", status=f"status in ({Q.EDGE_STATUSES})")} errors from edges"""
 )
 def validate_edges(spark, d):
     return Tables(spark, d).edges(*EDGE_COLUMNS).select("id", F.array_join(store.edge_errors(), ",").alias("errors"))
@@ -182,7 +182,7 @@ def validate_checkpoints(spark, d):
     return Tables(spark, d).extraction_checkpoints("id", "session_id", "cursor_position").select("id", F.array_join(store.checkpoint_errors(), ",").alias("errors"))
 
 
-@query(f"""select distinct id, {_sql_errors(id="trim(id) <> ''", name="trim(name) <> ''", entity_type=f"entity_type in ({Q.quoted(C.ENTITY_TYPES)})")} errors from entities""")
+@query(f"""select distinct id, {_sql_errors(id="trim(id) <> ''", name="trim(name) <> ''", entity_type=f"entity_type in ({Q.ENTITY_TYPES})")} errors from entities""")
 def validate_entities(spark, d):
     return Tables(spark, d).entities("id", "name", "entity_type").select("id", F.array_join(store.entity_errors(), ",").alias("errors"))
 
@@ -195,9 +195,7 @@ def validate_facts(spark, d):
 
 
 @query(
-    "with w as (select distinct lower(trim(unnest(string_split(text, ' ')), ' ')) word from documents) select word, case "
-    + " ".join(f"when word = '{k}' then '{v}'" for k, v in (dict(zip(C.RELATIONS, C.RELATIONS, strict=True)) | C.RELATION_ALIASES).items())
-    + " end relation from w where word <> ''"
+    f"with w as (select distinct lower(trim(unnest(string_split(text, ' ')), ' ')) word from documents) select word, {Q.RELATION_OF} relation from w where word <> ''"
 )
 def sanitised_relations(spark, d):
     words = Tables(spark, d).documents("text").select(F.explode(F.split("text", " ")).alias("w")).select(F.lower(F.trim("w")).alias("word")).distinct().where("word <> ''")
@@ -244,26 +242,30 @@ def tokenised(spark, d):
     return m.select("id", F.size("t").alias("n"), F.array_join(F.array_sort("t"), " ").alias("tokens"))
 
 
-_UNI = rf"list_filter(string_split(trim(regexp_replace(regexp_replace(lower(text), '[^A-Za-z0-9_\s.\-]', ' ', 'g'), '\s+', ' ', 'g')), ' '), lambda x: length(x) > 1 and x not in ({Q.quoted(C.STOP_WORDS)}))"
+_UNI = rf"list_filter(string_split(trim(regexp_replace(regexp_replace(lower(text), '[^A-Za-z0-9_\s.\-]', ' ', 'g'), '\s+', ' ', 'g')), ' '), lambda x: length(x) > 1 and x not in ({Q.STOP_WORDS}))"
 _UNI_ORDERED = "list_filter(u0, lambda x, i: list_position(u0, x) = i)"
 
 
-@query(f"with a as (select item_id, {_UNI} u0 from eval_items) select item_id, len({_UNI_ORDERED}) n, array_to_string({_UNI_ORDERED}, ' ') words from a")
+@query(f"with a as (select doc_id, {_UNI} u0 from documents where text is not null) select doc_id, len({_UNI_ORDERED}) n, array_to_string({_UNI_ORDERED}, ' ') words from a")
 def unigrams(spark, d):
-    e = Tables(spark, d).eval_items().select("item_id", X.unigrams(F.col("text")).alias("u"))
-    return e.select("item_id", F.size("u").alias("n"), F.array_join("u", " ").alias("words"))
+    e = Tables(spark, d).documents().where("text is not null").select("doc_id", X.unigrams(F.col("text")).alias("u"))
+    return e.select("doc_id", F.size("u").alias("n"), F.array_join("u", " ").alias("words"))
 
 
-@query(f"with a as (select item_id, {_UNI} u0 from eval_items), b as (select item_id, {_UNI_ORDERED} u from a) select item_id, array_to_string(list_transform(range(1, least(len(u) - 1, 10) + 1), lambda i: u[i] || ' ' || u[i + 1]), '|') pairs from b")
+@query(f"with a as (select doc_id, {_UNI} u0 from documents where text is not null), b as (select doc_id, {_UNI_ORDERED} u from a) select doc_id, array_to_string(list_transform(range(1, least(len(u) - 1, 10) + 1), lambda i: u[i] || ' ' || u[i + 1]), '|') pairs from b")
 def bigrams(spark, d):
-    e = Tables(spark, d).eval_items().select("item_id", X.bigrams(X.unigrams(F.col("text"))).alias("b"))
-    return e.select("item_id", F.array_join("b", "|").alias("pairs"))
+    e = Tables(spark, d).documents().where("text is not null").select("doc_id", X.bigrams(X.unigrams(F.col("text"))).alias("b"))
+    return e.select("doc_id", F.array_join("b", "|").alias("pairs"))
 
 
-@query("select doc_id, length(regexp_replace(text, '```[a-z]+.*?```', '', 'gs')) n from documents where text is not null")
+@query("select doc_id, length(regexp_replace(text, '```.*?```', '', 'gs')) n from documents where text is not null")
 def without_blocks(spark, d):
-    stripped = F.regexp_replace(F.col("text"), r"(?s)```[a-z]+.*?```", "")
-    return Tables(spark, d).documents().where("text is not null").select("doc_id", F.length(stripped).alias("n"))
+    return Tables(spark, d).documents().where("text is not null").select("doc_id", F.length(X.strip_blocks(F.col("text"), "```", "```")).alias("n"))
+
+
+@query("select distinct source, '[query] [project:atlas] ' || trim(source) as input from documents where source is not null")
+def query_inputs(spark, d):
+    return Tables(spark, d).documents("source").where("source is not null").select("source", X.query_embedding_text(F.col("source"), "atlas").alias("input"))
 
 
 @query("select doc_id, ceil(length(text) / 4)::bigint tokens, len(string_split(text, chr(10)))::bigint lines from documents where text is not null")
@@ -294,7 +296,7 @@ def classified_edges(spark, d):
 _PAIR_SQL = f"""with m as (select distinct id, {Q.tokens('summary || chr(32) || content')} t, local_embedding::double[] v from memories),
 e as (select distinct id, source_id, target_id from edges)
 select e.id, round({Q.jaccard('a.t', 'b.t')}, 6) jaccard,
-  round(case when a.v is not null and b.v is not null and len(a.v) = len(b.v) then list_cosine_similarity(a.v, b.v) when {Q.jaccard('a.t', 'b.t')} < 0.1 then 0 else {Q.jaccard('a.t', 'b.t')} end, 6) + 0.0 hybrid
+  round(case when a.v is not null and b.v is not null and len(a.v) = len(b.v) then {Q.cosine('a.v', 'b.v')} when {Q.jaccard('a.t', 'b.t')} < 0.1 then 0 else {Q.jaccard('a.t', 'b.t')} end, 6) + 0.0 hybrid
 from e join m a on a.id = e.source_id join m b on b.id = e.target_id"""
 
 
@@ -319,7 +321,7 @@ r as (select *, row_number() over (partition by query_id order by score desc, id
 )
 def nearest_memories(spark, d):
     m = Tables(spark, d).memories("id", "local_embedding").select("id", F.col("local_embedding").cast("array<double>").alias("v"))
-    return search.nearest(fiftieth(m), m, 32, 5).withColumn("score", F.round("score", 6))
+    return blocks.nearest(fiftieth(m), m, 32, 5).withColumn("score", F.round("score", 6))
 
 
 def _one_vector(m: DataFrame, column: str, dim: int) -> list[float]:
@@ -365,43 +367,65 @@ def similar_members(spark, d):
     return similar.similar_texts(Tables(spark, d).memories("id", "summary", "content"))
 
 
-_MATCH = f"""with m as (select distinct id, status, {Q.tokens('summary || chr(32) || content')} t, {_FIFTIETH} asked from memories), c as (select * from m where asked),
-p as (select c.id cid, m.id, {Q.jaccard('c.t', 'm.t')} score from c, m where m.status = 'active' and not m.asked)
+_DUPLICATE = f"""with m as (select distinct id, status, {Q.tokens('summary || chr(32) || content')} t from memories), k as (select id, status, t, len(t) n, unnest(t) w from m),
+p as (select a.id cid, b.id, count(*)::double / (any_value(a.n) + any_value(b.n) - count(*)) j from k a join k b on a.w = b.w and a.id <> b.id and b.status = 'active' group by 1, 2)
 """
 
 
-@query(_MATCH + "select cid, min(id) id from p where score >= 0.75 group by 1")
+@query(_DUPLICATE + "select cid, min(id) id from p where j >= 0.75 group by 1")
 def first_duplicates(spark, d):
     m = Tables(spark, d).memories("id", "status", "summary", "content")
-    new = fiftieth(m)
-    return similar.first_duplicates(new, m.where("status = 'active'").join(new.select("id"), "id", "left_anti"))
+    return similar.first_duplicates(m, m.where("status = 'active'"))
 
 
-@query(
-    _MATCH
-    + """select cid source_id, id target_id, round(score, 6) strength, case when score <= 0.5 then 'suggested' else 'active' end status from p
-where score >= 0.5 and not exists (select 1 from edges e where e.relation_type = 'relates_to' and e.source_id = cid and e.target_id = p.id)"""
-)
-def auto_edges(spark, d):
-    t = Tables(spark, d)
-    m = t.memories("id", "status", "summary", "content")
+def _hybrid_sql(v: str) -> str:
+    """CTEs ending in ``p`` (cid, id, score): the fiftieth ids against the other active memories; ``v``: the vector compared."""
+    j = Q.jaccard("c.t", "m.t")
+    fine = "len(list_filter(v, lambda x: x is null or isnan(x))) = 0"
+    return f"""with m0 as (select distinct id, status, {Q.tokens("summary || ' ' || content")} t, ({v})::double[] v, {_FIFTIETH} asked from memories),
+m as (select id, status, t, asked, case when v is not null and {fine} then v end v from m0), c as (select * from m where asked),
+p as (select c.id cid, m.id, case when c.v is not null and m.v is not null and len(c.v) = len(m.v) then {Q.cosine('c.v', 'm.v')} when {j} < 0.1 then 0 else {j} end score from c, m where m.status = 'active' and not m.asked)
+"""
+
+
+@query(_hybrid_sql("coalesce(embedding, local_embedding::double[])") + "select least(cid, id) id_a, greatest(cid, id) id_b, round(score, 6) score from p where score >= 0.5")
+def hybrid_pairs(spark, d):
+    m = Tables(spark, d).memories()
     new = fiftieth(m)
-    return similar.auto_edges(new, m.where("status = 'active'").join(new.select("id"), "id", "left_anti"), t.edges(*EDGE_COLUMNS), C.SUGGEST_TO)  # as its SQL asks; auto_edges_whole has the operator's own range
+    return similar.hybrid_pairs(new, m.where("status = 'active'").join(new.select("id"), "id", "left_anti"))
+
+
+_TO_32 = "case when len(local_embedding) = 32 then local_embedding end"
 
 
 @query(
-    _MATCH
-    + """select cid source_id, id target_id, round(score, 6) strength, case when score >= 0.4 and score <= 0.5 then 'suggested' else 'active' end status from p
+    _hybrid_sql(_TO_32)
+    + """select cid source_id, id target_id, round(score, 6) strength, case when round(score, 6) >= 0.4 and round(score, 6) <= 0.5 then 'suggested' else 'active' end status from p
 where score >= 0.1 and not exists (select 1 from edges e where e.relation_type = 'relates_to' and e.source_id = cid and e.target_id = p.id)"""
 )
-def auto_edges_whole(spark, d):
+def auto_edges(spark, d):
     t = Tables(spark, d)
-    m = t.memories("id", "status", "summary", "content")
+    m = t.memories().select("id", "status", "summary", "content", "local_embedding")
     new = fiftieth(m)
     return similar.auto_edges(new, m.where("status = 'active'").join(new.select("id"), "id", "left_anti"), t.edges(*EDGE_COLUMNS))
 
 
-@query()
+_DEDUP = (
+    _hybrid_sql(_TO_32).replace("with m0", "with recursive m0")
+    + f""", b as (select distinct id, source_session batch, created_at ord from memories), best as (select cid id, max(round(score, 9)) score from p where score >= 0.75 group by 1),
+hit as (select best.id, best.score, (select min(p.id) from p where p.cid = best.id and round(p.score, 9) = best.score) "match" from best),
+f as (select c.id, c.t, c.v, batch, row_number() over (partition by batch order by ord, c.id) k from c join b on b.id = c.id where c.id not in (select id from hit)),
+x as (select a.batch, a.k ka, b.k kb from f a join f b on a.batch = b.batch and a.k < b.k where case when a.v is not null and b.v is not null and len(a.v) = len(b.v) then {Q.cosine('a.v', 'b.v')} else {Q.jaccard('a.t', 'b.t')} end >= 0.75),
+w(batch, k, kept) as (select batch, 0::bigint, []::bigint[] from (select distinct batch from f) union all
+  select w.batch, w.k + 1, case when exists (select 1 from x where x.batch is not distinct from w.batch and x.kb = w.k + 1 and list_contains(w.kept, x.ka)) then w.kept else list_append(w.kept, w.k + 1) end
+  from w where exists (select 1 from f where f.batch is not distinct from w.batch and f.k = w.k + 1)),
+z as (select batch, arg_max(kept, k) kept from w group by 1)
+select id, case when score >= 0.85 then 'skip' else 'merge' end decision, case when score < 0.85 then "match" end "match" from hit union all
+select f.id, case when list_contains(z.kept, f.k) then 'keep' else 'skip' end, null from f join z on z.batch is not distinct from f.batch"""
+)
+
+
+@query(_DEDUP)
 def dedup_candidates(spark, d):
     m = Tables(spark, d).memories().select("id", "status", "summary", "content", "local_embedding", "source_session", "created_at").dropDuplicates(["id"])
     new = fiftieth(m).withColumnsRenamed({"source_session": "batch", "created_at": "ord"})
@@ -411,25 +435,26 @@ def dedup_candidates(spark, d):
 # search
 
 
-def _search(words: str, every: bool, limit: int) -> str:
-    return f"with {Q.bm25(search.phrases_of(words), every)} select id, round(score, 6) score from scored order by scored.score desc, id limit {limit}"
+def _search(phrases: list[list[str]], every: bool, limit: int) -> str:
+    return f"with {Q.bm25(phrases, every)} select id, round(score, 6) score from scored order by scored.score desc, id limit {limit}"
 
 
 def _searched(spark: SparkSession, d: str) -> DataFrame:
-    return Tables(spark, d).memories("id", "status", "scope", "memory_type", "content", "summary", "tags", "source_context")
+    """Memories as delivered: search reads their texts once and tells records apart by what it counts."""
+    return Tables(spark, d).memories().select("id", "status", "scope", "memory_type", "content", "summary", "tags", "source_context")
 
 
-@query(_search("cache index", True, 20))
+@query(_search([["cache"], ["index"]], True, 20))
 def keyword_and(spark, d):
     return search.keyword_search(_searched(spark, d), "cache index", 20).select("id", F.round("score", 6).alias("score"))
 
 
-@query(_search("nested queue retry", False, 20))
+@query(_search([["nested"], ["queue"], ["retry"]], False, 20))
 def keyword_or(spark, d):
     return search.keyword_search(_searched(spark, d), "nested queue retry", 20, every=False).select("id", F.round("score", 6).alias("score"))
 
 
-@query(_search("cold-start", True, 20))
+@query(_search([["cold", "start"]], True, 20))
 def keyword_phrase(spark, d):
     return search.keyword_search(_searched(spark, d), "cold-start", 20).select("id", F.round("score", 6).alias("score"))
 
@@ -437,7 +462,7 @@ def keyword_phrase(spark, d):
 _POS = "case when count(*) over () = 1 then 1.0 else 1 - (row_number() over (order by scored.score desc, id) - 1) / greatest(count(*) over () - 1, 1) * 0.5 end"
 
 
-@query(f"with {Q.bm25(search.phrases_of('cache index'), True)}, top as (select * from scored order by score desc, id limit 20) select id, round({_POS.replace('scored.', 'top.')}, 6) score from top")
+@query(f"with {Q.bm25([['cache'], ['index']], True)}, top as (select * from scored order by score desc, id limit 20) select id, round({_POS.replace('scored.', 'top.')}, 6) score from top")
 def position_scores(spark, d):
     hits = search.keyword_search(_searched(spark, d), "cache index", 20)
     return search.position_scores(hits, [F.desc("score"), F.asc("id")]).select("id", F.round("score", 6).alias("score"))
@@ -466,11 +491,11 @@ _PROMPT = "why does the retry cache keep the index stale"
 
 
 def _prompt_sql() -> str:
-    words = search.unigrams_of(_PROMPT)
-    both = words + [f"{a} {b}" for a, b in zip(words, words[1:], strict=False)][:10]
+    words = ["retry", "cache", "keep", "index", "stale"]
+    both = [*words, "retry cache", "cache keep", "keep index", "index stale"]
     ctes, tiers = [], []
     for t, (parts, every) in enumerate(((words, True), (both, False))):
-        for s, scope in enumerate(C.SCOPES):
+        for s, scope in enumerate(('project', 'global')):
             cte = Q.bm25([p.split() for p in parts], every, f"scope = '{scope}'")
             for n in ("toks", "counted", "stats", "scored"):
                 cte = cte.replace(f"{n} as (", f"{n}{t}{s} as (").replace(f"from {n}", f"from {n}{t}{s}").replace(f", {n} where", f", {n}{t}{s} where")
@@ -486,22 +511,57 @@ def prompt_recall(spark, d):
     return search.prompt_recall(_searched(spark, d), _PROMPT)
 
 
-@query()
+def _recall_sql(best: str) -> str:
+    """``best``: CTEs ending in ``m`` (id, score, source), the merged hits; with what each is linked to, code first, then by distance."""
+    live = f"select distinct id, source_id, target_id, relation_type from edges where {_LIVE} and relation_type in ({Q.RELATIONS})"
+    return f"""with {best}, e as ({live}), mv as (select source_id f, target_id t from e union select target_id, source_id from e), known as (select distinct id from memories),
+d1 as (select m.id root, t id from m join mv on mv.f = m.id where t <> m.id), d2 as (select d1.root, mv.t id from d1 join mv on mv.f = d1.id),
+r as (select m.id root, e.target_id id, 0 depth from m join e on e.source_id = m.id and e.relation_type = 'source_of' union all select root, id, 1 from d1 union all select root, id, 2 from d2 where id <> root),
+n as (select root, id, min(depth) depth from r where id in (select id from known) group by 1, 2),
+l as (select root, string_agg(id, ',' order by depth, id) related from n group by 1)
+select m.id, round(m.score, 6) score, m.source, coalesce(l.related, '') related from m left join l on l.root = m.id"""
+
+
+def _recalled(df: DataFrame) -> DataFrame:
+    return df.select("id", F.round("score", 6).alias("score"), "source", F.array_join("related", ",").alias("related"))
+
+
+_MERGED = "m as (select id, arg_min(score, p) score, arg_min(source, p) source from u group by 1 order by 2 desc, min(p), id limit 10)"
+_KEYWORD = ", ".join(
+    re.sub(r"\b(toks|counted|stats|scored)\b", rf"\g<1>{k}", Q.bm25([["cache"], ["retry"]], True, f"scope = '{scope}'")) + f", t{k} as (select id, '{scope}' as source, {k} p, score s from scored{k} order by score desc, id limit 10),"
+    f" h{k} as (select id, source, p, case when count(*) over () = 1 then 1.0 else 1 - (row_number() over (order by s desc, id) - 1) / greatest(count(*) over () - 1, 1) * 0.5 end score from t{k})"
+    for k, scope in enumerate(("project", "global"))
+)
+
+
+@query(_recall_sql(f"{_KEYWORD}, u as (select * from h0 union all select * from h1), {_MERGED}"))
 def recall_keyword(spark, d):
-    return search.recall(_searched(spark, d), Tables(spark, d).edges(*EDGE_COLUMNS), "cache retry")
+    return _recalled(search.recall(_searched(spark, d), Tables(spark, d).edges(*EDGE_COLUMNS), "cache retry"))
+
+
+_FUSED = f"list_cosine_similarity(qv, v) * (1 + 0.3 * {Q.jaccard(Q.tokens(chr(39) + _QT + chr(39)), 't')})"
+_SEMANTIC = (
+    f"{_Q1}, v as (select distinct id, scope, local_embedding::double[] v, {Q.tokens("summary || ' ' || array_to_string(coalesce(tags, []), ' ')")} t from memories where {_LOCAL}), "
+    + ", ".join(
+        re.sub(r"\b(toks|counted|stats|scored)\b", rf"\g<1>{k}", Q.bm25([["cold"], ["cache"], ["retry"], ["index"]], False, f"scope = '{scope}'"))
+        + f", t{k} as (select id from scored{k} order by score desc, id limit 100),"
+        f" h{k} as (select id, '{scope}' as source, {k} p, {_FUSED} score from v, q where scope = '{scope}' and (id in (select id from t{k}) or not exists (select 1 from t{k})) and list_cosine_similarity(qv, v) >= 0.25 order by score desc, id limit 10)"
+        for k, scope in enumerate(("project", "global"))
+    )
+)
 
 
-@query()
+@query(_recall_sql(f"{_SEMANTIC}, u as (select id, source, p, score from h0 union all select id, source, p, score from h1), {_MERGED}"))
 def recall_semantic(spark, d):
     t = Tables(spark, d)
-    m = t.memories("id", "status", "scope", "memory_type", "content", "summary", "tags", "source_context", "local_embedding")
-    return search.recall(m, t.edges(*EDGE_COLUMNS), _QT, _one_vector(m, "local_embedding", 32), "local_embedding")
+    m = t.memories().select("id", "status", "scope", "memory_type", "content", "summary", "tags", "source_context", "local_embedding")
+    return _recalled(search.recall(m, t.edges(*EDGE_COLUMNS), _QT, _one_vector(m, "local_embedding", 32), "local_embedding"))
 
 
 # graph
 
 
-_CENT = f"""cent as (select target_id id, count(*) in_degree, count(*) / (max(count(*)) over ()) centrality from (select distinct id, target_id from edges where {_LIVE} and relation_type in ({Q.quoted(C.RELATIONS)})) where target_id is not null group by 1)"""
+_CENT = f"""cent as (select target_id id, count(*) in_degree, count(*) / (max(count(*)) over ()) centrality from (select distinct id, target_id from edges where {_LIVE} and relation_type in ({Q.RELATIONS})) where target_id is not null group by 1)"""
 
 
 @query(f"with {_CENT} select id, in_degree, round(centrality, 9) centrality from cent")
@@ -533,7 +593,12 @@ def bfs_filtered(spark, d):
     return graph.traverse(e, t.memories("id", "pinned").where("pinned").select("id"), 3, ["derived_from", "refines", "source_of"], "outgoing", 0.4).select("root", "id", "depth")
 
 
-@query()
+@query(
+    f"""with recursive mv as materialized (select distinct id eid, source_id f, target_id t from edges where {_LIVE} and relation_type in ('supersedes', 'refines')), st as (select distinct id root from memories where pinned),
+w(root, id, depth, path) as (select root, root, 0, []::varchar[] from st union all select w.root, mv.t, w.depth + 1, list_append(w.path, mv.eid) from w join mv on mv.f = w.id where w.depth < 3),
+s as (select root, id, min(depth) depth from w where id <> root group by 1, 2)
+select s.root, s.id, s.depth, array_to_string(min(w.path), '>') path from s join w on w.root = s.root and w.id = s.id and w.depth = s.depth group by 1, 2, 3"""
+)
 def bfs_paths(spark, d):
     t = Tables(spark, d)
     e = store.live_edges(t.edges(*EDGE_COLUMNS))
@@ -582,24 +647,36 @@ def rank_all(spark, d):
     return _ranked(spark, d).select("id", F.round("rank", 6).alias("rank"))
 
 
-_BUDGET = "case memory_type " + " ".join(f"when '{k}' then {v}" for k, v in C.LINE_BUDGETS.items()) + " else 0 end"
 _SIZED = f"{_RANK}, z as (select *, len(string_split(summary, chr(10))) lines, ceil(length(summary) / 4)::bigint tokens from r)"
 
 
-@query(
-    f"""with {_SIZED},
+def _surface_sql(target: int, most: int) -> str:
+    return f"""with {_SIZED},
 e as (select *, coalesce(sum(lines) over (partition by memory_type order by rank desc, id rows between unbounded preceding and 1 preceding), 0) lb from z),
-f as (select *, sum(tokens) over (order by rank desc, id) tt from e where lb < {_BUDGET}),
-one as (select id, memory_type, rank, tokens from f where tt - tokens < {C.SURFACE_TARGET} and tt <= {C.SURFACE_MAX}),
+f as (select *, sum(tokens) over (order by rank desc, id) tt from e where lb < {Q.LINE_BUDGET}),
+one as (select id, memory_type, rank, tokens from f where tt - tokens < {target} and tt <= {most}),
 g as (select *, (select coalesce(sum(tokens), 0) from one) + sum(tokens) over (order by rank desc, id) tt from z where id not in (select id from one)),
-two as (select id, memory_type, rank from g where tt - tokens < {C.SURFACE_TARGET} and tt <= {C.SURFACE_MAX})
+two as (select id, memory_type, rank from g where tt - tokens < {target} and tt <= {most})
 select id, memory_type, round(rank, 6) rank, 1 as pass from one union all select id, memory_type, round(rank, 6), 2 from two"""
-)
+
+
+@query(_surface_sql(1300, 1800))
 def surface_select(spark, d):
     return ranking.select_for_surface(_ranked(spark, d)).select("id", "memory_type", F.round("rank", 6).alias("rank"), "pass")
 
 
-@query()
+@query(_surface_sql(9000, 9500))
+def surface_select_wide(spark, d):
+    """With room for so many tokens that the line budgets decide the first pass."""
+    return ranking.select_for_surface(_ranked(spark, d), 9000, 9500).select("id", "memory_type", F.round("rank", 6).alias("rank"), "pass")
+
+
+@query(
+    f"""with recursive {_SIZED}, c as (select *, sum(lines) over (partition by memory_type order by rank desc, id) cum from z), one as (select * from c where cum <= {Q.LINE_BUDGET}),
+o as (select id, memory_type, rank, lines, row_number() over (order by rank desc, id) i from c where cum > {Q.LINE_BUDGET}),
+w(i, room, took) as (select 0::bigint, 150 - (select coalesce(sum(lines), 0) from one)::bigint, false union all select o.i, case when o.lines <= w.room then w.room - o.lines else w.room end, o.lines <= w.room from w join o on o.i = w.i + 1 where w.room > 0)
+select id, memory_type, round(rank, 6) rank, 1 as pass from one union all select id, memory_type, round(rank, 6), 2 from o where i in (select i from w where took)"""
+)
 def allocate_budget(spark, d):
     return ranking.allocate_budget(_ranked(spark, d)).withColumn("rank", F.round("rank", 6))
 
@@ -607,7 +684,7 @@ def allocate_budget(spark, d):
 # decay and lifecycle
 
 
-_HALF = "case memory_type " + " ".join(f"when '{k}' then {v}.0" for k, v in C.HALF_LIVES.items()) + " end * (1 + 0.3 * log2(1.0 + access_count)) * (1 + coalesce(centrality, 0))"
+_HALF = Q.HALF_LIFE + " * (1 + 0.3 * log2(1.0 + access_count)) * (1 + coalesce(centrality, 0))"
 _LIFE = f"""{_CENT}, m as (select distinct id, status, memory_type, confidence, access_count, pinned, last_accessed_at from memories),
 h as (select m.*, coalesce(centrality, 0) c, {_HALF} hl, {Q.days('last_accessed_at')} idle from m left join cent using (id)),
 x as (select *, case when pinned or hl is null then confidence else confidence * pow(0.5, idle / hl) end eff from h),
@@ -647,14 +724,14 @@ def lifecycle_edges(spark, d):
 
 @query(
     """with g as (select distinct id from memories where status = 'pruned' and updated_at < timestamp '2026-01-01' - interval 90 days)
-select 'memories' as kind, count(distinct id) n from memories where id not in (select id from g) union all
-select 'edges', count(distinct id) from edges where not (source_id in (select id from g) or target_id in (select id from g)) union all
-select 'facts', count(distinct id) from facts where source_memory_id is null or source_memory_id not in (select id from g)"""
+select distinct 'memories' as kind, id from memories where id not in (select id from g) union all
+select distinct 'edges', id from edges where not (source_id in (select id from g) or target_id in (select id from g)) union all
+select distinct 'facts', id from facts where source_memory_id is null or source_memory_id not in (select id from g)"""
 )
 def vacuumed(spark, d):
     t = Tables(spark, d)
     states = store.vacuum(t.memories("id", "status", "updated_at"), t.edges("id", "source_id", "target_id"), t.facts("id", "source_memory_id"), NOW)
-    parts = [s.agg(F.lit(k).alias("kind"), F.count(F.lit(1)).alias("n")) for k, s in zip(("memories", "edges", "facts"), states, strict=True)]
+    parts = [s.select(F.lit(k).alias("kind"), "id") for k, s in zip(("memories", "edges", "facts"), states, strict=True)]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
@@ -714,10 +791,20 @@ def entity_query(spark, d):
     return knowledge.entity_query(t.entities("id", "name"), t.facts("id", "entity_id", "source_memory_id", "valid_to"), t.memories("id"), found, history=True)
 
 
+@query(
+    f"""with {_FOUND}, f as (select distinct id, entity_id, predicate, object, valid_from, valid_to, source_memory_id from facts where valid_to is null)
+select found.id, name, f.id fact_id, predicate, object, valid_from, valid_to, m.id as source from found left join f on f.entity_id = found.id left join (select distinct id from memories) m on m.id = f.source_memory_id"""
+)
+def entity_answer(spark, d):
+    t = Tables(spark, d)
+    found = search.search_entities(t.entities("id", "name", "aliases"), "systems dorothy", 50)
+    return knowledge.entity_answer(t.facts("id", "entity_id", "predicate", "object", "valid_from", "valid_to", "source_memory_id", "created_at"), t.memories("id"), found)
+
+
 # inspect
 
 
-@query(f"select memory_type, count(distinct id) n from (select * from (values {', '.join('(' + Q.quoted([x]) + ')' for x in C.MEMORY_TYPES)}) v(memory_type)) left join memories using (memory_type) group by 1")
+@query(f"select memory_type, count(distinct id) n from (select unnest([{Q.MEMORY_TYPES}]) memory_type) left join memories using (memory_type) group by 1")
 def inspect_by_type(spark, d):
     return inspect.by_type(Tables(spark, d).memories("id", "memory_type"))
 
@@ -774,6 +861,11 @@ def transcript_resumed(spark, d):
     return ingest.next_chunk(docs.join(first.select("id", F.col("new_cursor").alias("cursor")), "id"), budget=BUDGET).select("id", "new_cursor", F.length("chunk").alias("n"))
 
 
+@query()
+def transcript_read(spark, d):
+    return ingest.every_chunk(Tables(spark, d).documents(), "doc_id", budget=BUDGET)
+
+
 _RESPONSE_PRIORITY = "case when access_count % 7 = 0 then priority + 0.5 else priority end"
 
 
@@ -788,6 +880,25 @@ def parsed_candidates(spark, d):
 # mutations
 
 
+def _live_state(spark: SparkSession, d: str) -> api.State:
+    return api.State.load(spark, d)
+
+
+@query(f"with {_LIFE} select count(*) filter (status = 'active' and abs(eff - confidence) > 0.001) decayed, count(*) filter (status = 'active' and fin in ('archived', 'pruned')) archived, count(*) filter (fin = 'pruned' and status <> 'pruned') pruned from o")
+def command_lifecycle(spark, d):
+    return api.lifecycle(_live_state(spark, d), NOW)[0]
+
+
+@query(SQL["telemetry"])
+def command_inspect(spark, d):
+    return api.inspect(_live_state(spark, d))
+
+
+@query(SQL["recall_keyword"])
+def command_recall(spark, d):
+    return _recalled(api.recall(_live_state(spark, d), "cache retry")[0])
+
+
 @query("with m as (select distinct id, source_session, access_count from memories) select id, case when id in (select source_memory_id from facts) then access_count + 1 else access_count end access_count from m")
 def access_updated(spark, d):
     t = Tables(spark, d)
@@ -809,30 +920,30 @@ def edges_deleted(spark, d):
 
 @query(
     """with n as (select distinct target_id source_id, source_id target_id from edges where bidirectional and relation_type = 'relates_to' and strength between 0 and 1 and source_id <> target_id and trim(source_id) <> '' and trim(target_id) <> '' and status in ('active', 'suggested', 'archived')),
-have as (select distinct source_id, target_id from edges where relation_type = 'relates_to') select count(*) inserted from n anti join have using (source_id, target_id)"""
+have as (select distinct source_id, target_id from edges where relation_type = 'relates_to') select source_id, target_id from n anti join have using (source_id, target_id)"""
 )
 def edges_inserted(spark, d):
     e = Tables(spark, d).edges(*EDGE_COLUMNS)
     back = e.where("bidirectional and relation_type = 'relates_to'").select(F.concat("id", F.lit("-back")).alias("id"), F.col("target_id").alias("source_id"), F.col("source_id").alias("target_id"), "relation_type", "strength", "bidirectional", "status")
-    return store.insert_edges(e, back).where("id like '%-back'").agg(F.count(F.lit(1)).alias("inserted"))
+    return store.insert_edges(e, back).where("id like '%-back'").select("source_id", "target_id")
 
 
-@query("with e as (select distinct id, name, entity_type from entities), n as (select distinct lower(predicate) k from facts where predicate is not null) select count(*) added from n where k not in (select lower(name) from e where entity_type = 'concept' and name is not null)")
+@query("with e as (select distinct id, name, entity_type from entities), n as (select distinct lower(predicate) k from facts where predicate is not null) select k as added from n where k not in (select lower(name) from e where entity_type = 'concept' and name is not null)")
 def entities_upserted(spark, d):
     t = Tables(spark, d)
     new = t.facts("predicate").where("predicate is not null").select(F.concat(F.lit("new-"), "predicate").alias("id"), F.col("predicate").alias("name"), F.lit("concept").alias("entity_type"))
-    return store.upsert_entities(t.entities("id", "name", "entity_type"), new).where("id like 'new-%'").agg(F.count(F.lit(1)).alias("added"))
+    return store.upsert_entities(t.entities("id", "name", "entity_type"), new).where("id like 'new-%'").select(F.lower("name").alias("added"))
 
 
 @query(
-    """with e as (select distinct id, source_id, target_id, relation_type, strength from edges), c as (select source_id, target_id, arg_max(relation_type, id) ty from e where relation_type in ('refines', 'contradicts') group by 1, 2)
-select e.relation_type as before, case when e.relation_type = 'relates_to' and c.ty is not null and not exists (select 1 from e x where x.source_id = e.source_id and x.target_id = e.target_id and x.relation_type = c.ty) then c.ty else e.relation_type end as after, count(*) n from e left join c on c.source_id = e.target_id and c.target_id = e.source_id group by 1, 2"""
+    """with e as (select distinct id, source_id, target_id, relation_type, strength, bidirectional, status from edges), c as (select source_id, target_id, arg_max(relation_type, id) ty from e where relation_type in ('refines', 'contradicts') group by 1, 2),
+h as (select e.*, case when e.relation_type = 'relates_to' and c.ty is not null and not exists (select 1 from e x where x.source_id = e.source_id and x.target_id = e.target_id and x.relation_type = c.ty) then c.ty end ty from e left join c on c.source_id = e.target_id and c.target_id = e.source_id)
+select id, coalesce(ty, relation_type) relation_type, case when ty is null then strength else 0.9 end strength, ty is not null or bidirectional as bidirectional, case when ty is null then status else 'active' end status from h"""
 )
 def edges_retyped(spark, d):
     e = Tables(spark, d).edges(*EDGE_COLUMNS)
     said = e.where("relation_type in ('refines', 'contradicts')").select(F.col("target_id").alias("source_id"), F.col("source_id").alias("target_id"), "relation_type", F.lit(0.9).alias("strength"), F.col("id").alias("ord"))
-    after = store.retype_edges(e, said)
-    return e.select("id", F.col("relation_type").alias("before")).join(after.select("id", F.col("relation_type").alias("after")), "id").groupBy("before", "after").agg(F.count(F.lit(1)).alias("n"))
+    return store.retype_edges(e, said).select("id", "relation_type", "strength", "bidirectional", "status")
 
 
 _PAIRS_OF = "with e as (select distinct source_id a, target_id b from edges where relation_type = 'supersedes' and status = 'active' and source_id <> target_id), m as (select distinct id, memory_type, scope, priority, pinned, tags from memories)"

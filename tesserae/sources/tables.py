@@ -16,12 +16,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written to the shared checkpoint folder, its lineage cut.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset (local tests) a
-    temporary one is made. Lost executors cannot lose the data.
+    The folder is the session's ``spark.checkpoint.dir``. Where that is unset a temporary one is made if
+    all runs on this machine (tests); on a cluster, whose executors would each write to a disk of their
+    own, it is an error. Lost executors cannot lose the data.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if folder is None and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
     return df.checkpoint(eager=True)
 
 
@@ -54,3 +58,13 @@ def first_loads(df: DataFrame, id_col: str = "id", keep: list[str] | None = None
     """
     cols = keep if keep is not None else [c for c in df.columns if c not in (id_col, "loaded_at")]
     return df.groupBy(id_col, *cols).agg(F.min("loaded_at").alias("loaded_at"))
+
+
+def records(df: DataFrame, id_col: str = "id") -> DataFrame:
+    """One row per id with all its columns: of a record delivered again any copy (they are equal), ``loaded_at`` the earliest.
+
+    Null ids fall together, as one record of no name would. One shuffle by id, combined map-side.
+    """
+    others = [c for c in df.columns if c not in (id_col, "loaded_at")]
+    load = [F.min("loaded_at").alias("loaded_at")] if "loaded_at" in df.columns else []
+    return df.groupBy(id_col).agg(*(F.first(c).alias(c) for c in others), *load).select(*df.columns)

@@ -84,3 +84,18 @@ def test_allocation_against_loop(spark):
         df = spark.createDataFrame([(*r, "clash") for r in rows], S)
         for overflow in (True, False):
             assert {r.id: r["pass"] for r in R.allocate_budget(df, budgets, overflow).collect()} == allocate(rows, budgets, overflow)
+
+
+def test_fixed_values():
+    """Every constant that must equal its published value, written out once more."""
+    assert C.LINE_BUDGETS == {"architecture": 25, "decision": 25, "pattern": 25, "gotcha": 20, "progress": 30, "context": 15, "code_description": 10, "code": 0}
+    assert (C.IGNORE_BELOW, C.RELATE_BELOW, C.SUGGEST_TO, C.SIMILAR_ABOVE, C.DIFFERENT_BELOW) == (0.1, 0.4, 0.5, 0.6, 0.1)
+    assert (C.DEDUP, C.INTRA_BATCH, C.MERGE_CEILING, C.CONSOLIDATION) == (0.75, 0.75, 0.85, 0.5)
+    assert (C.PREFILTER_LIMIT, C.MIN_COSINE, C.KEYWORD_OVERLAP_WEIGHT, C.RECALL_LIMIT, C.TRAVERSAL_DEPTH) == (100, 0.25, 0.3, 10, 2)
+    assert (C.PROMPT_MIN_TOKENS, C.PROMPT_LIMIT, C.AND_MIN, C.AND_MAX, C.FALLBACK_MIN_UNIGRAMS, C.FALLBACK_COSINE, C.FALLBACK_LIMIT) == (2, 5, 2, 6, 4, 0.65, 3)
+    assert (C.W_CONFIDENCE, C.W_PRIORITY, C.W_CENTRALITY, C.W_ACCESS, C.BRANCH_BOOST, C.RECENCY_DAYS) == (0.5, 0.2, 0.15, 0.15, 0.1, 14.0)
+    assert (C.SURFACE_TARGET, C.SURFACE_MAX, C.RENDER_MAX) == (1300, 1800, 2000) and C.HALF_LIVES == {"pattern": 60, "gotcha": 45, "context": 30, "progress": 7}
+    assert (C.ARCHIVE_BELOW, C.ARCHIVE_DAYS, C.PRUNE_DAYS, C.VACUUM_DAYS, C.HUB_ABOVE, C.LIFECYCLE_FALLBACK_HOURS) == (0.3, 14, 30, 90, 0.5, 2.0)
+    assert (C.PRUNE_SESSIONS, C.PRUNE_MEMORIES, C.PRUNE_GROWTH, C.PRUNE_LEAST, C.PRUNE_BATCH) == (5, 50, 1.25, 8, 80)
+    assert (C.EMBED_BATCH, C.CLASSIFY_BATCH, C.TRANSCRIPT_BYTES, C.MAX_ENTITIES, C.MAX_FACTS, C.KNOWN_ENTITIES) == (100, 10, 100_000, 5, 3, 20)
+    assert len(C.STOP_WORDS) == 128 and len(set(C.STOP_WORDS)) == 128

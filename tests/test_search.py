@@ -3,6 +3,7 @@ import sqlite3
 import numpy as np
 import pytest
 
+from tesserae.operators import blocks as B
 from tesserae.operators import search as S
 
 M = "id string, scope string, status string, memory_type string, content string, summary string, tags array<string>, source_context string, score string, r int"
@@ -74,14 +75,16 @@ def test_tag_only(memories):
     assert S.unigrams_of("Please fix the v1.2 cold-start, cold-start!") == ["fix", "v1.2", "cold-start"]
 
 
-def test_nearest_against_numpy(spark, monkeypatch):
+@pytest.mark.parametrize("at_once", [7, 2000])
+def test_nearest_against_numpy(spark, monkeypatch, at_once):
     rnd = np.random.default_rng(1)
     rows = [(f"m{k:03d}", rnd.normal(size=8).tolist()) for k in range(90)] + [("n1", None), ("n2", [0.0] * 8), ("n3", [1.0] * 5), ("m000", None)]
     rows += [("t1", rows[0][1]), ("t2", rows[0][1])]
     df = spark.createDataFrame(rows, "id string, v array<double>")
-    monkeypatch.setattr(S, "QUERIES_AT_ONCE", 7)
+    monkeypatch.setattr(B, "QUERIES_AT_ONCE", at_once)
+    monkeypatch.setattr(B, "ROWS_AT_ONCE", 40)
     got = {}
-    for r in S.nearest(df.where("id like 'm00%' and v is not null"), df, 8, 4).orderBy("query_id", "rank").collect():
+    for r in B.nearest(df.where("id like 'm00%' and v is not null"), df, 8, 4).orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append(r.id)
     pool = [(i, np.array(v) / np.linalg.norm(v)) for i, v in rows if v is not None and len(v) == 8 and any(v)]
     for q, u in pool:
@@ -95,3 +98,13 @@ def test_merge_and_positions(spark):
     assert [(r.id, r.source) for r in S.merge_results(df, 3).collect()] == [("c", "project"), ("b", "global"), ("a", "project")]
     one = S.position_scores(df.limit(1), [df["id"].asc()]).collect()
     assert one[0].score == 1.0
+
+
+def test_text_is_never_shuffled(memories):
+    counted = S.occurrences(memories, [["cache"], ["cold", "start"]])
+    assert set(counted.columns) == {"id", "status", "scope", "_f0", "_f1", "_len"}
+    hits = S.bm25(counted, [0], True)
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    assert "content" not in plan and "summary" not in plan
+    again = S.keyword_search(memories.unionByName(memories), "cache", 9)  # delivered twice, counted once
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, S.keyword_search(memories, "cache", 9).collect()))

@@ -124,3 +124,34 @@ def test_auto_edges_of_the_whole_range(spark):
     score = {(a[0], b[0]): jac(tok(*a[1:3]), tok(*b[1:3])) for a in new for b in old if tok(*a[1:3]) and tok(*b[1:3])}
     assert got == {k: (round(v, 6), "suggested" if 0.4 <= v <= 0.5 else "active") for k, v in score.items() if v >= 0.1}
     assert any(v < 0.4 for v, _ in got.values()) and "suggested" in {s for _, s in got.values()}
+
+
+def test_hybrid_block_paths(spark, monkeypatch):
+    from tesserae.operators import blocks
+
+    rnd = random.Random(4)
+    made = [(f"m{k:02d}", "s", " ".join(f"w{rnd.randrange(9)}" for _ in range(rnd.randint(0, 6))), [rnd.gauss(0, 1) for _ in range(rnd.choice([2, 2, 3]))] if rnd.random() < 0.6 else None, "x") for k in range(60)]
+    made += [("nan", "s", "w1 w2", [float("nan"), 1.0], "x"), ("zero", "s", "w1 w2", [0.0, 0.0], "x"), ("none", None, None, None, "x")]
+    df = spark.createDataFrame(made, "id string, summary string, content string, v array<double>, tokens string")
+
+    def score(p, q):
+        a, b = (None if r[3] is None or any(x != x for x in r[3]) else r[3] for r in (p, q))
+        if a is not None and b is not None and len(a) == len(b):
+            n = (sum(x * x for x in a) * sum(x * x for x in b)) ** 0.5
+            return sum(x * y for x, y in zip(a, b, strict=True)) / n if n else 0.0
+        j = jac(tok(p[1], p[2]), tok(q[1], q[2]))
+        return j if j >= 0.1 else 0.0
+
+    want = {(p[0], q[0]): round(score(p, q), 6) for p in made for q in made if p[0] != q[0] and score(p, q) >= 0.3}
+    for at_once in (10_000, 9):
+        real = blocks.compare
+        monkeypatch.setattr(blocks, "compare", lambda q, r, f, schema, at_once, k=at_once: real(q, r, f, schema, k))
+        monkeypatch.setattr(blocks, "ROWS_AT_ONCE", 20)
+        assert {(r.cid, r.id): round(r.score, 6) for r in blocks.hybrid(df.unionByName(df), df, 0.3).collect()} == want
+        monkeypatch.setattr(blocks, "compare", real)
+
+
+def test_hot_token_may_be_split(spark):
+    """No hand-made partitioning stands before the join on tokens, which would keep AQE from splitting a skewed one."""
+    _, classes = S.set_classes(spark.createDataFrame(rows(3), M), S.compared_text())
+    assert "REPARTITION_BY" not in S.set_join(classes, classes, 0.5, itself=True)._jdf.queryExecution().executedPlan().toString()

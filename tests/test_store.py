@@ -150,3 +150,12 @@ def test_supersede_across_segments(spark):
     for period in ("week", "year"):
         got = {r.id: [r.valid_to, r.superseded] for r in knowledge.supersede(df, ["at", "id"], ["entity_id", "predicate"], period).collect()}
         assert got == want
+
+
+def test_update_clears_and_never_multiplies(spark):
+    s = spark.createDataFrame([("a", "x", 1), ("b", "y", 2)], "id string, v string, n int")
+    twice = spark.createDataFrame([("a", None, 5), ("a", "q", 4)], "id string, v string, n int")
+    assert sorted(map(tuple, store.update(s, twice, NOW).collect())) == [("a", "x", 5), ("b", "y", 2)]
+    assert sorted(map(tuple, store.update(s, twice, NOW, clear=("v",)).collect())) == [("a", None, 5), ("b", "y", 2)]
+    first = store.insert(s, spark.createDataFrame([("c", "z", 9), ("c", "a", 1)], "id string, v string, n int"), ["id"])
+    assert [r.v for r in first.where("id = 'c'").collect()] == ["a"]
