@@ -4,27 +4,26 @@ Reciprocal-nearest-neighbour average linkage. A cluster is kept as the sum of it
 vectors and their number; the average cosine between two clusters is then
 ``dot(sum_a, sum_b) / (n_a * n_b)``, exactly, without visiting members. In a round all pairs of
 clusters that are each other's best partner merge at once; rounds go on until no pair of mutual best
-partners reaches the threshold.
-
-Which clusters are compared is decided by an index of pivots (a bounded, deterministic sample of the
-vectors; every vector is indexed): clusters near the same pivot form a cell.
-
-1. *Local rounds.* Each cluster goes to the cell of its nearest pivot, cells to bounded groups, and
-   within a group the merging rounds run to their end on the group's similarity matrix. Repeated with
-   fresh pivots; one shuffle of the remaining clusters each. A group's thousands of near copies leave
-   as one cluster, so dense regions shrink at once.
-2. *Sparse-graph rounds.* What remains goes to the cells of its ``PROBES`` nearest pivots; cells
-   emit only pairs above the threshold. Mutual best pairs merge, all in parallel, until none is left.
-   Large cells are compared block against block, in separate tasks, so that no pair is skipped and no
-   task holds more than two blocks.
-
-Exact copies of a vector are collapsed before and count once. Labels are resolved from the last round
-back to the first; a parent has a bounded number of children in each local round, so no join key
-grows with the data.
+partners reaches the threshold. Average linkage is reducible, so the result is that of merging the best
+pair of all over and over.
+
+1. *Sparse graph.* An index of pivots (a bounded, deterministic sample of the vectors; every vector is indexed)
+   brings vectors together in the cells of their nearest pivots, as one byte a number. A cell's vectors are
+   compared block against block; of the pairs that may reach the threshold, allowing for what the bytes
+   lost, each block task emits a forest: as many edges as it has vectors, however dense they lie.
+2. *Components.* Two clusters of average cosine at the threshold have members that reach it, so no merge ever
+   leaves a connected component of that graph, and every best partner lies inside.
+3. *Rounds.* A component that fits a task has all its rounds there, on its full similarity matrix. Larger
+   ones have theirs on the cluster: per round cells emit each cluster's best partner, the best of
+   all cells are compared, and only pairs that are mutual over all of them merge.
+
+How many cells a vector is put in is calibrated for pairs exactly at the threshold and the number of pivots,
+so that recall does not fall as the data grow. Exact copies of a vector are collapsed before and count once.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,21 +31,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tesserae.llm.components import stars
 from tesserae.sources.tables import cut
 
 THRESHOLD = 0.72
 DIM = 128
-#: Clusters compared at once in a task.
-GROUP = 1500
-#: Most pivots; the sample they are fitted on is as large.
-MAX_PIVOTS = 16384
-LOCAL_ROUNDS = 3
-PROBES = 6
+#: Vectors of a cell compared at once in a task, and distinct vectors of a component that has its rounds in one task.
+BLOCK, WHOLE = 2048, 4000
+#: Most pivots, and from how many on they are searched in two levels.
+MAX_PIVOTS, FLAT = 262_144, 2048
+#: Part of the lone pairs at the threshold that must share a cell.
+RECALL = 0.995
 TYPICAL = 3
-#: Members of a cluster met with its mean in one part.
+#: Members of a cluster ranked in one part.
 PART = 20_000
 
-_NODE = "cid bigint, n bigint, first_id string, v binary"
+_NODE = "cid binary, n bigint, first_id string, v binary"
 
 
 def usable(memories: DataFrame, dim: int = DIM, column: str = "embedding") -> DataFrame:
@@ -56,18 +56,19 @@ def usable(memories: DataFrame, dim: int = DIM, column: str = "embedding") -> Da
     return memories.select("id", e.alias("e")).where(F.col("id").isNotNull() & (F.size("e") == dim) & fine)
 
 
-def _matrix(column: pa.Array, dim: int) -> np.ndarray:
-    """The rows of a binary column as float32 vectors."""
+def _rows(column: pa.Array | pa.ChunkedArray, dim: int, kind: type) -> np.ndarray:
+    """The rows of a binary column as vectors."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     if len(column) == 0:
-        return np.empty((0, dim), np.float32)
-    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
-    return np.frombuffer(column.buffers()[2], np.float32, count=len(column) * dim, offset=int(offsets[0])).reshape(-1, dim)
+        return np.empty((0, dim), kind)
+    start = np.frombuffer(column.buffers()[1], np.int32)[column.offset]
+    return np.frombuffer(column.buffers()[2], kind, count=len(column) * dim, offset=int(start)).reshape(-1, dim)
 
 
 def _binary(m: np.ndarray) -> pa.Array:
-    """Float32 rows as a binary column."""
-    m = np.ascontiguousarray(m, np.float32)
-    offsets = np.arange(len(m) + 1, dtype=np.int32) * (m.shape[1] * 4)
+    """Rows as a binary column."""
+    m = np.ascontiguousarray(m)
+    offsets = np.arange(len(m) + 1, dtype=np.int32) * (m.shape[1] * m.itemsize)
     return pa.Array.from_buffers(pa.binary(), len(m), [None, pa.py_buffer(offsets), pa.py_buffer(m)])
 
 
@@ -75,45 +76,149 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-30)
 
 
-def _vectoriser(dim: int):
-    """(h, id, e) to clusters of one vector each; a partition emits a copied vector once, and again for a smaller id."""
+def _vectors(b: pa.RecordBatch, dim: int) -> tuple[np.ndarray, list[bytes]]:
+    """Unit vectors of a batch of (id, e), and their 128-bit digests, by which equal ones are known."""
+    m = b.column(1).flatten().to_numpy().reshape(-1, dim)
+    v = _unit(m / np.abs(m).max(axis=1, keepdims=True)).astype(np.float32)  # scaled first, so that squares neither over- nor underflow
+    return v, [hashlib.blake2b(r.tobytes(), digest_size=16).digest() for r in v]
+
+
+def _sketcher(dim: int):
+    """(id, e) to (id, h, scale, err, q): bytes of a vector and what they lost; ``q`` is null for a copy of one that the partition had before."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[int, str] = {}
+        seen: set[bytes] = set()
         for b in batches:
-            rows = []
-            for k, (h, i) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)):
-                if h not in seen or i < seen[h]:
-                    seen[h] = i
-                    rows.append(k)
-            b = b.take(pa.array(rows, pa.int64()))
-            m = b.column(2).flatten().to_numpy().reshape(-1, dim)
-            m = m / np.abs(m).max(axis=1, keepdims=True)  # so that squares neither over- nor underflow
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.ones(len(m), np.int64)), b.column(1), _binary(_unit(m))], names=["cid", "n", "first_id", "v"])
+            if not b.num_rows:
+                continue
+            v, h = _vectors(b, dim)
+            scale = np.abs(v).max(axis=1) / 127
+            q = np.rint(v / scale[:, None]).astype(np.int8)
+            err = np.linalg.norm(v - q * scale[:, None], axis=1)
+            new = []
+            for x in h:
+                new.append(x not in seen)
+                seen.add(x)
+            qs = pa.compute.if_else(pa.array(new), _binary(q), pa.scalar(None, pa.binary()))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(h, pa.binary()), pa.array(scale.astype(np.float32)), pa.array(err.astype(np.float32)), qs], names=["id", "h", "scale", "err", "q"])
 
     return run
 
 
-def _assigner(pivots: np.ndarray, probes: int, splits: np.ndarray | None, salt: int):
-    """Adds the cells of a cluster's ``probes`` nearest pivots; large cells are split into groups by cluster id."""
+def probes(pivots: int, threshold: float = THRESHOLD, recall: float = RECALL) -> int:
+    """In how many cells a vector must be so that a lone pair of cosine ``threshold``, far from all pivots, shares one with probability ``recall``.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows == 0:
+    Simulated: similarities to unrelated pivots are correlated as the pair is similar.
+    """
+    rng = np.random.default_rng(7)
+    trials = int(min(4000, max(200, 4_000_000 // pivots)))
+    worst = np.empty(trials)
+    for k in range(trials):
+        a, b = rng.standard_normal((2, pivots))
+        b = threshold * a + (1 - threshold**2) ** 0.5 * b
+        worst[k] = np.maximum((-a).argsort().argsort(), (-b).argsort().argsort()).min()
+    return int(min(pivots, np.quantile(worst, recall) + 1))
+
+
+class Pivots:
+    """Pivots, and which are nearest to a vector; beyond ``FLAT`` of them by way of the nearest of a coarser set."""
+
+    def __init__(self, unit: np.ndarray):
+        self.unit = unit
+        self.coarse = None
+        if len(unit) > FLAT:
+            self.coarse = unit[: int(len(unit) ** 0.5)]
+            home = np.concatenate([(unit[lo : lo + 8192] @ self.coarse.T).argmax(axis=1) for lo in range(0, len(unit), 8192)])
+            self.members = [np.flatnonzero(home == c) for c in range(len(self.coarse))]
+
+    def nearest(self, m: np.ndarray, k: int) -> np.ndarray:
+        """(rows, k) pivot numbers."""
+        k = min(k, len(self.unit))
+        if self.coarse is None:
+            s = m @ self.unit.T
+            return np.argpartition(-s, k - 1, axis=1)[:, :k] if k < s.shape[1] else np.tile(np.arange(k), (len(m), 1))
+        wide = min(len(self.coarse), 2 * k)
+        homes = np.argpartition(-(m @ self.coarse.T), wide - 1, axis=1)[:, :wide] if wide < len(self.coarse) else np.tile(np.arange(wide), (len(m), 1))
+        best = np.full((len(m), k), -2.0, np.float32)
+        who = np.zeros((len(m), k), np.int64)
+        for c in np.unique(homes):
+            mine = self.members[c]
+            at = np.flatnonzero((homes == c).any(axis=1))
+            if not len(mine):
                 continue
-            m = _unit(_matrix(b.column("v"), pivots.shape[1]))
-            s = m @ pivots.T
-            k = min(probes, s.shape[1])
-            near = np.argpartition(-s, k - 1, axis=1)[:, :k] if k < s.shape[1] else np.tile(np.arange(k), (len(m), 1))
-            cell = near.astype(np.int32).ravel()
-            row = np.repeat(np.arange(len(m)), k)
-            cid = b.column("cid").to_numpy()
-            part = np.zeros(len(cell), np.int32)
-            if splits is not None:
-                mixed = (cid[row].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(salt)) >> np.uint64(33)
-                part = (mixed % splits[cell].astype(np.uint64)).astype(np.int32)
-            out = b.take(pa.array(row)) if k > 1 else b
-            yield pa.RecordBatch.from_arrays([*out.columns, pa.array(cell), pa.array(part)], names=[*out.schema.names, "cell", "part"])
+            s = np.concatenate([best[at], m[at] @ self.unit[mine].T], axis=1)
+            w = np.concatenate([who[at], np.tile(mine, (len(at), 1))], axis=1)
+            top = np.argpartition(-s, k - 1, axis=1)[:, :k]
+            best[at], who[at] = np.take_along_axis(s, top, 1), np.take_along_axis(w, top, 1)
+        return who
+
+
+def _cells(nodes: DataFrame, units, sample: np.ndarray, k: int, key: str) -> DataFrame:
+    """``nodes`` once for each of their ``k`` cells and each block that they meet there: with ``cell``, ``part``, ``i``, ``j``.
+
+    ``units(batch)`` are the rows' unit vectors. Cells of more than ``BLOCK`` rows are split by ``key``; every two
+    of their blocks meet. The driver holds a count for each pivot, the tasks the pivots: both bounded.
+    """
+    sc = nodes.sparkSession.sparkContext
+    shipped = sc.broadcast(sample)
+
+    def assign(splits):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            pivots = Pivots(shipped.value)
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                near = pivots.nearest(units(b), k).astype(np.int32)
+                row, cell = np.repeat(np.arange(len(near)), near.shape[1]), near.ravel()
+                if splits is None:
+                    yield pa.RecordBatch.from_arrays([pa.array(cell)], names=["cell"])
+                    continue
+                n = splits.value[cell]
+                mixed = np.array([int.from_bytes(x[:4], "little") for x in b.column(key).to_pylist()], np.int64)[row]
+                part = mixed % n
+                other = np.concatenate([np.arange(x) for x in n]) if len(n) else n
+                row, cell, part = np.repeat(row, n), np.repeat(cell, n), np.repeat(part, n)
+                columns = [*b.take(pa.array(row)).columns, *(pa.array(x.astype(np.int32)) for x in (cell, part, np.minimum(part, other), np.maximum(part, other)))]
+                yield pa.RecordBatch.from_arrays(columns, names=[*b.schema.names, "cell", "part", "i", "j"])
+
+        return run
+
+    sizes = nodes.mapInArrow(assign(None), "cell int").groupBy("cell").agg(F.count(F.lit(1)).alias("c")).collect()  # at most one row a pivot
+    splits = np.ones(len(sample), np.int64)
+    for r in sizes:
+        splits[r.cell] = -(-r.c // BLOCK)
+    fields = ", ".join(f"{c} {t}" for c, t in nodes.dtypes)
+    return nodes.mapInArrow(assign(sc.broadcast(splits)), f"{fields}, cell int, part int, i int, j int")
+
+
+def _joined(near: np.ndarray) -> np.ndarray:
+    """Component labels, least row numbers, of a symmetric dense adjacency."""
+    label = np.arange(len(near))
+    while True:
+        new = np.where(near, label[None, :], len(near)).min(axis=1)
+        new = np.minimum(new, label)
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
+def _forest(dim: int, threshold: float):
+    """Edges (a, b) that join what may be similar within two blocks of a cell, as a star for each of their components."""
+
+    def run(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
+        i, j = key[1].as_py(), key[2].as_py()
+        group = group.combine_chunks()
+        part, scale, err = group["part"].to_numpy(), group["scale"].to_numpy(), group["err"].to_numpy()
+        v = _rows(group["q"], dim, np.int8).astype(np.float32) * scale[:, None]
+        x, y = np.flatnonzero(part == i), np.flatnonzero(part == j)
+        near = np.zeros((len(v), len(v)), bool)
+        near[np.ix_(x, y)] = v[x] @ v[y].T + err[x][:, None] + err[y][None, :] >= threshold - 1e-4
+        near |= near.T
+        label = _joined(near)
+        moved = np.flatnonzero(label != np.arange(len(label)))
+        h = group["h"].combine_chunks()
+        return pa.table([h.take(pa.array(moved)), h.take(pa.array(label[moved]))], names=["a", "b"])
 
     return run
 
@@ -125,10 +230,10 @@ def merge_rounds(sums: np.ndarray, n: np.ndarray, threshold: float) -> np.ndarra
     """
     label = np.arange(len(n))
     alive = np.arange(len(n))
-    sums, n = sums.astype(np.float32), n.astype(np.float32)
+    sums, n = sums.astype(np.float64), n.astype(np.float64)
     while len(alive) > 1:
         s = (sums @ sums.T) / (n[:, None] * n[None, :])
-        s = np.maximum(s, s.T)
+        s = np.round(np.maximum(s, s.T), 9)
         np.fill_diagonal(s, -2)
         best = s.argmax(axis=1)
         rows = np.arange(len(alive))
@@ -148,216 +253,173 @@ def merge_rounds(sums: np.ndarray, n: np.ndarray, threshold: float) -> np.ndarra
     return label
 
 
-def _local(dim: int, threshold: float):
-    def run(_key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
-        group = group.combine_chunks().sort_by([("cid", "ascending")])
-        cid, n = group["cid"].to_numpy(), group["n"].to_numpy()
-        v = _matrix(group["v"].chunk(0) if group["v"].num_chunks else group["v"].combine_chunks(), dim)
-        once = np.concatenate([[True], cid[1:] != cid[:-1]])  # copies of a vector that other partitions held too
-        ids = np.array(group["first_id"].to_pylist(), dtype=object)
-        start = np.flatnonzero(once)
-        first = np.minimum.reduceat(ids, start)
-        cid, n, v = cid[once], n[once], v[once]
-        label = merge_rounds(v, n, threshold)
-        heads, inverse = np.unique(label, return_inverse=True)
-        order = np.argsort(inverse, kind="stable")
-        cuts = np.flatnonzero(np.concatenate([[True], np.diff(inverse[order]) > 0]))
-        sums = np.add.reduceat(v[order].astype(np.float64), cuts, axis=0)
-        none = pa.nulls(len(cid), pa.int64())
-        children = pa.table([pa.array(cid), pa.array(cid[heads][inverse]), none, pa.nulls(len(cid), pa.string()), pa.nulls(len(cid), pa.binary())], names=["child", "cid", "n", "first_id", "v"])
-        parents = pa.table(
-            [pa.nulls(len(heads), pa.int64()), pa.array(cid[heads]), pa.array(np.add.reduceat(n[order], cuts)), pa.array(np.minimum.reduceat(first[order], cuts), pa.string()), _binary(sums)],
-            names=["child", "cid", "n", "first_id", "v"],
-        )
-        return pa.concat_tables([children, parents])
-
-    return run
+_FOUND = "h binary, cid binary, first_id string, s double"
 
 
-def _pivots(nodes: DataFrame, count: int, seed: int, dim: int) -> np.ndarray:
-    """A deterministic sample of at most ``MAX_PIVOTS`` unit vectors; its size bounds what the driver and the tasks hold."""
-    size = int(min(MAX_PIVOTS, max(4, 2 * count**0.5)))
-    rows = nodes.select("v").orderBy(F.xxhash64("cid", F.lit(seed)), "cid").limit(size).toArrow()["v"].combine_chunks()
-    rows = rows.chunk(0) if isinstance(rows, pa.ChunkedArray) else rows
-    return _unit(_matrix(rows, dim))
+def _link(dim: int, threshold: float):
+    """A whole component (h, first_id, v) to (h, cid, first_id, s): its clusters, and each vector's cosine with its cluster's mean."""
 
+    def run(_key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
+        group = group.sort_by([("first_id", "ascending"), ("h", "ascending")]).combine_chunks()
+        h = group["h"].to_pylist()
+        once = np.flatnonzero([k == 0 or x != h[k - 1] for k, x in enumerate(h)])  # copies that several partitions held
+        v = _rows(group["v"], dim, np.float32)[once]
+        label = merge_rounds(v, np.ones(len(v)), threshold)
+        sums = np.zeros((len(v), dim))
+        np.add.at(sums, label, v)
+        s = np.einsum("ij,ij->i", v, _unit(sums)[label])
+        ids, hs = group["first_id"].combine_chunks().take(pa.array(once)), pa.array([h[k] for k in once], pa.binary())
+        return pa.table([hs, hs.take(pa.array(label)), ids.take(pa.array(label)), pa.array(np.round(s, 6))], names=["h", "cid", "first_id", "s"])
 
-def _local_round(nodes: DataFrame, count: int, seed: int, dim: int, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """(nodes after, labels (child, cid)) of one round of local merging."""
-    pivots = _pivots(nodes, count, seed, dim)
-    schema = f"{_NODE}, cell int, part int"
-    sizes = nodes.mapInArrow(_assigner(pivots, 1, None, seed), schema).groupBy("cell").agg(F.count(F.lit(1)).alias("c")).collect()  # at most one row a pivot
-    splits = np.ones(len(pivots), np.int64)
-    for r in sizes:
-        splits[r.cell] = -(-r.c // GROUP)
-    grouped = nodes.mapInArrow(_assigner(pivots, 1, splits, seed), schema).groupBy("cell", "part")
-    merged = cut(grouped.applyInArrow(_local(dim, threshold), "child bigint, cid bigint, n bigint, first_id string, v binary"))
-    return merged.where("child is null").select("cid", "n", "first_id", "v"), merged.where("child is not null").select("child", "cid")
+    return run
 
 
-def _block_pairs(dim: int, threshold: float):
-    """Pairs above the threshold between two blocks of a cell, or within one."""
+def _best(dim: int, threshold: float):
+    """(a, b, s): of each cluster in two blocks of a cell its best partner there, if that reaches the threshold."""
 
     def run(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
         i, j = key[1].as_py(), key[2].as_py()
-        group = group.combine_chunks()
-        block, cid, n = group["part"].to_numpy(), group["cid"].to_numpy(), group["n"].to_numpy()
-        v = _matrix(group["v"].chunk(0), dim) / n[:, None].astype(np.float32)
-        x, y = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        s = v[x] @ v[y].T
-        r, c = np.nonzero(s >= threshold)
-        a, b = cid[x[r]], cid[y[c]]
-        keep = a < b if i == j else a != b
-        a, b, s = a[keep], b[keep], s[r, c][keep]
-        return pa.table([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(s.astype(np.float64))], names=["a", "b", "s"])
+        group = group.sort_by([("cid", "ascending")]).combine_chunks()
+        part, n = group["part"].to_numpy(), group["n"].to_numpy().astype(np.float64)
+        v = _rows(group["v"], dim, np.float32) / n[:, None]
+        x, y = np.flatnonzero(part == i), np.flatnonzero(part == j)
+        s = np.round(v[x] @ v[y].T, 9)
+        s[x[:, None] == y[None, :]] = -2
+        a, b, t = [], [], []
+        for m, one, two in ((s, x, y), (s.T, y, x)):
+            if m.size:
+                at = m.argmax(axis=1)
+                val = m[np.arange(len(one)), at]
+                keep = val >= threshold
+                a.append(one[keep])
+                b.append(two[at[keep]])
+                t.append(val[keep])
+        a, b, t = (np.concatenate(z) if z else np.empty(0, int) for z in (a, b, t))
+        cid = group["cid"].combine_chunks()
+        return pa.table([cid.take(pa.array(a, pa.int64())), cid.take(pa.array(b, pa.int64())), pa.array(t, pa.float64())], names=["a", "b", "s"])
 
     return run
 
 
-def sparse_graph(nodes: DataFrame, count: int, seed: int, dim: int, threshold: float, probes: int = PROBES) -> DataFrame:
-    """(a, b, s) with a < b: pairs of clusters of average cosine ``s`` at or above the threshold that share a cell."""
-    pivots = _pivots(nodes, count, seed, dim)
-    slim = nodes.select("cid", "n", "v")
-    schema = "cid bigint, n bigint, v binary, cell int, part int"
-    sizes = slim.mapInArrow(_assigner(pivots, probes, None, seed), schema).groupBy("cell").agg(F.count(F.lit(1)).alias("c")).collect()
-    splits = np.ones(len(pivots), np.int64)
-    for r in sizes:
-        splits[r.cell] = -(-r.c // GROUP)
-    wide = F.create_map(*[F.lit(int(x)) for kv in enumerate(splits) if kv[1] > 1 for x in kv]) if (splits > 1).any() else None
-    blocks = F.coalesce(F.try_element_at(wide, F.col("cell")), F.lit(1)) if wide is not None else F.lit(1)
-    cells = slim.mapInArrow(_assigner(pivots, probes, splits, seed), schema).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    return (
-        cells.groupBy("cell", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
-        .applyInArrow(_block_pairs(dim, threshold), "a bigint, b bigint, s double")
-        .groupBy("a", "b")
-        .agg(F.max("s").alias("s"))
-    )
-
-
-def _mutual(pairs: DataFrame) -> DataFrame:
-    """(child, cid): of pairs that are each other's best, the larger id joins the smaller."""
-    both = pairs.select("a", "b", "s").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "s"))
-    best = both.groupBy("a").agg(F.max(F.struct("s", (-F.col("b")).alias("o"))).alias("m")).select("a", (-F.col("m.o")).alias("b"))
-    x, y = best.alias("x"), best.alias("y")
-    return x.join(y, (F.col("x.b") == F.col("y.a")) & (F.col("y.b") == F.col("x.a")) & (F.col("x.a") < F.col("x.b"))).select(F.col("x.b").alias("child"), F.col("x.a").alias("cid"))
+def _mutual(best: DataFrame) -> DataFrame:
+    """(child, cid): of pairs that are each other's best, the larger id joins the smaller; equal pairs in order of their ids."""
+    pairs = best.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("s").alias("s"))
+    order = F.struct((-F.col("s")).alias("s"), "a", "b")
+    both = pairs.select(F.explode(F.array("a", "b")).alias("e"), order.alias("o")).groupBy("e").agg(F.min("o").alias("o"))
+    return both.groupBy(F.col("o.a").alias("cid"), F.col("o.b").alias("child")).agg(F.count(F.lit(1)).alias("k")).where("k = 2").select("child", "cid")
 
 
 def _add(dim: int):
     def run(_key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
-        total = _matrix(group["v"].chunk(0), dim).astype(np.float64).sum(axis=0, keepdims=True)
+        total = _rows(group["v"], dim, np.float32).astype(np.float64).sum(axis=0, keepdims=True).astype(np.float32)
         return pa.table([group["cid"].slice(0, 1).combine_chunks(), pa.array([sum(group["n"].to_pylist())], pa.int64()), pa.array([min(group["first_id"].to_pylist())], pa.string()), _binary(total)], names=["cid", "n", "first_id", "v"])
 
     return run
 
 
-def _graph_rounds(nodes: DataFrame, pairs: DataFrame, dim: int, threshold: float) -> tuple[DataFrame, DataFrame | None]:
-    """Merges mutual best pairs of the sparse graph until none is left; (nodes after, label (child, cid) of all that moved).
+def _sample(vectors: DataFrame, count: int, dim: int, unit) -> np.ndarray:
+    """Pivots: the vectors of the smallest digests, about as many as the root of their number, at most ``MAX_PIVOTS``."""
+    size = int(min(MAX_PIVOTS, max(4, count**0.5)))
+    table = vectors.orderBy(vectors.columns[0]).limit(size).toArrow().combine_chunks()
+    return unit(table)
 
-    Only clusters that still have a pair are carried from round to round.
+
+def distributed_rounds(nodes: DataFrame, dim: int, threshold: float, spread: int | None = None) -> DataFrame:
+    """(h, cid, first_id, s) of components too large for a task; ``nodes``: (cid, n, first_id, v), one for each distinct vector.
+
+    A round: cells give each cluster's best partner, mutual ones merge. A cluster that no longer has a partner
+    is done: averages of its similarities never rise above them.
     """
-    label = None
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
-    rest = nodes.join(ends, "cid", "left_anti")
-    active = cut(nodes.join(ends, "cid", "left_semi"))
+    unit = lambda b: _unit(_rows(b.column("v"), dim, np.float32))
+    active = start = cut(nodes)
+    label = cut(active.select(F.col("cid").alias("h"), "cid"))
+    done = None
     while True:  # each round merges at least one pair
-        joined = cut(_mutual(pairs))
-        if joined.isEmpty():
+        count = active.count()
+        if count < 2:
             break
-        to = joined.select(F.col("child").alias("x"), F.col("cid").alias("y"))
-        label = joined if label is None else label.join(to, F.col("cid") == F.col("x"), "left").select("child", F.coalesce("y", "cid").alias("cid")).unionByName(joined)
-        label = cut(label)
-        touched = joined.select(F.col("child").alias("x"), F.col("cid").alias("y")).unionByName(joined.select(F.col("cid").alias("x"), F.col("cid").alias("y")))
-        placed = active.join(touched, F.col("cid") == F.col("x"), "left")
-        merged = placed.where("y is not null").select(F.col("y").alias("cid"), "n", "first_id", "v").groupBy("cid").applyInArrow(_add(dim), _NODE)
-        active = cut(merged.unionByName(placed.where("y is null").select("cid", "n", "first_id", "v")))
-        a, b = to.select(F.col("x").alias("a"), F.col("y").alias("na")), to.select(F.col("x").alias("b"), F.col("y").alias("nb"))
-        moved = pairs.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("na", "a").alias("a"), F.coalesce("nb", "b").alias("b")).where("a <> b")
-        now = moved.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        pairs = cut(_average(now, active, dim).where(F.col("s") >= threshold))
-    return active.unionByName(rest), label
-
-
-def _average(ends: DataFrame, nodes: DataFrame, dim: int) -> DataFrame:
-    """(a, b, s): the average cosine of cluster pairs, from their sums."""
-    x = nodes.select(F.col("cid").alias("a"), F.col("n").alias("na"), F.col("v").alias("va"))
-    y = nodes.select(F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("v").alias("vb"))
+        sample = _sample(active.select("cid", "v"), count, dim, lambda t: _unit(_rows(t["v"], dim, np.float32)))
+        cells = _cells(active, unit, sample, spread or probes(len(sample), threshold), "cid")
+        best = cut(cells.groupBy("cell", "i", "j").applyInArrow(_best(dim, threshold), "a binary, b binary, s double"))
+        to = cut(_mutual(best))
+        if to.isEmpty():
+            break
+        ends = best.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
+        out = active.join(ends, "cid", "left_anti")
+        done = cut(out if done is None else done.unionByName(out))
+        placed = active.join(ends, "cid", "left_semi").join(to.withColumnRenamed("cid", "y"), F.col("cid") == F.col("child"), "left")
+        moved = placed.select(F.coalesce("y", "cid").alias("cid"), "n", "first_id", "v")
+        active = cut(moved.groupBy("cid").applyInArrow(_add(dim), _NODE))
+        label = cut(label.join(to.select(F.col("child").alias("x"), F.col("cid").alias("y")), F.col("cid") == F.col("x"), "left").select("h", F.coalesce("y", "cid").alias("cid")))
+    final = active if done is None else done.unionByName(active)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def nearness(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                dot = np.einsum("ij,ij->i", _matrix(b.column("va"), dim), _matrix(b.column("vb"), dim))
-                s = dot / (b.column("na").to_numpy().astype(np.float64) * b.column("nb").to_numpy())
-                yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(s.astype(np.float64))], names=["a", "b", "s"])
+                s = np.einsum("ij,ij->i", _rows(b.column("own"), dim, np.float32), _unit(_rows(b.column("v"), dim, np.float32)))
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("h", "cid", "first_id")), pa.array(np.round(s.astype(np.float64), 6))], names=["h", "cid", "first_id", "s"])
 
-    return ends.join(x, "a").join(y, "b").mapInArrow(run, "a bigint, b bigint, s double")
+    own = start.select(F.col("cid").alias("h"), F.col("v").alias("own"))
+    return label.join(final.select("cid", "first_id", "v"), "cid").join(own, "h").select("h", "cid", "first_id", "own", "v").mapInArrow(nearness, _FOUND)
 
 
-def clusters(memories: DataFrame, threshold: float = THRESHOLD, dim: int = DIM, column: str = "embedding") -> tuple[DataFrame, DataFrame]:
-    """(membership, summary).
+def clusters(memories: DataFrame, threshold: float = THRESHOLD, dim: int = DIM, column: str = "embedding", whole: int | None = None, spread: int | None = None) -> DataFrame:
+    """(id, cid, first_id, s): every record with a usable vector, its cluster, that cluster's smallest id, and the cosine with its mean.
 
-    membership: (id, child, cid, first_id), one row per record with a usable vector; ``child`` stands for
-    its distinct vector and ``first_id`` is the smallest id of its cluster.
-    summary: (cid, n, first_id, v), the clusters with their number of distinct vectors and their sum.
-    Rows delivered again fall together; no usable vector at all gives empty results.
+    Rows delivered again fall together; no usable vector at all gives no rows. ``whole`` and ``spread`` stand
+    in for ``WHOLE`` and the calibrated number of cells.
     """
     rows = usable(memories, dim, column)
-    hashed = rows.select(F.xxhash64("e").alias("h"), "id", "e")
-    nodes = cut(hashed.mapInArrow(_vectoriser(dim), _NODE))
-    labels: list[DataFrame] = []
-    for seed in range(LOCAL_ROUNDS):
-        count = nodes.count()
-        if count < 2:
-            break
-        nodes, label = _local_round(nodes, count, seed, dim, threshold)
-        labels.append(label)
+    sketches = cut(rows.mapInArrow(_sketcher(dim), "id string, h binary, scale float, err float, q binary"))
+    ids = sketches.select("id", "h")
+    heads = ids.groupBy("h").agg(F.min("id").alias("first_id"))
+    nodes = sketches.where("q is not null").select("h", "scale", "err", "q")
     count = nodes.count()
-    moved = None
-    if count > 1:
-        pairs = cut(sparse_graph(nodes, count, LOCAL_ROUNDS, dim, threshold))
-        nodes, moved = _graph_rounds(nodes, pairs, dim, threshold)
-        nodes = cut(nodes)
-    resolved = nodes.select(F.col("cid").alias("child"), "cid", "first_id")
-    if moved is not None:
-        resolved = resolved.unionByName(moved.join(nodes.select("cid", "first_id"), "cid").select("child", "cid", "first_id"))
-    for label in reversed(labels):
-        up = resolved.withColumnRenamed("child", "parent")
-        resolved = label.select("child", F.col("cid").alias("parent")).join(up, "parent").select("child", "cid", "first_id").dropDuplicates(["child"])
-    ids = hashed.select("id", F.col("h").alias("child")).distinct()
-    membership = ids.join(resolved, "child").select("id", "child", "cid", "first_id")
-    return membership, nodes
+    unit = lambda b: _unit(_rows(b.column("q"), dim, np.int8).astype(np.float32))
+    if count < 2:
+        return ids.distinct().join(heads, "h").select("id", F.col("h").alias("cid"), "first_id", F.lit(1.0).alias("s"))
+    sample = _sample(nodes.select("h", "q"), count, dim, lambda t: _unit(_rows(t["q"], dim, np.int8).astype(np.float32)))
+    cells = _cells(nodes, unit, sample, spread or probes(len(sample), threshold), "h")
+    root = cut(stars(cells.groupBy("cell", "i", "j").applyInArrow(_forest(dim, threshold), "a binary, b binary")))
+    sizes = root.groupBy("root").agg(F.count(F.lit(1)).alias("c"))
+    tied = root.join(sizes, "root").join(heads, F.col("node") == F.col("h")).select("h", "root", "c", "first_id")
+
+    def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
+        for b in batches:
+            if b.num_rows:
+                v, h = _vectors(b, dim)
+                new = [k for k, x in enumerate(h) if x not in seen and not seen.add(x)]
+                yield pa.RecordBatch.from_arrays([pa.array([h[k] for k in new], pa.binary()), _binary(v[new])], names=["h", "v"])
+
+    vectors = rows.mapInArrow(full, "h binary, v binary")
+    limit = whole or WHOLE
+    small = vectors.join(tied.where(F.col("c") <= limit), "h").select("root", "h", "first_id", "v")
+    found = small.groupBy("root").applyInArrow(_link(dim, threshold), _FOUND)
+    if not sizes.where(F.col("c") > limit).isEmpty():
+        large = vectors.join(tied.where(F.col("c") > limit), "h").dropDuplicates(["h"]).select(F.col("h").alias("cid"), F.lit(1).cast("bigint").alias("n"), "first_id", "v")
+        found = found.unionByName(distributed_rounds(large, dim, threshold, spread))
+    found = cut(found)
+    alone = heads.join(root.select(F.col("node").alias("h")), "h", "left_anti").select("h", F.col("h").alias("cid"), "first_id", F.lit(1.0).alias("s"))
+    return ids.distinct().join(found.unionByName(alone), "h").select("id", "cid", "first_id", "s")
 
 
 def summary(memories: DataFrame, threshold: float = THRESHOLD, dim: int = DIM, column: str = "embedding", typical: int = TYPICAL) -> DataFrame:
     """(first_id, size, typical): each cluster's number of records and its ``typical`` members nearest the mean (ties: smaller ids).
 
-    The nearest members are first picked within salted parts of a cluster, then among those.
+    The nearest members are first picked within parts of a cluster, then among those.
     """
-    membership, nodes = clusters(memories, threshold, dim, column)
-    membership = cut(membership)
-    sizes = membership.groupBy("cid").agg(F.count(F.lit(1)).alias("size"))
-    vectors = usable(memories, dim, column).select(F.xxhash64("e").alias("h"), "id", "e").mapInArrow(_vectoriser(dim), _NODE)
-    # large clusters are met in parts, each with a copy of the mean
-    parts = nodes.select("cid", "first_id", F.ceil(F.col("n") / PART).cast("int").alias("parts"), F.col("v").alias("c"))
-    bearers = membership.groupBy("child", "cid").agg(F.min("id").alias("id")).join(parts.select("cid", "parts"), "cid")  # one record for each distinct vector
-    placed = vectors.select(F.col("first_id").alias("id"), F.col("cid").alias("child"), "v").join(bearers, ["id", "child"]).dropDuplicates(["id", "child"])
-    salted = placed.withColumn("salt", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    centres = parts.select("cid", "first_id", "c", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"))
-
-    def nearness(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                s = np.einsum("ij,ij->i", _matrix(b.column("v"), dim), _unit(_matrix(b.column("c"), dim)))
-                yield pa.RecordBatch.from_arrays([b.column("cid"), b.column("salt"), b.column("first_id"), b.column("id"), pa.array(np.round(s.astype(np.float64), 6))], names=["cid", "salt", "first_id", "id", "s"])
-
-    near = salted.join(centres, ["cid", "salt"]).mapInArrow(nearness, "cid bigint, salt int, first_id string, id string, s double")
+    members = cut(clusters(memories, threshold, dim, column))
+    sizes = members.groupBy("cid").agg(F.count(F.lit(1)).alias("size"))
+    near = members.join(sizes, "cid").withColumn("salt", F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / PART)))
     order = [F.desc("s"), "id"]
     for by in (["cid", "salt"], ["cid"]):
         near = near.withColumn("r", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("r") <= typical)
-    best = near.groupBy("cid", "first_id").agg(F.sort_array(F.collect_list(F.struct("r", "id"))).alias("m"))
-    return best.join(sizes, "cid").select("first_id", "size", F.col("m.id").alias("typical"))
+    best = near.groupBy("cid", "first_id", "size").agg(F.sort_array(F.collect_list(F.struct("r", "id"))).alias("m"))  # `typical` rows each
+    return best.select("first_id", "size", F.col("m.id").alias("typical"))
 
 
-def found(membership: DataFrame) -> DataFrame:
+def found(members: DataFrame) -> DataFrame:
     """(first_id, memory_id): each member but the smallest of its cluster."""
-    return membership.where(F.col("id") != F.col("first_id")).select("first_id", F.col("id").alias("memory_id"))
+    return members.where(F.col("id") != F.col("first_id")).select("first_id", F.col("id").alias("memory_id"))

@@ -17,8 +17,7 @@ def p2_variants(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    membership, _ = clusters.clusters(table(spark, d, "memories"))
-    return clusters.found(membership)
+    return clusters.found(clusters.clusters(table(spark, d, "memories")))
 
 
 def p4_summary(spark: SparkSession, d: str) -> DataFrame:

@@ -1,6 +1,7 @@
 import numpy as np
 
 from tesserae.llm import clusters as C
+from tesserae.llm.components import stars
 
 S = "id string, embedding array<double>, cid bigint, v string"
 
@@ -24,46 +25,110 @@ def frame(spark, rows):
 def test_groups_found(spark):
     rows, truth = data()
     rows += rows[:5]
-    membership, nodes = C.clusters(frame(spark, rows))
-    got = {r.id: r.first_id for r in membership.collect()}
+    got = {r.id: r.first_id for r in C.clusters(frame(spark, rows)).collect()}
     first = {}
     for i in sorted(truth):
         first.setdefault(truth[i], i)
     assert got == {i: first[g] for i, g in truth.items()}
-    assert nodes.count() == len(set(truth.values()))
 
 
 def test_unusable_rows_and_copies(spark):
     v, w = [1.0] + [0.0] * 127, [0.0, 1.0] + [0.0] * 126
     rows = [("a", v), ("b", v), ("c", None), ("d", [0.0] * 128), ("e", [float("nan")] * 128), ("f", [1.0] * 64), ("g", w), ("h", [None] * 128), ("i", [float("inf")] + [0.0] * 127)]
-    membership, _ = C.clusters(frame(spark, rows))
-    assert {(r.id, r.first_id) for r in membership.collect()} == {("a", "a"), ("b", "a"), ("g", "g")}
-    assert [tuple(r) for r in C.found(membership).collect()] == [("a", "b")]
-    assert C.clusters(frame(spark, []))[0].collect() == []
-    assert C.clusters(frame(spark, rows[2:6]))[0].collect() == []
+    members = C.clusters(frame(spark, rows))
+    assert {(r.id, r.first_id) for r in members.collect()} == {("a", "a"), ("b", "a"), ("g", "g")}
+    assert [tuple(r) for r in C.found(members).collect()] == [("a", "b")]
+    assert C.clusters(frame(spark, [])).collect() == []
+    assert C.clusters(frame(spark, rows[2:6])).collect() == []
+    assert [(r.id, r.first_id) for r in C.clusters(frame(spark, rows[:1])).collect()] == [("a", "a")]
+
+
+def brute(x, threshold):
+    """Average linkage one pair at a time: the best pair of all is merged until none reaches the threshold."""
+    groups, s = [[k] for k in range(len(x))], x @ x.T
+    while True:
+        pairs = [(s[np.ix_(a, b)].mean(), i, j) for i, a in enumerate(groups) for j, b in enumerate(groups[:i])]
+        best = max(pairs, default=(-1,))
+        if best[0] < threshold:
+            return {frozenset(g) for g in groups}
+        groups[best[2]] += groups.pop(best[1])
+
+
+def continuum(seed, n, dim=6):
+    """Vectors without gaps: clusters run into each other, and most hang together in one component."""
+    x = np.random.default_rng(seed).normal(size=(n, dim))
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def as_groups(members):
+    out = {}
+    for r in members.collect():
+        out.setdefault(r.first_id, set()).add(int(r.id[1:]))
+    return {frozenset(g) for g in out.values()}
+
+
+def test_equals_brute_force_without_gaps(spark):
+    x = continuum(3, 110)
+    df = spark.createDataFrame([(f"m{k:03d}", v.tolist()) for k, v in enumerate(x)], "id string, embedding array<double>")
+    want = brute(x, 0.72)
+    assert 10 < len(want) < 100 and max(map(len, want)) > 3
+    assert as_groups(C.clusters(df, dim=6, spread=99)) == want
+    assert as_groups(C.clusters(df, dim=6, whole=4, spread=99)) == want  # nearly all by rounds on the cluster
 
 
 def test_merge_rounds_is_average_linkage():
-    rnd = np.random.default_rng(3)
-    x = C._unit(rnd.normal(size=(60, 8)).astype(np.float32))
-    label = C.merge_rounds(x.copy(), np.ones(60), 0.6)
-    # the result is a state in which no two clusters reach the threshold on average
-    groups = [np.flatnonzero(label == g) for g in np.unique(label)]
-    s = x @ x.T
-    assert all(s[np.ix_(a, b)].mean() < 0.6 + 1e-5 for k, a in enumerate(groups) for b in groups[:k])
-    assert len(groups) < 60
+    for seed in range(6):
+        x = continuum(seed, 60)
+        label = C.merge_rounds(x.copy(), np.ones(60), 0.6)
+        assert {frozenset(np.flatnonzero(label == g).tolist()) for g in np.unique(label)} == brute(x, 0.6)
 
 
 def test_blocks_skip_no_pair(spark, monkeypatch):
     rows, truth = data(2, 12)
-    monkeypatch.setattr(C, "GROUP", 7)
-    membership, _ = C.clusters(frame(spark, rows))
-    got = {r.id: r.first_id for r in membership.collect()}
+    monkeypatch.setattr(C, "BLOCK", 7)
+    got = {r.id: r.first_id for r in C.clusters(frame(spark, rows)).collect()}
     assert len(set(got.values())) == len(set(truth.values()))
 
 
+def test_calibrated_cells():
+    few, many = C.probes(64), C.probes(1024)
+    assert 1 < few < many < 64
+    rng = np.random.default_rng(2)
+    p = C._unit(rng.normal(size=(1024, 128)))
+    x = C._unit(rng.normal(size=(400, 128)))
+    y = C._unit(0.72 * x + (1 - 0.72**2) ** 0.5 * C._unit(rng.normal(size=(400, 128))))
+    near = C.Pivots(p)
+    shared = [bool(set(a) & set(b)) for a, b in zip(near.nearest(x, many).tolist(), near.nearest(y, many).tolist(), strict=True)]
+    assert np.mean(shared) >= 0.98
+
+
+def test_two_levels_of_pivots(monkeypatch):
+    monkeypatch.setattr(C, "FLAT", 100)
+    rng = np.random.default_rng(5)
+    p, x = (C._unit(rng.normal(size=(n, 16))).astype(np.float32) for n in (900, 200))
+    got, exact = C.Pivots(p).nearest(x, 12), np.argsort(-(x @ p.T), axis=1)[:, :12]
+    assert np.mean([len(set(a) & set(b)) / 12 for a, b in zip(got.tolist(), exact.tolist(), strict=True)]) > 0.85
+
+
+def test_stars(spark):
+    rnd = np.random.default_rng(1)
+    edges = [(f"n{a:03d}", f"n{b:03d}") for a, b in rnd.integers(0, 200, (150, 2)).tolist()] + [(f"c{k:03d}", f"c{k + 1:03d}") for k in range(60)] + [("hub", f"h{k}") for k in range(50)]
+    parent = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        a, b = sorted((find(a), find(b)))
+        parent[b] = a
+    got = {r.node: r.root for r in stars(spark.createDataFrame([*edges, ("self", "self")], "a string, b string")).collect()}
+    assert got == {n: find(n) for e in edges if e[0] != e[1] for n in e}
+
+
 def test_summary(spark):
     rows, truth = data(5, 9)
-    got = {r.first_id: r for r in C.summary(frame(spark, rows)).collect()}
-    assert sum(r["size"] for r in got.values()) == len(truth)
+    got = {r.first_id: r for r in C.summary(frame(spark, [*rows, ("zz", rows[0][1]), ("zz", rows[0][1])])).collect()}
+    assert sum(r["size"] for r in got.values()) == len(truth) + 1
     assert all(1 <= len(r.typical) <= 3 for r in got.values())
