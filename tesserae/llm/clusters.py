@@ -7,18 +7,21 @@ clusters that are each other's best partner merge at once; rounds go on until no
 partners reaches the threshold. Average linkage is reducible, so the result is that of merging the best
 pair of all over and over.
 
-1. *Sparse graph.* An index of pivots (a bounded, deterministic sample of the vectors; every vector is indexed)
-   brings vectors together in the cells of their nearest pivots, as one byte a number. A cell's vectors are
-   compared block against block; of the pairs that may reach the threshold, allowing for what the bytes
-   lost, each block task emits a forest: as many edges as it has vectors, however dense they lie.
+1. *Sparse graph.* An index of several tables brings vectors together, as one byte a number. In each table a vector
+   is turned over (its numbers permuted, their signs flipped, in a way of the table's own) and goes to the
+   cell of the pivot then nearest; pivots are a bounded, deterministic sample, and every vector is indexed.
+   A cell's vectors are compared block against block; of the pairs that may reach the threshold, allowing
+   for what the bytes lost, each block task emits a forest: as many edges as it has vectors, however dense
+   they lie.
 2. *Components.* Two clusters of average cosine at the threshold have members that reach it, so no merge ever
    leaves a connected component of that graph, and every best partner lies inside.
 3. *Rounds.* A component that fits a task has all its rounds there, on its full similarity matrix. Larger
    ones have theirs on the cluster: per round cells emit each cluster's best partner, the best of
    all cells are compared, and only pairs that are mutual over all of them merge.
 
-How many cells a vector is put in is calibrated for pairs exactly at the threshold and the number of pivots,
-so that recall does not fall as the data grow. Exact copies of a vector are collapsed before and count once.
+The number of tables is calibrated for pairs exactly at the threshold and the number of pivots, so that recall
+does not fall as the data grow; pairs above it, and pairs of a cluster of more than two, meet more surely.
+Vectors move as 16-bit numbers, which changes a cosine by less than 0.0001. Exact copies of a vector are collapsed before and count once.
 """
 
 from __future__ import annotations
@@ -37,11 +40,11 @@ from tesserae.sources.tables import cut
 THRESHOLD = 0.72
 DIM = 128
 #: Vectors of a cell compared at once in a task, and distinct vectors of a component that has its rounds in one task.
-BLOCK, WHOLE = 2048, 4000
+BLOCK, WHOLE = 2048, 12_000
 #: Most pivots, and from how many on they are searched in two levels.
-MAX_PIVOTS, FLAT = 262_144, 2048
-#: Part of the lone pairs at the threshold that must share a cell.
-RECALL = 0.995
+MAX_PIVOTS, FLAT = 65_536, 2048
+#: Part of the lone pairs exactly at the threshold that must share a cell.
+RECALL = 0.95
 TYPICAL = 3
 #: Members of a cluster ranked in one part.
 PART = 20_000
@@ -83,8 +86,29 @@ def _vectors(b: pa.RecordBatch, dim: int) -> tuple[np.ndarray, list[bytes]]:
     return v, [hashlib.blake2b(r.tobytes(), digest_size=16).digest() for r in v]
 
 
+def _packed(v: np.ndarray, kind: type) -> pa.Array:
+    """Unit vectors as whole numbers of ``kind``, after the step of each and the length of what rounding lost."""
+    scale = (np.abs(v).max(axis=1) / np.iinfo(kind).max).astype(np.float32)
+    q = np.rint(v / scale[:, None]).astype(kind)
+    lost = np.linalg.norm(v - q * scale[:, None], axis=1).astype(np.float32)
+    head = np.stack([scale, lost], axis=1).view(np.uint8)
+    return _binary(np.concatenate([head, np.ascontiguousarray(q).view(np.uint8)], axis=1))
+
+
+def _unpacked(column: pa.Array | pa.ChunkedArray, dim: int, kind: type) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(step, lost, numbers as floats) of ``_packed``."""
+    raw = _rows(column, 8 + dim * np.dtype(kind).itemsize, np.uint8)
+    head = np.ascontiguousarray(raw[:, :8]).view(np.float32)
+    return head[:, 0], head[:, 1], np.ascontiguousarray(raw[:, 8:]).view(kind).astype(np.float32)
+
+
+def _unit_of(column: pa.Array | pa.ChunkedArray, dim: int, kind: type) -> np.ndarray:
+    scale, _, q = _unpacked(column, dim, kind)
+    return q * scale[:, None]
+
+
 def _sketcher(dim: int):
-    """(id, e) to (id, h, scale, err, q): bytes of a vector and what they lost; ``q`` is null for a copy of one that the partition had before."""
+    """(id, e) to (id, h, q): a digest and bytes of a vector; ``q`` is null for a copy of one that the partition had before."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
@@ -92,36 +116,30 @@ def _sketcher(dim: int):
             if not b.num_rows:
                 continue
             v, h = _vectors(b, dim)
-            scale = np.abs(v).max(axis=1) / 127
-            q = np.rint(v / scale[:, None]).astype(np.int8)
-            err = np.linalg.norm(v - q * scale[:, None], axis=1)
             new = []
             for x in h:
                 new.append(x not in seen)
                 seen.add(x)
-            qs = pa.compute.if_else(pa.array(new), _binary(q), pa.scalar(None, pa.binary()))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(h, pa.binary()), pa.array(scale.astype(np.float32)), pa.array(err.astype(np.float32)), qs], names=["id", "h", "scale", "err", "q"])
+            qs = pa.compute.if_else(pa.array(new), _packed(v, np.int8), pa.scalar(None, pa.binary()))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(h, pa.binary()), qs], names=["id", "h", "q"])
 
     return run
 
 
-def probes(pivots: int, threshold: float = THRESHOLD, recall: float = RECALL) -> int:
-    """In how many cells a vector must be so that a lone pair of cosine ``threshold``, far from all pivots, shares one with probability ``recall``.
+def tables(pivots: int, threshold: float = THRESHOLD, recall: float = RECALL) -> int:
+    """The number of tables in which a lone pair of cosine ``threshold``, far from all pivots, shares a cell with probability ``recall``.
 
     Simulated: similarities to unrelated pivots are correlated as the pair is similar.
     """
     rng = np.random.default_rng(7)
-    trials = int(min(4000, max(200, 4_000_000 // pivots)))
-    worst = np.empty(trials)
-    for k in range(trials):
-        a, b = rng.standard_normal((2, pivots))
-        b = threshold * a + (1 - threshold**2) ** 0.5 * b
-        worst[k] = np.maximum((-a).argsort().argsort(), (-b).argsort().argsort()).min()
-    return int(min(pivots, np.quantile(worst, recall) + 1))
+    trials = int(min(4000, max(200, 8_000_000 // pivots)))
+    a, b = rng.standard_normal((2, trials, pivots), np.float32)
+    same = np.mean(a.argmax(axis=1) == (threshold * a + (1 - threshold**2) ** 0.5 * b).argmax(axis=1))
+    return int(np.ceil(np.log(1 - recall) / np.log(1 - min(same, 0.999)))) if pivots > 1 else 1
 
 
 class Pivots:
-    """Pivots, and which are nearest to a vector; beyond ``FLAT`` of them by way of the nearest of a coarser set."""
+    """Pivots, and which is nearest to a vector; beyond ``FLAT`` of them by way of the nearest ones of a coarser set."""
 
     def __init__(self, unit: np.ndarray):
         self.unit = unit
@@ -131,33 +149,28 @@ class Pivots:
             home = np.concatenate([(unit[lo : lo + 8192] @ self.coarse.T).argmax(axis=1) for lo in range(0, len(unit), 8192)])
             self.members = [np.flatnonzero(home == c) for c in range(len(self.coarse))]
 
-    def nearest(self, m: np.ndarray, k: int) -> np.ndarray:
-        """(rows, k) pivot numbers."""
-        k = min(k, len(self.unit))
+    def nearest(self, m: np.ndarray) -> np.ndarray:
+        """Pivot numbers."""
         if self.coarse is None:
-            s = m @ self.unit.T
-            return np.argpartition(-s, k - 1, axis=1)[:, :k] if k < s.shape[1] else np.tile(np.arange(k), (len(m), 1))
-        wide = min(len(self.coarse), 2 * k)
-        homes = np.argpartition(-(m @ self.coarse.T), wide - 1, axis=1)[:, :wide] if wide < len(self.coarse) else np.tile(np.arange(wide), (len(m), 1))
-        best = np.full((len(m), k), -2.0, np.float32)
-        who = np.zeros((len(m), k), np.int64)
+            return (m @ self.unit.T).argmax(axis=1)
+        homes = np.argpartition(-(m @ self.coarse.T), 8, axis=1)[:, :8]
+        best, who = np.full(len(m), -2.0, np.float32), np.zeros(len(m), np.int64)
         for c in np.unique(homes):
-            mine = self.members[c]
-            at = np.flatnonzero((homes == c).any(axis=1))
-            if not len(mine):
-                continue
-            s = np.concatenate([best[at], m[at] @ self.unit[mine].T], axis=1)
-            w = np.concatenate([who[at], np.tile(mine, (len(at), 1))], axis=1)
-            top = np.argpartition(-s, k - 1, axis=1)[:, :k]
-            best[at], who[at] = np.take_along_axis(s, top, 1), np.take_along_axis(w, top, 1)
+            mine, at = self.members[c], np.flatnonzero((homes == c).any(axis=1))
+            if len(mine):
+                s = m[at] @ self.unit[mine].T
+                top = s.argmax(axis=1)
+                val = s[np.arange(len(at)), top]
+                better = val > best[at]
+                best[at[better]], who[at[better]] = val[better], mine[top[better]]
         return who
 
 
-def _cells(nodes: DataFrame, units, sample: np.ndarray, k: int, key: str) -> DataFrame:
-    """``nodes`` once for each of their ``k`` cells and each block that they meet there: with ``cell``, ``part``, ``i``, ``j``.
+def _cells(nodes: DataFrame, units, sample: np.ndarray, n_tables: int, key: str) -> DataFrame:
+    """``nodes`` once for each of their cells and each block that they meet there: with ``cell``, ``part``, ``i``, ``j``.
 
     ``units(batch)`` are the rows' unit vectors. Cells of more than ``BLOCK`` rows are split by ``key``; every two
-    of their blocks meet. The driver holds a count for each pivot, the tasks the pivots: both bounded.
+    of their blocks meet. The driver holds a count for each cell, the tasks the pivots: both bounded.
     """
     sc = nodes.sparkSession.sparkContext
     shipped = sc.broadcast(sample)
@@ -165,38 +178,44 @@ def _cells(nodes: DataFrame, units, sample: np.ndarray, k: int, key: str) -> Dat
     def assign(splits):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             pivots = Pivots(shipped.value)
+            rng = np.random.default_rng(11)
+            turns = [(rng.permutation(sample_dim), rng.choice(np.array([-1, 1], np.float32), sample_dim)) for _ in range(n_tables)]
             for b in batches:
                 if not b.num_rows:
                     continue
-                near = pivots.nearest(units(b), k).astype(np.int32)
-                row, cell = np.repeat(np.arange(len(near)), near.shape[1]), near.ravel()
+                m = units(b).astype(np.float32)
+                cell = np.stack([t * size + pivots.nearest(m[:, order] * sign) for t, (order, sign) in enumerate(turns)], axis=1).ravel()
                 if splits is None:
-                    yield pa.RecordBatch.from_arrays([pa.array(cell)], names=["cell"])
+                    yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32))], names=["cell"])
                     continue
+                row = np.repeat(np.arange(len(m)), n_tables)
                 n = splits.value[cell]
-                mixed = np.array([int.from_bytes(x[:4], "little") for x in b.column(key).to_pylist()], np.int64)[row]
-                part = mixed % n
-                other = np.concatenate([np.arange(x) for x in n]) if len(n) else n
+                part = np.array([int.from_bytes(x[:4], "little") for x in b.column(key).to_pylist()], np.int64)[row] % n
+                other = np.concatenate([np.arange(x) for x in n])
                 row, cell, part = np.repeat(row, n), np.repeat(cell, n), np.repeat(part, n)
                 columns = [*b.take(pa.array(row)).columns, *(pa.array(x.astype(np.int32)) for x in (cell, part, np.minimum(part, other), np.maximum(part, other)))]
                 yield pa.RecordBatch.from_arrays(columns, names=[*b.schema.names, "cell", "part", "i", "j"])
 
         return run
 
-    sizes = nodes.mapInArrow(assign(None), "cell int").groupBy("cell").agg(F.count(F.lit(1)).alias("c")).collect()  # at most one row a pivot
-    splits = np.ones(len(sample), np.int64)
-    for r in sizes:
-        splits[r.cell] = -(-r.c // BLOCK)
+    size, sample_dim = sample.shape
+    counts = nodes.mapInArrow(assign(None), "cell int").groupBy("cell").agg(F.count(F.lit(1)).alias("c")).toArrow()  # at most one row for each pivot and table
+    splits = np.ones(size * n_tables, np.int64)
+    splits[counts["cell"].to_numpy()] = -(-counts["c"].to_numpy() // BLOCK)
     fields = ", ".join(f"{c} {t}" for c, t in nodes.dtypes)
     return nodes.mapInArrow(assign(sc.broadcast(splits)), f"{fields}, cell int, part int, i int, j int")
 
 
-def _joined(near: np.ndarray) -> np.ndarray:
-    """Component labels, least row numbers, of a symmetric dense adjacency."""
-    label = np.arange(len(near))
+def _joined(rows: np.ndarray, columns: np.ndarray, n: int) -> np.ndarray:
+    """Component labels, least numbers, of ``n`` vectors with edges both ways: (rows, columns) in order of the rows."""
+    label = np.arange(n)
+    if not len(rows):
+        return label
+    start = np.flatnonzero(np.concatenate([[True], np.diff(rows) > 0]))
+    who = rows[start]
     while True:
-        new = np.where(near, label[None, :], len(near)).min(axis=1)
-        new = np.minimum(new, label)
+        new = label.copy()
+        new[who] = np.minimum(label[who], np.minimum.reduceat(label[columns], start))
         new = new[new]
         if (new == label).all():
             return label
@@ -204,18 +223,29 @@ def _joined(near: np.ndarray) -> np.ndarray:
 
 
 def _forest(dim: int, threshold: float):
-    """Edges (a, b) that join what may be similar within two blocks of a cell, as a star for each of their components."""
+    """Edges (a, b) that join what may be similar within two blocks of a cell, as a star for each of their components.
+
+    ``q``: two floats, a step and what was lost, then a byte a number.
+    """
 
     def run(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
         i, j = key[1].as_py(), key[2].as_py()
         group = group.combine_chunks()
-        part, scale, err = group["part"].to_numpy(), group["scale"].to_numpy(), group["err"].to_numpy()
-        v = _rows(group["q"], dim, np.int8).astype(np.float32) * scale[:, None]
+        part = group["part"].to_numpy()
+        scale, err, q = _unpacked(group["q"], dim, np.int8)
+        v = q * scale[:, None]
         x, y = np.flatnonzero(part == i), np.flatnonzero(part == j)
-        near = np.zeros((len(v), len(v)), bool)
-        near[np.ix_(x, y)] = v[x] @ v[y].T + err[x][:, None] + err[y][None, :] >= threshold - 1e-4
-        near |= near.T
-        label = _joined(near)
+        need = np.float32(threshold - 1e-4)
+        s = v[x] @ v[y].T
+        s += err[y][None, :]
+        r, c = np.nonzero(s >= (need - err[x])[:, None])
+        if i == j:
+            r, c = x[r], x[c]
+        else:
+            r, c = np.concatenate([x[r], y[c]]), np.concatenate([y[c], x[r]])
+            by = np.argsort(r, kind="stable")
+            r, c = r[by], c[by]
+        label = _joined(r, c, len(v))
         moved = np.flatnonzero(label != np.arange(len(label)))
         h = group["h"].combine_chunks()
         return pa.table([h.take(pa.array(moved)), h.take(pa.array(label[moved]))], names=["a", "b"])
@@ -223,6 +253,18 @@ def _forest(dim: int, threshold: float):
     return run
 
 
+def _best_partners(v: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each cluster the best partner (ties: the first) and their average cosine, a strip of the matrix at a time."""
+    mean = (v / n[:, None]).astype(np.float32)
+    best, s = np.empty(len(v), np.int64), np.empty(len(v))
+    for lo in range(0, len(v), 1024):
+        strip = np.round((mean[lo : lo + 1024] @ mean.T).astype(np.float64), 6)
+        strip[np.arange(len(strip)), np.arange(lo, lo + len(strip))] = -2
+        best[lo : lo + 1024] = strip.argmax(axis=1)
+        s[lo : lo + 1024] = strip.max(axis=1)
+    return best, s
+
+
 def merge_rounds(sums: np.ndarray, n: np.ndarray, threshold: float) -> np.ndarray:
     """Average linkage of a group by rounds of mutual best pairs: a label for each row, the index of its cluster's first row.
 
@@ -232,12 +274,9 @@ def merge_rounds(sums: np.ndarray, n: np.ndarray, threshold: float) -> np.ndarra
     alive = np.arange(len(n))
     sums, n = sums.astype(np.float64), n.astype(np.float64)
     while len(alive) > 1:
-        s = (sums @ sums.T) / (n[:, None] * n[None, :])
-        s = np.round(np.maximum(s, s.T), 9)
-        np.fill_diagonal(s, -2)
-        best = s.argmax(axis=1)
+        best, s = _best_partners(sums, n)
         rows = np.arange(len(alive))
-        pair = (best[best] == rows) & (rows < best) & (s[rows, best] >= threshold)
+        pair = (best[best] == rows) & (rows < best) & (s >= threshold)
         if not pair.any():
             break
         a, b = rows[pair], best[pair]
@@ -248,7 +287,7 @@ def merge_rounds(sums: np.ndarray, n: np.ndarray, threshold: float) -> np.ndarra
         n[a] += n[b]
         # a cluster with no partner in reach now may have one after merges only if an average rises,
         # which averages of its present similarities cannot do
-        keep = (s.max(axis=1) >= threshold) & ~np.isin(rows, b)
+        keep = (s >= threshold) & ~np.isin(rows, b)
         alive, sums, n = alive[keep], sums[keep], n[keep]
     return label
 
@@ -263,7 +302,7 @@ def _link(dim: int, threshold: float):
         group = group.sort_by([("first_id", "ascending"), ("h", "ascending")]).combine_chunks()
         h = group["h"].to_pylist()
         once = np.flatnonzero([k == 0 or x != h[k - 1] for k, x in enumerate(h)])  # copies that several partitions held
-        v = _rows(group["v"], dim, np.float32)[once]
+        v = _unit_of(group["v"], dim, np.int16)[once]
         label = merge_rounds(v, np.ones(len(v)), threshold)
         sums = np.zeros((len(v), dim))
         np.add.at(sums, label, v)
@@ -319,8 +358,8 @@ def _add(dim: int):
 
 
 def _sample(vectors: DataFrame, count: int, dim: int, unit) -> np.ndarray:
-    """Pivots: the vectors of the smallest digests, about as many as the root of their number, at most ``MAX_PIVOTS``."""
-    size = int(min(MAX_PIVOTS, max(4, count**0.5)))
+    """Pivots: the vectors of the smallest digests, at most ``MAX_PIVOTS``; cells hold some thousands of vectors, slowly more as those grow."""
+    size = int(min(MAX_PIVOTS, max(2, count**0.75 / 280)))
     table = vectors.orderBy(vectors.columns[0]).limit(size).toArrow().combine_chunks()
     return unit(table)
 
@@ -328,32 +367,30 @@ def _sample(vectors: DataFrame, count: int, dim: int, unit) -> np.ndarray:
 def distributed_rounds(nodes: DataFrame, dim: int, threshold: float, spread: int | None = None) -> DataFrame:
     """(h, cid, first_id, s) of components too large for a task; ``nodes``: (cid, n, first_id, v), one for each distinct vector.
 
-    A round: cells give each cluster's best partner, mutual ones merge. A cluster that no longer has a partner
-    is done: averages of its similarities never rise above them.
+    A round: cells give each cluster's best partner, mutual ones merge.
     """
     unit = lambda b: _unit(_rows(b.column("v"), dim, np.float32))
     active = start = cut(nodes)
     label = cut(active.select(F.col("cid").alias("h"), "cid"))
-    done = None
-    while True:  # each round merges at least one pair
+    every = False
+    while True:  # a third of the tables while they give pairs, then all of them until they give none
         count = active.count()
         if count < 2:
             break
         sample = _sample(active.select("cid", "v"), count, dim, lambda t: _unit(_rows(t["v"], dim, np.float32)))
-        cells = _cells(active, unit, sample, spread or probes(len(sample), threshold), "cid")
+        n = spread or tables(len(sample), threshold)
+        cells = _cells(active, unit, sample, n if every else -(-n // 3), "cid")
         best = cut(cells.groupBy("cell", "i", "j").applyInArrow(_best(dim, threshold), "a binary, b binary, s double"))
         to = cut(_mutual(best))
         if to.isEmpty():
-            break
-        ends = best.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
-        out = active.join(ends, "cid", "left_anti")
-        done = cut(out if done is None else done.unionByName(out))
-        placed = active.join(ends, "cid", "left_semi").join(to.withColumnRenamed("cid", "y"), F.col("cid") == F.col("child"), "left")
+            if every:
+                break
+            every = True
+            continue
+        placed = active.join(to.withColumnRenamed("cid", "y"), F.col("cid") == F.col("child"), "left")
         moved = placed.select(F.coalesce("y", "cid").alias("cid"), "n", "first_id", "v")
         active = cut(moved.groupBy("cid").applyInArrow(_add(dim), _NODE))
         label = cut(label.join(to.select(F.col("child").alias("x"), F.col("cid").alias("y")), F.col("cid") == F.col("x"), "left").select("h", F.coalesce("y", "cid").alias("cid")))
-    final = active if done is None else done.unionByName(active)
-
     def nearness(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
@@ -361,26 +398,26 @@ def distributed_rounds(nodes: DataFrame, dim: int, threshold: float, spread: int
                 yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("h", "cid", "first_id")), pa.array(np.round(s.astype(np.float64), 6))], names=["h", "cid", "first_id", "s"])
 
     own = start.select(F.col("cid").alias("h"), F.col("v").alias("own"))
-    return label.join(final.select("cid", "first_id", "v"), "cid").join(own, "h").select("h", "cid", "first_id", "own", "v").mapInArrow(nearness, _FOUND)
+    return label.join(active.select("cid", "first_id", "v"), "cid").join(own, "h").select("h", "cid", "first_id", "own", "v").mapInArrow(nearness, _FOUND)
 
 
 def clusters(memories: DataFrame, threshold: float = THRESHOLD, dim: int = DIM, column: str = "embedding", whole: int | None = None, spread: int | None = None) -> DataFrame:
     """(id, cid, first_id, s): every record with a usable vector, its cluster, that cluster's smallest id, and the cosine with its mean.
 
     Rows delivered again fall together; no usable vector at all gives no rows. ``whole`` and ``spread`` stand
-    in for ``WHOLE`` and the calibrated number of cells.
+    in for ``WHOLE`` and the calibrated number of tables.
     """
     rows = usable(memories, dim, column)
-    sketches = cut(rows.mapInArrow(_sketcher(dim), "id string, h binary, scale float, err float, q binary"))
+    sketches = cut(rows.mapInArrow(_sketcher(dim), "id string, h binary, q binary"))
     ids = sketches.select("id", "h")
     heads = ids.groupBy("h").agg(F.min("id").alias("first_id"))
-    nodes = sketches.where("q is not null").select("h", "scale", "err", "q")
+    nodes = sketches.where("q is not null").select("h", "q")
     count = nodes.count()
-    unit = lambda b: _unit(_rows(b.column("q"), dim, np.int8).astype(np.float32))
+    unit = lambda b: _unit_of(b.column("q"), dim, np.int8)
     if count < 2:
         return ids.distinct().join(heads, "h").select("id", F.col("h").alias("cid"), "first_id", F.lit(1.0).alias("s"))
-    sample = _sample(nodes.select("h", "q"), count, dim, lambda t: _unit(_rows(t["q"], dim, np.int8).astype(np.float32)))
-    cells = _cells(nodes, unit, sample, spread or probes(len(sample), threshold), "h")
+    sample = _sample(nodes.select("h", "q"), count, dim, lambda t: _unit(_unit_of(t["q"], dim, np.int8)))
+    cells = _cells(nodes, unit, sample, spread or tables(len(sample), threshold), "h")
     root = cut(stars(cells.groupBy("cell", "i", "j").applyInArrow(_forest(dim, threshold), "a binary, b binary")))
     sizes = root.groupBy("root").agg(F.count(F.lit(1)).alias("c"))
     tied = root.join(sizes, "root").join(heads, F.col("node") == F.col("h")).select("h", "root", "c", "first_id")
@@ -391,14 +428,18 @@ def clusters(memories: DataFrame, threshold: float = THRESHOLD, dim: int = DIM,
             if b.num_rows:
                 v, h = _vectors(b, dim)
                 new = [k for k, x in enumerate(h) if x not in seen and not seen.add(x)]
-                yield pa.RecordBatch.from_arrays([pa.array([h[k] for k in new], pa.binary()), _binary(v[new])], names=["h", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array([h[k] for k in new], pa.binary()), _packed(v[new], np.int16)], names=["h", "v"])
 
     vectors = rows.mapInArrow(full, "h binary, v binary")
     limit = whole or WHOLE
     small = vectors.join(tied.where(F.col("c") <= limit), "h").select("root", "h", "first_id", "v")
     found = small.groupBy("root").applyInArrow(_link(dim, threshold), _FOUND)
     if not sizes.where(F.col("c") > limit).isEmpty():
-        large = vectors.join(tied.where(F.col("c") > limit), "h").dropDuplicates(["h"]).select(F.col("h").alias("cid"), F.lit(1).cast("bigint").alias("n"), "first_id", "v")
+        def floats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.ones(b.num_rows, np.int64)), b.column(1), _binary(_unit_of(b.column(2), dim, np.int16))], names=["cid", "n", "first_id", "v"])
+
+        large = vectors.join(tied.where(F.col("c") > limit), "h").dropDuplicates(["h"]).select("h", "first_id", "v").mapInArrow(floats, _NODE)
         found = found.unionByName(distributed_rounds(large, dim, threshold, spread))
     found = cut(found)
     alone = heads.join(root.select(F.col("node").alias("h")), "h", "left_anti").select("h", F.col("h").alias("cid"), "first_id", F.lit(1.0).alias("s"))
