@@ -7,7 +7,8 @@ out. Forms are exploded and equi-joined; an agreement counts ``1 / number of ide
 the form`` (its rarity), and only forms that point to a single identity link.
 
 1. Fully written names give *identities* (kind, given name, surname) or (kind, core, legal form).
-2. Long surnames one misspelling from a more frequent one are corrected; identities one misspelling apart
+2. Given names that the corpus bears with several surnames are established, beside those of the nicknames.
+   Long surnames one misspelling from a more frequent one are corrected; identities one misspelling apart
    are merged, the rarer spelling into the more frequent one; not if
    both given names are established ones (relatives), or trade or legal form differ (other firms).
 3. Partly written names (initials, abbreviations, nicknames of several names, missing legal form) join
@@ -26,31 +27,33 @@ import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tesserae.llm.components import stars
 from tesserae.sources.tables import cut
 
 # Given names and the short forms they go by.
 NICKNAMES = {
     "abigail": "abby gail abbie", "alexander": "alex al sandy xander sasha lex", "andrew": "andy drew", "anthony": "tony ant",
-    "ayse": "", "benjamin": "ben benny benji", "charles": "charlie chuck chas", "christopher": "chris kit topher", "daniel": "dan danny",
+    "benjamin": "ben benny benji", "charles": "charlie chuck chas", "christopher": "chris kit topher", "daniel": "dan danny",
     "david": "dave davey", "deborah": "deb debbie debby", "dorothy": "dot dolly dottie dora dodie", "edward": "ed eddie ted ned teddy",
     "eleanor": "ellie nell nellie nora ella", "elizabeth": "beth liz lizzie betty eliza betsy libby lisa bess", "francisco": "paco pancho cisco kiko",
     "frederick": "fred freddie freddy", "friedrich": "fritz fred", "gabriela": "gabi gaby gabby", "gregory": "greg gregg", "harold": "hal harry",
-    "henry": "harry hank hal", "ignacio": "nacho iggy", "inigo": "", "jacqueline": "jackie jacqui", "james": "jim jimmy jamie jem",
-    "jennifer": "jen jenny jenn", "johannes": "hannes hans johann", "john": "jack johnny jon", "joseph": "joe joey jo", "jurgen": "",
-    "katherine": "kate kathy katie kat kit kitty kay", "kenji": "", "konstantin": "kostya kosta", "lawrence": "larry laurie lars", "leonard": "len lenny leo",
-    "lukasz": "", "margaret": "maggie meg peggy peg marge rita greta daisy madge", "matthew": "matt matty", "maximilian": "max maxi", "michael": "mike mick mickey micky mikey",
+    "henry": "harry hank hal", "ignacio": "nacho iggy", "jacqueline": "jackie jacqui", "james": "jim jimmy jamie jem",
+    "jennifer": "jen jenny jenn", "johannes": "hannes hans johann", "john": "jack johnny jon", "joseph": "joe joey jo",
+    "katherine": "kate kathy katie kat kit kitty kay", "konstantin": "kostya kosta", "lawrence": "larry laurie lars", "leonard": "len lenny leo",
+    "margaret": "maggie meg peggy peg marge rita greta daisy madge", "matthew": "matt matty", "maximilian": "max maxi", "michael": "mike mick mickey micky mikey",
     "nicholas": "nick nico nicky nicolas", "oluwaseun": "seun olu", "patricia": "pat patty tricia trish patsy", "priyanka": "priya pri", "rebecca": "becca becky reba",
-    "renee": "", "richard": "rich rick dick ricky richie", "robert": "bob bobby rob robbie bert", "samuel": "sam sammy", "sebastian": "seb bastian basti",
-    "soren": "", "stephen": "steve stevie steven", "susan": "sue susie suzy suzie", "theodore": "ted teddy theo", "thomas": "tom tommy", "timothy": "tim timmy",
-    "valentina": "val valya tina", "victoria": "vicky vicki tori vic vickie", "william": "bill billy will willie liam willy", "yevgenia": "zhenya genia evgenia", "zoe": "",
+    "richard": "rich rick dick ricky richie", "robert": "bob bobby rob robbie bert", "samuel": "sam sammy", "sebastian": "seb bastian basti",
+    "stephen": "steve stevie steven", "susan": "sue susie suzy suzie", "theodore": "ted teddy theo", "thomas": "tom tommy", "timothy": "tim timmy",
+    "valentina": "val valya tina", "victoria": "vicky vicki tori vic vickie", "william": "bill billy will willie liam willy", "yevgenia": "zhenya genia evgenia",
 }
 # Spellings of legal forms and trades.
 LEGAL = {
     "ltd": "ltd limited", "inc": "inc incorporated", "corp": "corp corporation", "co": "co company", "sa": "sa", "ag": "ag aktiengesellschaft",
     "gmbh": "gmbh", "llc": "llc", "plc": "plc", "bv": "bv", "srl": "srl", "oy": "oy", "kg": "kg",
+    "spa": "spa", "nv": "nv", "aps": "aps", "pty": "pty", "llp": "llp", "sarl": "sarl", "oyj": "oyj", "kft": "kft", "sro": "sro", "pte": "pte",
 }
 TRADES = {
     "analytics": "analyt", "consulting": "cons consult", "engineering": "eng engg", "foundation": "fdn found", "institute": "inst", "international": "intl int",
@@ -65,14 +68,18 @@ for _f, _short in NICKNAMES.items():
         _FORMAL.setdefault(_s, set()).add(_f)
 _LEGAL = {s: k for k, v in LEGAL.items() for s in v.split()}
 _TRADE = {s: k for k, v in TRADES.items() for s in (k, *v.split())}
+#: Sorts after every id.
+_AFTER = "\U0010ffff"
 #: Shortest token that may be misspelt.
 TYPO_LENGTH = 4
 #: Shortest surname that is corrected to a more frequent one whatever the given name.
 SURNAME_LENGTH = 8
-#: An alias of more records than this names nobody in particular.
-ALIAS_RECORDS = 6
+#: An alias whose bearers' own names are whole and stand for this many identities names nobody in particular.
+ALIAS_IDENTITIES = 3
+#: A given name borne with this many surnames is established, unless one misspelling from one borne with ten times as many.
+SURNAMES, OVERSHADOWED = 3, 10
 
-_SCHEMA = "id string, kind string, given array<string>, exact boolean, rest string, extra string, legal string, sure boolean"
+_SCHEMA = "id string, kind string, given array<string>, exact boolean, rest string, extra string, legal string, sure boolean, own boolean"
 
 
 def fold(text: str) -> str:
@@ -164,34 +171,42 @@ def person(name: str) -> tuple[set[str], bool, str, str, bool] | None:
 
 
 def readings(entities: DataFrame) -> DataFrame:
-    """(id, kind, given, exact, rest, extra, legal, sure): every reading of each record's name and aliases.
+    """(id, kind, given, exact, rest, extra, legal, sure, own): every reading of each record's name (``own``) and aliases.
 
-    Null, blank and generic names have none; aliases shared by more than ``ALIAS_RECORDS`` records name nobody.
-    Records typed ``other`` are read as either kind if the name shows it (an established given name, a legal form or trade).
+    Null, blank and generic names have none. Records typed ``other`` are read as either kind if the name shows
+    it (an established given name, a legal form or trade).
     """
     rows = entities.where(F.lower("entity_type").isin("person", "org", "other")).select("id", F.lower("entity_type").alias("t"), "name", "aliases").distinct()
     names = rows.select("id", "t", F.col("name").alias("x"), F.lit(True).alias("own"))
     aliases = rows.select("id", "t", F.explode("aliases").alias("x"), F.lit(False).alias("own"))
-    common = aliases.groupBy(F.lower(F.trim("x")).alias("k")).agg(F.countDistinct("id").alias("n")).where(F.col("n") > ALIAS_RECORDS)
-    specific = aliases.withColumn("k", F.lower(F.trim("x"))).join(common, "k", "left_anti").drop("k")
-    both = names.unionByName(specific).where("x is not null and trim(x) <> ''").distinct()
+    both = names.unionByName(aliases).where("x is not null and trim(x) <> ''").distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: list[tuple] = []
-            for i, t, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+            for i, t, x, own in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
                 if x.strip().lower() in _GENERIC:
                     continue
                 if t != "person" and (o := organisation(x)):
-                    out.append((i, "o", [], True, o[0], "", o[1], True))
+                    out.append((i, "o", [], True, o[0], "", o[1], True, own))
                 elif t != "org" and (p := person(x)):
                     if t == "person" or p[4] or re.search(r"[A-Z]", x):
-                        out.append((i, "p", sorted(p[0]), p[1], p[2], p[3], "", p[4]))
-            cols = list(zip(*out, strict=True)) if out else [()] * 8
-            kinds = (pa.string(), pa.string(), pa.list_(pa.string()), pa.bool_(), pa.string(), pa.string(), pa.string(), pa.bool_())
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)], names=["id", "kind", "given", "exact", "rest", "extra", "legal", "sure"])
+                        out.append((i, "p", sorted(p[0]), p[1], p[2], p[3], "", p[4], own))
+            cols = list(zip(*out, strict=True)) if out else [()] * 9
+            kinds = (pa.string(), pa.string(), pa.list_(pa.string()), pa.bool_(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)], names=["id", "kind", "given", "exact", "rest", "extra", "legal", "sure", "own"])
 
-    return both.select("id", "t", "x").mapInArrow(run, _SCHEMA)
+    return both.select("id", "t", "x", "own").mapInArrow(run, _SCHEMA)
+
+
+def established(read: DataFrame) -> DataFrame:
+    """Readings with ``sure`` for given names that the corpus itself establishes: borne with several surnames, and no misspelling of a much commoner one."""
+    spelt = read.where((F.col("kind") == "p") & F.col("exact") & (F.size("given") == 1)).select(F.get("given", F.lit(0)).alias("g"), F.col("rest").alias("surname"))
+    borne = cut(spelt.groupBy("g").agg(F.countDistinct("surname").alias("n")))
+    near = _misspellings(borne.select(F.lit("p").alias("kind"), F.lit("").alias("g"), F.col("g").alias("rest"), F.lit("").alias("legal"), "n", F.lit(False).alias("sure")))
+    better = near.select(F.col("rest").alias("g"), F.col("rest2").alias("b")).join(borne.select(F.col("g").alias("b"), F.col("n").alias("m")), "b")
+    fine = borne.where(F.col("n") >= SURNAMES).join(better, "g", "left").where(F.col("m").isNull() | (F.col("m") < OVERSHADOWED * F.col("n"))).select(F.array("g").alias("given"), F.lit("p").alias("kind"), F.lit(True).alias("_known")).distinct()
+    return read.join(fine, ["kind", "given"], "left").withColumn("sure", F.col("sure") | F.coalesce("_known", F.lit(False))).select(*read.columns)
 
 
 def _deletions(identities: DataFrame) -> DataFrame:
@@ -231,9 +246,17 @@ def _misspellings(identities: DataFrame) -> DataFrame:
 
 
 def _settle(step: DataFrame, key: list[str]) -> DataFrame:
-    """Misspellings followed two steps: the spelling that a spelling was merged into may be rarer than a third one."""
-    second = step.select("kind", F.col("g").alias("g2"), F.col("rest").alias("rest2"), "legal", F.col("g2").alias("g3"), F.col("rest2").alias("rest3"))
-    return cut(step.join(second, ["kind", "g2", "rest2", "legal"], "left").select(*key, F.coalesce("g3", "g2").alias("g2"), F.coalesce("rest3", "rest2").alias("rest2")))
+    """Misspellings followed to their end: the spelling that one was merged into may be rarer than a third one.
+
+    Every step leads to a more frequent spelling, so chains end; their length halves in each round.
+    """
+    now = cut(step)
+    while True:
+        second = now.select("kind", F.col("g").alias("g2"), F.col("rest").alias("rest2"), "legal", F.col("g2").alias("g3"), F.col("rest2").alias("rest3"))
+        nxt = now.join(second, ["kind", "g2", "rest2", "legal"], "left")
+        if nxt.where("rest3 is not null").isEmpty():
+            return now.select(*key, "g2", "rest2")
+        now = cut(nxt.select("kind", "g", "rest", "legal", F.coalesce("g3", "g2").alias("g2"), F.coalesce("rest3", "rest2").alias("rest2")))
 
 
 def _surnames_corrected(read: DataFrame) -> DataFrame:
@@ -244,52 +267,83 @@ def _surnames_corrected(read: DataFrame) -> DataFrame:
     return read.join(fixed, ["kind", "rest"], "left").withColumn("rest", F.coalesce("_better", "rest")).select(*read.columns)
 
 
-def identities_of(entities: DataFrame) -> DataFrame:
-    """(id, identity): the identities that each record's names point to."""
-    read = cut(_surnames_corrected(cut(readings(entities))))
-    whole = F.col("exact") & ((F.col("kind") == "o") & (F.col("legal") != "") | (F.col("kind") == "p") & (F.size("given") == 1))
-    full = read.where(whole).select("id", "kind", F.coalesce(F.get("given", F.lit(0)), F.lit("")).alias("g"), "rest", "legal", "extra", "sure")
-    key = ["kind", "g", "rest", "legal"]
-    known = cut(full.groupBy(*key).agg(F.countDistinct("id").alias("n"), F.max("sure").alias("sure")))
-    fixed = _settle(_misspellings(known), key)
-    named = F.concat_ws("|", "kind", F.coalesce("g2", "g"), F.coalesce("rest2", "rest"), "legal")
-    settled = cut(full.join(fixed, key, "left").select("id", "kind", F.coalesce("g2", "g").alias("g"), "rest", F.coalesce("rest2", "rest").alias("rest2"), "legal", "extra", named.alias("identity")))
+_KEY = ["kind", "g", "rest", "legal"]
+
+
+def _whole() -> Column:
+    """Whether a reading names its bearer in full."""
+    return F.col("exact") & ((F.col("kind") == "o") & (F.col("legal") != "") | (F.col("kind") == "p") & (F.size("given") == 1))
+
+
+def _settled(read: DataFrame) -> DataFrame:
+    """(id, kind, g, rest, rest2, legal, extra, own, identity): whole names with misspellings merged, without aliases that name nobody in particular.
 
-    # a whole name's weaker rewritings, for those written only in part
-    spelt = settled.select("kind", "g", F.explode(F.array_distinct(F.array("rest", "rest2"))).alias("rest"), "legal", "identity").distinct()
+    An alias counts if it names a person with an established given name, or an organisation, or if some record
+    has it as its own name; not if records of ``ALIAS_IDENTITIES`` identities bear it, however many or few they are.
+    """
+    full = read.where(_whole()).select("id", "kind", F.coalesce(F.get("given", F.lit(0)), F.lit("")).alias("g"), "rest", "legal", "extra", "sure", "own")
+    known = cut(full.groupBy(*_KEY).agg(F.countDistinct("id").alias("n"), F.max("sure").alias("sure")))
+    fixed = _settle(_misspellings(known), _KEY)
+    named = F.concat_ws("|", "kind", F.coalesce("g2", "g"), F.coalesce("rest2", "rest"), "legal")
+    all_ = cut(full.join(fixed, _KEY, "left").select("id", "kind", F.coalesce("g2", "g").alias("g"), "rest", F.coalesce("rest2", "rest").alias("rest2"), "legal", "extra", "sure", "own", named.alias("identity")))
+    own, alias = all_.where("own"), all_.where("not own")
+    bearers = alias.select("id", "identity").join(own.select("id", F.col("identity").alias("other")).distinct(), "id")
+    generic = bearers.groupBy("identity").agg(F.countDistinct("other").alias("n")).where(F.col("n") >= ALIAS_IDENTITIES).select("identity")
+    names = own.select("identity", F.lit(True).alias("_own")).distinct()
+    kept = alias.join(generic, "identity", "left_anti").join(names, "identity", "left").where(F.col("sure") | (F.col("kind") == "o") | F.col("_own")).select(*own.columns)
+    return cut(own.unionByName(kept))
+
+
+def _offers(read: DataFrame, settled: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(asked, offers): the names written in part with their forms, and for each form and second initial the number of identities that bear it and the least of them."""
+    spelt = settled.select("kind", "g", F.explode(F.array_distinct(F.array("rest", "rest2"))).alias("rest"), "identity").distinct()
     prefixes = F.when(F.col("kind") == "p", F.concat(F.array(F.substring("g", 1, 1), F.substring("g", 1, 2), F.substring("g", 1, 3), F.substring("g", 1, 4)), F.array("g"))).otherwise(F.array(F.lit("")))
     weak = spelt.select(F.explode(F.array_distinct(prefixes)).alias("w"), "kind", "rest", "identity").select(F.concat_ws("|", "kind", "w", "rest").alias("form"), "identity").distinct()
     seconds = settled.where("extra <> ''").groupBy("identity").agg(F.collect_set("extra").alias("seconds"))  # at most one for each letter
     bearers = weak.join(seconds, "identity", "left")
-
-    partly = read.where(~whole).withColumn("w", F.explode(F.when(F.col("kind") == "p", F.col("given")).otherwise(F.array(F.lit("")))))
-    asked = partly.select("id", "kind", "extra", "rest", "given", F.concat_ws("|", "kind", "w", "rest").alias("form"))
+    partly = read.where(~_whole()).withColumn("w", F.explode(F.when(F.col("kind") == "p", F.col("given")).otherwise(F.array(F.lit("")))))
+    asked = partly.select("id", "kind", "extra", "rest", "given", "own", "sure", F.concat_ws("|", "kind", "w", "rest").alias("form"))
     agrees = (F.col("extra") == "") | F.col("seconds").isNull() | F.array_contains("seconds", F.col("extra"))
-    offers = asked.select("form", "extra").distinct().join(bearers, "form").where(agrees)
-    met = asked.join(offers.select("form", "extra", "identity").distinct(), ["form", "extra"]).groupBy("id", "kind", "rest", "extra", "given").agg(F.collect_set("identity").alias("m"))
-    rarity = F.lit(1.0) / F.size("m")
-    joined = met.where(rarity > 0.5).select("id", F.col("m")[0].alias("identity"))
-    unmet = asked.join(met.select("id", "kind", "rest", "extra", "given"), ["id", "kind", "rest", "extra", "given"], "left_anti")
-    alone = unmet.select("id", F.concat_ws("|", F.lit("part"), "kind", F.array_join("given", "+"), "rest", "extra").alias("identity"))
+    offers = asked.select("form", "extra").distinct().join(bearers, "form").where(agrees).groupBy("form", "extra").agg(F.countDistinct("identity").alias("n"), F.min("identity").alias("one"))
+    return asked, offers
+
+
+def _read(entities: DataFrame) -> DataFrame:
+    return cut(_surnames_corrected(cut(established(cut(readings(entities))))))
+
+
+def rarities(entities: DataFrame) -> DataFrame:
+    """(id, form, identities, score): each name written in part with the form it was rewritten to, how many identities bear that, and its rarity 1 / identities."""
+    read = _read(entities)
+    asked, offers = _offers(read, _settled(read))
+    return asked.join(offers, ["form", "extra"]).select("id", "form", F.col("n").alias("identities"), F.round(1 / F.col("n"), 6).alias("score")).distinct()
+
+
+def identities_of(entities: DataFrame) -> DataFrame:
+    """(id, identity): the identities that each record's names point to."""
+    read = _read(entities)
+    settled = _settled(read)
+    asked, offers = _offers(read, settled)
+    reading = ["id", "kind", "rest", "extra", "given"]
+    # of all forms of a name one identity must come out: the forms' rarities are 1 and they agree
+    met = asked.join(offers, ["form", "extra"]).groupBy(*reading).agg(F.max("n").alias("n"), F.min("one").alias("one"), F.max("one").alias("other"))
+    score = F.when(F.col("one") == F.col("other"), 1.0 / F.col("n")).otherwise(0.0)
+    joined = met.where(score > 0.5).select("id", F.col("one").alias("identity"))
+    unmet = asked.join(met.select(*reading), reading, "left_anti")
+    part = unmet.select("id", "own", F.concat_ws("|", F.lit("part"), "kind", F.array_join("given", "+"), "rest", "extra").alias("identity"))
+    alone = part.join(part.where("own").select("identity").distinct(), "identity", "left_semi").select("id", "identity")
     return settled.select("id", "identity").unionByName(joined).unionByName(alone).distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
     """(id, component): records tied together by shared identities; component is its least id.
 
-    The least label goes from records to identities and back until nothing changes. Both directions are
-    pre-aggregated, so an identity or record with very many links is no hot group.
+    Records and identities are the two kinds of nodes of one graph; identities are named so that they sort
+    after all records.
     """
     links = cut(links)
-    label = cut(links.groupBy("identity").agg(F.min("id").alias("label")))
-    while True:
-        of_id = links.join(label, "identity").groupBy("id").agg(F.min("label").alias("label"))
-        nxt = cut(links.join(of_id, "id").groupBy("identity").agg(F.min("label").alias("label")))
-        changed = nxt.join(label.withColumnRenamed("label", "before"), "identity").where("label <> before")
-        label = nxt
-        if changed.isEmpty():
-            break
-    return links.join(label, "identity").groupBy("id").agg(F.min("label").alias("component"))
+    joined = stars(links.select(F.col("id").alias("b"), F.concat(F.lit(_AFTER), "identity").alias("a")))
+    return joined.where(~F.startswith("node", F.lit(_AFTER))).select(F.col("node").alias("id"), F.col("root").alias("component"))
 
 
 def variants(entities: DataFrame) -> DataFrame:

@@ -16,6 +16,10 @@ def p2_variants(spark: SparkSession, d: str) -> DataFrame:
     return names.variants(table(spark, d, "entities"))
 
 
+def p2_rarities(spark: SparkSession, d: str) -> DataFrame:
+    return names.rarities(table(spark, d, "entities"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return clusters.found(clusters.clusters(table(spark, d, "memories")))
 
@@ -60,7 +64,7 @@ def p8_restored(spark: SparkSession, d: str) -> DataFrame:
     return garbled.scan(table(spark, d, "documents"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_variants": p2_variants, "p4_found": p4_found, "p4_summary": p4_summary, "p5_found": p5_found, "p6_ids": p6_ids, "p6_offsets": p6_offsets, "p6_round_trip": p6_round_trip, "p7_found": p7_found, "p7_report": p7_report, "p7_near": p7_near, "p8_found": p8_found, "p8_restored": p8_restored}
+QUERIES = {"p2_found": p2_found, "p2_variants": p2_variants, "p2_rarities": p2_rarities, "p4_found": p4_found, "p4_summary": p4_summary, "p5_found": p5_found, "p6_ids": p6_ids, "p6_offsets": p6_offsets, "p6_round_trip": p6_round_trip, "p7_found": p7_found, "p7_report": p7_report, "p7_near": p7_near, "p8_found": p8_found, "p8_restored": p8_restored}
 
 _TAGS = r"""
 with t as (select distinct id, lower(trim(x, ' ' || chr(9))) tag from (select id, unnest(tags) x from memories) where x is not null and trim(x, ' ' || chr(9)) <> ''),

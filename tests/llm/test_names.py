@@ -46,3 +46,28 @@ def test_empty_and_many_copies(spark):
 def test_one_apart():
     assert N.one_apart("susan", "slsan") and N.one_apart("timothy", "timtohy") and N.one_apart("john", "jon") and N.one_apart("a", "a")
     assert not N.one_apart("susan", "sulsen") and not N.one_apart("abc", "cba") and not N.one_apart("ab", "abcd")
+
+
+def test_an_alias_counts_by_identities_not_by_bearers(spark):
+    handles = [(f"h{k:02d}", f"@kin{k}li", "person", ["Margaret Tikpuklasno"]) for k in range(9)]
+    assert linked(spark, handles) == every([r[0] for r in handles])  # nine records, 36 pairs
+    generic = [(f"g{k:02d}", f"{g} {s}", "person", ["Lead Reviewer"]) for k, (g, s) in enumerate([("Susan", "Ralvanzenje"), ("Richard", "Filgolvolga"), ("Thomas", "Dekpirgolpa"), ("Harold", "Mardelrorda")])]
+    assert linked(spark, generic + handles) == every([r[0] for r in handles])
+
+
+def test_misspellings_are_followed_to_their_end(spark):
+    spellings = ["Dorothy Sonbinfunsko"] * 5 + ["Dorothy Sonbinfunso"] * 4 + ["Dorothy Sonbinfuno"] * 3 + ["Dorothy Sonbinfun"] * 2 + ["Dorothy Sonbinfn"]
+    assert linked(spark, [(f"p{k:02d}", x, "person", None) for k, x in enumerate(spellings)]) == every([f"p{k:02d}" for k in range(len(spellings))])
+
+
+def test_the_corpus_establishes_given_names(spark):
+    rows = [(f"a{k}{g}", f"{n} {s}", "person", None) for k, s in enumerate(["Ralvanzenje", "Filgolvolga", "Dekpirgolpa", "Mardelrorda"]) for g, n in (("x", "Kenji"), ("y", "Kenja"))]
+    assert linked(spark, rows) == set()  # relatives: both names are borne with many surnames
+    once = [("a", "Kenji Ralvanzenje", "person", None), ("b", "Kenji Filgolvolga", "person", None), ("c", "Kenji Dekpirgolpa", "person", None), ("d", "Kemji Dekpirgolpa", "person", None)]
+    assert linked(spark, once) == {("c", "d")}
+
+
+def test_rarity_of_partial_names(spark):
+    rows = [("a", "Richard Filgolvolga", "person", None), ("b", "Rebecca Filgolvolga", "person", None), ("c", "R. Filgolvolga", "person", None), ("d", "Reb. Filgolvolga", "person", None)]
+    got = {r.id: (r.identities, r.score) for r in N.rarities(spark.createDataFrame([(*r, "x", "y") for r in rows], S)).collect()}
+    assert got == {"c": (2, 0.5), "d": (1, 1.0)}
