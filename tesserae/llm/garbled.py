@@ -1,25 +1,22 @@
 """Garbled text from wrong character encoding (problem 8).
 
 Garbled sequences are precomputed for all pairs of a true and a wrong encoding and matched by one
-multi-pattern automaton; only matched spans are replaced, so mixed correct text stays untouched. What
-is garbled comes from the corpus itself, counted over all documents:
-
-* its frequent characters beyond ASCII, whose UTF-8 or Japanese bytes read in a wrong encoding give
-  sequences of two or more characters that correct text does not contain;
-* its frequent *chunks* (words, and signs with the word after them) with such characters, for pairs of
-  single-byte encodings, where a garbled character looks like any other, and for texts that lost the
-  control characters among their garbled ones.
-
-A sequence that the corpus itself uses about as often as its original is evidence if correct text of no
-language can have it (letters of no one alphabet, signs or capitals within a word); else it counts in
-documents where another sequence is garbled under the same pair of encodings.
+multi-pattern automaton; only matched spans are replaced, so mixed correct text stays untouched.
+
+* *Characters.* Every character of the single-byte encodings and of the Japanese rows, whether the corpus holds it
+  or not, written in UTF-8 (Japanese ones also in their own encodings) and read in every wrong encoding,
+  gives a sequence of two or more characters. This automaton is fixed; a worker builds it once.
+* *Words.* Between two single-byte encodings a garbled character looks like any other, and a text that lost its
+  control characters has gaps. Here every word of the corpus is read back under all pairs of encodings and joined
+  with the words there are: a pair of words, one of which is the other one garbled, is a pattern. Counts
+  never admit a pattern; they rule out those in which the garbled form is a word of its own.
+
+How certain a sequence is: one that correct text of no language can have (letters of no one alphabet, signs or
+capitals within a word) is certain. One that could be correct counts where its document has a certain one
+of the same pair of encodings (characters), or another garbled word of that pair (words).
 Replacement characters and C1 control characters are evidence by themselves. A match counts as a
 mention, not as garbling, if it stands alone between quotes or backticks, inside an identifier, or
-before its code point in parentheses.
-
-Frequent means in at least ``SHARE`` of all documents, at any size: that bounds what the driver and
-the tasks hold. Chunks below that are decoded back under all pairs and joined with all chunks, without
-a floor; a document meets only those rare patterns that it holds. Texts of several rounds of garbling are restored round by round.
+before its code point in parentheses. Texts of several rounds of garbling are restored round by round.
 """
 
 from __future__ import annotations
@@ -35,13 +32,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.sources.tables import cut
+from tesserae.sources.worker import kept
 
-#: Least share of documents in which a character or chunk is frequent, and the least number.
-SHARE, LEAST = 2e-4, 3
+#: A form in fewer documents than this is no usage of its own where its original is in that many.
+LEAST = 3
 #: A garbled form in more than this part of its original's documents is not certain by its rarity: of
 #: sequences made of UTF-8 or Japanese bytes, which correct text hardly has, and of all others.
 AMBIGUOUS_BYTES, AMBIGUOUS = 0.3, 0.03
-ROUNDS = 3
+#: Rounds of garbling undone; text that is garbled still is reported as incomplete.
+ROUNDS = 12
+#: What a sequence shows: garbling by itself; together with another such word; together with a certain sequence.
+CERTAIN, WITH_ANOTHER, WITH_CERTAIN = 2, 1, 0
 
 # The encodings considered, by what they are good for.
 WESTERN = ("cp1252", "iso8859-15", "mac-roman", "cp437", "cp850")
@@ -49,6 +50,8 @@ CENTRAL = ("cp1250", "iso8859-2", "cp852", "mac-latin2")
 CYRILLIC = ("cp1251", "koi8-r", "cp866", "iso8859-5", "mac-cyrillic")
 JAPANESE = ("cp932", "euc-jp")
 WRONG = ("cp1252", "latin-1", "cp1254", "cp1257", *WESTERN[1:], *CENTRAL, *CYRILLIC)
+OTHERS = ("cp1253", "iso8859-7", "cp1254", "cp1257", "cp1255", "cp1256", "cp1258", "iso8859-4", "iso8859-10", "iso8859-16")
+TRUE = ("utf-8", *WESTERN, *CENTRAL, *CYRILLIC, "cp1253", "cp1254", "cp1257")
 
 _CHUNK = re.compile(r"([^\s\x00-\x1f!-/:-@\[-`{-~]+)(?=( [a-z]{2,}\b)?)")
 _UNBROKEN = re.compile(r"[^\x00-/:-@\[-`{-~]+")
@@ -64,8 +67,9 @@ _ALPHABETS = tuple(
         "абвгдежзийклмнопрстуфхцчшщъыьэюяё", "абвгдежзийклмнопрстуфхцчшщьюяєіїґ", "абвгдежзійклмнопрстуфхцчшыьэюяёў", "абвгдежзијклмнопрстуфхцчшђљњћџѓќѕ", "αβγδεζηθικλμνξοπρσςτυφχψωάέήίόύώϊϋΐΰ",
     )
 )
-#: Original or None, whether it must stand between word edges, whether certain by itself, encoding pairs.
-Pattern = tuple[str | None, bool, bool, frozenset[tuple[str, str]]]
+#: A garbled word's original, whether certain by itself, and the encoding pairs.
+Pattern = tuple[str, bool, frozenset[tuple[str, str]]]
+_QUOTES = "«»„“”‘’‚‹›…–—¿¡、。・「」"
 _MENTION = (("`", "`"), ("'", "'"), ('"', '"'), ("‘", "’"), ("“", "”"), ("«", "»"), ("„", "“"))
 
 
@@ -95,6 +99,9 @@ def chunks(text: str) -> set[str]:
             continue
         if len(word) > 1:
             found.add(word)
+            core = word.strip(_QUOTES)
+            if len(core) > 1 and not core.isascii():
+                found.add(core)
         elif after:
             found.add(word + after)
     return found
@@ -105,22 +112,31 @@ def unbroken(text: str) -> set[str]:
     return {w for w in _UNBROKEN.findall(text) if ("\xa0" in w or "\x85" in w) and len(w) > 1} if "\xa0" in text or "\x85" in text else set()
 
 
-def frequencies(documents: DataFrame) -> tuple[DataFrame, int]:
-    """((seq, n), number of documents): document counts of characters beyond ASCII and of chunks, over the whole corpus."""
+def frequencies(documents: DataFrame) -> DataFrame:
+    """(seq, n): in how many documents each chunk is, over the whole corpus."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             total: Counter = Counter()
             for t in b.column(0).to_pylist():
                 if t and not t.isascii():
-                    total.update({c for c in t if c > "\x9f"} | chunks(t) | unbroken(t))
+                    total.update(chunks(t) | unbroken(t))
             yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], names=["seq", "n"])
 
-    counted = documents.select("text").mapInArrow(run, "seq string, n bigint").groupBy("seq").agg(F.sum("n").alias("n"))
-    return counted, documents.count()
+    return documents.select("text").mapInArrow(run, "seq string, n bigint").groupBy("seq").agg(F.sum("n").alias("n"))
 
 
 def natural(seq: str) -> int:
+    """``_natural``, remembered by the worker."""
+    known = kept(("natural",), dict)
+    if seq not in known:
+        if len(known) > 200_000:
+            known.clear()
+        known[seq] = _natural(seq)
+    return known[seq]
+
+
+def _natural(seq: str) -> int:
     """Whether correct text of some language may be written so: 2 yes, 1 only in capitals, 0 no. By letters and case alone, not by any count."""
     ranks = [2]
     marks = "".join(c for c in set(seq) if unicodedata.category(c)[0] == "P")
@@ -141,34 +157,59 @@ def natural(seq: str) -> int:
     return min(ranks)
 
 
-def _forms(frequent: dict[str, int]) -> Iterator[tuple[str, str, bool, float, tuple[str, str]]]:
-    """(garbled, original, whether it must stand between word edges, ambiguous part, encoding pair) of every frequent sequence."""
-    for x in frequent:
-        if len(x) == 1:
-            for wrong in (*WRONG, "cp932"):
-                yield misread(x, "utf-8", wrong), x, False, AMBIGUOUS_BYTES, ("utf-8", wrong)
-            if "　" <= x <= "鿿":
-                for true in JAPANESE:
-                    for wrong in ("latin-1", "cp1252"):
-                        yield misread(x, true, wrong), x, False, AMBIGUOUS_BYTES, (true, wrong)
-            continue
-        if _C1.search(x):
-            continue
-        for true in ("utf-8", *WESTERN, *CENTRAL, *CYRILLIC):
-            for wrong in (*WRONG, "latin-1"):
-                if true != wrong and (g := misread(x, true, wrong)):
-                    yield g, x, True, AMBIGUOUS_BYTES if true == "utf-8" else AMBIGUOUS, (true, wrong)
-                    yield _C1.sub("", g), x, True, AMBIGUOUS, (true, wrong)
+def repertoire() -> list[str]:
+    """The characters beyond ASCII of all encodings considered, control characters included: what a first round of garbling makes is garbled once more."""
+    single = {c for e in (*WRONG, *OTHERS) for b in range(128, 256) if (c := _char(b, e)) != "�"} | {chr(c) for c in range(0x80, 0x100)}
+    rows = {(a, b) for a in range(0xA1, 0xFF) for b in range(0xA1, 0xFF)}
+    japanese = {c for a, b in rows if len(c := bytes([a, b]).decode("euc-jp", "ignore")) == 1}
+    return sorted(single | japanese | set(_SIGNS))
+
+
+def fixed_automaton() -> ahocorasick.Automaton:
+    """All garbled characters: (form, ((original, encoding pairs), ...), whether Japanese only), likelier pairs first."""
+    found: dict[str, dict[str, list[tuple[str, str]]]] = {}
+
+    def add(form: str | None, x: str, pair: tuple[str, str]) -> None:
+        if form and form != x and len(form) > 1 and not form.isascii() and "�" not in form:
+            found.setdefault(form, {}).setdefault(x, []).append(pair)
+
+    chars = repertoire()
+    data = [x.encode() for x in chars]
+    for wrong in WRONG:
+        t = [_char(b, wrong) for b in range(256)]
+        for x, d in zip(chars, data, strict=True):
+            add("".join([t[b] for b in d]), x, ("utf-8", wrong))
+    for x in chars:
+        add(misread(x, "utf-8", "cp932"), x, ("utf-8", "cp932"))
+    for x in chars:
+        if "　" <= x <= "鿿":
+            for true in JAPANESE:
+                for wrong in ("latin-1", "cp1252"):
+                    add(misread(x, true, wrong), x, (true, wrong))
+    a = ahocorasick.Automaton()
+    for form, originals in found.items():
+        japanese = all(p[0] != "utf-8" for pairs in originals.values() for p in pairs)
+        a.add_word(form, (form, tuple((x, tuple(pairs)) for x, pairs in originals.items()), japanese))
+    for c in [*range(0x80, 0x85), *range(0x86, 0xA0), 0xFFFD]:  # evidence without a known original
+        if not a.exists(chr(c)):
+            a.add_word(chr(c), (chr(c), ((None, ()),), False))
+    a.make_automaton()
+    return a
 
 
-def forms(frequent: dict[str, int]) -> list[tuple[str, str, bool, float, tuple[str, str]]]:
-    frequent = dict(frequent)
-    signs = [x for x in frequent if len(x) == 1]
-    # what a first round makes of them, and the control characters, may have been misread once more
-    between = {c for x in signs for wrong in ("latin-1", "cp1252", "cp1250") for c in misread(x, "utf-8", wrong) or ""} | {chr(c) for c in range(0x80, 0x100)}
-    for x in between - frequent.keys():
-        frequent[x] = 0
-    return [f for f in _forms(frequent) if f[0] and f[0] != f[1] and not f[1].isascii() and not f[0].isascii() and len(f[0]) > 1 and "�" not in f[0]]
+def level(form: str, original: str | None, japanese: bool, text: str, lo: int, hi: int) -> int:
+    """What a garbled character at text[lo:hi] shows: a form that correct text may have is certain only within a word that it can't have."""
+    if form[0] in "–—" and not any(c.isalpha() for c in form):  # a dash before a sign
+        return WITH_CERTAIN
+    if original is None or natural(form) < 2 and not (japanese and any(c.isascii() for c in form)):
+        return CERTAIN
+    if japanese:
+        return WITH_CERTAIN
+    while lo > 0 and text[lo - 1].isalpha():
+        lo -= 1
+    while hi < len(text) and text[hi].isalpha():
+        hi += 1
+    return CERTAIN if form[-1] in "‚„" or natural(text[lo:hi]) == 0 else WITH_CERTAIN
 
 
 def certain(garbled: str, original: str, n_garbled: int, n_original: int, ambiguous: float) -> bool | None:
@@ -185,33 +226,6 @@ def certain(garbled: str, original: str, n_garbled: int, n_original: int, ambigu
     return False if a == b and n_garbled < n_original else None
 
 
-def patterns(found: list[tuple[str, str, bool, float, tuple[str, str]]], counts: dict[str, int]) -> dict[str, Pattern]:
-    """Garbled sequence -> its most certain, then most frequent original. ``counts``: documents of all that occurs."""
-    out: dict[str, Pattern] = {}
-    weight: dict[str, tuple[bool, int]] = {}
-    for garbled, original, edges, ambiguous, pair in found:
-        n = counts.get(original, 0)
-        sure = certain(garbled, original, counts.get(garbled, 0), n, ambiguous)
-        if sure is None:
-            continue
-        if garbled not in out or (sure, n) > weight[garbled]:
-            out[garbled], weight[garbled] = (original, edges, sure, frozenset([pair])), (sure, n)
-        elif out[garbled][0] == original:
-            out[garbled] = (*out[garbled][:3], out[garbled][3] | {pair})
-    return out
-
-
-def automaton(found: dict[str, Pattern]) -> ahocorasick.Automaton:
-    a = ahocorasick.Automaton()
-    for garbled, pattern in found.items():
-        a.add_word(garbled, (len(garbled), *pattern))
-    for c in [*range(0x80, 0x85), *range(0x86, 0xA0), 0xFFFD]:  # evidence without a known original
-        if not a.exists(chr(c)):
-            a.add_word(chr(c), (1, None, False, True, frozenset()))
-    a.make_automaton()
-    return a
-
-
 def _mentioned(text: str, lo: int, hi: int) -> bool:
     """Whether text[lo:hi] stands there on purpose."""
     before, after = text[lo - 1 : lo], text[hi : hi + 1]
@@ -222,23 +236,35 @@ def _mentioned(text: str, lo: int, hi: int) -> bool:
     return text[hi : hi + 4] == " (U+"
 
 
-def spans(text: str, a: ahocorasick.Automaton, rare: dict[str, Pattern] | None = None) -> list[tuple[int, int, str | None]]:
-    """Non-overlapping garbled spans (start, end, original or None), longest first among those that start together."""
+def spans(text: str, a: ahocorasick.Automaton, own: dict[str, Pattern] | None = None) -> list[tuple[int, int, str | None]]:
+    """Non-overlapping garbled spans (start, end, original or None), longest first among those that start together. ``own``: garbled words of the document."""
     met = []
-    own = [(m.end() - 1, (len(g), *p)) for g, p in (rare or {}).items() for m in re.finditer(re.escape(g), text)]
-    for end, (size, original, edges, sure, pairs) in [*a.iter(text), *own]:
-        lo, hi = end + 1 - size, end + 1
-        if edges and (text[lo - 1 : lo].isalnum() or text[hi : hi + 1].isalnum()):
-            continue
-        met.append((lo, -hi, original, sure, pairs))
-    # an uncertain form counts if another sequence of the document is garbled under the same encoding pair
+    chars = [(end + 1 - len(form), end + 1, form, originals, japanese) for end, (form, originals, japanese) in a.iter(text)]
+    # Japanese text has kana: where none came out of it, but sequences made of UTF-8 are there, it is not Japanese
+    kana = {p for c in chars for x, pairs in c[3] if x and "ぁ" <= x <= "ヿ" for p in pairs if p[0] != "utf-8"}
+    unicode = any(p[0] == "utf-8" for c in chars for _, pairs in c[3] for p in pairs)
+    times = Counter(p for c in chars for _, pairs in c[3] for p in pairs)
+    for lo, hi, form, originals, japanese in chars:
+        if unicode and originals[0][1]:
+            originals = [o for o in originals if o[1][0][0] == "utf-8" or not kana.isdisjoint(o[1])]
+            if not originals:
+                continue
+        # of several readings the one under the encoding pair that the document shows most
+        original, pairs = originals[0] if len(originals) == 1 else max(originals, key=lambda o: max(times[p] for p in o[1]))
+        met.append((lo, -hi, original, level(form, original, japanese, text, lo, hi), pairs))
+    for form, (original, sure, pairs) in (own or {}).items():
+        for m in re.finditer(re.escape(form), text):
+            lo, hi = m.span()
+            if not (text[lo - 1 : lo].isalnum() or text[hi : hi + 1].isalnum()):
+                met.append((lo, -hi, original, CERTAIN if sure else WITH_ANOTHER, pairs))
+    certain_pairs = {p for m in met if m[3] == CERTAIN for p in m[4]}
     under: defaultdict[tuple[str, str], set[str]] = defaultdict(set)
-    if not all(m[3] for m in met):
-        for _, _, original, _, pairs in met:
+    for _, _, original, rank, pairs in met:
+        if original is not None and rank != WITH_CERTAIN:
             for p in pairs:
                 under[p].add(original.casefold())
-    hits = [m[:3] for m in met if m[3] or any(len(under[p]) > 1 for p in m[4])]
-    hits.sort(key=lambda h: h[:2])
+    shows = lambda m: m[3] == CERTAIN or (any(len(under[p]) > 1 for p in m[4]) if m[3] == WITH_ANOTHER else not certain_pairs.isdisjoint(m[4]))
+    hits = sorted((m[:3] for m in met if shows(m)), key=lambda h: h[:2])
     out, through = [], 0
     for lo, hi, original in hits:
         if lo >= through:
@@ -254,15 +280,12 @@ def spans(text: str, a: ahocorasick.Automaton, rare: dict[str, Pattern] | None =
     return [s for run in merged if not _mentioned(text, run[0][0], run[-1][1]) for s in run]
 
 
-def restore(text: str, a: ahocorasick.Automaton, rare: dict[str, Pattern] | None = None) -> tuple[str, int, bool]:
-    """(text with the garbled spans replaced, number of spans in the first round, whether all could be)."""
-    first, whole = 0, True
-    for k in range(ROUNDS):
-        found = spans(text, a, rare)
-        if k == 0:
-            first = len(found)
+def restore(text: str, a: ahocorasick.Automaton, own: dict[str, Pattern] | None = None) -> tuple[str, int, bool]:
+    """(text with the garbled spans replaced, number of spans in the first round, whether nothing garbled is left)."""
+    found = spans(text, a, own)
+    first = len(found)
+    for _ in range(ROUNDS):
         known = [s for s in found if s[2] is not None]
-        whole = len(known) == len(found)
         if not known:
             break
         parts, at = [], 0
@@ -270,7 +293,8 @@ def restore(text: str, a: ahocorasick.Automaton, rare: dict[str, Pattern] | None
             parts += [text[at:lo], original]
             at = hi
         text = "".join([*parts, text[at:]])
-    return text, first, whole
+        found = spans(text, a, own)
+    return text, first, not found
 
 
 def _read_back() -> tuple[dict[str, dict[str, int]], dict[str, dict[int, str]]]:
@@ -279,8 +303,18 @@ def _read_back() -> tuple[dict[str, dict[str, int]], dict[str, dict[int, str]]]:
     return {w: {c: b for b, c in t.items()} for w, t in chars.items()}, chars
 
 
-def rare_patterns(counted: DataFrame, least: float) -> DataFrame:
-    """(garbled, original, sure, pairs) of all originals that are not frequent: every chunk decoded back under every encoding pair, and joined with the chunks there are."""
+def _worded(x: str) -> bool:
+    """Whether a reading may be a correct word: letters in an order of capitals that words have. Cheap; ``natural`` looks closer."""
+    bare = x.strip(_QUOTES).replace("’", "").replace("-", "").replace("'", "").replace(" ", "")
+    return bare.isalpha() and (bare[1:] == bare[1:].lower() or bare.isupper()) or len(bare) < len(x) and not bare.strip(_SIGNS)
+
+
+def word_patterns(counted: DataFrame) -> DataFrame:
+    """(garbled, original, sure, pairs): words of the corpus that are others of its words garbled; ``counted`` (seq, n) are all words.
+
+    Every word is read back under all pairs of encodings, and what comes out is joined with the words there are.
+    Forms that lost their control characters can't be read back, so they are made from the originals.
+    """
     words = counted.where(F.length("seq") > 1)
     kind = "garbled string, original string, true string, wrong string"
 
@@ -298,14 +332,14 @@ def rare_patterns(counted: DataFrame, least: float) -> DataFrame:
                         data = bytes([table[c] for c in y])
                     except KeyError:
                         continue
-                    for true in ("utf-8", *WESTERN, *CENTRAL, *CYRILLIC):
+                    for true in TRUE:
                         if true == wrong:
                             continue
                         try:
                             x = data.decode(true)
                         except UnicodeDecodeError:
                             continue
-                        if x != y and not x.isascii() and not _C1.search(x):
+                        if x != y and not x.isascii() and not _C1.search(x) and (true == "utf-8" or _worded(x)):
                             rows.append((y, x, true, wrong))
                 if len(rows) > 50_000:
                     yield batch(rows)
@@ -313,15 +347,14 @@ def rare_patterns(counted: DataFrame, least: float) -> DataFrame:
             yield batch(rows)
 
     def stripped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Forms that lost their control characters can't be decoded back, so they are made from the originals."""
         _, chars = _read_back()
         lost = {w: frozenset(b for b, c in t.items() if _C1.match(c)) for w, t in chars.items()}
         for b in batches:
             rows: list[tuple[str, str, str, str]] = []
             for x in b.column(0).to_pylist():
-                if _C1.search(x):
+                if _C1.search(x) or not _worded(x):
                     continue
-                for true in ("utf-8", *WESTERN, *CENTRAL, *CYRILLIC):
+                for true in TRUE:
                     try:
                         data = x.encode(true)
                     except UnicodeEncodeError:
@@ -336,10 +369,9 @@ def rare_patterns(counted: DataFrame, least: float) -> DataFrame:
                     rows = []
             yield batch(rows)
 
-    rare = words.where(F.col("n") < least)
     named = lambda c: words.select(F.col("seq").alias(c), F.col("n").alias(f"n_{c}"))
-    decoded = words.select("seq").mapInArrow(back, kind).join(rare.select(F.col("seq").alias("original"), F.col("n").alias("n_original")), "original").join(named("garbled"), "garbled")
-    without = rare.select("seq").mapInArrow(stripped, kind).join(named("garbled"), "garbled").join(named("original"), "original")
+    decoded = words.select("seq").mapInArrow(back, kind).join(named("original"), "original").join(named("garbled"), "garbled")
+    without = words.select("seq").mapInArrow(stripped, kind).join(named("garbled"), "garbled").join(named("original"), "original")
     cols = ["garbled", "original", "true", "wrong", "n_garbled", "n_original"]
     met = decoded.select(*cols, F.lit(False).alias("part")).unionByName(without.select(*cols, F.lit(True).alias("part")))
 
@@ -355,8 +387,8 @@ def rare_patterns(counted: DataFrame, least: float) -> DataFrame:
     return best.select("garbled", "m.original", "m.sure", "m.pairs")
 
 
-def rare_in(documents: DataFrame, rare: DataFrame) -> DataFrame:
-    """(doc_id, rare): the rare patterns that each document holds."""
+def words_in(documents: DataFrame, patterns: DataFrame) -> DataFrame:
+    """(doc_id, own): the garbled words that each document holds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -368,44 +400,30 @@ def rare_in(documents: DataFrame, rare: DataFrame) -> DataFrame:
                     found += mine
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.string())], names=["doc_id", "garbled"])
 
-    held = documents.select("doc_id", "text").mapInArrow(run, "doc_id bigint, garbled string").join(rare, "garbled")
-    return held.groupBy("doc_id").agg(F.collect_set(F.struct("garbled", "original", "sure", "pairs")).alias("rare"))
+    held = documents.select("doc_id", "text").mapInArrow(run, "doc_id bigint, garbled string").join(patterns, "garbled")
+    return held.groupBy("doc_id").agg(F.collect_set(F.struct("garbled", "original", "sure", "pairs")).alias("own"))
 
 
 def scan(documents: DataFrame) -> DataFrame:
     """(doc_id, spans, restored, complete) of every affected document.
 
-    ``restored`` is the text with what could be restored, ``complete`` whether that was all. Null,
-    empty and pure ASCII texts are never affected; copies are each reported.
+    ``restored`` is the text with what could be restored, ``complete`` whether nothing garbled is left in it.
+    Null, empty and pure ASCII texts are never affected; copies are each reported.
     """
-    counted, total = frequencies(documents)
-    counted = cut(counted)
-    least = max(LEAST, SHARE * total)
-    frequent = {r.seq: r.n for r in counted.where(F.col("n") >= least).collect()}  # bounded: only what is in SHARE of all documents
-    found = forms(frequent)
-    sc = documents.sparkSession.sparkContext
-    wanted = sc.broadcast(frozenset(f[0] for f in found))
-
-    def occurring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield b.filter(pa.array([x in wanted.value for x in b.column(0).to_pylist()], pa.bool_()))
-
-    counts = frequent | {r.seq: r.n for r in counted.mapInArrow(occurring, "seq string, n bigint").collect()}  # bounded as the forms are
-    shipped = sc.broadcast(patterns(found, counts))
+    beyond = documents.select("doc_id", "text").where(F.col("text").rlike(r"[^\x00-\x7f]"))
+    own = words_in(beyond, word_patterns(cut(frequencies(beyond))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a = automaton(shipped.value)
+        a = kept(("garbled characters", 1), fixed_automaton)
         for b in batches:
             rows = []
-            for doc, text, rare in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
-                if text and not text.isascii():
-                    own = {r["garbled"]: (r["original"], True, r["sure"], frozenset((p["true"], p["wrong"]) for p in r["pairs"])) for r in rare or ()}
-                    fixed, n, whole = restore(text, a, own)
-                    if n:
-                        rows.append((doc, n, fixed, whole))
+            for doc, text, words in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
+                mine = {r["garbled"]: (r["original"], r["sure"], frozenset((p["true"], p["wrong"]) for p in r["pairs"])) for r in words or ()}
+                fixed, n, whole = restore(text, a, mine)
+                if n:
+                    rows.append((doc, n, fixed, whole))
             cols = list(zip(*rows, strict=True)) if rows else [()] * 4
             kinds = (pa.int64(), pa.int32(), pa.string(), pa.bool_())
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "spans", "restored", "complete"])
 
-    held = rare_in(documents, rare_patterns(counted, least))
-    return documents.select("doc_id", "text").join(held, "doc_id", "left").mapInArrow(run, "doc_id bigint, spans int, restored string, complete boolean")
+    return beyond.join(own, "doc_id", "left").mapInArrow(run, "doc_id bigint, spans int, restored string, complete boolean")
