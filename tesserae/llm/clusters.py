@@ -40,7 +40,9 @@ from tesserae.sources.tables import cut
 THRESHOLD = 0.72
 DIM = 128
 #: Vectors of a cell compared at once in a task, and distinct vectors of a component that has its rounds in one task.
-BLOCK, WHOLE = 2048, 12_000
+BLOCK, WHOLE = 8192, 12_000
+#: Rows of a similarity matrix held at once.
+STRIP = 1024
 #: Most pivots, and from how many on they are searched in two levels.
 MAX_PIVOTS, FLAT = 65_536, 2048
 #: Part of the lone pairs exactly at the threshold that must share a cell.
@@ -49,7 +51,7 @@ TYPICAL = 3
 #: Members of a cluster ranked in one part.
 PART = 20_000
 
-_NODE = "cid binary, n bigint, first_id string, v binary"
+_NODE = "cid binary, n bigint, v binary"
 
 
 def usable(memories: DataFrame, dim: int = DIM, column: str = "embedding") -> DataFrame:
@@ -86,6 +88,11 @@ def _vectors(b: pa.RecordBatch, dim: int) -> tuple[np.ndarray, list[bytes]]:
     return v, [hashlib.blake2b(r.tobytes(), digest_size=16).digest() for r in v]
 
 
+def _short(h: list[bytes]) -> pa.Array:
+    """The first eight bytes of digests. Components are found by them: two vectors that share them only share a component."""
+    return pa.array(np.frombuffer(b"".join(x[:8] for x in h), np.int64))
+
+
 def _packed(v: np.ndarray, kind: type) -> pa.Array:
     """Unit vectors as whole numbers of ``kind``, after the step of each and the length of what rounding lost."""
     scale = (np.abs(v).max(axis=1) / np.iinfo(kind).max).astype(np.float32)
@@ -108,7 +115,7 @@ def _unit_of(column: pa.Array | pa.ChunkedArray, dim: int, kind: type) -> np.nda
 
 
 def _sketcher(dim: int):
-    """(id, e) to (id, h, q): a digest and bytes of a vector; ``q`` is null for a copy of one that the partition had before."""
+    """(id, e) to (id, h, k, q): a digest, its beginning and the bytes of a vector; ``q`` is null for a copy of one that the partition had before."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
@@ -121,7 +128,7 @@ def _sketcher(dim: int):
                 new.append(x not in seen)
                 seen.add(x)
             qs = pa.compute.if_else(pa.array(new), _packed(v, np.int8), pa.scalar(None, pa.binary()))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(h, pa.binary()), qs], names=["id", "h", "q"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(h, pa.binary()), _short(h), qs], names=["id", "h", "k", "q"])
 
     return run
 
@@ -167,7 +174,7 @@ class Pivots:
 
 
 def _cells(nodes: DataFrame, units, sample: np.ndarray, n_tables: int, key: str) -> DataFrame:
-    """``nodes`` once for each of their cells and each block that they meet there: with ``cell``, ``part``, ``i``, ``j``.
+    """``nodes`` once for each of their cells and each block that they meet there: with ``cell``, ``pair`` of blocks and ``side`` of the pair (2: both).
 
     ``units(batch)`` are the rows' unit vectors. Cells of more than ``BLOCK`` rows are split by ``key``; every two
     of their blocks meet. The driver holds a count for each cell, the tasks the pivots: both bounded.
@@ -190,11 +197,15 @@ def _cells(nodes: DataFrame, units, sample: np.ndarray, n_tables: int, key: str)
                     continue
                 row = np.repeat(np.arange(len(m)), n_tables)
                 n = splits.value[cell]
-                part = np.array([int.from_bytes(x[:4], "little") for x in b.column(key).to_pylist()], np.int64)[row] % n
+                keys = b.column(key)
+                mixed = keys.to_numpy() & 0x7FFFFFFF if pa.types.is_integer(keys.type) else np.array([int.from_bytes(x[:4], "little") for x in keys.to_pylist()], np.int64)
+                part = mixed[row] % n
                 other = np.concatenate([np.arange(x) for x in n])
-                row, cell, part = np.repeat(row, n), np.repeat(cell, n), np.repeat(part, n)
-                columns = [*b.take(pa.array(row)).columns, *(pa.array(x.astype(np.int32)) for x in (cell, part, np.minimum(part, other), np.maximum(part, other)))]
-                yield pa.RecordBatch.from_arrays(columns, names=[*b.schema.names, "cell", "part", "i", "j"])
+                row, cell, n, part = np.repeat(row, n), np.repeat(cell, n), np.repeat(n, n), np.repeat(part, n)
+                pair = np.minimum(part, other) * n + np.maximum(part, other)
+                side = np.where(part == other, 2, part > other)
+                columns = [*b.take(pa.array(row)).columns, *(pa.array(x.astype(np.int32)) for x in (cell, pair, side))]
+                yield pa.RecordBatch.from_arrays(columns, names=[*b.schema.names, "cell", "pair", "side"])
 
         return run
 
@@ -203,7 +214,7 @@ def _cells(nodes: DataFrame, units, sample: np.ndarray, n_tables: int, key: str)
     splits = np.ones(size * n_tables, np.int64)
     splits[counts["cell"].to_numpy()] = -(-counts["c"].to_numpy() // BLOCK)
     fields = ", ".join(f"{c} {t}" for c, t in nodes.dtypes)
-    return nodes.mapInArrow(assign(sc.broadcast(splits)), f"{fields}, cell int, part int, i int, j int")
+    return nodes.mapInArrow(assign(sc.broadcast(splits)), f"{fields}, cell int, pair int, side int")
 
 
 def _joined(rows: np.ndarray, columns: np.ndarray, n: int) -> np.ndarray:
@@ -228,78 +239,87 @@ def _forest(dim: int, threshold: float):
     ``q``: two floats, a step and what was lost, then a byte a number.
     """
 
-    def run(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
-        i, j = key[1].as_py(), key[2].as_py()
-        group = group.combine_chunks()
-        part = group["part"].to_numpy()
-        scale, err, q = _unpacked(group["q"], dim, np.int8)
+    def run(_key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
+        k = group["k"].to_numpy()
+        order = np.argsort(k, kind="stable")  # stars have their least key in the middle, the same in every table
+        k, side = k[order], group["side"].to_numpy()[order]
+        scale, err, q = (c[order] for c in _unpacked(group["q"], dim, np.int8))
         v = q * scale[:, None]
-        x, y = np.flatnonzero(part == i), np.flatnonzero(part == j)
+        x, y = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
         need = np.float32(threshold - 1e-4)
-        s = v[x] @ v[y].T
-        s += err[y][None, :]
-        r, c = np.nonzero(s >= (need - err[x])[:, None])
-        if i == j:
-            r, c = x[r], x[c]
-        else:
-            r, c = np.concatenate([x[r], y[c]]), np.concatenate([y[c], x[r]])
+        rows, columns = [], []
+        for lo in range(0, len(x), STRIP):
+            strip = x[lo : lo + STRIP]
+            s = v[strip] @ v[y].T
+            s += err[y][None, :]
+            r, c = np.nonzero(s >= (need - err[strip])[:, None])
+            rows.append(strip[r])
+            columns.append(y[c])
+        r, c = (np.concatenate(z) if z else np.empty(0, np.int64) for z in (rows, columns))
+        if len(side) and side[0] != 2:
+            r, c = np.concatenate([r, c]), np.concatenate([c, r])
             by = np.argsort(r, kind="stable")
             r, c = r[by], c[by]
         label = _joined(r, c, len(v))
         moved = np.flatnonzero(label != np.arange(len(label)))
-        h = group["h"].combine_chunks()
-        return pa.table([h.take(pa.array(moved)), h.take(pa.array(label[moved]))], names=["a", "b"])
+        return pa.table([pa.array(k[moved]), pa.array(k[label[moved]])], names=["a", "b"])
 
     return run
 
 
-def _best_partners(v: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of each cluster the best partner (ties: the first) and their average cosine, a strip of the matrix at a time."""
-    mean = (v / n[:, None]).astype(np.float32)
-    best, s = np.empty(len(v), np.int64), np.empty(len(v))
-    for lo in range(0, len(v), 1024):
-        strip = np.round((mean[lo : lo + 1024] @ mean.T).astype(np.float64), 6)
-        strip[np.arange(len(strip)), np.arange(lo, lo + len(strip))] = -2
-        best[lo : lo + 1024] = strip.argmax(axis=1)
-        s[lo : lo + 1024] = strip.max(axis=1)
-    return best, s
-
-
 def merge_rounds(sums: np.ndarray, n: np.ndarray, threshold: float) -> np.ndarray:
     """Average linkage of a group by rounds of mutual best pairs: a label for each row, the index of its cluster's first row.
 
-    Ties go to the lower index, so that some pair is always mutual while any reaches the threshold.
+    An average with a merged cluster never exceeds the better of those with its parts, so a best partner
+    stays the best until it is merged itself: each round looks again only at the clusters that merged and at those
+    whose partner did. Ties go to the lower index; should rounding keep near ties from being mutual, the best
+    pair of all merges alone.
     """
     label = np.arange(len(n))
     alive = np.arange(len(n))
     sums, n = sums.astype(np.float64), n.astype(np.float64)
+    mean = (sums / n[:, None]).astype(np.float32)
+    best, s, stale = np.zeros(len(n), np.int64), np.full(len(n), -2.0, np.float32), np.ones(len(n), bool)
     while len(alive) > 1:
-        best, s = _best_partners(sums, n)
+        look = np.flatnonzero(stale)
+        for lo in range(0, len(look), STRIP):
+            at = look[lo : lo + STRIP]
+            strip = mean[at] @ mean.T
+            strip[np.arange(len(at)), at] = -2
+            best[at], s[at] = strip.argmax(axis=1), strip.max(axis=1)
         rows = np.arange(len(alive))
         pair = (best[best] == rows) & (rows < best) & (s >= threshold)
-        if not pair.any():
+        if pair.any():
+            a, b = rows[pair], best[pair]
+        elif s.max() >= threshold:
+            a, b = (np.array([f(s.argmax(), best[s.argmax()])]) for f in (min, max))
+        else:
             break
-        a, b = rows[pair], best[pair]
         to = np.arange(len(label))
         to[alive[b]] = alive[a]
         label = to[label]
         sums[a] += sums[b]
         n[a] += n[b]
-        # a cluster with no partner in reach now may have one after merges only if an average rises,
-        # which averages of its present similarities cannot do
-        keep = (s >= threshold) & ~np.isin(rows, b)
-        alive, sums, n = alive[keep], sums[keep], n[keep]
+        mean[a] = sums[a] / n[a][:, None]
+        gone, merged = np.zeros(len(alive), bool), np.zeros(len(alive), bool)
+        gone[b], merged[a] = True, True
+        stale = merged | merged[best] | gone[best]
+        # a cluster with no partner in reach will have none: averages of its present similarities do not rise
+        keep = ~gone & (merged | (s >= threshold))
+        place = np.cumsum(keep) - 1
+        best = place[best][keep]
+        alive, sums, n, mean, s, stale = alive[keep], sums[keep], n[keep], mean[keep], s[keep], stale[keep]
     return label
 
 
-_FOUND = "h binary, cid binary, first_id string, s double"
+_FOUND = "h binary, cid binary, s double"
 
 
 def _link(dim: int, threshold: float):
-    """A whole component (h, first_id, v) to (h, cid, first_id, s): its clusters, and each vector's cosine with its cluster's mean."""
+    """A whole component (h, v) to (h, cid, s): its clusters, and each vector's cosine with its cluster's mean."""
 
     def run(_key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
-        group = group.sort_by([("first_id", "ascending"), ("h", "ascending")]).combine_chunks()
+        group = group.sort_by([("h", "ascending")]).combine_chunks()
         h = group["h"].to_pylist()
         once = np.flatnonzero([k == 0 or x != h[k - 1] for k, x in enumerate(h)])  # copies that several partitions held
         v = _unit_of(group["v"], dim, np.int16)[once]
@@ -307,8 +327,8 @@ def _link(dim: int, threshold: float):
         sums = np.zeros((len(v), dim))
         np.add.at(sums, label, v)
         s = np.einsum("ij,ij->i", v, _unit(sums)[label])
-        ids, hs = group["first_id"].combine_chunks().take(pa.array(once)), pa.array([h[k] for k in once], pa.binary())
-        return pa.table([hs, hs.take(pa.array(label)), ids.take(pa.array(label)), pa.array(np.round(s, 6))], names=["h", "cid", "first_id", "s"])
+        hs = pa.array([h[k] for k in once], pa.binary())
+        return pa.table([hs, hs.take(pa.array(label)), pa.array(np.round(s, 6))], names=["h", "cid", "s"])
 
     return run
 
@@ -316,21 +336,21 @@ def _link(dim: int, threshold: float):
 def _best(dim: int, threshold: float):
     """(a, b, s): of each cluster in two blocks of a cell its best partner there, if that reaches the threshold."""
 
-    def run(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
-        i, j = key[1].as_py(), key[2].as_py()
+    def run(_key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
         group = group.sort_by([("cid", "ascending")]).combine_chunks()
-        part, n = group["part"].to_numpy(), group["n"].to_numpy().astype(np.float64)
-        v = _rows(group["v"], dim, np.float32) / n[:, None]
-        x, y = np.flatnonzero(part == i), np.flatnonzero(part == j)
-        s = np.round(v[x] @ v[y].T, 9)
-        s[x[:, None] == y[None, :]] = -2
+        side, n = group["side"].to_numpy(), group["n"].to_numpy().astype(np.float64)
+        v = (_rows(group["v"], dim, np.float32) / n[:, None]).astype(np.float32)
+        both = (np.flatnonzero(side != 1), np.flatnonzero(side != 0))
         a, b, t = [], [], []
-        for m, one, two in ((s, x, y), (s.T, y, x)):
-            if m.size:
-                at = m.argmax(axis=1)
-                val = m[np.arange(len(one)), at]
+        for one, two in (both, both[::-1])[: 1 if len(side) and side[0] == 2 else 2]:
+            for lo in range(0, len(one) if len(two) else 0, STRIP):
+                strip = one[lo : lo + STRIP]
+                s = v[strip] @ v[two].T
+                s[strip[:, None] == two[None, :]] = -2
+                at = s.argmax(axis=1)
+                val = np.round(s[np.arange(len(strip)), at].astype(np.float64), 6)
                 keep = val >= threshold
-                a.append(one[keep])
+                a.append(strip[keep])
                 b.append(two[at[keep]])
                 t.append(val[keep])
         a, b, t = (np.concatenate(z) if z else np.empty(0, int) for z in (a, b, t))
@@ -352,7 +372,7 @@ def _add(dim: int):
     def run(_key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
         total = _rows(group["v"], dim, np.float32).astype(np.float64).sum(axis=0, keepdims=True).astype(np.float32)
-        return pa.table([group["cid"].slice(0, 1).combine_chunks(), pa.array([sum(group["n"].to_pylist())], pa.int64()), pa.array([min(group["first_id"].to_pylist())], pa.string()), _binary(total)], names=["cid", "n", "first_id", "v"])
+        return pa.table([group["cid"].slice(0, 1).combine_chunks(), pa.array([sum(group["n"].to_pylist())], pa.int64()), _binary(total)], names=["cid", "n", "v"])
 
     return run
 
@@ -365,7 +385,7 @@ def _sample(vectors: DataFrame, count: int, dim: int, unit) -> np.ndarray:
 
 
 def distributed_rounds(nodes: DataFrame, dim: int, threshold: float, spread: int | None = None) -> DataFrame:
-    """(h, cid, first_id, s) of components too large for a task; ``nodes``: (cid, n, first_id, v), one for each distinct vector.
+    """(h, cid, s) of components too large for a task; ``nodes``: (cid, n, v), one for each distinct vector.
 
     A round: cells give each cluster's best partner, mutual ones merge.
     """
@@ -380,7 +400,7 @@ def distributed_rounds(nodes: DataFrame, dim: int, threshold: float, spread: int
         sample = _sample(active.select("cid", "v"), count, dim, lambda t: _unit(_rows(t["v"], dim, np.float32)))
         n = spread or tables(len(sample), threshold)
         cells = _cells(active, unit, sample, n if every else -(-n // 3), "cid")
-        best = cut(cells.groupBy("cell", "i", "j").applyInArrow(_best(dim, threshold), "a binary, b binary, s double"))
+        best = cut(cells.groupBy("cell", "pair").applyInArrow(_best(dim, threshold), "a binary, b binary, s double"))
         to = cut(_mutual(best))
         if to.isEmpty():
             if every:
@@ -388,17 +408,17 @@ def distributed_rounds(nodes: DataFrame, dim: int, threshold: float, spread: int
             every = True
             continue
         placed = active.join(to.withColumnRenamed("cid", "y"), F.col("cid") == F.col("child"), "left")
-        moved = placed.select(F.coalesce("y", "cid").alias("cid"), "n", "first_id", "v")
+        moved = placed.select(F.coalesce("y", "cid").alias("cid"), "n", "v")
         active = cut(moved.groupBy("cid").applyInArrow(_add(dim), _NODE))
         label = cut(label.join(to.select(F.col("child").alias("x"), F.col("cid").alias("y")), F.col("cid") == F.col("x"), "left").select("h", F.coalesce("y", "cid").alias("cid")))
     def nearness(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
                 s = np.einsum("ij,ij->i", _rows(b.column("own"), dim, np.float32), _unit(_rows(b.column("v"), dim, np.float32)))
-                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("h", "cid", "first_id")), pa.array(np.round(s.astype(np.float64), 6))], names=["h", "cid", "first_id", "s"])
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("h", "cid")), pa.array(np.round(s.astype(np.float64), 6))], names=["h", "cid", "s"])
 
     own = start.select(F.col("cid").alias("h"), F.col("v").alias("own"))
-    return label.join(active.select("cid", "first_id", "v"), "cid").join(own, "h").select("h", "cid", "first_id", "own", "v").mapInArrow(nearness, _FOUND)
+    return label.join(active.select("cid", "v"), "cid").join(own, "h").select("h", "cid", "own", "v").mapInArrow(nearness, _FOUND)
 
 
 def clusters(memories: DataFrame, threshold: float = THRESHOLD, dim: int = DIM, column: str = "embedding", whole: int | None = None, spread: int | None = None) -> DataFrame:
@@ -408,19 +428,18 @@ def clusters(memories: DataFrame, threshold: float = THRESHOLD, dim: int = DIM,
     in for ``WHOLE`` and the calibrated number of tables.
     """
     rows = usable(memories, dim, column)
-    sketches = cut(rows.mapInArrow(_sketcher(dim), "id string, h binary, q binary"))
+    sketches = cut(rows.mapInArrow(_sketcher(dim), "id string, h binary, k bigint, q binary"))
     ids = sketches.select("id", "h")
-    heads = ids.groupBy("h").agg(F.min("id").alias("first_id"))
-    nodes = sketches.where("q is not null").select("h", "q")
+    nodes = sketches.where("q is not null").select("k", "q")
     count = nodes.count()
     unit = lambda b: _unit_of(b.column("q"), dim, np.int8)
     if count < 2:
-        return ids.distinct().join(heads, "h").select("id", F.col("h").alias("cid"), "first_id", F.lit(1.0).alias("s"))
-    sample = _sample(nodes.select("h", "q"), count, dim, lambda t: _unit(_unit_of(t["q"], dim, np.int8)))
-    cells = _cells(nodes, unit, sample, spread or tables(len(sample), threshold), "h")
-    root = cut(stars(cells.groupBy("cell", "i", "j").applyInArrow(_forest(dim, threshold), "a binary, b binary")))
+        return _named(ids.distinct().select("id", F.col("h").alias("cid"), F.lit(1.0).alias("s")))
+    sample = _sample(nodes, count, dim, lambda t: _unit(_unit_of(t["q"], dim, np.int8)))
+    cells = _cells(nodes, unit, sample, spread or tables(len(sample), threshold), "k")
+    root = cut(stars(cells.groupBy("cell", "pair").applyInArrow(_forest(dim, threshold), "a bigint, b bigint")))
     sizes = root.groupBy("root").agg(F.count(F.lit(1)).alias("c"))
-    tied = root.join(sizes, "root").join(heads, F.col("node") == F.col("h")).select("h", "root", "c", "first_id")
+    tied = root.join(sizes, "root").select(F.col("node").alias("k"), "root", "c")
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
@@ -428,22 +447,28 @@ def clusters(memories: DataFrame, threshold: float = THRESHOLD, dim: int = DIM,
             if b.num_rows:
                 v, h = _vectors(b, dim)
                 new = [k for k, x in enumerate(h) if x not in seen and not seen.add(x)]
-                yield pa.RecordBatch.from_arrays([pa.array([h[k] for k in new], pa.binary()), _packed(v[new], np.int16)], names=["h", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array([h[k] for k in new], pa.binary()), _short([h[k] for k in new]), _packed(v[new], np.int16)], names=["h", "k", "v"])
 
-    vectors = rows.mapInArrow(full, "h binary, v binary")
+    vectors = rows.mapInArrow(full, "h binary, k bigint, v binary")
     limit = whole or WHOLE
-    small = vectors.join(tied.where(F.col("c") <= limit), "h").select("root", "h", "first_id", "v")
+    small = vectors.join(tied.where(F.col("c") <= limit), "k").select("root", "h", "v")
     found = small.groupBy("root").applyInArrow(_link(dim, threshold), _FOUND)
     if not sizes.where(F.col("c") > limit).isEmpty():
         def floats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.ones(b.num_rows, np.int64)), b.column(1), _binary(_unit_of(b.column(2), dim, np.int16))], names=["cid", "n", "first_id", "v"])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.ones(b.num_rows, np.int64)), _binary(_unit_of(b.column(1), dim, np.int16))], names=["cid", "n", "v"])
 
-        large = vectors.join(tied.where(F.col("c") > limit), "h").dropDuplicates(["h"]).select("h", "first_id", "v").mapInArrow(floats, _NODE)
+        large = vectors.join(tied.where(F.col("c") > limit), "k").dropDuplicates(["h"]).select("h", "v").mapInArrow(floats, _NODE)
         found = found.unionByName(distributed_rounds(large, dim, threshold, spread))
-    found = cut(found)
-    alone = heads.join(root.select(F.col("node").alias("h")), "h", "left_anti").select("h", F.col("h").alias("cid"), "first_id", F.lit(1.0).alias("s"))
-    return ids.distinct().join(found.unionByName(alone), "h").select("id", "cid", "first_id", "s")
+    # who is in no component is a cluster alone
+    known = ids.distinct().join(found, "h", "left")
+    members = cut(known.select("id", F.coalesce("cid", "h").alias("cid"), F.coalesce("s", F.lit(1.0)).alias("s")))
+    return _named(members)
+
+
+def _named(members: DataFrame) -> DataFrame:
+    """(id, cid, first_id, s) with the smallest id of each cluster."""
+    return members.join(members.groupBy("cid").agg(F.min("id").alias("first_id")), "cid").select("id", "cid", "first_id", "s")
 
 
 def summary(memories: DataFrame, threshold: float = THRESHOLD, dim: int = DIM, column: str = "embedding", typical: int = TYPICAL) -> DataFrame:
