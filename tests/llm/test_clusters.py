@@ -100,7 +100,7 @@ def test_calibrated_tables():
     for _ in range(C.tables(64)):
         order, sign = rng.permutation(128), rng.choice([-1, 1], 128)
         met |= near.nearest(x[:, order] * sign) == near.nearest(y[:, order] * sign)
-    assert met.mean() >= 0.92
+    assert met.mean() >= 0.94
 
 
 def test_two_levels_of_pivots(monkeypatch):
