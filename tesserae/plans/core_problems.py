@@ -24,6 +24,12 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return fact_history.found(fact_history.fact_history(table(spark, d, "facts")))
 
 
+def p3_as_of(spark: SparkSession, d: str) -> DataFrame:
+    """What held at one moment: the nearest checkpoint of every attribute, and its patches up to there."""
+    p = fact_history.patches(table(spark, d, "facts"))
+    return fact_history.state_at(p, fact_history.checkpoints(p), "2024-07-15 12:00:00")
+
+
 _ORPHANS = r"""
 with live as (
   select lower(trim(id, ' ' || chr(9))) pid, min(loaded_at) load from memories
@@ -40,12 +46,7 @@ found as (
   from refs r left join live l on l.pid = lower(trim(r.ref, ' ' || chr(9))) where trim(r.ref, ' ' || chr(9)) <> '')
 """
 
-QUERIES = {"p1_found": p1_found, "p1_report": p1_report, "p3_found": p3_found}
-
-SQL = {
-    "p1_found": _ORPHANS + "select table_name, row_id, field_name, period from found where reason is not null",
-    "p1_report": _ORPHANS + "select table_name, field_name, period, reason, count(*) n from found where reason is not null group by all",
-    "p3_found": r"""
+_HISTORY = r"""
 with f as (
   select id, entity_id, lower(trim(predicate, ' ' || chr(9))) predicate, lower(trim(object, ' ' || chr(9))) object, valid_from,
     case when valid_to > valid_from then valid_to end until, min(loaded_at) load
@@ -56,8 +57,16 @@ s as (select *, least(until, lead(valid_from) over (partition by entity_id, pred
 m as (select *, case when lag(object) over w = object and lag(fin) over w = valid_from then 0 else 1 end starts
   from s window w as (partition by entity_id, predicate order by valid_from)),
 v as (select *, sum(starts) over (partition by entity_id, predicate order by valid_from) version from m)
-select entity_id, predicate, object, epoch_us(min(valid_from)) // 1000000 from_s,
+"""
+
+QUERIES = {"p1_found": p1_found, "p1_report": p1_report, "p3_found": p3_found, "p3_as_of": p3_as_of}
+
+SQL = {
+    "p1_found": _ORPHANS + "select table_name, row_id, field_name, period from found where reason is not null",
+    "p1_report": _ORPHANS + "select table_name, field_name, period, reason, count(*) n from found where reason is not null group by all",
+    "p3_found": _HISTORY + """select entity_id, predicate, object, epoch_us(min(valid_from)) // 1000000 from_s,
   case when max(case when fin is null then 1 else 0 end) = 1 then -1 else epoch_us(max(fin)) // 1000000 end to_s
 from v group by entity_id, predicate, version, object
 """,
+    "p3_as_of": _HISTORY + "select entity_id, predicate, object from s where valid_from <= timestamp '2024-07-15 12:00:00' and (fin is null or fin > timestamp '2024-07-15 12:00:00')",
 }

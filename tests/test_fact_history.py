@@ -87,3 +87,52 @@ def test_found_seconds(spark):
     rows = [("f1", "a", "p", "x", dt.datetime(1969, 12, 31, 23, 59, 59), dt.datetime(1970, 1, 1, 0, 0, 1, 900000), BASE)]
     r = H.found(H.fact_history(spark.createDataFrame([(*x, "c") for x in rows], S))).first()
     assert (r.from_s, r.to_s) == (-1, 1)
+
+
+def stored(spark, path):
+    p = H.stored_patches(spark, path)
+    return {tuple(r[c] for c in ("entity_id", "predicate", "period", "valid_from", "object", "until", "load", "id")) for r in p.collect()}
+
+
+def versions(spark, path):
+    return {tuple(r[c] for c in ("at", "entity_id", "predicate", "valid_from", "object", "id")) for r in spark.read.parquet(f"{path}/versions").collect()}
+
+
+def test_appended_equals_rebuilt(spark, tmp_path):
+    """A month of updates, with late facts, corrections of old ones and a new attribute, folded in without reading the rest."""
+    rows = random_rows(7, 400)
+    first = [r for r in rows if r[6] < BASE + dt.timedelta(hours=3000)]
+    rest = [r for r in rows if r[6] >= BASE + dt.timedelta(hours=3000)]
+    rest += [("late", "a", "p", "late", BASE - dt.timedelta(days=400), None, BASE + dt.timedelta(days=900)), ("new", "n", "p", "x", BASE + dt.timedelta(days=500), None, BASE)]
+    frame = lambda r: spark.createDataFrame([(*x, "clash") for x in r], S)
+    one, two = str(tmp_path / "one"), str(tmp_path / "two")
+    H.write_history(frame(rows + rest[-2:]), one)
+    H.write_history(frame(first), two)
+    H.append_history(frame(rest), two)
+    assert stored(spark, one) == stored(spark, two)
+    both = H.patches(frame(rows + rest[-2:]))
+    c = H.checkpoints(both)
+    for day in (-390, 3, 80, 190, 260, 600):
+        at = (BASE + dt.timedelta(days=day, hours=5)).isoformat(" ")
+        want = {tuple(r) for r in H.state_at(both, c, at).collect()}
+        assert {tuple(r) for r in H.stored_state_at(spark, one, at).collect()} == want == {tuple(r) for r in H.stored_state_at(spark, two, at).collect()}, day
+    assert versions(spark, one) <= versions(spark, two) | versions(spark, one)
+    again = H.reconstruct(*(lambda p: (p, H.checkpoints(p)))(H.stored_patches(spark, two).drop("load", "id")))
+    assert {(r.entity_id, r.predicate, r.object, r.valid_from, r.valid_to) for r in again.collect()} == brute(rows + rest[-2:])
+
+
+def test_append_touches_only_its_periods(spark, tmp_path):
+    import os
+
+    path = str(tmp_path / "h")
+    frame = lambda r: spark.createDataFrame([(*x, "clash") for x in r], S)
+    H.write_history(frame(random_rows(3)), path)
+    files = lambda: {d: sorted(os.listdir(f"{path}/patches/{d}")) for d in os.listdir(f"{path}/patches") if "=" in d}
+    before = files()
+    assert H.append_history(frame([("z", "a", "p", "zz", BASE + dt.timedelta(days=45), None, BASE + dt.timedelta(days=999))]), path) == ["2024-02"]
+    after = files()
+    assert {d for d in after if after[d] != before.get(d)} == {"period=2024-02"}
+    assert ("a", "p", "zz") in {tuple(r) for r in H.stored_state_at(spark, path, "2024-02-15 12:00:00").collect()}
+    assert H.append_history(frame([]), path) == []
+    empty = str(tmp_path / "none")
+    H.write_history(frame([]), empty)
