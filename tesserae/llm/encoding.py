@@ -1,18 +1,20 @@
 """Encoding of the whole corpus with a public byte-level BPE vocabulary (problem 6).
 
-Pre-tokenisation is vectorised over a whole Arrow batch and uses no regular expression. Each code point
-gets a class (letter, number, white space, other) from a table. Read as an automaton, a character's
-transition function is constant (the next state is its class), except that white space keeps the
-position where its run began; such functions compose associatively, and their scan is a comparison of
-neighbours plus a running maximum. Boundaries then follow from the states left and right of a
-position:
-
-* a run of one class is a token, a run of white space before something else ends one character early;
-* that last character joins the next token if it is a blank, else stands alone;
-* an apostrophe that begins a token takes s, t, m, d, re, ve or ll with it.
+Pre-tokenisation is vectorised over a whole Arrow batch and uses no regular expression. A table gives each
+code point its class. What a character does to the state of the reader (in letters, in numbers, after a
+blank, after an apostrophe that began a token, ...) is a transition function, a row of ten states; such
+functions compose associatively, so the states at all positions come from a scan: functions are composed
+within blocks side by side, then over the blocks, then applied within them. A text's first character has
+a constant function, so texts laid end to end are scanned as one. Boundaries follow from the states left and
+right of a position:
+
+* a token goes on while its kind does; a run of white space before something else ends one character early,
+  and that last character joins the next token if it is a blank, else stands alone;
+* an apostrophe that begins a token takes s, t, m, d, re, ve or ll with it, after which a new one begins.
 
 The slices between boundaries feed a cache of merged pieces; only pieces not seen before are merged.
-Every token's byte offset is kept on demand, and decoding restores the text exactly.
+Every token's byte offset is kept on demand, and decoding restores the text exactly. Tables and cache are kept
+by the worker from task to task.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ from __future__ import annotations
 import base64
 import heapq
 import unicodedata
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,17 +30,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tesserae.sources.worker import kept
+
 #: Where the rank file of the vocabulary lies.
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
+#: Classes of code points: blanks, apostrophes and the letters that may follow one stand apart.
+OTHER, LETTER, NUMBER, SPACE, BLANK, QUOTE, ONE, RV, L, E = range(10)
+_LETTERS = (LETTER, ONE, RV, L, E)
+#: States of the reader: at the start, in a token of a kind, after white space or a blank, after an apostrophe that began a token,
+#: after r or v, or l, behind one, and after all that it takes.
+START, WORD, DIGITS, WHITE, LED, SIGNS, QUOTED, QUOTED_RV, QUOTED_L, TAKEN = range(10)
+#: Positions whose functions are composed one after another; blocks go side by side.
+BLOCK = 64
 #: Pieces remembered in a task, and code points handled at once.
 CACHE = 400_000
 CHUNK = 2_000_000
 
 # Fixed values of the split pattern: white space, and what an apostrophe may take with it.
 _SPACES = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
-_ONE = "stmd"
-_TWO = ("re", "ve", "ll")
+_AFTER_QUOTE = {ONE: "stmd", RV: "rv", L: "l", E: "e"}
 
 
 def class_table() -> np.ndarray:
@@ -45,39 +56,76 @@ def class_table() -> np.ndarray:
     kinds = {"L": LETTER, "N": NUMBER}
     table = np.array([kinds.get(unicodedata.category(chr(c))[0], OTHER) for c in range(0x110000)], np.uint8)
     table[_SPACES] = SPACE
+    table[[32, 39]] = BLANK, QUOTE
+    for kind, letters in _AFTER_QUOTE.items():
+        table[[ord(c) for c in letters]] = kind
     return table
 
 
+def step(state: int, kind: int) -> int:
+    """The reader's next state."""
+    if kind in _LETTERS:
+        if state == QUOTED:
+            return {ONE: TAKEN, RV: QUOTED_RV, L: QUOTED_L}.get(kind, WORD)
+        return TAKEN if (state, kind) in ((QUOTED_RV, E), (QUOTED_L, L)) else WORD
+    if kind == QUOTE:
+        return SIGNS if state in (SIGNS, LED, QUOTED) else QUOTED
+    return {NUMBER: DIGITS, SPACE: WHITE, BLANK: LED, OTHER: SIGNS}[kind]
+
+
+#: The transition function of each class, and of a class at the start of a text.
+FUNCTIONS = np.array([[step(s, k) for s in range(10)] for k in range(10)] + [[step(START, k)] * 10 for k in range(10)], np.uint8)
+
+
+def states(functions: np.ndarray) -> np.ndarray:
+    """The state after each position: the scan of transition functions (n, 10), from ``START``."""
+    n, width = functions.shape
+    if n <= BLOCK:
+        out, s = np.empty(n, np.uint8), START
+        for k in range(n):
+            s = out[k] = functions[k, s]
+        return out
+    rows = -(-n // BLOCK)
+    padded = np.concatenate([functions, np.tile(np.arange(width, dtype=np.uint8), (rows * BLOCK - n, 1))]) if rows * BLOCK > n else functions
+    flat = padded.reshape(rows, BLOCK * width)
+    base = np.arange(rows)[:, None] * (BLOCK * width)
+    line, whole = flat.ravel(), flat[:, :width]
+    for k in range(1, BLOCK):
+        whole = line[base + k * width + whole]
+    before = np.concatenate([[np.uint8(START)], states(whole)[:-1]])
+    out = np.empty((rows, BLOCK), np.uint8)
+    base = base.ravel()
+    for k in range(BLOCK):
+        before = out[:, k] = line[base + k * width + before]
+    return out.ravel()[:n]
+
+
+#: Whether a character of a class goes on with the token that a state is in.
+_GOES_ON = np.zeros((10, 10), bool)
+for _k in _LETTERS:
+    _GOES_ON[[WORD, LED, QUOTED_RV, QUOTED_L], _k] = True
+_GOES_ON[[DIGITS, LED], NUMBER] = True
+for _k in (OTHER, QUOTE):
+    _GOES_ON[[SIGNS, QUOTED, LED], _k] = True
+for _k in (SPACE, BLANK):
+    _GOES_ON[[WHITE, LED], _k] = True
+
+
 def boundaries(points: np.ndarray, first: np.ndarray, classes: np.ndarray) -> np.ndarray:
     """Start positions of the pieces of texts laid end to end; ``first`` marks each text's first code point."""
-    n = len(points)
     kind = classes[points]
-    run = first.copy()
-    run[1:] |= kind[1:] != kind[:-1]
-    ends = np.ones(n, bool)  # the last of its text
-    ends[:-1] = first[1:]
-    start = run.copy()
-    last_space = np.zeros(n, bool)
-    last_space[:-1] = (kind[:-1] == SPACE) & (kind[1:] != SPACE) & ~ends[:-1]
-    start |= last_space
-    led = np.zeros(n, bool)  # begins after a blank, which it takes along
-    led[1:] = last_space[:-1] & (points[:-1] == 32)
-    start &= ~led
-    at = np.flatnonzero((points == 39) & run & ~led & ~ends)
-    if len(at):
-        # run number of the text, so that what follows the apostrophe is of the same text
-        text = np.cumsum(first)
-        one = np.isin(points[at + 1], [ord(c) for c in _ONE])
-        far = np.minimum(at + 2, n - 1)
-        two = np.zeros(len(at), bool)
-        for a, b in _TWO:
-            two |= (points[at + 1] == ord(a)) & (points[far] == ord(b))
-        two &= (at + 2 < n) & (text[far] == text[at])
-        taken = at[one | two]
-        start[taken + 1] = False
-        after = np.where(one, at + 2, at + 3)[one | two]
-        after = after[after < n]
-        start[after] = True
+    state = states(FUNCTIONS[kind + 10 * first.astype(np.uint8)])
+    left = np.empty_like(state)
+    left[0], left[1:] = START, state[:-1]
+    start = first | ~_GOES_ON[left, kind]
+    inner = np.zeros(len(kind), bool)  # followed by a character of the same text
+    inner[:-1] = ~first[1:]
+    after = np.append(state[1:], np.uint8(START))
+    white = (kind == SPACE) | (kind == BLANK)
+    start |= white & inner & ~np.append(white[1:], True)
+    # what an apostrophe takes: at once, or with the letter after it
+    quoted = left == QUOTED
+    start &= ~(quoted & ~first & ((state == TAKEN) | ((state == QUOTED_RV) | (state == QUOTED_L)) & inner & (after == TAKEN)))
     return np.flatnonzero(start)
 
 
@@ -173,12 +221,12 @@ def encode(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     sc = documents.sparkSession.sparkContext
     with open(path, "rb") as f:
-        shipped = sc.broadcast((f.read(), class_table().tobytes()))  # one vocabulary and one class table, of fixed size
+        shipped = sc.broadcast(f.read())  # one vocabulary, of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        data, classes = shipped.value
-        ranks = read_ranks(data)
-        encoder = Encoder(ranks, np.frombuffer(classes, np.uint8))
+        data = shipped.value
+        encoder = kept(("encoder", len(data), zlib.crc32(data)), lambda: Encoder(read_ranks(data), class_table()))
+        ranks = encoder.ranks
         widths = None
         if offsets:
             widths = np.zeros(max(ranks.values()) + 1, np.int32)

@@ -10,8 +10,12 @@ A distributed positional inverted index answers phrase queries. The queries are
    third of the corpus, are never posted unless a window has nothing rarer.
 3. The two lists of a window are intersected after subtracting each word's offset in the window, so
    that only documents with both words at the right distance remain.
-4. The payload then decides on the exact phrase, or on proximity: how many of the window's words lie
-   around the position.
+4. The payload then decides on the exact phrase.
+
+Proximity asks for a share of a window's words within a stretch of text a little longer than the window, in any
+order, with words put in, left out or replaced. Of n distinct words at most n - need are missing, so two of the
+n - need + 2 rarest are there, words that the corpus lacks counted among them: windows are asked by those,
+by position within the stretch instead of at exact offsets.
 
 Every document is read in whole, twice; nothing but counts and the postings of rare test words moves.
 """
@@ -23,7 +27,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesserae.sources.tables import cut
@@ -32,6 +36,8 @@ WINDOW = 12
 #: Test words held by a task at once; beyond that the corpus is read again for the next part of them.
 TERMS_AT_ONCE = 500_000
 SALTS = 8
+#: Words that a near match may have beside those of its window.
+SLACK = 4
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -170,12 +176,58 @@ def leaked(documents: DataFrame, items: DataFrame, window: int = WINDOW) -> Data
     return candidates(documents, items, window).where(_exact()).select("doc_id", "item_id").distinct()
 
 
-def near_leaks(documents: DataFrame, items: DataFrame, window: int = WINDOW, share: float = 0.75) -> DataFrame:
-    """(doc_id, item_id, share): proximity matches, the best share of a window's distinct words found around its rarest two, at least ``share``."""
-    distinct = F.array_distinct("phrase")
-    part = F.size(F.array_intersect(distinct, F.col("around"))) / F.size(distinct)
-    scored = candidates(documents, items, window).select("doc_id", "item_id", F.round(part, 6).alias("share"))
-    return scored.where(F.col("share") >= share).groupBy("doc_id", "item_id").agg(F.max("share").alias("share"))
+def _rare_words(items: DataFrame, counts: DataFrame, window: int, share: float) -> DataFrame:
+    """(item_id, term, mates): the words that an item's windows are asked by, with all the words that any such window is asked by."""
+    each = items.select("item_id", F.explode(F.sequence(F.lit(0), F.size("words") - window)).alias("start"), "words")
+    distinct = each.select("item_id", "start", F.array_distinct(F.slice("words", F.col("start") + 1, window)).alias("w"))
+    terms = distinct.select("item_id", "start", F.size("w").alias("n"), F.explode("w").alias("term")).join(counts.withColumnRenamed("n", "df"), "term", "left")
+    rank = F.row_number().over(Window.partitionBy("item_id", "start").orderBy(F.coalesce("df", F.lit(0)), "term"))
+    rare = terms.withColumn("r", rank).where(F.col("r") <= F.col("n") - F.ceil(F.lit(share) * F.col("n") - 1e-9) + 2)
+    asked = rare.groupBy("item_id", "start").agg(F.collect_set("term").alias("mates"))  # a window's words
+    here = rare.where("df is not null").select("item_id", "start", "term").join(asked, ["item_id", "start"])
+    return here.groupBy("item_id", "term").agg(F.array_distinct(F.flatten(F.collect_set("mates"))).alias("mates"))  # of the windows over one word
+
+
+def _best_share(item: list[str], around: list[str], at: int, window: int, reach: int) -> float:
+    """The largest share of the distinct words of one of the item's windows in a stretch of ``reach`` words that holds position ``at``."""
+    known = set(item)
+    hits = [w if w in known else None for w in around]
+    best = 0.0
+    windows = [set(item[k : k + window]) for k in range(len(item) - window + 1)]
+    mine = [w for w in windows if around[at] in w]
+    for lo in range(max(0, at - reach + 1), at + 1):
+        stretch = set(hits[lo : lo + reach])
+        for w in mine:
+            best = max(best, len(w & stretch) / len(w))
+    return best
+
+
+def near_leaks(documents: DataFrame, items: DataFrame, window: int = WINDOW, share: float = 0.75, slack: int = SLACK) -> DataFrame:
+    """(doc_id, item_id, share): proximity matches: the best share of a window's distinct words within ``window + slack`` words of the document, at least ``share``.
+
+    Windows with words that the corpus lacks are asked too. Items shorter than a window have none.
+    """
+    tokens = cut(item_words(items))
+    counts = term_counts(documents, tokens.select(F.explode("words").alias("term")).distinct())
+    asked = cut(_rare_words(tokens, cut(counts), window, share))
+    reach = window + slack
+    index = postings(documents, asked.select("term").distinct(), reach - 1)
+    w = asked.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumnRenamed("term", "asked")
+    p = index.withColumn("salt", F.pmod(F.xxhash64("doc_id", "pos"), F.lit(SALTS)).cast("int"))
+    met = p.join(w, (F.col("term") == F.col("asked")) & (p["salt"] == w["salt"])).where(F.size(F.array_intersect("around", "mates")) >= 2)
+    places = met.select("doc_id", "item_id", "before", "around").join(tokens, "item_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            best: dict[tuple[int, int], float] = {}
+            for doc, item, at, around, words_ in zip(*(b.column(c).to_pylist() for c in ("doc_id", "item_id", "before", "around", "words")), strict=True):
+                if len(set(around) & set(words_)) >= 2 and best.get((doc, item), 0) < 1:
+                    best[doc, item] = max(best.get((doc, item), 0.0), _best_share(words_, around, at, window, reach))
+            kept = [(d, i, x) for (d, i), x in best.items() if x >= share - 1e-9]
+            cols = list(zip(*kept, strict=True)) if kept else [()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["doc_id", "item_id", "share"])
+
+    return places.mapInArrow(run, "doc_id bigint, item_id bigint, share double").groupBy("doc_id", "item_id").agg(F.round(F.max("share"), 6).alias("share"))
 
 
 def leak_report(found: DataFrame) -> DataFrame:

@@ -62,10 +62,50 @@ def test_terms_in_parts(spark, monkeypatch):
     assert got(spark, docs, items) == brute(docs, items)
 
 
+def brute_near(docs, items, share=0.75, window=L.WINDOW, slack=L.SLACK):
+    out = {}
+    for d, text in docs:
+        w = L.words(text)
+        stretches = [set(w[k : k + window + slack]) for k in range(max(1, len(w) - window - slack + 1))]
+        for i, item in items:
+            v = L.words(item)
+            for k in range(len(v) - window + 1):
+                asked = set(v[k : k + window])
+                best = max((len(asked & s) / len(asked) for s in stretches), default=0)
+                if best >= share - 1e-9:
+                    out[d, i] = max(out.get((d, i), 0), round(best, 6))
+    return out
+
+
+def near(spark, docs, items):
+    return {(r.doc_id, r.item_id): r.share for r in L.near_leaks(*frames(spark, docs, items)).collect()}
+
+
 def test_near(spark):
     w = [f"a{k}" for k in range(12)]
-    docs = [(1, " ".join(w[:6] + ["zz"] + w[7:])), (2, "nothing of it")]
-    near = {(r.doc_id, r.item_id): r.share for r in L.near_leaks(*frames(spark, docs, [(1, " ".join(w))])).collect()}
-    assert near == {}  # a window with a word that the corpus lacks cannot be asked
-    near = {(r.doc_id, r.item_id): r.share for r in L.near_leaks(*frames(spark, [*docs, (3, "a6")], [(1, " ".join(w))])).collect()}
-    assert set(near) <= {(1, 1)}
+    docs = [
+        (1, " ".join(w[:6] + ["zz"] + w[7:])), (2, "nothing of it"), (3, " ".join(w[:1] + ["put", "in"] + w[1:])), (4, " ".join(w[:4] + w[6:])), (5, " ".join(reversed(w))), (6, " ".join(w[:8])), (7, None),
+        (8, " ".join(w[:6] + ["far"] * 9 + w[6:])),
+    ]
+    got = near(spark, docs, [(1, " ".join(w)), (2, "short"), (3, None)])
+    # one word replaced, two put in, two left out, turned round; eight words are too few, and six on either side too far apart
+    assert got == {(1, 1): 0.916667, (3, 1): 1.0, (4, 1): 0.833333, (5, 1): 1.0}
+
+
+def test_near_against_brute_force(spark):
+    rnd = random.Random(8)
+    vocabulary = [f"w{k}" for k in range(60)]
+    items = [(k, " ".join(rnd.choice(vocabulary) for _ in range(rnd.randint(10, 30)))) for k in range(12)]
+    docs = []
+    for d in range(60):
+        w = [rnd.choice(vocabulary[:40]) for _ in range(rnd.randint(0, 40))]
+        if d % 3:
+            piece = L.words(rnd.choice(items)[1])[:14]
+            for _ in range(rnd.randint(0, 4)):
+                k = rnd.randrange(len(piece))
+                piece[k : k + 1] = rnd.choice([[], [f"new{d}"], [piece[k], "extra"]])
+                piece = piece or ["x"]
+            w[5:5] = piece
+        docs.append((d, " ".join(w)))
+    want = brute_near(docs, items)
+    assert len(want) > 15 and near(spark, docs, items) == want
