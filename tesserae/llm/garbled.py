@@ -39,6 +39,8 @@ LEAST = 3
 #: A garbled form in more than this part of its original's documents is not certain by its rarity: of
 #: sequences made of UTF-8 or Japanese bytes, which correct text hardly has, and of all others.
 AMBIGUOUS_BYTES, AMBIGUOUS = 0.3, 0.03
+#: Fewer Japanese characters than this, none of them kana, are no text.
+_FEW = 5
 #: Rounds of garbling undone; text that is garbled still is reported as incomplete.
 ROUNDS = 12
 #: What a sequence shows: garbling by itself; together with another such word; together with a certain sequence.
@@ -201,13 +203,13 @@ def level(form: str, original: str | None, japanese: bool, text: str, lo: int, h
     """What a garbled character at text[lo:hi] shows: a form that correct text may have is certain only within a word that it can't have."""
     if form[0] in "–—" and not any(c.isalpha() for c in form):  # a dash before a sign
         return WITH_CERTAIN
-    if original is None or natural(form) < 2 and not (japanese and any(c.isascii() for c in form)):
-        return CERTAIN
     if japanese:
-        return WITH_CERTAIN
-    while lo > 0 and text[lo - 1].isalpha():
+        return CERTAIN if natural(form) == 0 and not any(c.isascii() for c in form) else WITH_CERTAIN
+    if original is None or natural(form) < 2 or len(form) > 2 and not form.isalpha():
+        return CERTAIN
+    while lo > 0 and text[lo - 1].isalnum():
         lo -= 1
-    while hi < len(text) and text[hi].isalpha():
+    while hi < len(text) and text[hi].isalnum():
         hi += 1
     return CERTAIN if form[-1] in "‚„" or natural(text[lo:hi]) == 0 else WITH_CERTAIN
 
@@ -240,9 +242,9 @@ def spans(text: str, a: ahocorasick.Automaton, own: dict[str, Pattern] | None =
     """Non-overlapping garbled spans (start, end, original or None), longest first among those that start together. ``own``: garbled words of the document."""
     met = []
     chars = [(end + 1 - len(form), end + 1, form, originals, japanese) for end, (form, originals, japanese) in a.iter(text)]
-    # Japanese text has kana: where none came out of it, but sequences made of UTF-8 are there, it is not Japanese
+    # Japanese text has kana: where none came out of it, but sequences made of UTF-8 are there or hardly any others, it is not Japanese
     kana = {p for c in chars for x, pairs in c[3] if x and "ぁ" <= x <= "ヿ" for p in pairs if p[0] != "utf-8"}
-    unicode = any(p[0] == "utf-8" for c in chars for _, pairs in c[3] for p in pairs)
+    unicode = any(p[0] == "utf-8" for c in chars for _, pairs in c[3] for p in pairs) or len(chars) < _FEW
     times = Counter(p for c in chars for _, pairs in c[3] for p in pairs)
     for lo, hi, form, originals, japanese in chars:
         if unicode and originals[0][1]:
