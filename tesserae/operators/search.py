@@ -227,7 +227,7 @@ def prompt_recall_with_fallback(memories: DataFrame, prompt: str, query: list[fl
     found = prompt_recall(memories, prompt, surface)
     if query is None or len(unigrams_of(prompt)) < C.FALLBACK_MIN_UNIGRAMS or not found.isEmpty():
         return found
-    near = vector_search(memories, column, query, C.FALLBACK_LIMIT, C.FALLBACK_COSINE)
+    near = vector_search(memories.select("id", "memory_type", "summary", column).dropDuplicates(["id"]), column, query, C.FALLBACK_LIMIT, C.FALLBACK_COSINE)
     kept = near.where(~F.contains(F.lit(surface), F.col("summary"))) if surface else near
     return kept.select(F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("score"), "id")).alias("place"), "id", "memory_type", "summary")
 

@@ -511,6 +511,25 @@ def prompt_recall(spark, d):
     return search.prompt_recall(_searched(spark, d), _PROMPT)
 
 
+@query(_prompt_sql().replace(" order by p limit 5", " and (summary is null or not contains((select string_agg(summary, chr(10)) from (select distinct id, summary from memories where pinned and length(summary) > 20)), summary)) order by p limit 5"))
+def prompt_recall_shown(spark, d):
+    """As ``prompt_recall`` beside a surface that shows the pinned memories already."""
+    pinned = Tables(spark, d).memories("id", "pinned", "summary").where("pinned and length(summary) > 20")
+    shown = "\n".join(r.summary for r in pinned.select("summary").collect())  # a surface is text in the driver
+    return search.prompt_recall(_searched(spark, d), _PROMPT, shown)
+
+
+@query(
+    f"""with {_Q1}, m as (select distinct id, memory_type, summary, local_embedding::double[] v from memories where {_LOCAL}), s as (select *, list_cosine_similarity(qv, v) c from m, q where list_cosine_similarity(qv, v) >= 0.65 order by c desc, id limit 3)
+select row_number() over (order by c desc, id) place, id, memory_type, summary from s"""
+)
+def prompt_fallback(spark, d):
+    """A prompt that no memory's words match, answered by its vector."""
+    m = Tables(spark, d).memories().select("id", "status", "scope", "memory_type", "content", "summary", "tags", "source_context", "local_embedding")
+    vector = _one_vector(m, "local_embedding", 32)
+    return search.prompt_recall_with_fallback(m, "qqzx wwvk yyjh ppqz", vector, "local_embedding")
+
+
 def _recall_sql(best: str) -> str:
     """``best``: CTEs ending in ``m`` (id, score, source), the merged hits; with what each is linked to, code first, then by distance."""
     live = f"select distinct id, source_id, target_id, relation_type from edges where {_LIVE} and relation_type in ({Q.RELATIONS})"
