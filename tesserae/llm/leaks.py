@@ -25,6 +25,8 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
+from operator import or_
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -188,18 +190,28 @@ def _rare_words(items: DataFrame, counts: DataFrame, window: int, share: float)
     return here.groupBy("item_id", "term").agg(F.array_distinct(F.flatten(F.collect_set("mates"))).alias("mates"))  # of the windows over one word
 
 
-def _best_share(item: list[str], around: list[str], at: int, window: int, reach: int) -> float:
-    """The largest share of the distinct words of one of the item's windows in a stretch of ``reach`` words that holds position ``at``."""
-    known = set(item)
-    hits = [w if w in known else None for w in around]
-    best = 0.0
-    windows = [set(item[k : k + window]) for k in range(len(item) - window + 1)]
-    mine = [w for w in windows if around[at] in w]
-    for lo in range(max(0, at - reach + 1), at + 1):
-        stretch = set(hits[lo : lo + reach])
-        for w in mine:
-            best = max(best, len(w & stretch) / len(w))
-    return best
+class _Item:
+    """An item's words as bits, and the windows over each word as sets of bits with their number of words."""
+
+    def __init__(self, words_: list[str], window: int):
+        self.bit = {w: 1 << k for k, w in enumerate(dict.fromkeys(words_))}
+        bits = [self.bit[w] for w in words_]
+        self.over: dict[int, set[tuple[int, int]]] = {}
+        for lo in range(len(bits) - window + 1):
+            mine = set(bits[lo : lo + window])
+            for x in mine:
+                self.over.setdefault(x, set()).add((sum(mine), len(mine)))
+
+    def best(self, around: list[str], at: int, reach: int, share: float) -> float:
+        """The largest share, at least ``share``, of a window's words in a stretch of ``reach`` words that holds position ``at``; else 0."""
+        bits = [self.bit.get(w, 0) for w in around]
+        whole = reduce(or_, bits)
+        windows = [(w, n) for w, n in self.over.get(bits[at], ()) if (w & whole).bit_count() >= share * n - 1e-9]
+        if not windows:
+            return 0.0
+        stretches = {reduce(or_, bits[lo : lo + reach]) for lo in range(max(0, at - reach + 1), at + 1)}
+        best = max((w & s).bit_count() / n for w, n in windows for s in stretches)
+        return best if best >= share - 1e-9 else 0.0
 
 
 def near_leaks(documents: DataFrame, items: DataFrame, window: int = WINDOW, share: float = 0.75, slack: int = SLACK) -> DataFrame:
@@ -215,16 +227,24 @@ def near_leaks(documents: DataFrame, items: DataFrame, window: int = WINDOW, sha
     w = asked.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumnRenamed("term", "asked")
     p = index.withColumn("salt", F.pmod(F.xxhash64("doc_id", "pos"), F.lit(SALTS)).cast("int"))
     met = p.join(w, (F.col("term") == F.col("asked")) & (p["salt"] == w["salt"])).where(F.size(F.array_intersect("around", "mates")) >= 2)
-    places = met.select("doc_id", "item_id", "before", "around").join(tokens, "item_id")
+    texts = tokens.select("item_id", F.array_join("words", " ").alias("words"))
+    places = met.select("doc_id", "item_id", "before", F.array_join("around", " ").alias("around")).join(texts, "item_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[int, _Item] = {}
         for b in batches:
             best: dict[tuple[int, int], float] = {}
-            for doc, item, at, around, words_ in zip(*(b.column(c).to_pylist() for c in ("doc_id", "item_id", "before", "around", "words")), strict=True):
-                if len(set(around) & set(words_)) >= 2 and best.get((doc, item), 0) < 1:
-                    best[doc, item] = max(best.get((doc, item), 0.0), _best_share(words_, around, at, window, reach))
-            kept = [(d, i, x) for (d, i), x in best.items() if x >= share - 1e-9]
-            cols = list(zip(*kept, strict=True)) if kept else [()] * 3
+            words_ = b.column("words")
+            for k, (doc, item, at, around) in enumerate(zip(*(b.column(c).to_pylist() for c in ("doc_id", "item_id", "before", "around")), strict=True)):
+                if best.get((doc, item), 0) < 1:
+                    if item not in known:
+                        if len(known) > 10_000:
+                            known.clear()
+                        known[item] = _Item(words_[k].as_py().split(" "), window)
+                    x = known[item].best(around.split(" "), at, reach, share)
+                    if x > best.get((doc, item), 0):
+                        best[doc, item] = x
+            cols = list(zip(*((d, i, x) for (d, i), x in best.items()), strict=True)) if best else [()] * 3
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["doc_id", "item_id", "share"])
 
     return places.mapInArrow(run, "doc_id bigint, item_id bigint, share double").groupBy("doc_id", "item_id").agg(F.round(F.max("share"), 6).alias("share"))
