@@ -34,17 +34,23 @@ def traverse(edges: DataFrame, starts: DataFrame, depth: int = C.TRAVERSAL_DEPTH
     """(root, id, depth[, path]): what each start (one id column) reaches within ``depth`` moves, at its least depth, the start excluded.
 
     All starts advance together, a level being one join of the frontier with the moves. Of several ways to
-    a node in one level, the one whose path of (direction, edge) comes first is kept, so results are
-    reproducible. A self-loop leads nowhere. Levels are checkpointed, the frontier joins as it is.
+    a node in one level, the one whose path of (direction, edge) comes first is kept: as a queue would reach it
+    that takes out-edges before in-edges and each in order of their ids. A self-loop leads nowhere. Without
+    ``paths`` only pairs of ids move. Levels are checkpointed, the frontier joins as it is.
     """
     moves = steps(edges, types, direction, least)
+    if not paths:
+        moves = moves.select("from", "to").distinct()  # parallel edges lead to the same place
     begin = starts.select(F.col(starts.columns[0]).alias("root")).where(F.col("root").isNotNull()).distinct()
-    order = "array<struct<dir:int,edge_id:string>>"
-    seen = frontier = begin.select("root", F.col("root").alias("id"), F.lit(0).alias("depth"), F.array().cast(order).alias("path"))
+    order = F.array().cast("array<struct<dir:int,edge_id:string>>").alias("path")
+    seen = frontier = begin.select("root", F.col("root").alias("id"), F.lit(0).alias("depth"), *([order] if paths else []))
     for level in range(1, depth + 1):
-        ahead = frontier.join(moves, frontier["id"] == moves["from"]).select("root", F.col("to").alias("id"), F.concat("path", F.array(F.struct("dir", "edge_id"))).alias("path") if paths else F.col("path"))
-        best = ahead.groupBy("root", "id").agg(F.min("path").alias("path"))
-        frontier = cut(best.join(seen.select("root", "id"), ["root", "id"], "left_anti").withColumn("depth", F.lit(level)).select("root", "id", "depth", "path"))
+        ahead = frontier.join(moves, frontier["id"] == moves["from"])
+        if paths:
+            best = ahead.select("root", F.col("to").alias("id"), F.concat("path", F.array(F.struct("dir", "edge_id"))).alias("path")).groupBy("root", "id").agg(F.min("path").alias("path"))
+        else:
+            best = ahead.select("root", F.col("to").alias("id")).distinct()
+        frontier = cut(best.join(seen.select("root", "id"), ["root", "id"], "left_anti").withColumn("depth", F.lit(level)).select(*seen.columns))
         seen = seen.unionByName(frontier)
         if frontier.isEmpty():
             break

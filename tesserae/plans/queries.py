@@ -602,14 +602,14 @@ _NEWEST = "(select id from memories where status = 'active' order by created_at
 def bfs_newest(spark, d):
     t = Tables(spark, d)
     start = t.memories("id", "status", "created_at").where("status = 'active'").orderBy(F.desc("created_at"), "id").limit(1).select("id")
-    return graph.traverse(store.live_edges(t.edges(*EDGE_COLUMNS)), start, 2).select("root", "id", "depth")
+    return graph.traverse(store.live_edges(t.edges(*EDGE_COLUMNS)), start, 2, paths=False)
 
 
 @query(_bfs("(select id from memories where pinned)", f"select distinct source_id f, target_id t from edges where {_LIVE} and relation_type in ('derived_from', 'refines', 'source_of') and coalesce(strength, 0) >= 0.4", 3))
 def bfs_filtered(spark, d):
     t = Tables(spark, d)
     e = store.live_edges(t.edges(*EDGE_COLUMNS))
-    return graph.traverse(e, t.memories("id", "pinned").where("pinned").select("id"), 3, ["derived_from", "refines", "source_of"], "outgoing", 0.4).select("root", "id", "depth")
+    return graph.traverse(e, t.memories("id", "pinned").where("pinned").select("id"), 3, ["derived_from", "refines", "source_of"], "outgoing", 0.4, paths=False)
 
 
 @query(
