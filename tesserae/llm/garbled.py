@@ -371,9 +371,11 @@ def word_patterns(counted: DataFrame) -> DataFrame:
                     rows = []
             yield batch(rows)
 
+    # little data and much work a row: spread over all cores, which sizes in bytes would not do
+    spread = words.select("seq").repartition(4 * counted.sparkSession.sparkContext.defaultParallelism)
     named = lambda c: words.select(F.col("seq").alias(c), F.col("n").alias(f"n_{c}"))
-    decoded = words.select("seq").mapInArrow(back, kind).join(named("original"), "original").join(named("garbled"), "garbled")
-    without = words.select("seq").mapInArrow(stripped, kind).join(named("garbled"), "garbled").join(named("original"), "original")
+    decoded = spread.mapInArrow(back, kind).join(named("original"), "original").join(named("garbled"), "garbled")
+    without = spread.mapInArrow(stripped, kind).join(named("garbled"), "garbled").join(named("original"), "original")
     cols = ["garbled", "original", "true", "wrong", "n_garbled", "n_original"]
     met = decoded.select(*cols, F.lit(False).alias("part")).unionByName(without.select(*cols, F.lit(True).alias("part")))
 
