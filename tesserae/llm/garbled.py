@@ -39,8 +39,6 @@ LEAST = 3
 #: A garbled form in more than this part of its original's documents is not certain by its rarity: of
 #: sequences made of UTF-8 or Japanese bytes, which correct text hardly has, and of all others.
 AMBIGUOUS_BYTES, AMBIGUOUS = 0.3, 0.03
-#: Fewer Japanese characters than this, none of them kana, are no text.
-_FEW = 5
 #: Rounds of garbling undone; text that is garbled still is reported as incomplete.
 ROUNDS = 12
 #: What a sequence shows: garbling by itself; together with another such word; together with a certain sequence.
@@ -57,8 +55,9 @@ TRUE = ("utf-8", *WESTERN, *CENTRAL, *CYRILLIC, "cp1253", "cp1254", "cp1257")
 
 _CHUNK = re.compile(r"([^\s\x00-\x1f!-/:-@\[-`{-~]+)(?=( [a-z]{2,}\b)?)")
 _UNBROKEN = re.compile(r"[^\x00-/:-@\[-`{-~]+")
+_JAPANESE = re.compile("[ぁ-ヿ一-鿿]")
 _C1 = re.compile(r"[\x80-\x84\x86-\x9f]")
-_SIGNS = "°€£§µ²³½±×≈→•–—…©®™"
+_SIGNS = "°€£§µ²³½±×≈→•–—…©®™≤≥"
 _OTHER_SCRIPTS = frozenset("абвгдежзийклмнопрстуфхцчшщъыьэюяёєіїґўђјљњћџѓќѕαβγδεζηθικλμνξοπρσςτυφχψωάέήίόύώϊϋΐΰ")
 #: Letters beyond ASCII of one language each.
 _ALPHABETS = tuple(
@@ -69,9 +68,14 @@ _ALPHABETS = tuple(
         "абвгдежзийклмнопрстуфхцчшщъыьэюяё", "абвгдежзийклмнопрстуфхцчшщьюяєіїґ", "абвгдежзійклмнопрстуфхцчшыьэюяёў", "абвгдежзијклмнопрстуфхцчшђљњћџѓќѕ", "αβγδεζηθικλμνξοπρσςτυφχψωάέήίόύώϊϋΐΰ",
     )
 )
+#: Blocks of characters that no single-byte encoding has whole: Latin, Greek, Cyrillic, punctuation and signs, full-width forms, pictographs.
+_BLOCKS = ((0x100, 0x180), (0x386, 0x3D0), (0x400, 0x460), (0x490, 0x494), (0x2010, 0x2060), (0x20A0, 0x20C0), (0x2100, 0x2C00), (0xFE0F, 0xFE10), (0xFF00, 0xFFF0), (0x1F300, 0x1FB00))
+#: Words of a single letter beyond ASCII, and of Russian.
+_ONE_LETTER, _ONE_LETTER_RUSSIAN = frozenset("àáäåæèéêíìóòôöøúùü"), frozenset("аивкосуяжбэ")
 #: A garbled word's original, whether certain by itself, and the encoding pairs.
 Pattern = tuple[str, bool, frozenset[tuple[str, str]]]
 _QUOTES = "«»„“”‘’‚‹›…–—¿¡、。・「」"
+_INNER = re.compile(f"[{_QUOTES}]+")
 _MENTION = (("`", "`"), ("'", "'"), ('"', '"'), ("‘", "’"), ("“", "”"), ("«", "»"), ("„", "“"))
 
 
@@ -101,9 +105,9 @@ def chunks(text: str) -> set[str]:
             continue
         if len(word) > 1:
             found.add(word)
-            core = word.strip(_QUOTES)
-            if len(core) > 1 and not core.isascii():
-                found.add(core)
+            for core in _INNER.split(word):
+                if len(core) > 1 and not core.isascii():
+                    found.add(core)
         elif after:
             found.add(word + after)
     return found
@@ -115,14 +119,14 @@ def unbroken(text: str) -> set[str]:
 
 
 def frequencies(documents: DataFrame) -> DataFrame:
-    """(seq, n): in how many documents each chunk is, over the whole corpus."""
+    """(seq, n): in how many documents each character beyond ASCII and each chunk is, over the whole corpus."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             total: Counter = Counter()
             for t in b.column(0).to_pylist():
                 if t and not t.isascii():
-                    total.update(chunks(t) | unbroken(t))
+                    total.update({c for c in t if c > "\x9f"} | chunks(t) | unbroken(t))
             yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], names=["seq", "n"])
 
     return documents.select("text").mapInArrow(run, "seq string, n bigint").groupBy("seq").agg(F.sum("n").alias("n"))
@@ -164,7 +168,8 @@ def repertoire() -> list[str]:
     single = {c for e in (*WRONG, *OTHERS) for b in range(128, 256) if (c := _char(b, e)) != "�"} | {chr(c) for c in range(0x80, 0x100)}
     rows = {(a, b) for a in range(0xA1, 0xFF) for b in range(0xA1, 0xFF)}
     japanese = {c for a, b in rows if len(c := bytes([a, b]).decode("euc-jp", "ignore")) == 1}
-    return sorted(single | japanese | set(_SIGNS))
+    blocks = {chr(c) for a, b in _BLOCKS for c in range(a, b) if unicodedata.category(chr(c)) != "Cn"}
+    return sorted(single | japanese | blocks)
 
 
 def fixed_automaton() -> ahocorasick.Automaton:
@@ -180,7 +185,10 @@ def fixed_automaton() -> ahocorasick.Automaton:
     for wrong in WRONG:
         t = [_char(b, wrong) for b in range(256)]
         for x, d in zip(chars, data, strict=True):
-            add("".join([t[b] for b in d]), x, ("utf-8", wrong))
+            form = "".join([t[b] for b in d])
+            add(form, x, ("utf-8", wrong))
+            if x in _SIGNS:  # the form may have lost its control characters
+                add(_C1.sub("", form), x, ("utf-8", wrong))
     for x in chars:
         add(misread(x, "utf-8", "cp932"), x, ("utf-8", "cp932"))
     for x in chars:
@@ -211,7 +219,9 @@ def level(form: str, original: str | None, japanese: bool, text: str, lo: int, h
         lo -= 1
     while hi < len(text) and text[hi].isalnum():
         hi += 1
-    return CERTAIN if form[-1] in "‚„" or natural(text[lo:hi]) == 0 else WITH_CERTAIN
+    word = "".join(c for c in text[lo:hi] if c.isalnum())
+    lone = len(word) == 1 and word.lower() not in _ONE_LETTER or word == form and original.lower() in _ONE_LETTER_RUSSIAN
+    return CERTAIN if lone or form[-1] in "‚„" or natural(text[lo:hi]) == 0 else WITH_CERTAIN
 
 
 def certain(garbled: str, original: str, n_garbled: int, n_original: int, ambiguous: float) -> bool | None:
@@ -238,22 +248,43 @@ def _mentioned(text: str, lo: int, hi: int) -> bool:
     return text[hi : hi + 4] == " (U+"
 
 
-def spans(text: str, a: ahocorasick.Automaton, own: dict[str, Pattern] | None = None) -> list[tuple[int, int, str | None]]:
-    """Non-overlapping garbled spans (start, end, original or None), longest first among those that start together. ``own``: garbled words of the document."""
+def _japanese_word(text: str, lo: int, hi: int, pairs: tuple[tuple[str, str], ...]) -> bool:
+    """Whether what stands between blanks around text[lo:hi] is Japanese from end to end when read back."""
+    while lo > 0 and not text[lo - 1].isspace():
+        lo -= 1
+    while hi < len(text) and not text[hi].isspace():
+        hi += 1
+    for true, wrong in pairs:
+        try:
+            back = text[lo:hi].encode(wrong).decode(true)
+        except UnicodeError:
+            continue
+        if all(_JAPANESE.match(c) for c in back):
+            return True
+    return False
+
+
+def spans(text: str, a: ahocorasick.Automaton, own: dict[str, Pattern] | None = None, usual: dict[str, int] | None = None) -> list[tuple[int, int, str | None]]:
+    """Non-overlapping garbled spans (start, end, original or None), longest first among those that start together.
+
+    ``own``: garbled words of the document; ``usual``: in how many documents of the corpus characters are.
+    """
+    usual = usual or {}
     met = []
     chars = [(end + 1 - len(form), end + 1, form, originals, japanese) for end, (form, originals, japanese) in a.iter(text)]
-    # Japanese text has kana: where none came out of it, but sequences made of UTF-8 are there or hardly any others, it is not Japanese
-    kana = {p for c in chars for x, pairs in c[3] if x and "ぁ" <= x <= "ヿ" for p in pairs if p[0] != "utf-8"}
-    unicode = any(p[0] == "utf-8" for c in chars for _, pairs in c[3] for p in pairs) or len(chars) < _FEW
+    # Japanese text has kana, more of it than what else may have been made of UTF-8, unless the text is Japanese elsewhere
+    kana = Counter(p for c in chars for x, pairs in c[3] if x and "ぁ" <= x <= "ヿ" for p in pairs if p[0] != "utf-8")
+    unicode = sum(c[3][0][1][0][0] == "utf-8" for c in chars if c[3][0][1])
+    alone = not unicode and bool(_JAPANESE.search(text))
     times = Counter(p for c in chars for _, pairs in c[3] for p in pairs)
     for lo, hi, form, originals, japanese in chars:
-        if unicode and originals[0][1]:
-            originals = [o for o in originals if o[1][0][0] == "utf-8" or not kana.isdisjoint(o[1])]
+        if not alone and originals[0][1]:
+            originals = [o for o in originals if o[1][0][0] == "utf-8" or any(kana[p] >= max(3, 1.5 * unicode) for p in o[1])]
             if not originals:
                 continue
-        # of several readings the one under the encoding pair that the document shows most
-        original, pairs = originals[0] if len(originals) == 1 else max(originals, key=lambda o: max(times[p] for p in o[1]))
-        met.append((lo, -hi, original, level(form, original, japanese, text, lo, hi), pairs))
+        # of several readings one that the corpus has at all, under the encoding pair that the document shows most
+        original, pairs = originals[0] if len(originals) == 1 else max(originals, key=lambda o: (usual.get(o[0], 0) > 0, max(times[p] for p in o[1]), usual.get(o[0], 0)))
+        met.append((lo, -hi, original, CERTAIN if alone and japanese and _japanese_word(text, lo, hi, pairs) else level(form, original, japanese, text, lo, hi), pairs))
     for form, (original, sure, pairs) in (own or {}).items():
         for m in re.finditer(re.escape(form), text):
             lo, hi = m.span()
@@ -282,9 +313,9 @@ def spans(text: str, a: ahocorasick.Automaton, own: dict[str, Pattern] | None =
     return [s for run in merged if not _mentioned(text, run[0][0], run[-1][1]) for s in run]
 
 
-def restore(text: str, a: ahocorasick.Automaton, own: dict[str, Pattern] | None = None) -> tuple[str, int, bool]:
+def restore(text: str, a: ahocorasick.Automaton, own: dict[str, Pattern] | None = None, usual: dict[str, int] | None = None) -> tuple[str, int, bool]:
     """(text with the garbled spans replaced, number of spans in the first round, whether nothing garbled is left)."""
-    found = spans(text, a, own)
+    found = spans(text, a, own, usual)
     first = len(found)
     for _ in range(ROUNDS):
         known = [s for s in found if s[2] is not None]
@@ -295,7 +326,7 @@ def restore(text: str, a: ahocorasick.Automaton, own: dict[str, Pattern] | None
             parts += [text[at:lo], original]
             at = hi
         text = "".join([*parts, text[at:]])
-        found = spans(text, a, own)
+        found = spans(text, a, own, usual)
     return text, first, not found
 
 
@@ -415,7 +446,9 @@ def scan(documents: DataFrame) -> DataFrame:
     Null, empty and pure ASCII texts are never affected; copies are each reported.
     """
     beyond = documents.select("doc_id", "text").where(F.col("text").rlike(r"[^\x00-\x7f]"))
-    own = words_in(beyond, word_patterns(cut(frequencies(beyond))))
+    counted = cut(frequencies(beyond))
+    own = words_in(beyond, word_patterns(counted))
+    usual = documents.sparkSession.sparkContext.broadcast({r.seq: r.n for r in counted.where(F.length("seq") == 1).collect()})  # a row for each code point in use
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a = kept(("garbled characters", 1), fixed_automaton)
@@ -423,7 +456,7 @@ def scan(documents: DataFrame) -> DataFrame:
             rows = []
             for doc, text, words in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
                 mine = {r["garbled"]: (r["original"], r["sure"], frozenset((p["true"], p["wrong"]) for p in r["pairs"])) for r in words or ()}
-                fixed, n, whole = restore(text, a, mine)
+                fixed, n, whole = restore(text, a, mine, usual.value)
                 if n:
                     rows.append((doc, n, fixed, whole))
             cols = list(zip(*rows, strict=True)) if rows else [()] * 4

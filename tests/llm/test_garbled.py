@@ -68,6 +68,8 @@ def test_whatever_the_corpus_holds(spark):
     bad = [
         (1, G.misread(greek, "utf-8", "cp1252"), greek), (2, "then " + G.misread("ł", "utf-8", "cp1252"), "then ł"), (3, G.misread(kanji, "utf-8", "cp1251"), kanji), (4, G.misread(polish, "utf-8", "cp1250"), polish),
         (5, G.misread(kanji, "euc-jp", "latin-1"), kanji), (6, "x " + G.misread("ø", "utf-8", "cp437"), "x ø"), (7, "209Ã—7366 cells", "209×7366 cells"), (8, "one â†’ two → three", "one → two → three"),
+        (9, "See Â§ 1181, 119 Ã— 2720 ¶ 8", "See § 1181, 119 × 2720 ¶ 8"), (10, "## " + G.misread("影響", "cp932", "cp1252") + "\n\n記憶領域が不足した", "## 影響\n\n記憶領域が不足した"),
+        (11, "ok " + G.misread("✅ 👍 Ångvik", "utf-8", "cp1252"), "ok ✅ 👍 Ångvik"), (12, "таблицы Рё x", "таблицы и x"),
     ]
     for size in (10, 3000):
         clean = [(1000 + k, f"Plain words only, {k} of them; naïve") for k in range(size)]
@@ -76,7 +78,7 @@ def test_whatever_the_corpus_holds(spark):
 
 
 def test_correct_text_that_looks_garbled(spark):
-    rows = ["la créée année, naïve et coïncidée", "пёс и копёр у реки; Рёбра", "‚Übung‘ macht den Meister", "caféAuLait et éA", "from –∞ to +∞", "IRMÃ” e AMANHÃ…", "ATENÇÃO: INFORMAÇÃO E Þóra", "a repetição", "ää öö üü jää-äär", "Łódź, Ångström — „Ärger“ … “Ö”"]
+    rows = ["la créée année, naïve et coïncidée", "пёс и копёр у реки; Рёбра", "‚Übung‘ macht den Meister", "caféAuLait et éA", "from –∞ to +∞", "IRMÃ” e AMANHÃ…", "ATENÇÃO: INFORMAÇÃO E Þóra", "a repetição", "ää öö üü jää-äär", "Łódź, Ångström — „Ärger“ … “Ö”", "the façade’s “nested” part isn’t “done” for Mañuel — ¿no? À la une, É bom"]
     assert scan(spark, list(enumerate(rows))) == {}
 
 
