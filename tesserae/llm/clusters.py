@@ -268,25 +268,33 @@ def _forest(dim: int, threshold: float):
 
 
 def merge_rounds(sums: np.ndarray, n: np.ndarray, threshold: float) -> np.ndarray:
-    """Average linkage of a group by rounds of mutual best pairs: a label for each row, the index of its cluster's first row.
+    """Average linkage of a group by rounds of mutual best pairs: a label for each row, the index of its cluster's first row. ``threshold`` is above 0.
 
-    An average with a merged cluster never exceeds the better of those with its parts, so a best partner
-    stays the best until it is merged itself: each round looks again only at the clusters that merged and at those
-    whose partner did. Ties go to the lower index; should rounding keep near ties from being mutual, the best
-    pair of all merges alone.
+    An average with a merged cluster never exceeds the better of those with its parts. So a cluster's best partner
+    stays the best until it is merged itself, and even then while the new average is no less than what the
+    cluster had as second best; only otherwise all of its partners are looked at again. Ties go to the lower
+    index; should rounding keep near ties from being mutual, the best pair of all merges alone.
     """
     label = np.arange(len(n))
     alive = np.arange(len(n))
     sums, n = sums.astype(np.float64), n.astype(np.float64)
     mean = (sums / n[:, None]).astype(np.float32)
-    best, s, stale = np.zeros(len(n), np.int64), np.full(len(n), -2.0, np.float32), np.ones(len(n), bool)
+    best, stale = np.zeros(len(n), np.int64), np.arange(len(n))
+    s, second = (np.full(len(n), -2.0, np.float32) for _ in range(2))
+
+    def look(at: np.ndarray, strip: np.ndarray) -> None:
+        """Best and second best of the rows ``at``, whose similarities with all rows are ``strip``."""
+        k = np.arange(len(at))
+        strip[k, at] = -2
+        best[at] = strip.argmax(axis=1)
+        s[at] = strip[k, best[at]]
+        strip[k, best[at]] = -2
+        second[at] = strip.max(axis=1)
+
     while len(alive) > 1:
-        look = np.flatnonzero(stale)
-        for lo in range(0, len(look), STRIP):
-            at = look[lo : lo + STRIP]
-            strip = mean[at] @ mean.T
-            strip[np.arange(len(at)), at] = -2
-            best[at], s[at] = strip.argmax(axis=1), strip.max(axis=1)
+        for lo in range(0, len(stale), STRIP):
+            at = stale[lo : lo + STRIP]
+            look(at, mean[at] @ mean.T)
         rows = np.arange(len(alive))
         pair = (best[best] == rows) & (rows < best) & (s >= threshold)
         if pair.any():
@@ -301,14 +309,31 @@ def merge_rounds(sums: np.ndarray, n: np.ndarray, threshold: float) -> np.ndarra
         sums[a] += sums[b]
         n[a] += n[b]
         mean[a] = sums[a] / n[a][:, None]
-        gone, merged = np.zeros(len(alive), bool), np.zeros(len(alive), bool)
-        gone[b], merged[a] = True, True
-        stale = merged | merged[best] | gone[best]
+        mean[b], s[b], second[b] = 0, -2, -2  # gone: an average of 0 is below any threshold
+        place = np.arange(len(alive))
+        place[b] = a
+        merged = np.zeros(len(alive), bool)
+        merged[a] = True
+        partner = place[best]
+        waiting = np.flatnonzero(merged[partner] & ~merged & (s > -2))  # their partner has become another cluster
+        fresh = np.empty(len(waiting), np.float32)
+        for lo in range(0, len(a), STRIP):
+            part = a[lo : lo + STRIP]
+            strip = mean[part] @ mean.T
+            at = np.searchsorted(part, partner[waiting])
+            mine = (at < len(part)) & (part[np.minimum(at, len(part) - 1)] == partner[waiting])
+            fresh[mine] = strip[at[mine], waiting[mine]]
+            look(part, strip)
+        still = fresh >= second[waiting]
+        best[waiting[still]], s[waiting[still]] = partner[waiting[still]], fresh[still]
+        stale = waiting[~still]
         # a cluster with no partner in reach will have none: averages of its present similarities do not rise
-        keep = ~gone & (merged | (s >= threshold))
-        place = np.cumsum(keep) - 1
-        best = place[best][keep]
-        alive, sums, n, mean, s, stale = alive[keep], sums[keep], n[keep], mean[keep], s[keep], stale[keep]
+        keep = s >= threshold
+        keep[stale] = True
+        if keep.sum() < 0.7 * len(keep):
+            where = np.cumsum(keep) - 1
+            best, stale = where[best][keep], where[stale]
+            alive, sums, n, mean, s, second = alive[keep], sums[keep], n[keep], mean[keep], s[keep], second[keep]
     return label
 
 
@@ -379,7 +404,7 @@ def _add(dim: int):
 
 def _sample(vectors: DataFrame, count: int, dim: int, unit) -> np.ndarray:
     """Pivots: the vectors of the smallest digests, at most ``MAX_PIVOTS``; cells hold some thousands of vectors, slowly more as those grow."""
-    size = int(min(MAX_PIVOTS, max(2, count**0.75 / 140)))
+    size = int(min(MAX_PIVOTS, max(2, count**0.75 / 90)))
     table = vectors.orderBy(vectors.columns[0]).limit(size).toArrow().combine_chunks()
     return unit(table)
 
