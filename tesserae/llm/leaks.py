@@ -186,7 +186,8 @@ def _rare_words(items: DataFrame, counts: DataFrame, window: int, share: float)
     rank = F.row_number().over(Window.partitionBy("item_id", "start").orderBy(F.coalesce("df", F.lit(0)), "term"))
     rare = terms.withColumn("r", rank).where(F.col("r") <= F.col("n") - F.ceil(F.lit(share) * F.col("n") - 1e-9) + 2)
     asked = rare.groupBy("item_id", "start").agg(F.collect_set("term").alias("mates"))  # a window's words
-    here = rare.where("df is not null").select("item_id", "start", "term").join(asked, ["item_id", "start"])
+    # one of the n - need + 1 rarest is there, so the commonest of these words needs no postings
+    here = rare.where((F.col("r") <= F.col("n") - F.ceil(F.lit(share) * F.col("n") - 1e-9) + 1) & F.col("df").isNotNull()).select("item_id", "start", "term").join(asked, ["item_id", "start"])
     return here.groupBy("item_id", "term").agg(F.array_distinct(F.flatten(F.collect_set("mates"))).alias("mates"))  # of the windows over one word
 
 
