@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from tesserae import constants as C
 from tesserae.functions.text import token_set
+from tesserae.sources.worker import one_core
 
 #: Queries, and rows, in a block.
 QUERIES_AT_ONCE, ROWS_AT_ONCE = 2048, 16_384
@@ -30,6 +31,7 @@ def compare(queries: DataFrame, rows: DataFrame, score: Callable[[pa.Table, pa.T
         shipped = queries.sparkSession.sparkContext.broadcast(queries.toArrow())  # at most one block
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            one_core()
             for b in batches:
                 if b.num_rows:
                     yield from score(shipped.value, pa.Table.from_batches([b])).to_batches()
@@ -40,7 +42,12 @@ def compare(queries: DataFrame, rows: DataFrame, score: Callable[[pa.Table, pa.T
     every = lambda c, k: F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(k - 1).cast("bigint"))).alias(c)
     left = queries.select("*", part("_q", n), every("_r", m)).groupBy("_q", "_r")
     right = rows.select("*", part("_r", m), every("_q", n)).groupBy("_q", "_r")
-    return left.cogroup(right).applyInArrow(lambda x, y: score(x.drop_columns(["_q", "_r"]), y.drop_columns(["_q", "_r"])), schema)
+
+    def meet(x: pa.Table, y: pa.Table) -> pa.Table:
+        one_core()
+        return score(x.drop_columns(["_q", "_r"]), y.drop_columns(["_q", "_r"]))
+
+    return left.cogroup(right).applyInArrow(meet, schema)
 
 
 def matrix(column: pa.ChunkedArray, dim: int) -> np.ndarray:
