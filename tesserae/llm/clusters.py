@@ -36,11 +36,14 @@ from pyspark.sql import functions as F
 
 from tesserae.llm.components import stars
 from tesserae.sources.tables import cut
+from tesserae.sources.worker import one_core
 
 THRESHOLD = 0.72
 DIM = 128
 #: Vectors of a cell compared at once in a task, and distinct vectors of a component that has its rounds in one task.
 BLOCK, WHOLE = 8192, 12_000
+#: Vectors of small components in one group, about.
+TOGETHER = 4000
 #: Rows of a similarity matrix held at once.
 STRIP = 1024
 #: Most pivots, and from how many on they are searched in two levels.
@@ -184,6 +187,7 @@ def _cells(nodes: DataFrame, units, sample: np.ndarray, n_tables: int, key: str)
 
     def assign(splits):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            one_core()
             pivots = Pivots(shipped.value)
             rng = np.random.default_rng(11)
             turns = [(rng.permutation(sample_dim), rng.choice(np.array([-1, 1], np.float32), sample_dim)) for _ in range(n_tables)]
@@ -243,6 +247,7 @@ def _forest(dim: int, threshold: float):
     """
 
     def run(_key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
+        one_core()
         k = group["k"].to_numpy()
         order = np.argsort(k, kind="stable")  # stars have their least key in the middle, the same in every table
         k, side = k[order], group["side"].to_numpy()[order]
@@ -341,14 +346,21 @@ _FOUND = "h binary, cid binary, s double"
 
 
 def _link(dim: int, threshold: float):
-    """A whole component (h, v) to (h, cid, s): its clusters, and each vector's cosine with its cluster's mean."""
+    """Whole components (root, h, v) to (h, cid, s): their clusters, and each vector's cosine with its cluster's mean."""
 
     def run(_key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
-        group = group.sort_by([("h", "ascending")]).combine_chunks()
-        h = group["h"].to_pylist()
+        one_core()
+        group = group.sort_by([("root", "ascending"), ("h", "ascending")]).combine_chunks()
+        h, root = group["h"].to_pylist(), group["root"].to_numpy()
         once = np.flatnonzero([k == 0 or x != h[k - 1] for k, x in enumerate(h)])  # copies that several partitions held
-        v = _unit_of(group["v"], dim, np.int16)[once]
-        label = merge_rounds(v, np.ones(len(v)), threshold)
+        v, root = _unit_of(group["v"], dim, np.int16)[once], root[once]
+        label = np.arange(len(v))
+        ends = np.append(np.flatnonzero(np.concatenate([[True], root[1:] != root[:-1]])), len(root))
+        for lo, hi in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+            if hi - lo > 2:
+                label[lo:hi] = lo + merge_rounds(v[lo:hi], np.ones(hi - lo), threshold)
+            elif hi - lo == 2 and v[lo] @ v[lo + 1] >= threshold:
+                label[lo + 1] = lo
         sums = np.zeros((len(v), dim))
         np.add.at(sums, label, v)
         s = np.einsum("ij,ij->i", v, _unit(sums)[label])
@@ -362,6 +374,7 @@ def _best(dim: int, threshold: float):
     """(a, b, s): of each cluster in two blocks of a cell its best partner there, if that reaches the threshold."""
 
     def run(_key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
+        one_core()
         group = group.sort_by([("cid", "ascending")]).combine_chunks()
         side, n = group["side"].to_numpy(), group["n"].to_numpy().astype(np.float64)
         v = (_rows(group["v"], dim, np.float32) / n[:, None]).astype(np.float32)
@@ -476,14 +489,18 @@ def clusters(memories: DataFrame, threshold: float = THRESHOLD, dim: int = DIM,
 
     vectors = rows.mapInArrow(full, "h binary, k bigint, v binary")
     limit = whole or WHOLE
-    small = vectors.join(tied.where(F.col("c") <= limit), "k").select("root", "h", "v")
-    found = small.groupBy("root").applyInArrow(_link(dim, threshold), _FOUND)
-    if not sizes.where(F.col("c") > limit).isEmpty():
+    fits = F.col("c") <= limit
+    total = sizes.agg(F.sum(F.when(fits, F.col("c"))).alias("n"), F.count_if(~fits).alias("large")).first()
+    # a group holds many small components, some thousands of vectors
+    bucket = F.pmod(F.xxhash64("root"), F.lit(-(-(total.n or 1) // TOGETHER))).alias("bucket")
+    small = vectors.join(tied.where(fits), "k").select(bucket, "root", "h", "v")
+    found = small.groupBy("bucket").applyInArrow(_link(dim, threshold), _FOUND)
+    if total.large:
         def floats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.ones(b.num_rows, np.int64)), _binary(_unit_of(b.column(1), dim, np.int16))], names=["cid", "n", "v"])
 
-        large = vectors.join(tied.where(F.col("c") > limit), "k").dropDuplicates(["h"]).select("h", "v").mapInArrow(floats, _NODE)
+        large = vectors.join(tied.where(~fits), "k").dropDuplicates(["h"]).select("h", "v").mapInArrow(floats, _NODE)
         found = found.unionByName(distributed_rounds(large, dim, threshold, spread))
     # who is in no component is a cluster alone
     known = ids.distinct().join(found, "h", "left")
