@@ -8,9 +8,10 @@ A distributed positional inverted index answers phrase queries. The queries are
 2. Each remaining window is asked by its two rarest words. Only their postings are stored, (term,
    document, position) with the words around the position as payload: common words, which may fill a
    third of the corpus, are never posted unless a window has nothing rarer.
-3. The two lists of a window are intersected after subtracting each word's offset in the window, so
-   that only documents with both words at the right distance remain.
-4. The payload then decides on the exact phrase.
+3. A posting is laid against the windows of its word, and stays where the payload holds the window's phrase
+   around it; nothing else leaves the task.
+4. The two lists of a window are intersected after subtracting each word's offset in the window: both words
+   stand at the right distance in the same place of the same document.
 
 Proximity asks for a share of a window's words within a stretch of text a little longer than the window, in any
 order, with words put in, left out or replaced. Of n distinct words at most n - need are missing, so two of the
@@ -151,23 +152,24 @@ def _asked(index: DataFrame, asked: DataFrame, term: str, offset: str) -> DataFr
     return p.join(w, (F.col("term") == F.col(term)) & (p["salt"] == w["salt"])).withColumn("begin", F.col("pos") - F.col(offset))
 
 
-def candidates(documents: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Places (doc_id, begin) where both rarest words of a window (item_id, start) stand at their offsets, with the payload of the rarest."""
+def _exact(offset: str) -> Column:
+    """Whether the payload holds the window's phrase at its place."""
+    at = F.col("before") - F.col(offset)
+    return (at >= 0) & (F.slice("around", F.greatest(at, F.lit(0)) + 1, F.size("phrase")) == F.col("phrase"))
+
+
+def places(documents: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(doc_id, begin, item_id, start): where a window of an item stands in a document."""
     tokens = cut(item_words(items))
     vocabulary = tokens.select(F.explode("words").alias("term")).distinct()
     asked = cut(windows(tokens, term_counts(documents, vocabulary), window))
     terms = asked.select(F.explode(F.array("t1", "t2")).alias("term")).where("term is not null").distinct()
     index = cut(postings(documents, terms, window - 1))
-    one = _asked(index, asked, "t1", "o1").select("item_id", "start", "doc_id", "begin", "phrase", "o1", "t2", "before", "around")
-    two = _asked(index.select("term", "doc_id", "pos"), asked.select("item_id", "start", "t2", "o2"), "t2", "o2").select("item_id", "start", "doc_id", "begin")
-    both = one.where("t2 is not null").join(two, ["item_id", "start", "doc_id", "begin"], "left_semi")
-    return both.unionByName(one.where("t2 is null"))
-
-
-def _exact() -> Column:
-    """Whether the payload holds the window's phrase at its place."""
-    at = F.col("before") - F.col("o1")
-    return (at >= 0) & (F.slice("around", F.greatest(at, F.lit(0)) + 1, F.size("phrase")) == F.col("phrase"))
+    place = ["item_id", "start", "doc_id", "begin"]
+    one = _asked(index, asked, "t1", "o1").where(_exact("o1")).select(*place, "t2")
+    two = _asked(index, asked, "t2", "o2").where(_exact("o2")).select(*place)
+    both = one.where("t2 is not null").join(two, place, "left_semi")
+    return both.unionByName(one.where("t2 is null")).select(*place)  # a window of one repeated word has one list
 
 
 def leaked(documents: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -175,7 +177,7 @@ def leaked(documents: DataFrame, items: DataFrame, window: int = WINDOW) -> Data
 
     Null and empty texts hold nothing; items shorter than a window cannot leak; copies of a document are each reported.
     """
-    return candidates(documents, items, window).where(_exact()).select("doc_id", "item_id").distinct()
+    return places(documents, items, window).select("doc_id", "item_id").distinct()
 
 
 def _rare_words(items: DataFrame, counts: DataFrame, window: int, share: float) -> DataFrame:
@@ -229,7 +231,7 @@ def near_leaks(documents: DataFrame, items: DataFrame, window: int = WINDOW, sha
     p = index.withColumn("salt", F.pmod(F.xxhash64("doc_id", "pos"), F.lit(SALTS)).cast("int"))
     met = p.join(w, (F.col("term") == F.col("asked")) & (p["salt"] == w["salt"])).where(F.size(F.array_intersect("around", "mates")) >= 2)
     texts = tokens.select("item_id", F.array_join("words", " ").alias("words"))
-    places = met.select("doc_id", "item_id", "before", F.array_join("around", " ").alias("around")).join(texts, "item_id")
+    near = met.select("doc_id", "item_id", "before", F.array_join("around", " ").alias("around")).join(texts, "item_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[int, _Item] = {}
@@ -248,7 +250,7 @@ def near_leaks(documents: DataFrame, items: DataFrame, window: int = WINDOW, sha
             cols = list(zip(*((d, i, x) for (d, i), x in best.items()), strict=True)) if best else [()] * 3
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["doc_id", "item_id", "share"])
 
-    return places.mapInArrow(run, "doc_id bigint, item_id bigint, share double").groupBy("doc_id", "item_id").agg(F.round(F.max("share"), 6).alias("share"))
+    return near.mapInArrow(run, "doc_id bigint, item_id bigint, share double").groupBy("doc_id", "item_id").agg(F.round(F.max("share"), 6).alias("share"))
 
 
 def leak_report(found: DataFrame) -> DataFrame:
