@@ -256,10 +256,13 @@ def _forest(dim: int, threshold: float):
         x, y = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
         # what rounding lost is added by two more numbers of each vector
         left, right = np.hstack([v, err[:, None], one])[x], np.hstack([v, one, err[:, None]])[y].T
-        near = np.empty((len(x), len(y)), bool)
+        near, same = np.empty((len(x), len(y)), bool), bool(len(side)) and side[0] == 2
         for lo in range(0, len(x), STRIP):
-            np.greater_equal(left[lo : lo + STRIP] @ right, np.float32(threshold - 1e-4), out=near[lo : lo + STRIP])
-        rows, columns = _joined(near, len(side) > 0 and side[0] == 2)
+            begin = lo if same else 0  # within a block one half of the matrix is the other one turned
+            np.greater_equal(left[lo : lo + STRIP] @ right[:, begin:], np.float32(threshold - 1e-4), out=near[lo : lo + STRIP, begin:])
+            if same:
+                near[lo + STRIP :, lo : lo + STRIP] = near[lo : lo + STRIP, lo + STRIP :].T
+        rows, columns = _joined(near, same)
         at, part = np.concatenate([x, y]), np.concatenate([rows, columns])
         at, part = at[part >= 0], part[part >= 0]
         by = np.lexsort((at, part))
