@@ -200,13 +200,17 @@ def readings(entities: DataFrame) -> DataFrame:
 
 
 def established(read: DataFrame) -> DataFrame:
-    """Readings with ``sure`` for given names that the corpus itself establishes: borne with several surnames, and no misspelling of a much commoner one."""
+    """Readings with ``sure`` for given names that the corpus itself establishes, in the right order: borne with several surnames, and no misspelling of a much commoner one."""
     spelt = read.where((F.col("kind") == "p") & F.col("exact") & (F.size("given") == 1)).select(F.get("given", F.lit(0)).alias("g"), F.col("rest").alias("surname"))
     borne = cut(spelt.groupBy("g").agg(F.countDistinct("surname").alias("n")))
     near = _misspellings(borne.select(F.lit("p").alias("kind"), F.lit("").alias("g"), F.col("g").alias("rest"), F.lit("").alias("legal"), "n", F.lit(False).alias("sure")))
     better = near.select(F.col("rest").alias("g"), F.col("rest2").alias("b")).join(borne.select(F.col("g").alias("b"), F.col("n").alias("m")), "b")
     fine = borne.where(F.col("n") >= SURNAMES).join(better, "g", "left").where(F.col("m").isNull() | (F.col("m") < OVERSHADOWED * F.col("n"))).select(F.array("g").alias("given"), F.lit("p").alias("kind"), F.lit(True).alias("_known")).distinct()
-    return read.join(fine, ["kind", "given"], "left").withColumn("sure", F.col("sure") | F.coalesce("_known", F.lit(False))).select(*read.columns)
+    known = read.join(fine, ["kind", "given"], "left").withColumn("sure", F.col("sure") | F.coalesce("_known", F.lit(False))).drop("_known")
+    # a name whose second word is an established given name, and its first is none, was typed surname first
+    turned = known.join(fine.select("kind", F.get("given", F.lit(0)).alias("rest"), F.lit(True).alias("_turn")), ["kind", "rest"], "left")
+    turn = F.coalesce("_turn", F.lit(False)) & F.col("exact") & ~F.col("sure") & (F.size("given") == 1)
+    return turned.select(*(F.when(turn, v).otherwise(F.col(c)).alias(c) if v is not None else F.col(c) for c in read.columns for v in [{"given": F.array("rest"), "rest": F.get("given", F.lit(0)), "sure": F.lit(True)}.get(c)]))
 
 
 def _deletions(identities: DataFrame) -> DataFrame:

@@ -63,6 +63,8 @@ def test_misspellings_are_followed_to_their_end(spark):
 def test_the_corpus_establishes_given_names(spark):
     rows = [(f"a{k}{g}", f"{n} {s}", "person", None) for k, s in enumerate(["Ralvanzenje", "Filgolvolga", "Dekpirgolpa", "Mardelrorda"]) for g, n in (("x", "Kenji"), ("y", "Kenja"))]
     assert linked(spark, rows) == set()  # relatives: both names are borne with many surnames
+    turned = [("z", "Ralvanzenje Kenji", "person", None)]  # typed surname first
+    assert linked(spark, rows + turned) == {("a0x", "z")}
     once = [("a", "Kenji Ralvanzenje", "person", None), ("b", "Kenji Filgolvolga", "person", None), ("c", "Kenji Dekpirgolpa", "person", None), ("d", "Kemji Dekpirgolpa", "person", None)]
     assert linked(spark, once) == {("c", "d")}
 
