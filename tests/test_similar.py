@@ -155,3 +155,29 @@ def test_hot_token_may_be_split(spark):
     """No hand-made partitioning stands before the join on tokens, which would keep AQE from splitting a skewed one."""
     _, classes = S.set_classes(spark.createDataFrame(rows(3), M), S.compared_text())
     assert "REPARTITION_BY" not in S.set_join(classes, classes, 0.5, itself=True)._jdf.queryExecution().executedPlan().toString()
+
+
+def in_blocks(monkeypatch, at_once=9):
+    """Queries are compared in blocks of a few."""
+    from tesserae.operators import blocks
+
+    real = blocks.compare
+    monkeypatch.setattr(blocks, "compare", lambda q, r, f, schema, at_once, k=at_once: real(q, r, f, schema, k))
+    monkeypatch.setattr(blocks, "ROWS_AT_ONCE", 20)
+
+
+def one_scan(spark, tmp_path, schema=M, made=None):
+    """(queries, rows) of one file, as the registered queries take them."""
+    spark.createDataFrame(made or rows(5), schema).write.parquet(f"{tmp_path}/m.parquet")
+    m = spark.read.parquet(f"{tmp_path}/m.parquet").distinct()
+    new = m.where("substring(id, 4) in ('0', '5')")
+    return new, m.join(new.select("id"), "id", "left_anti")
+
+
+def test_hybrid_pairs_in_blocks_of_one_scan(spark, monkeypatch, tmp_path):
+    in_blocks(monkeypatch)
+    new, old = one_scan(spark, tmp_path, M.replace("sid", "x").replace("n int", "embedding array<float>"), [(*r[:5], None) for r in rows(5)])
+    r = rows(5)
+    asked = [x for x in r if x[0][3] in "05"]
+    score = {tuple(sorted((a[0], b[0]))): jac(tok(*a[1:3]), tok(*b[1:3])) for a in asked for b in r if b not in asked}
+    assert {(x.id_a, x.id_b): x.score for x in S.hybrid_pairs(new, old).collect()} == {k: round(v, 6) for k, v in score.items() if v >= 0.5}
