@@ -181,3 +181,12 @@ def test_hybrid_pairs_in_blocks_of_one_scan(spark, monkeypatch, tmp_path):
     asked = [x for x in r if x[0][3] in "05"]
     score = {tuple(sorted((a[0], b[0]))): jac(tok(*a[1:3]), tok(*b[1:3])) for a in asked for b in r if b not in asked}
     assert {(x.id_a, x.id_b): x.score for x in S.hybrid_pairs(new, old).collect()} == {k: round(v, 6) for k, v in score.items() if v >= 0.5}
+
+
+def test_deduplicate_in_blocks_of_one_scan(spark, monkeypatch, tmp_path):
+    rnd = random.Random(11)
+    made = [(f"m{k:03d}", None, "s", " ".join(f"w{rnd.randrange(14)}" for _ in range(rnd.randint(4, 8))), None, f"b{rnd.randrange(3)}", rnd.randrange(5)) for k in range(120)]
+    in_blocks(monkeypatch)
+    new, old = one_scan(spark, tmp_path, "id string, x string, summary string, content string, local_embedding array<double>, batch string, ord int", made)
+    want = brute_dedup([x for x in made if x[0][3] in "05"], [x for x in made if x[0][3] not in "05"])
+    assert {r.id: (r.decision, r.match) for r in S.deduplicate(new, old).collect()} == want
