@@ -190,3 +190,25 @@ def test_deduplicate_in_blocks_of_one_scan(spark, monkeypatch, tmp_path):
     new, old = one_scan(spark, tmp_path, "id string, x string, summary string, content string, local_embedding array<double>, batch string, ord int", made)
     want = brute_dedup([x for x in made if x[0][3] in "05"], [x for x in made if x[0][3] not in "05"])
     assert {r.id: (r.decision, r.match) for r in S.deduplicate(new, old).collect()} == want
+
+
+def test_sweep_and_prefixes_agree(spark, monkeypatch):
+    """Sets of which most share their rarest tokens are swept, in blocks, and both joins find the same."""
+    rnd = random.Random(2)
+    n = 700
+    sizes = [rnd.choice([1, 2, 5, 14, 34, 60, 120]) for _ in range(n)]
+    texts = [" ".join(f"w{rnd.randrange(2 * k + 3)}" for _ in range(k)) for k in sizes]
+    df = spark.createDataFrame([(f"m{k:03d}", "", x) for k, x in enumerate(texts)], "id string, summary string, content string")
+    members, classes = S.set_classes(df, S.compared_text())
+    monkeypatch.setattr(S, "_FEW", 0)
+    monkeypatch.setattr(S, "SWEPT", 90)
+    monkeypatch.setattr(S, "_COLUMNS", 50)
+    plan = lambda: S.self_join(members, classes, 0.5)._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapGroupsInArrow" in plan()
+    for t in (0.5, 0.75):
+        found = [(r.class_a, r.class_b, r.jaccard) for r in S.similar_classes(df, t).collect()]
+        with monkeypatch.context() as m:
+            m.setattr(S, "_SWEPT_A_MEETING", 0)
+            assert "FlatMapGroupsInArrow" not in plan()
+            assert sorted(found) == sorted((r.class_a, r.class_b, r.jaccard) for r in S.similar_classes(df, t).collect())
+        assert len(found) == len(set(found)) > 10
