@@ -212,3 +212,12 @@ def test_sweep_and_prefixes_agree(spark, monkeypatch):
             assert "FlatMapGroupsInArrow" not in plan()
             assert sorted(found) == sorted((r.class_a, r.class_b, r.jaccard) for r in S.similar_classes(df, t).collect())
         assert len(found) == len(set(found)) > 10
+
+
+def test_auto_edges_in_blocks_of_one_scan(spark, monkeypatch, tmp_path):
+    in_blocks(monkeypatch)
+    edges = spark.createDataFrame([], "source_id string, target_id string, relation_type string")
+    r = rows(5)
+    asked = [x for x in r if x[0][3] in "05"]
+    score = {(a[0], b[0]): jac(tok(*a[1:3]), tok(*b[1:3])) for a in asked for b in r if b not in asked}
+    assert {(x.source_id, x.target_id): x.strength for x in S.auto_edges(*one_scan(spark, tmp_path), edges).collect()} == {k: round(v, 6) for k, v in score.items() if v >= 0.1}
