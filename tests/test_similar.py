@@ -221,3 +221,15 @@ def test_auto_edges_in_blocks_of_one_scan(spark, monkeypatch, tmp_path):
     asked = [x for x in r if x[0][3] in "05"]
     score = {(a[0], b[0]): jac(tok(*a[1:3]), tok(*b[1:3])) for a in asked for b in r if b not in asked}
     assert {(x.source_id, x.target_id): x.strength for x in S.auto_edges(*one_scan(spark, tmp_path), edges).collect()} == {k: round(v, 6) for k, v in score.items() if v >= 0.1}
+
+
+def test_links_of_swept_classes(spark, monkeypatch):
+    """Copies of a text share a class; both joins give each of them the same links."""
+    made = [(i, s, c) for i, s, c, *_ in rows(7)]
+    df = spark.createDataFrame([*made, *(("x" + i, s, c) for i, s, c in made)], "id string, summary string, content string")
+    monkeypatch.setattr(S, "SWEPT", 20)
+    swept = {(r.id, r.class_id): r.links for r in S.similar_texts(df, 0.5).collect()}
+    monkeypatch.setattr(S, "_FEW", 0)
+    monkeypatch.setattr(S, "_SWEPT_A_MEETING", 0)
+    assert swept == {(r.id, r.class_id): r.links for r in S.similar_texts(df, 0.5).collect()}
+    assert max(swept.values()) > 1
