@@ -233,3 +233,20 @@ def test_links_of_swept_classes(spark, monkeypatch):
     monkeypatch.setattr(S, "_SWEPT_A_MEETING", 0)
     assert swept == {(r.id, r.class_id): r.links for r in S.similar_texts(df, 0.5).collect()}
     assert max(swept.values()) > 1
+
+
+def test_auto_edges_leaves_out_edges_without_a_join(spark, monkeypatch, tmp_path):
+    """Edges there are already stay with the rows compared; the pairs found are not shuffled to leave them out."""
+    r = rows(5)
+    asked = [x for x in r if x[0][3] in "05"]
+    score = {(a[0], b[0]): round(jac(tok(*a[1:3]), tok(*b[1:3])), 6) for a in asked for b in r if b not in asked}
+    want = {k: v for k, v in score.items() if v >= 0.1}
+    gone = sorted(want)[::3]
+    edges = spark.createDataFrame([*((*k, "relates_to") for k in [*gone, *gone[:5]]), *((*k, "supports") for k in want), (gone[0][0], None, "relates_to"), (None, gone[0][1], "relates_to")], "source_id string, target_id string, relation_type string")
+    new, old = one_scan(spark, tmp_path)
+    for at_once in (10_000, 9):
+        in_blocks(monkeypatch, at_once)
+        found = S.auto_edges(new, old, edges)
+        assert {(x.source_id, x.target_id): x.strength for x in found.collect()} == {k: v for k, v in want.items() if k not in gone}
+        assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString().split("InArrow")[0]
+        monkeypatch.undo()
