@@ -250,3 +250,42 @@ def test_auto_edges_leaves_out_edges_without_a_join(spark, monkeypatch, tmp_path
         assert {(x.source_id, x.target_id): x.strength for x in found.collect()} == {k: v for k, v in want.items() if k not in gone}
         assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString().split("InArrow")[0]
         monkeypatch.undo()
+
+
+def test_sweep_lays_out_only_sets_that_share_a_rare_token(monkeypatch):
+    """Less than half as many bitmaps are compared as there are pairs of like size, and nothing similar is missed, in one block or two."""
+    import numpy as np
+
+    rnd = random.Random(8)
+    words = 400
+    sets = [{rnd.randrange(words) for _ in range(rnd.choice([1, 3, 12, 30]))} for _ in range(600)]
+    sets += [{*sorted(s)[1:], rnd.randrange(words)} for s in sets[:150]]
+    df = np.bincount([w for s in sets for w in s], minlength=words)
+    rank = np.empty(words, int)
+    rank[np.argsort(df, kind="stable")] = np.arange(words)
+    n = np.array([len(s) for s in sets])
+    codes = np.concatenate([np.sort(rank[sorted(s)]) for s in sets]).astype(np.int32)
+    bits = [np.array([sum({1 << int(rank[w]) % 64 for w in s if rank[w] // 64 % S.WORDS == k}) for s in sets], np.uint64) for k in range(S.WORDS)]
+    side = lambda rows: S._Side(n, codes, np.cumsum(n) - n, bits, rows)
+    x, a, b = side(np.arange(len(sets))), side(np.arange(0, len(sets), 2)), side(np.arange(1, len(sets), 2))
+    monkeypatch.setattr(S, "_PAIRS", 500)
+    for t in (0.4, 0.5, 0.75):
+        want = {(i, j) for i in range(len(sets)) for j in range(i) if jac(sets[i], sets[j]) >= t}
+        for little in (0, 1 << 30):
+            monkeypatch.setattr(S, "_LITTLE", little)
+            for p, q in ((x, x), (a, a), (b, b), (a, b), (b, a)):
+                found = [(max(k), min(k)) for i, j, _ in S._similar(p, q, words, t) for k in zip(p.rows[i].tolist(), q.rows[j].tolist(), strict=True)]
+                both = set(p.rows.tolist()), set(q.rows.tolist())
+                assert len(found) == len(set(found)) and set(found) == {(i, j) for i, j in want if (i in both[0] and j in both[1]) or (j in both[0] and i in both[1])}
+        times = np.diff(S._Postings(x, words, t).at)
+        like = sum(min(n[i], n[j]) >= t * max(n[i], n[j]) for i in range(len(sets)) for j in range(i))
+        assert (times * (times - 1) / 2).sum() < like / 2
+
+
+def test_links_leave_tasks_as_counts(spark):
+    """Of many similar texts, tasks pass on a count a class and not the pairs."""
+    df = spark.createDataFrame([(f"m{k:03d}", "", f"a b c d e f x{k}") for k in range(60)], "id string, summary string, content string")
+    found = S.similar_texts(df, 0.5)
+    assert {(r.id, r.links) for r in found.collect()} == {(f"m{k:03d}", 59) for k in range(60)}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapGroupsInArrow" in plan and "sid_a" not in plan
