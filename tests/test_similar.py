@@ -289,3 +289,28 @@ def test_links_leave_tasks_as_counts(spark):
     assert {(r.id, r.links) for r in found.collect()} == {(f"m{k:03d}", 59) for k in range(60)}
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "FlatMapGroupsInArrow" in plan and "sid_a" not in plan
+
+
+def test_blocks_are_written_once_however_many_they_meet(spark, monkeypatch, tmp_path):
+    """With more blocks of queries no more rows are shuffled, but for one a block, and all pairs are found."""
+    r = rows(5)
+    asked = [x for x in r if x[0][3] in "05"]
+    want = {(a[0], b[0]): round(jac(tok(*a[1:3]), tok(*b[1:3])), 6) for a in asked for b in r if b not in asked and jac(tok(*a[1:3]), tok(*b[1:3])) >= 0.1}
+    edges = spark.createDataFrame([], "source_id string, target_id string, relation_type string")
+    new, old = one_scan(spark, tmp_path)
+    sc, gate = spark.sparkContext._jsc.sc(), spark.sparkContext._gateway
+
+    def written():
+        sc.listenerBus().waitUntilEmpty(10_000)
+        stages = sc.statusStore().stageList(None, False, False, gate.new_array(gate.jvm.double, 0), gate.jvm.java.util.ArrayList())
+        return sum(stages.apply(k).shuffleWriteRecords() for k in range(stages.size()))
+
+    counts = []
+    for at_once in (12, 3):
+        in_blocks(monkeypatch, at_once)
+        found = S.auto_edges(new, old, edges)
+        before = written()
+        assert {(x.source_id, x.target_id): x.strength for x in found.collect()} == want
+        counts.append(written() - before)
+        monkeypatch.undo()
+    assert counts[1] - counts[0] <= 8
