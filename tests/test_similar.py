@@ -314,3 +314,19 @@ def test_blocks_are_written_once_however_many_they_meet(spark, monkeypatch, tmp_
         counts.append(written() - before)
         monkeypatch.undo()
     assert counts[1] - counts[0] <= 8
+
+
+def test_scores_of_edges_are_rounded_where_they_are_found(spark):
+    """Halves go away from zero, as SQL has it, and no row is rounded again after it left its task."""
+    import numpy as np
+
+    from tesserae.operators import blocks
+
+    made = [k / 128 for k in range(-128, 129)] + [random.Random(3).uniform(-1, 1) for _ in range(2000)]
+    want = [r.s for r in spark.createDataFrame([(x,) for x in made], "s double").select(F.round("s", 6).alias("s")).collect()]
+    assert blocks._rounded(np.array(made), 6).tolist() == want
+    many = [f"w{k}" for k in range(128)]
+    df = lambda i, words: spark.createDataFrame([(i, "", " ".join(words), None, "x", 1)], M)
+    found = S.auto_edges(df("a", many), df("b", many[:65]), spark.createDataFrame([], "source_id string, target_id string, relation_type string"))
+    assert [(r.strength, r.status) for r in found.collect()] == [(0.507813, "active")]
+    assert "round(" not in found._jdf.queryExecution().optimizedPlan().toString()
